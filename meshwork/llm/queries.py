@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import mixing, near_duplicates, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": packing.op2_packing}
+    return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_packing": packing.op2_packing,
+        "op3_mixing": mixing.op3_mixing,
+        "op6_ngram_jaccard": near_duplicates.op6_ngram_jaccard,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
