@@ -297,7 +297,7 @@ def _leaf_links(rows: DataFrame, threshold: Threshold) -> DataFrame:
         _, firsts = np.unique(np.where(right, owners, 0), return_index=True)
         keep = np.array([i for i in firsts if right[i]], dtype=np.int64)
         if len(keep) < 2:
-            return pd.DataFrame({"class": [], "to": []}, dtype=np.int64)
+            return pd.DataFrame(np.zeros((0, 2), dtype=np.int64), columns=["class", "to"])
         owners, parts, visits = owners[keep], pdf["part"].to_numpy(dtype=np.int64)[keep], pdf["visits"].to_numpy(dtype=bool)[keep]
         _, known = np.unique(parts, return_inverse=True)
         first_of = np.array([int(np.flatnonzero(known == k)[0]) for k in range(known.max() + 1)]) if known.max() + 1 < len(known) else None
@@ -305,7 +305,7 @@ def _leaf_links(rows: DataFrame, threshold: Threshold) -> DataFrame:
         if first_of is not None:
             # labels are numbers of parts here: an edge from each part that moved
             moved = [(int(owners[i]), int(owners[first_of[label[i]]])) for i in first_of if label[i] != known[i]]
-            return pd.DataFrame(moved, columns=["class", "to"], dtype=np.int64)
+            return pd.DataFrame(np.array(moved, dtype=np.int64).reshape(-1, 2), columns=["class", "to"])
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"class": owners[moved], "to": owners[label[moved]]})
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_duplicates, packing, toxicity
+from . import lattice, mixing, near_duplicates, packing, pii, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": packing.op2_packing,
         "op3_mixing": mixing.op3_mixing,
         "op6_ngram_jaccard": near_duplicates.op6_ngram_jaccard,
+        "op8_pii": pii.op8_pii,
+        "op10_lattice": lattice.op10_lattice,
     }
 
 

@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, shards: int = SHARDS) -> tuple[lis
         positive = [features(t) for t in pdf.text[pdf.part == 1]]
         unlabelled = [features(t) for t in pdf.text[pdf.part == 0]]
         if not positive or not unlabelled:
-            return pd.DataFrame({"shard": [], "feature": [], "weight": []})
+            return pd.DataFrame({"shard": key[0], "feature": [""], "weight": [float(np.log(prior / (1 - prior)))]})
         weights, bias = fit_nnpu(positive, unlabelled, prior)
         return pd.DataFrame({"shard": key[0], "feature": [*weights, ""], "weight": [*weights.values(), bias]})
 

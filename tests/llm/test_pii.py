@@ -1,0 +1,70 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from meshwork.llm import pii
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    found = {}
+    for kind, pattern in BASE.items():
+        spans = []
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(digits[::-1])) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            spans.append(m.span())
+        found[kind] = spans
+    return found
+
+
+def same(text):
+    found = pii.find_spans(text, pii._automaton())
+    assert {k: found[k] for k in BASE} == brute(text), text
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1.@+- ()4é\n9", max_size=60))
+def test_base_spans_equal_the_patterns(text):
+    same(text)
+
+
+def test_examples():
+    for text in ["a@b@c.d", "x@y.z@w.v", "1.2.3.4.5.6.7.8", "300.1.1.1 1.2.3.4", "00000000000000001.2.3.4", "4539 1488 0343 6467", "+1 (988) 555-2485.", "++12345678901", "4539-1488-0343-6467 12", "é@x.y 😀 a@b.c"]:
+        same(text)
+    found = pii.find_spans("IBAN: DE89 3704 0044 0532 0130 00, see https://a.b/c). SSN 078-05-1120", pii._automaton())
+    assert [len(found[k]) for k in ("iban", "url", "ssn")] == [1, 1, 1]
+
+
+def test_query_against_patterns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    rows = {r.doc_id: r for r in pii.op8_pii(spark, "/root/testdata/sf0.001").collect()}
+    assert len(rows) == len(docs)
+    for d in docs:
+        found, r = brute(d.text or ""), rows[d.doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(found[k]) for k in BASE]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k in BASE for a, b in found[k]).encode()).hexdigest()
+        assert all(f"{k}:{a}:{b}" in r.spans for k in BASE for a, b in found[k])
+
+
+def test_edges_and_redaction(spark):
+    rows = [(1, None, 0), (2, "", 0), (3, "mail a@b.cd now", 15), (3, "mail a@b.cd now", 15), (4, "z" * 300_000 + " 1.2.3.4", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    assert sorted((r.doc_id, r.n_email, r.n_ip) for r in pii.find_personal_data(df).collect()) == [(1, 0, 0), (2, 0, 0), (3, 1, 0), (3, 1, 0), (4, 0, 1)]
+    out = {r.doc_id: r for r in pii.redact(df).collect()}
+    assert out[3].text == "mail <email> now" and out[3].n_chars == 16 and out[1].text is None
+    assert pii.redact(df).columns == df.columns
+    assert pii.find_personal_data(df.where("false")).count() == 0
