@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice, mixing, near_duplicates, packing, pii, toxicity
+from . import chat, html, lattice, media, mixing, near_duplicates, packing, pii, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_packing": packing.op2_packing,
         "op3_mixing": mixing.op3_mixing,
+        "op4_html": html.op4_html,
+        "op5_chat": chat.op5_chat,
         "op6_ngram_jaccard": near_duplicates.op6_ngram_jaccard,
+        "op7_media": media.op7_media,
         "op8_pii": pii.op8_pii,
         "op10_lattice": lattice.op10_lattice,
     }
