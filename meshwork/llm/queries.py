@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, lattice, media, mixing, near_duplicates, packing, pii, toxicity
+from . import chat, html, lattice, media, mixing, near_duplicates, packing, pii, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ngram_jaccard": near_duplicates.op6_ngram_jaccard,
         "op7_media": media.op7_media,
         "op8_pii": pii.op8_pii,
+        "op9_vectors": vectors.op9_vectors,
         "op10_lattice": lattice.op10_lattice,
     }
 
