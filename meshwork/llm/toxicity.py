@@ -31,8 +31,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import crc_mod, map_batches, read_table
+from .common import crc_mod, read_table
 
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 12_000
@@ -151,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, shards: int = SHARDS) -> tuple[lis
     return list(found.values()), prior
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
-    """doc_id, score and predicted of every row of ``docs``, trained on ``labels``."""
+def score_rows(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
+    """Every row of ``docs`` with the columns score and predicted added, trained on ``labels``."""
     models, prior = train(docs, labels)
     mean: Counter = Counter()
     for weights, _ in models:
@@ -160,24 +161,31 @@ def score_documents(docs: DataFrame, labels: DataFrame, reject_at: float = REJEC
             mean[f] += x / len(models)
     bias = sum(b for _, b in models) / len(models) if models else float(np.log(prior / (1 - prior)))
     model = docs.sparkSession.sparkContext.broadcast((dict(mean), bias))
+    others = [c for c in docs.columns if c not in ("score", "predicted")]
+    place = others.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, start = model.value
         get = weights.get
         for batch in batches:
             logits = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(place).to_pylist():
                 words = set(_WORD.findall((text or "").lower()))
                 parts = {w[:4] + "-" for w in words if len(w) > 4} | {w[:6] + "-" for w in words if len(w) > 6}
                 # a fixed order of summing keeps equal texts at equal scores
                 logits.append(start + sum(sorted(filter(None, map(get, words | parts)))))
             scores = _sigmoid(np.array(logits, dtype=float))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores), pa.array((scores >= reject_at).astype(np.int32))],
-                names=["doc_id", "score", "predicted"],
-            )
+            columns = [*batch.columns, pa.array(scores), pa.array((scores >= reject_at).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, "score", "predicted"])
+
+    selected = docs.select(*others)
+    schema = StructType([*selected.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return selected.mapInArrow(run, schema)
 
-    return map_batches(docs.select("doc_id", F.col("text").cast("string")), run, "doc_id bigint, score double, predicted int")
+
+def score_documents(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
+    """doc_id, score and predicted of every row of ``docs``, trained on ``labels``."""
+    return score_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, reject_at)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
