@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .registering import Query
+from .registry_queries import BOOK as REGISTRY
+from .scene_queries import BOOK as SCENE
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return SCENE.queries | REGISTRY.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SCENE.sql | REGISTRY.sql
