@@ -5,8 +5,7 @@ class. Classes meet in three steps, none of which can lose a link:
 
 1. *Candidates.* Shingles are hashed into G groups. A pair over the threshold
    differs in at most d shingles, so with more than d groups some group is the
-   same in both. Sets of similar size use the same G (size bands that double),
-   and each class is keyed by (band, group, sum of the group's hashes). Keys
+   same in both. Sets of similar size use the same G (by size bands), and each class is keyed by (band, group, sum of the group's hashes). Keys
    that meet give star edges, whose components are blocks of candidates.
 2. *Leaves.* A block is dealt into leaves of bounded size. In a leaf, a vector
    of group counts is a point of an R-tree: nodes hold the coordinate-wise
@@ -25,8 +24,10 @@ rows and equal texts share a component; an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,8 @@ COUNT_GROUPS = 64
 NODE = 64
 LEAF_SHINGLES = 4_000_000
 LEAF_CLASSES = 8_192
+#: Up to this many rows (of some 60 bytes) the candidates' ids are broadcast to the texts; beyond, texts are shuffled.
+BROADCAST_ROWS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -69,9 +72,9 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return joined[np.concatenate(([True], joined[1:] != joined[:-1]))]
 
 
-@dataclass(frozen=True)
+@dataclass
 class Threshold:
-    """Links need part * |intersection| >= whole... that is overlap / union >= numerator / denominator."""
+    """Sets of word shingles link when overlap / union >= numerator / denominator."""
 
     size: int = 5
     numerator: int = 80
@@ -85,20 +88,24 @@ class Threshold:
         total = self.denominator + self.numerator
         return -(-(self.numerator * (a + b)) // total)
 
-    def bands(self, n: int) -> list[tuple[int, int]]:
-        """(band, groups) under which a set of n shingles is keyed.
+    @cached_property
+    def bounds(self) -> list[int]:
+        """Lower ends of the size bands. A wider band has fewer sets in two bands, but smaller groups."""
+        ratio = 1 + 2.5 * (self.denominator - self.numerator) / self.numerator
+        found = [1]
+        while found[-1] < 1 << 40:
+            found.append(max(found[-1] + 1, int(found[-1] * ratio)))
+        return found
 
-        Band k holds sizes from 2**k to below 2**(k+1), and larger ones that can
-        still link to such a size.
-        """
-        own = n.bit_length() - 1
+    def bands(self, n: int) -> list[tuple[int, int]]:
+        """(band, groups) under which a set of n shingles is keyed: its own, and lower ones with sizes it can link to."""
         found = []
-        for k in (own, own - 1):
-            top = 1 << (k + 1)
-            if k >= 0 and (k == own or n * self.numerator <= (top - 1) * self.denominator):
-                # sizes a < top and b <= a * denominator / numerator
-                most = (top - 1) * (self.denominator - self.numerator) // self.numerator
-                found.append((k, most + SPARE_GROUPS))
+        for band in range(bisect_right(self.bounds, n) - 1, -1, -1):
+            most = self.bounds[band + 1] - 1
+            if n > most and n * self.numerator > most * self.denominator:
+                break
+            # sizes a <= most and b <= a * denominator / numerator
+            found.append((band, most * (self.denominator - self.numerator) // self.numerator + SPARE_GROUPS))
         return found
 
     def keys(self, s: np.ndarray) -> np.ndarray:
@@ -247,7 +254,7 @@ def near_duplicates(docs: DataFrame, threshold: Threshold = Threshold()) -> Data
     everywhere = F.when(F.col("is_pivot"), F.sequence(F.lit(0).cast("bigint"), F.col("leaves") - 1)).otherwise(F.array("leaf"))
     placed = placed.withColumn("leaf", F.explode(everywhere))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    inside = _leaf_links(_with_text(placed, texts, threshold.size), threshold)
+    inside = _leaf_links(_with_text(placed, texts), threshold)
     inside = written(inside, "inside")
 
     # Step 3: what is outside the largest component of a block of several leaves visits the others.
@@ -263,7 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: Threshold = Threshold()) -> Data
         visiting = visiting.where("leaf <> home").withColumn("visits", F.lit(True))
         at_home = several.withColumn("leaf", F.col("home")).withColumn("visits", F.lit(False))
         both = visiting.unionByName(at_home).select("class", "block", F.col("least").alias("doc_id"), "leaf", "part", "visits")
-        between = _leaf_links(_with_text(both, texts, threshold.size), threshold)
+        between = _leaf_links(_with_text(both, texts), threshold)
         links = links.unionByName(between)
     linked = components(links.select(F.col("class").alias("a"), F.col("to").alias("b")), "linked")
     linked = linked.select(F.col("node").alias("class"), F.col("component").alias("part"))
@@ -279,9 +286,11 @@ def _by_key():
     return Window.partitionBy("key")
 
 
-def _with_text(placed: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def _with_text(placed: DataFrame, texts: DataFrame) -> DataFrame:
     """One text for each placed class; rows that repeat a doc_id are told apart by their class."""
-    return placed.join(texts, "doc_id").withColumn("shingle_size", F.lit(size))
+    placed = written(placed, "placed")
+    small = placed.count() <= BROADCAST_ROWS
+    return texts.join(F.broadcast(placed) if small else placed, "doc_id")
 
 
 def _leaf_links(rows: DataFrame, threshold: Threshold) -> DataFrame:
