@@ -5,11 +5,12 @@ from __future__ import annotations
 from .registering import Query
 from .registry_queries import BOOK as REGISTRY
 from .scene_queries import BOOK as SCENE
+from .stream_queries import BOOK as STREAM
 
 
 def queries() -> dict[str, Query]:
-    return SCENE.queries | REGISTRY.queries
+    return SCENE.queries | REGISTRY.queries | STREAM.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return SCENE.sql | REGISTRY.sql
+    return SCENE.sql | REGISTRY.sql | STREAM.sql
