@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from meshwork.functions import geometry, gradient
 from meshwork.functions.masks import split_words
 from meshwork.functions.text import align_up, generation_stem
-from meshwork.operators import diff, index, scene, slots, validate
+from meshwork.operators import diff, index, paths, scene, slots, validate
 from meshwork.sources import generators
 from meshwork.sources.tables import changes, edge_rows, node_rows, nodes, positions, table
-from meshwork.types import LIMITS, View
+from meshwork.types import LIMITS, MANIFOLDS, View
 
 from .registering import Book
 
@@ -291,3 +291,63 @@ SELECT r_regionkey AS id, 'generation-' || lpad(lower(to_hex(r_regionkey * 10000
 def generation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_regionkey").cast("bigint").alias("k"))
     return rows.select(F.col("r_regionkey").alias("id"), generation_stem(F.col("k") * 1000003 + 255).alias("stem"), align_up(F.col("k") * 100).alias("aligned"))
+
+
+_LAYOUT_SQL = """
+WITH i AS (SELECT range AS slot, range * 0.017453292::DOUBLE AS phase FROM range(10000))
+SELECT 'hybrid' AS manifold, slot, slot % 100 - 49.5::DOUBLE AS x, slot // 100 % 100 - 49.5::DOUBLE AS y, slot * 37 % 211 * 0.025::DOUBLE - 2.625 AS z FROM i
+UNION ALL SELECT 'hopf', slot, (slot // 100 % 8 * 1.4::DOUBLE + 34 + (slot % 11 * 0.12::DOUBLE + 4) * cos(phase * 7 + slot % 100 * 0.031::DOUBLE)) * cos(phase),
+  (slot // 100 % 8 * 1.4::DOUBLE + 34 + (slot % 11 * 0.12::DOUBLE + 4) * cos(phase * 7 + slot % 100 * 0.031::DOUBLE)) * sin(phase), (slot % 11 * 0.12::DOUBLE + 4) * sin(phase * 7 + slot % 100 * 0.031::DOUBLE) FROM i
+UNION ALL SELECT 'caps', slot, cos(slot % 16 * (pi() / 8)) * 32 + cos(phase) * (slot % 97 * 0.08::DOUBLE + 18), sin(slot % 16 * (pi() / 8)) * 32 + sin(phase) * (slot % 97 * 0.08::DOUBLE + 18), slot // 16 % 80 * 0.18::DOUBLE - 7.2 FROM i
+UNION ALL SELECT 'transit', slot, (slot % 100 - 49.5::DOUBLE) * 1.35, (slot % 12 - 5.5::DOUBLE) * 5.5 + sin(phase * 3) * 0.8, (slot // 100 % 100 - 49.5::DOUBLE) * 0.22 FROM i
+UNION ALL SELECT 'siegel', slot, sqrt(slot) * 0.45 * cos(phase), sqrt(slot) * 0.45 * sin(phase), (slot % 257 - 128::DOUBLE) * 0.035 FROM i"""
+
+
+@BOOK.add(f"SELECT manifold, slot // 1000 AS block, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z, count(*) AS n FROM ({_LAYOUT_SQL}) GROUP BY ALL")
+def cohort_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [generators.cohort_layout(generators.cohort_nodes(spark), m).withColumn("manifold", F.lit(m)) for m in MANIFOLDS]
+    blocks = validate.union(rows).groupBy("manifold", F.expr("slot div 1000").alias("block"))
+    return blocks.agg(*(F.round(F.sum(a), 3).alias(a) for a in "xyz"), F.count("*").alias("n"))
+
+
+@BOOK.add(f"""
+WITH l AS (SELECT * FROM ({_LAYOUT_SQL}) WHERE manifold = 'hybrid'),
+e AS (SELECT range AS slot, range % 10000 AS source, (range % 10000 + (range // 10000 + 1) * 97) % 10000 AS target FROM range(50000)),
+p AS (SELECT e.slot, s.x AS sx, t.x AS tx, a.x AS ax, b.x AS bx, (s.x + t.x) * 0.5 - (e.slot % 17 * 0.035::DOUBLE - 0.28) AS mx FROM e JOIN l s ON s.slot = e.source JOIN l t ON t.slot = e.target
+  JOIN l a ON a.slot = e.source // 100 * 100 JOIN l b ON b.slot = e.target // 100 * 100)
+SELECT 'straight' AS style, 2 AS points, count(*) AS n, round(sum(sx + tx), 2) AS x FROM p UNION ALL SELECT 'curved', 3, count(*), round(sum(sx + mx + tx), 2) FROM p
+UNION ALL SELECT 'bundled', 4, count(*), round(sum(sx + ax + bx + tx), 2) FROM p""")
+def edge_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = generators.cohort_layout(generators.cohort_nodes(spark), "hybrid")
+    found = []
+    for style in ("straight", "curved", "bundled"):
+        made = paths.edge_paths(generators.cohort_edges(spark), layout, style)
+        total = F.aggregate("points", F.lit(0.0), lambda acc, p: acc + p["x"])
+        found.append(made.groupBy(F.lit(style).alias("style"), F.size("points").alias("points")).agg(F.count("*").alias("n"), F.round(F.sum(total), 2).alias("x")))
+    return validate.union(found)
+
+
+@BOOK.add("""
+WITH s AS (SELECT range AS stroke, range * 7 AS first_point, range % 4 + 2 AS point_count FROM range(50)), p AS (SELECT range AS point, range * 0.5::DOUBLE AS x FROM range(400))
+SELECT stroke, point_count AS n, sum(x) AS x FROM s JOIN p ON point >= first_point AND point < first_point + point_count GROUP BY ALL""")
+def guide_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strokes = spark.range(50).select(F.col("id").alias("stroke"), (F.col("id") * 7).alias("first_point"), (F.col("id") % 4 + 2).alias("point_count"))
+    points = spark.range(400).select(F.col("id").alias("point"), *((F.col("id") * 0.5).alias(a) for a in "xyz"))
+    made = paths.slice_points(strokes, points)
+    return made.select("stroke", F.size("points").cast("bigint").alias("n"), F.aggregate("points", F.lit(0.0), lambda acc, p: acc + p["x"]).alias("x"))
+
+
+@BOOK.add("""
+WITH d AS (SELECT n_nationkey AS id, sha256(n_nationkey::VARCHAR) AS h FROM nation)
+SELECT id, round((('0x' || substr(h, 1, 8))::BIGINT / 4294967295.0::DOUBLE * 2 - 1) * 18, 6) AS x, round((('0x' || substr(h, 9, 8))::BIGINT / 4294967295.0::DOUBLE * 2 - 1) * 18, 6) AS y,
+  round((('0x' || substr(h, 17, 8))::BIGINT / 4294967295.0::DOUBLE * 2 - 1) * 18, 6) AS z FROM d""")
+def stable_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), generators.stable_position(F.col("n_nationkey")).alias("p"))
+    return rows.select("id", *(F.round(f"p.{a}", 6).alias(a) for a in "xyz"))
+
+
+@BOOK.add("""
+SELECT i * 37 % 10000 AS rank, i AS slot FROM range(10000) t(i) WHERE i * 37 % 10000 < 20""")
+def label_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty labels to show first."""
+    return generators.cohort_nodes(spark).select("rank", "slot").orderBy("rank").limit(20)

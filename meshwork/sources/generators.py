@@ -80,3 +80,49 @@ def jitter(nodes: DataFrame, ratio: float, revision: int, seed: int = 42) -> Dat
     """An update lane: a share of the live nodes, moved a little; which ones a hash of id and revision tells."""
     moved = nodes.where(_unit(seed + revision, "pick") < ratio)
     return moved.select(F.lit(revision).cast("bigint").alias("revision"), F.lit("update").alias("op"), "id", *((F.col(a) + (_unit(seed + revision, a) - 0.5)).alias(a) for a in "xyz"))
+
+
+def cohort_layout(nodes: DataFrame, manifold: str) -> DataFrame:
+    """(slot, x, y, z) of a closed-form layout over slots.
+
+    Fixed values: the coefficients of the five layouts.
+    """
+    i = F.col("slot")
+    grid_x, grid_y = i % 100 - F.lit(49.5), F.floor(i / 100) % 100 - F.lit(49.5)
+    phase = i * F.lit(0.017453292)
+    if manifold == "hybrid":
+        place = (grid_x, grid_y, i * 37 % 211 * F.lit(0.025) - 2.625)
+    elif manifold == "hopf":
+        major, minor = F.floor(i / 100) % 8 * F.lit(1.4) + 34.0, i % 11 * F.lit(0.12) + 4.0
+        phi = phase * 7.0 + i % 100 * F.lit(0.031)
+        ring = major + minor * F.cos(phi)
+        place = (ring * F.cos(phase), ring * F.sin(phase), minor * F.sin(phi))
+    elif manifold == "caps":
+        angle, radius = i % 16 * F.lit(2 * math.pi / 16), i % 97 * F.lit(0.08) + 18.0
+        place = (F.cos(angle) * 32.0 + F.cos(phase) * radius, F.sin(angle) * 32.0 + F.sin(phase) * radius, F.floor(i / 16) % 80 * F.lit(0.18) - 7.2)
+    elif manifold == "transit":
+        place = (grid_x * 1.35, (i % 12 - F.lit(5.5)) * 5.5 + F.sin(phase * 3.0) * 0.8, grid_y * 0.22)
+    elif manifold == "siegel":
+        radius = F.sqrt(i) * 0.45
+        place = (radius * F.cos(phase), radius * F.sin(phase), (i % 257 - F.lit(128.0)) * 0.035)
+    else:
+        raise ValueError(f"unknown manifold {manifold}")
+    return nodes.select("slot", *(p.cast("double").alias(a) for p, a in zip(place, "xyz")))
+
+
+def guide_strokes(spark: SparkSession, level: int, strokes: int = 8, points: int = 65) -> DataFrame:
+    """Circles as (stroke, points): closed strokes of evenly spaced points; ``level`` is the layout's number."""
+    angle = lambda k: k * F.lit(2 * math.pi / (points - 1))
+    radius = F.col("stroke") * 5.5 + 10.0
+    ring = F.transform(
+        F.sequence(F.lit(0), F.lit(points - 1)),
+        lambda k: F.struct((F.cos(angle(k)) * radius).alias("x"), (F.sin(angle(k)) * radius).alias("y"), F.lit(level * 0.25).alias("z")),
+    )
+    return spark.range(strokes).select(F.col("id").alias("stroke")).select("stroke", ring.alias("points"))
+
+
+def stable_position(entity: Column) -> Column:
+    """Coordinates from -18 to 18 that an id fixes, from the digest of the id."""
+    digest = F.sha2(entity.cast("string").cast("binary"), 256)
+    unit = lambda k: F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("double") / F.lit(4294967295.0) * 2.0 - 1.0
+    return F.struct(*((unit(k) * 18.0).alias(a) for k, a in enumerate("xyz")))

@@ -131,3 +131,28 @@ def test_logs(spark):
     assert [r.dragging for r in logs.dragged(drag, "user", "press").orderBy("sequence").collect()] == [False, False, True, True]
     breaks = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 2)], "lane long, arrival long, sequence long")
     assert logs.order_breaks(breaks, "lane").count() == 1
+
+
+def test_commands(spark):
+    from meshwork.operators import workflow
+    from meshwork.types import MENTION_SCHEMA
+
+    docs = spark.createDataFrame([], "entry_id long, revision long, content_hash string, content string")
+    w = workflow.Workspace(docs, spark.createDataFrame([], ENTITY_SCHEMA), spark.createDataFrame([], MENTION_SCHEMA))
+    token = documents.lease(docs, 3).first()
+    w = workflow.save_document(w, 3, 0, token.content_hash, "Ryan entered New Rome.")
+    w, ryan = workflow.tag(w, 3, 0, 4, "character")
+    w, again = workflow.tag(w, 3, 0, 4, "npc")
+    assert again == ryan and w.entities.first().kind == "npc" and w.mentions.count() == 1
+    w, wide = workflow.tag(w, 3, 0, 12, "concept")  # overlaps and evicts the first mention
+    assert wide != ryan and [r.entity_id for r in w.mentions.collect()] == [wide]
+    w, rome = workflow.tag(w, 3, 13, 21, "location")
+    held = documents.lease(w.documents, 3).first()
+    w = workflow.save_document(w, 3, held.revision, held.content_hash, "Yesterday, Ryan entered New Rome.")
+    assert {(r.entity_id, r.start, r.active, r.document_revision) for r in w.mentions.collect()} == {(wide, 11, True, 2), (rome, 24, True, 2)}
+    w = workflow.publish_entities(w, 3, batch(spark, [(9001, "New Rome", "location", 3)]))
+    assert w.entities.count() == 4 and w.ner_revision == 3
+    with pytest.raises(ValueError, match="StaleNerRevision"):
+        workflow.publish_entities(w, 3, batch(spark, []))
+    with pytest.raises(ValueError, match="InvalidEntityTag"):
+        workflow.tag(w, 3, 10, 15, "npc")
