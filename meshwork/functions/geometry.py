@@ -102,3 +102,12 @@ def pick_nearest(nodes: DataFrame, origin: tuple[float, ...], direction: tuple[f
 
 def to_physical(logical: Column, scale: float) -> Column:
     return logical * F.greatest(F.lit(scale), F.lit(0.01))
+
+
+def ribbon(x0: Column, y0: Column, x1: Column, y1: Column, width: Column) -> tuple[Column, Column]:
+    """Offsets in pixels from an edge's line to its rim: half the width, at least half a pixel, along the normal."""
+    dx, dy = x1 - x0, y1 - y0
+    length = F.sqrt(dx * dx + dy * dy)
+    half = F.greatest(width * 0.5, F.lit(0.5))
+    thin = length <= 0.001
+    return F.when(thin, F.lit(0.0)).otherwise(-dy / length * half), F.when(thin, half).otherwise(dx / length * half)

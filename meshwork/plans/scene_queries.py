@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meshwork.functions import geometry, gradient
 from meshwork.functions.masks import split_words
 from meshwork.functions.text import align_up, generation_stem
-from meshwork.operators import diff, index, paths, scene, slots, validate
+from meshwork.operators import diff, index, pages, paths, scene, slots, validate
 from meshwork.sources import generators
 from meshwork.sources.tables import changes, edge_rows, node_rows, nodes, positions, table
 from meshwork.types import LIMITS, MANIFOLDS, View
@@ -351,3 +351,23 @@ SELECT i * 37 % 10000 AS rank, i AS slot FROM range(10000) t(i) WHERE i * 37 % 1
 def label_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty labels to show first."""
     return generators.cohort_nodes(spark).select("rank", "slot").orderBy("rank").limit(20)
+
+
+@BOOK.add("""
+WITH p AS (SELECT n_nationkey % 6 + 1 AS kind_number, n_nationkey AS manifold, (n_nationkey * 977 % 3000 + 1)::BIGINT AS length FROM nation)
+SELECT kind_number, manifold, length, (4096 + coalesce(sum((length + 63) // 64 * 64) OVER (ORDER BY kind_number, manifold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM p""")
+def page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    rows = table(spark, sf_dir, "nation").select((k % 6 + 1).alias("kind_number"), k.alias("manifold"), (k * 977 % 3000 + 1).cast("bigint").alias("length"))
+    return pages.placed(rows, 4096).select("kind_number", "manifold", "length", "offset")
+
+
+@BOOK.add("""
+WITH e AS (SELECT event_id % 5 AS x0, event_id % 7 AS y0, event_id % 11 AS x1, event_id % 7 + event_id % 3 AS y1, value AS width FROM events),
+     d AS (SELECT (x1 - x0)::DOUBLE AS dx, (y1 - y0)::DOUBLE AS dy, greatest(width * 0.5, 0.5) AS half FROM e),
+     l AS (SELECT *, sqrt(dx * dx + dy * dy) AS n FROM d)
+SELECT count(*) AS n, round(sum(CASE WHEN n <= 0.001 THEN 0 ELSE -dy / n * half END), 3) AS x, round(sum(CASE WHEN n <= 0.001 THEN half ELSE dx / n * half END), 3) AS y FROM l""")
+def edge_ribbons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    x, y = geometry.ribbon(*(c.cast("double") for c in (k % 5, k % 7, k % 11, k % 7 + k % 3)), F.col("value"))
+    return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.round(F.sum(x), 3).alias("x"), F.round(F.sum(y), 3).alias("y"))

@@ -156,3 +156,21 @@ def test_commands(spark):
         workflow.publish_entities(w, 3, batch(spark, []))
     with pytest.raises(ValueError, match="InvalidEntityTag"):
         workflow.tag(w, 3, 10, 15, "npc")
+
+
+def test_small_lookups(spark):
+    from meshwork.operators import index, paths
+
+    mentions = spark.createDataFrame([(1, 7, 2, "h", True), (2, 7, 1, "h", True), (3, 7, 2, "h", False)], "entity_id long, document long, document_revision long, content_hash string, active boolean")
+    lease = spark.createDataFrame([(7, 2, "h", "text")], "document long, document_revision long, content_hash string, content string")
+    assert [r.entity_id for r in anchors.for_lease(mentions, lease).collect()] == [1]
+    seed = documents.seed_entries(spark)
+    assert tree.first_note(seed).first().id == 3
+    assert [tree.parent_for_create(seed, k).first().id for k in (2, 3)] == [2, 2]
+    mapped = spark.createDataFrame([(9001, 11), (9002, 22)], "entity_id long, node_id long")
+    wanted = spark.createDataFrame([(9002,)], "entity_id long")
+    assert [tuple(r) for r in index.entity_nodes(mapped, wanted).collect()] == [(9002, 22)]
+    products = spark.createDataFrame([(1, 0), (2, 5), (3, None), (4, -1)], "id long, ref long")
+    assert sorted(r.id for r in index.bad_references(products, "ref", 5).collect()) == [2, 4]
+    ranges = spark.createDataFrame([(0, 0, 5), (1, 8, 5)], "stroke long, first_point long, point_count long")
+    assert [r.stroke for r in paths.range_violations(ranges, 10).collect()] == [1]

@@ -142,3 +142,22 @@ def test_generators(spark):
     assert 50 < moved < 160
     nodes = generators.cohort_nodes(spark)
     assert nodes.select("rank").distinct().count() == 10_000
+
+
+def test_page_catalogue(spark):
+    from meshwork.operators import pages
+
+    rows = spark.createDataFrame(
+        [("positions", "hopf", 128, 64), ("edge", None, 192, 100), ("edge", "hopf", 256, 10), ("topology", None, 330, 10), ("positions", None, 384, 1 << 30)],
+        "kind string, manifold string, offset long, length long",
+    )
+    found = {(r.rule, r.entity_id) for r in pages.page_violations(rows, 128, 1024).collect()}
+    assert found == {("InvalidPageScope", 256), ("InvalidPageScope", 384), ("MisalignedPage", 330), ("OversizedPage", 384), ("PageOutOfBounds", 384), ("OverlappingPages", 256)}
+    made = spark.createDataFrame([("nodes", 25_000), ("edges", 0)], "name string, slots long")
+    assert {r.name: (r.capacity, r.bytes) for r in pages.allocation(made, {"nodes": 48, "edges": 32}).collect()} == {"nodes": (32_768, 32_768 * 48), "edges": (1, 32)}
+    codes = spark.createDataFrame([("MissingPage",), ("OversizedPage",), ("UnsupportedPageKind",), ("CorruptPage",)], "rule string")
+    assert [r[0] for r in codes.select(pages.error_class(F.col("rule"))).collect()] == ["MISSING", "OVERSIZED", "UNSUPPORTED", "CORRUPT"]
+    states = spark.createDataFrame([("SAVE BLOCKED: x",), ("Saved",), ("CONFIRM delete",)], "s string")
+    assert [r[0] for r in states.select(pages.actionable(F.col("s"))).collect()] == [True, False, True]
+    palette = spark.createDataFrame([(0, [0.0, 1.0]), (1, [0.5, 1.5]), (2, [math.nan])], "family_slot int, channels array<double>")
+    assert sorted(r.entity_id for r in pages.palette_violations(palette).collect()) == [1, 2]
