@@ -13,7 +13,7 @@ from meshwork.sources.tables import anchors, entities, entries, mentions, ner_ba
 from .registering import Book
 
 BOOK = Book()
-_KIND = "['character','npc','location','faction','item','concept','custom'][(%s %% 7)::INT + 1]"
+_KIND = "['character','location','npc','faction','event','concept','custom'][(%s %% 7)::INT + 1]"
 ENTITIES_SQL = f"""
   SELECT k + base AS id, label, {_KIND % 'k'} AS kind, CASE WHEN k % 7 = 6 THEN 'TRIBE' END AS custom_kind, k % 3 <> 0 AS ner, k % 3 <> 1 AS user_tagged,
          CASE WHEN k % 3 <> 0 THEN k % 9 + 1 ELSE 0 END AS ner_mention_count
@@ -24,7 +24,7 @@ BATCH_SQL = f"""
 MENTIONS_SQL = """
   SELECT user_id % (SELECT count(*) FROM nation) + 1 AS entity_id, user_id % 40 + 1 AS document, event_id * 7 % 1000 AS start, event_id * 7 % 1000 + event_id % 13 + 1 AS "end",
          event_id % 5 <> 0 AS active FROM events"""
-_LABELS = "(VALUES ('character','Character',0),('npc','NPC',1),('location','Location',2),('faction','Faction',3),('item','Item',4),('concept','Concept',5),('custom','Custom',6)) k(kind, kind_label, place)"
+_LABELS = "(VALUES ('character','Character',0),('location','Location',1),('npc','NPC',2),('faction','Faction',3),('event','Event',4),('concept','Concept',5),('custom','Custom',6)) k(kind, kind_label, place)"
 ANCHORS_SQL = """
   SELECT doc_id + 1 AS document, strlen(left(d.text, position(b.text IN d.text) - 1)) AS start, strlen(left(d.text, position(b.text IN d.text) - 1)) + strlen(b.text) AS "end",
          item_id + 1 AS node_id, b.text AS surface, d.text AS content FROM documents d JOIN benchmark b ON contains(d.text, b.text)"""
@@ -138,7 +138,7 @@ def highlight_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add(f"""
-WITH e AS ({ENTITIES_SQL}), f AS (SELECT * FROM (VALUES ('character','character',0,5209343),('npc','character',0,5209343),('location','location',1,2216317),('faction','organization',2,5425407),('item','item',3,16760647),('concept','concept',4,3594690),('custom','other',7,11977919)) t(kind, family, slot, rgb))
+WITH e AS ({ENTITIES_SQL}), f AS (SELECT * FROM (VALUES ('character','character',0,5209343),('npc','character',0,5209343),('location','location',1,2216317),('faction','organization',2,5425407),('event','event',5,16742981),('concept','concept',4,3594690),('custom','other',7,11977919)) t(kind, family, slot, rgb))
 SELECT id, label, family, 1::BIGINT << slot AS family_mask, rgb::BIGINT AS rgb, ner::INT + 2 * user_tagged::INT AS flags FROM e JOIN f USING (kind)""")
 def registry_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.publication(entities(spark, sf_dir))

@@ -26,10 +26,10 @@ MANIFEST_SCHEMA = (
 # Kinds of the toolbar in order, with their label and family.
 ENTITY_KINDS = [
     ("character", "Character", "character"),
-    ("npc", "NPC", "character"),
     ("location", "Location", "location"),
+    ("npc", "NPC", "character"),
     ("faction", "Faction", "organization"),
-    ("item", "Item", "item"),
+    ("event", "Event", "event"),
     ("concept", "Concept", "concept"),
     ("custom", "Custom", "other"),
 ]
@@ -45,7 +45,7 @@ FAMILIES = [
     ("other", 7, 0xB6C4BF, 0x6F9187),
 ]
 MANIFOLDS = ["hybrid", "hopf", "caps", "transit", "siegel"]
-REVIEW_BITS = {"accepted": 1, "pending": 2, "rejected": 4}
+REVIEW_BITS = {"accepted": 1, "proposed": 2, "rejected": 4}
 
 # Limits that become data-quality rules.
 LIMITS = {
