@@ -31,7 +31,7 @@ def walk(entries: DataFrame, start: DataFrame, expand: Column | None = None, max
     step = F.struct(kind_rank(F.col("kind")).alias("rank"), F.lower("name").alias("name"))
     level = rows.join(start.select("id"), "id", "left_semi").select(
         "id", "kind", F.lit(0).alias("depth"), F.array("name").alias("path"), F.array(step).alias("key"), F.array("id").alias("ids")
-    )
+    ).persist()
     found = [level]
     children = rows.select(F.col("id").alias("c"), F.col("parent").alias("p"), F.col("kind").alias("c_kind"), F.col("name").alias("c_name"))
     for depth in range(1, max_depth + 1):
@@ -41,7 +41,7 @@ def walk(entries: DataFrame, start: DataFrame, expand: Column | None = None, max
         level = nxt.select(
             F.col("c").alias("id"), F.col("c_kind").alias("kind"), F.lit(depth).alias("depth"), F.concat("path", F.array("c_name")).alias("path"),
             F.concat("key", F.array(c_step)).alias("key"), F.concat("ids", F.array("c")).alias("ids"),
-        )
+        ).persist()  # else each level would walk all levels above it again; lost blocks are recomputed
         if level.isEmpty():
             break
         found.append(level)
