@@ -39,8 +39,10 @@ from .common import components, map_batches, read_table, written
 MAX_PIVOTS = 128
 #: Points that a pivot should have at least, so small tables get few cells.
 CELL_POINTS = 8_192
-TILE_POINTS = 16_384
+TILE_POINTS = 8_192
 LEAF_POINTS = 48
+#: Distances that are held at once.
+BLOCK_DISTANCES = 1_000_000
 SEED = 9
 
 
@@ -77,7 +79,7 @@ class CoverTree:
         """Covers the points by balls whose centres are farther apart than their radius."""
         parts = []
         while len(at):
-            some = at[:256]
+            some = at[:128]
             near = _apart(self.points[at], self.points[some]) <= half
             chosen, covered = [], np.zeros(len(some), dtype=bool)
             for k in range(len(some)):
@@ -96,7 +98,11 @@ class CoverTree:
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distances of unit vectors."""
-    return np.sqrt(np.maximum(2.0 - 2.0 * (x @ y.T), 0.0))
+    found = x @ y.T
+    found *= -2.0
+    found += 2.0
+    np.maximum(found, 0.0, out=found)
+    return np.sqrt(found, out=found)
 
 
 def dual_pairs(a: CoverTree, b: CoverTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -114,11 +120,14 @@ def dual_pairs(a: CoverTree, b: CoverTree) -> Iterator[tuple[np.ndarray, np.ndar
             continue
         cx = cx if len(cx) else np.array([x])
         cy = cy if len(cy) else np.array([y])
-        near = _apart(centres_a[cx], centres_b[cy]) <= radii_a[cx][:, None] + radii_b[cy][None, :] + slack
-        if same and x == y:
-            near = np.triu(near)
-        i, j = np.nonzero(near)
-        stack += zip(cx[i].tolist(), cy[j].tolist())
+        step = max(1, BLOCK_DISTANCES // len(cy))
+        for at in range(0, len(cx), step):
+            some = cx[at : at + step]
+            near = _apart(centres_a[some], centres_b[cy]) <= radii_a[some][:, None] + radii_b[cy][None, :] + slack
+            if same and x == y:
+                near = np.triu(near, at)
+            i, j = np.nonzero(near)
+            stack += zip(some[i].tolist(), cy[j].tolist())
 
 
 def link_tiles(left: np.ndarray, right: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -129,12 +138,14 @@ def link_tiles(left: np.ndarray, right: np.ndarray | None, least: float) -> Iter
     a = CoverTree(left, reach)
     b = a if right is None else CoverTree(right, reach)
     for x, y in dual_pairs(a, b):
-        i, j = np.nonzero(a.points[x] @ b.points[y].T >= least)
-        i, j = x[i], y[j]
-        if right is None and x is y:
-            i, j = i[i < j], j[i < j]
-        if len(i):
-            yield i, j
+        step = max(1, BLOCK_DISTANCES // len(y))
+        for at in range(0, len(x), step):
+            i, j = np.nonzero(a.points[x[at : at + step]] @ b.points[y].T >= least)
+            i, j = x[at + i], y[j]
+            if right is None and x is y:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                yield i, j
 
 
 def _unit(vector: list | None, width: int) -> np.ndarray | None:
