@@ -58,38 +58,44 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+class FeatureIndex:
+    """Numbers for features, so that a text's set is an array of four bytes a feature."""
+
+    def __init__(self):
+        self.ids: dict[str, int] = {}
+
+    def add(self, text: str) -> np.ndarray:
+        ids = self.ids
+        return np.fromiter((ids.setdefault(f, len(ids)) for f in sorted(features(text))), dtype=np.int32)
+
+
 def fit_nnpu(
-    positive: list[set[str]], unlabelled: list[set[str]], prior: float, rounds: int = 200, rate: float = 0.1, decay: float = 2e-4
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], index: FeatureIndex, prior: float, rounds: int = 200, rate: float = 0.1, decay: float = 2e-4
 ) -> tuple[dict[str, float], float]:
     """Weights by feature and the bias of one classifier."""
-    in_p, in_u = Counter(), Counter()
-    for f in positive:
-        in_p.update(f)
-    for f in unlabelled:
-        in_u.update(f)
-    common = Counter({f: in_p[f] + in_u[f] for f in in_p.keys() | in_u.keys() if in_p[f] + in_u[f] >= 2})
-    names = [f for f, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:MAX_FEATURES]]
-    index = {f: i for i, f in enumerate(names)}
-    n_p, n_u = len(positive), len(unlabelled)
-    p = np.array([in_p[f] for f in names], dtype=float)
-    u = np.array([in_u[f] for f in names], dtype=float)
+    n_p, n_u, n_all = len(positive), len(unlabelled), len(index.ids)
+    in_p = np.bincount(np.concatenate(positive), minlength=n_all)
+    in_u = np.bincount(np.concatenate(unlabelled), minlength=n_all)
+    chosen = np.flatnonzero(in_p + in_u >= 2)
+    chosen = chosen[np.argsort(-(in_p + in_u)[chosen], kind="stable")[:MAX_FEATURES]]
+    place = np.full(n_all, -1, dtype=np.int64)
+    place[chosen] = np.arange(len(chosen))
+    p, u = in_p[chosen].astype(float), in_u[chosen].astype(float)
     ratio = np.log((p + 0.5) / (n_p + 1.0)) - np.log((u + 0.5) / (n_u + 1.0))
     # a ratio that chance explains says nothing: shrink by its standard error
     ratio *= np.maximum(0.0, 1.0 - NOISE / np.maximum(np.abs(ratio) / np.sqrt(1 / (p + 1.0) + 1 / (u + 1.0)), 1e-9))
 
-    def matrix(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        rows, columns = [], []
-        for r, f in enumerate(sets):
-            c = [i for x in f if (i := index.get(x)) is not None and ratio[i]]
-            rows.append(np.full(len(c), r))
-            columns.append(np.array(c, dtype=np.int64))
-        return np.concatenate(rows).astype(np.int64), np.concatenate(columns).astype(np.int64)
+    def matrix(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rows, columns = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), place[np.concatenate(sets)]
+        keep = columns >= 0
+        keep[keep] = ratio[columns[keep]] != 0
+        return rows[keep], columns[keep]
 
     rows_p, cols_p = matrix(positive)
     rows_u, cols_u = matrix(unlabelled)
     v_p, v_u = ratio[cols_p], ratio[cols_u]
-    w, bias = np.full(len(names), 0.1), np.log(prior / (1 - prior))
-    m, s, t = np.zeros(len(names) + 1), np.zeros(len(names) + 1), 0
+    w, bias = np.full(len(chosen), 0.1), np.log(prior / (1 - prior))
+    m, s, t = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), 0
     for _ in range(rounds):
         g_p = np.bincount(rows_p, w[cols_p] * v_p, n_p) + bias
         g_u = np.bincount(rows_u, w[cols_u] * v_u, n_u) + bias
@@ -100,14 +106,15 @@ def fit_nnpu(
         else:  # the corrected negative risk went below zero: step back out of it
             d_p = prior / n_p * _sigmoid(g_p)
             d_u = -_sigmoid(g_u) / n_u
-        slope = np.bincount(cols_p, d_p[rows_p] * v_p, len(names)) + np.bincount(cols_u, d_u[rows_u] * v_u, len(names))
+        slope = np.bincount(cols_p, d_p[rows_p] * v_p, len(chosen)) + np.bincount(cols_u, d_u[rows_u] * v_u, len(chosen))
         slope = np.append(slope + decay * w, d_p.sum() + d_u.sum())
         t += 1
         m, s = 0.9 * m + 0.1 * slope, 0.999 * s + 0.001 * slope**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
         w, bias = np.maximum(w - step[:-1], 0.0), bias - step[-1]
-    weights = w * ratio
-    return {f: float(x) for f, x in zip(names, weights) if abs(x) > 1e-3}, float(bias)
+    weights = np.zeros(n_all)
+    weights[chosen] = w * ratio
+    return {f: float(weights[i]) for f, i in index.ids.items() if abs(weights[i]) > 1e-3}, float(bias)
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
@@ -136,11 +143,12 @@ def train(docs: DataFrame, labels: DataFrame, shards: int = SHARDS) -> tuple[lis
     texts = texts.select("part", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        positive = [features(t) for t in pdf.text[pdf.part == 1]]
-        unlabelled = [features(t) for t in pdf.text[pdf.part == 0]]
+        index = FeatureIndex()
+        positive = [index.add(t) for t in pdf.text[pdf.part == 1]]
+        unlabelled = [index.add(t) for t in pdf.text[pdf.part == 0]]
         if not positive or not unlabelled:
             return pd.DataFrame({"shard": key[0], "feature": [""], "weight": [float(np.log(prior / (1 - prior)))]})
-        weights, bias = fit_nnpu(positive, unlabelled, prior)
+        weights, bias = fit_nnpu(positive, unlabelled, index, prior)
         return pd.DataFrame({"shard": key[0], "feature": [*weights, ""], "weight": [*weights.values(), bias]})
 
     found: dict[int, tuple[dict[str, float], float]] = {}
