@@ -179,7 +179,8 @@ def mix(docs: DataFrame, slim: DataFrame, quotas: dict[str, float], seed: int =
 
     def placed(df: DataFrame, by: DataFrame) -> DataFrame:
         bucket = F.least(F.floor(_seeded(seed) * F.col("buckets")), F.col("buckets") - 1)
-        return df.join(by, "pattern").withColumn("bucket", F.coalesce(bucket, F.lit(0).cast("bigint")))
+        # one row a pattern, and never more than MAX_PATTERNS of them: always small enough to broadcast
+        return df.join(F.broadcast(by), "pattern").withColumn("bucket", F.coalesce(bucket, F.lit(0).cast("bigint")))
 
     words = placed(slim.select("doc_id", "size", "pattern"), plan_df)
     words = words.groupBy("pattern", "full", "rest", "buckets", "bucket").agg(F.sum("size").alias("words"))
@@ -229,7 +230,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int =
         [(k, totals[k], float(quotas[k])) for k in totals], "pattern string, source_size bigint, target double"
     )
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id"), size.alias("size"), key.alias("pattern"))
-    taken = mix(packed, slim.withColumn("members", F.array("pattern")), quotas, seed).join(info, "pattern")
+    taken = mix(packed, slim.withColumn("members", F.array("pattern")), quotas, seed).join(F.broadcast(info), "pattern")
     return taken.select(
         "row.*",
         F.col("size").alias("mix_size"),
