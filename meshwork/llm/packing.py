@@ -37,8 +37,8 @@ END_ID = 2
 DEPTH = 3
 BINS = 32
 SHARD_TOKENS = 2_000_000
+#: Words whose ids a worker keeps.
 CACHE_WORDS = 600_000
-#: A text longer than this is encoded in slices that end at white space.
 PIECES_SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 )
