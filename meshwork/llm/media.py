@@ -21,7 +21,6 @@ an address and all values; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid
@@ -106,7 +105,7 @@ def store_payloads(docs: DataFrame, folder: str) -> DataFrame:
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
         shard = f"shard-{uuid.uuid4().hex}.tar"
-        at: dict[str, tuple[int, int]] = {}
+        at: dict[bytes, tuple[int, int]] = {}
         with system.open_output_stream(f"{root}/{shard}") as out:
             position = 0
             for batch in batches:
@@ -115,10 +114,10 @@ def store_payloads(docs: DataFrame, folder: str) -> DataFrame:
                     sizes, digests = [], []
                     for text in part.column(1).to_pylist():
                         payload, n_bytes = payload_of(text)
-                        digest = hashlib.sha256(payload).hexdigest()
+                        digest = hashlib.sha256(payload).digest()
                         if digest not in at:
                             data = encode_picture(payload)
-                            info = tarfile.TarInfo(f"{digest}.png")
+                            info = tarfile.TarInfo(f"{digest.hex()}.png")
                             info.size = len(data)
                             head = info.tobuf(tarfile.USTAR_FORMAT)
                             out.write(head)
@@ -132,7 +131,7 @@ def store_payloads(docs: DataFrame, folder: str) -> DataFrame:
                         [
                             part.column(0),
                             pa.array(sizes, pa.int64()),
-                            pa.array(digests, pa.string()),
+                            pa.array(digests, pa.binary()),
                             pa.array([shard] * len(digests), pa.string()),
                             pa.array([at[d][0] for d in digests], pa.int64()),
                             pa.array([at[d][1] for d in digests], pa.int64()),
@@ -141,7 +140,7 @@ def store_payloads(docs: DataFrame, folder: str) -> DataFrame:
                     )
             out.write(bytes(2 * tarfile.BLOCKSIZE))
 
-    schema = "doc_id bigint, n_bytes bigint, digest string, shard string, offset bigint, length bigint"
+    schema = "doc_id bigint, n_bytes bigint, digest binary, shard string, offset bigint, length bigint"
     return written(map_batches(docs.select("doc_id", F.col("text").cast("string")), run, schema), "manifest")
 
 
@@ -158,9 +157,10 @@ def header_columns(index: DataFrame, folder: str) -> DataFrame:
 
 def _read(index: DataFrame, folder: str, most: int | None, of, columns: str) -> DataFrame:
     """``index`` with columns made from the first ``most`` stored bytes (None: all) of each address."""
-    schema = f"digest string, shard string, offset bigint, length bigint, {columns}"
+    schema = f"digest binary, shard string, offset bigint, length bigint, {columns}"
     names = [c.split()[0] for c in schema.split(", ")]
-    fields = [pa.string() if c.split()[1] == "string" else pa.int64() for c in schema.split(", ")]
+    kinds = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64()}
+    fields = [kinds[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(folder)
@@ -182,17 +182,16 @@ def _read(index: DataFrame, folder: str, most: int | None, of, columns: str) ->
     return map_batches(placed, run, schema)
 
 
-def _measure(data: bytes, digest: str) -> tuple:
+def _measure(data: bytes, digest: bytes) -> tuple:
+    """What a stored picture reads as; its payload's digest must be the address it was stored under."""
     payload = decode_picture(data)
-    read = hashlib.sha256(payload).hexdigest()
-    if read != digest:
-        raise ValueError(f"the payload stored as {digest} reads as {read}")
+    if hashlib.sha256(payload).digest() != digest:
+        raise ValueError(f"the payload stored as {digest.hex()} reads as another one")
     return (
         len(payload),
-        read,
         zlib.crc32(payload[-32:]),
         len(data),
-        hashlib.sha256(data).hexdigest(),
+        hashlib.sha256(data).digest(),
         features(payload, picture_header(data[:HEADER_BYTES])),
     )
 
@@ -201,9 +200,15 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Stores the texts of ``docs`` in ``folder`` and returns every row with its address and what reading it back gives."""
     folder = folder or new_path(docs.sparkSession, "media")
     manifest = store_payloads(docs, folder)
-    columns = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    columns = "payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media binary, feature string"
     measured = _read(addresses(manifest), folder, None, _measure, columns)
-    return manifest.select("doc_id", "n_bytes", "digest").join(measured, "digest")
+    rows = manifest.select("doc_id", "n_bytes", "digest").join(measured, "digest")
+    # digests travel as bytes and are spelt out last; a payload's was held against what was read back
+    name = lambda c: F.lower(F.hex(c))
+    return rows.select(
+        "doc_id", "n_bytes", "payload_bytes", name("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", name("media").alias("media_sha256"), "feature",
+        name("digest").alias("digest"), "shard", "offset", "length",
+    )
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
