@@ -5,8 +5,12 @@ class. Classes meet in three steps, none of which can lose a link:
 
 1. *Candidates.* Shingles are hashed into G groups. A pair over the threshold
    differs in at most d shingles, so with more than d groups some group is the
-   same in both. Sets of similar size use the same G (by size bands), and each class is keyed by (band, group, sum of the group's hashes). Keys
-   that meet give star edges, whose components are blocks of candidates.
+   same in both. Sets of similar size use the same G (by size bands), and each
+   class is keyed by (band, group, sum of the group's hashes). Classes that
+   meet under a key are compared by their vectors of group counts: a summed
+   minimum of coordinates bounds the overlap from above. First each class is
+   held against the key's centre; keys where that fails go through an R-tree
+   of their classes. What survives gives edges, their components are blocks.
 2. *Leaves.* A block is dealt into leaves of bounded size. In a leaf, a vector
    of group counts is a point of an R-tree: nodes hold the coordinate-wise
    maxima, and a summed minimum of coordinates bounds the overlap from above.
@@ -33,17 +37,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, map_batches, read_table, written
 
 #: Groups beyond those that may differ, so that empty groups rarely decide.
 SPARE_GROUPS = 4
-COUNT_GROUPS = 64
+COUNT_GROUPS = 256
+#: A leaf's own tree has more coordinates than the vectors that are shuffled: its bound is tighter.
+LEAF_GROUPS = 512
 NODE = 64
-LEAF_SHINGLES = 4_000_000
-LEAF_CLASSES = 8_192
+LEAF_SHINGLES = 1_000_000
+LEAF_CLASSES = 4_096
 #: Up to this many rows (of some 60 bytes) the candidates' ids are broadcast to the texts; beyond, texts are shuffled.
 BROADCAST_ROWS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -130,17 +136,29 @@ def _class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def count_vector(s: np.ndarray, groups: int, kind: type) -> np.ndarray:
+    """How many of the shingles fall into each group, up to the largest number of ``kind``."""
+    counts = np.bincount((s >> np.uint64(20)).astype(np.int64) % groups, minlength=groups)
+    return np.minimum(counts, np.iinfo(kind).max).astype(kind)
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bounds of overlaps by summed coordinate minima; where a coordinate of both is full, no bound holds."""
+    least = np.minimum(x, y)
+    bound = least.sum(-1, dtype=np.int64)
+    bound[(least == np.iinfo(least.dtype).max).any(-1)] = 1 << 60
+    return bound
+
+
 class CountTree:
     """R-tree over group-count vectors: leaves of ``NODE`` points in order of size."""
 
-    def __init__(self, sets: list[np.ndarray], threshold: Threshold):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, threshold: Threshold):
         self.threshold = threshold
-        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        self.points = np.zeros((len(sets), COUNT_GROUPS), dtype=np.int32)
-        for i, s in enumerate(sets):
-            self.points[i] = np.bincount((s >> np.uint64(20)).astype(np.int64) % COUNT_GROUPS, minlength=COUNT_GROUPS)
+        self.points = points
+        self.sizes = sizes
         self.order = np.argsort(self.sizes, kind="stable")
-        starts = np.arange(0, len(sets), NODE)
+        starts = np.arange(0, len(points), NODE)
         self.most = np.maximum.reduceat(self.points[self.order], starts, axis=0)
         self.low = np.minimum.reduceat(self.sizes[self.order], starts)
         self.high = np.maximum.reduceat(self.sizes[self.order], starts)
@@ -149,15 +167,14 @@ class CountTree:
         """Indices among the ``free`` ones whose bound allows a link to the point."""
         t = self.threshold
         fits = (self.low * t.numerator <= size * t.denominator) & (size * t.numerator <= self.high * t.denominator)
-        fits &= np.minimum(self.most, point).sum(1) >= t.least_overlap(size, self.low)
+        fits &= overlap_bound(self.most, point) >= t.least_overlap(size, self.low)
         nodes = np.flatnonzero(fits)
         if not len(nodes):
             return nodes
         at = (nodes[:, None] * NODE + np.arange(NODE)).ravel()
         found = self.order[at[at < len(self.order)]]
         found = found[free[found]]
-        bound = np.minimum(self.points[found], point).sum(1)
-        return found[bound >= t.least_overlap(size, self.sizes[found])]
+        return found[overlap_bound(self.points[found], point) >= t.least_overlap(size, self.sizes[found])]
 
 
 def leaf_components(sets: list[np.ndarray], threshold: Threshold, known: np.ndarray | None = None, ask: np.ndarray | None = None) -> np.ndarray:
@@ -165,19 +182,27 @@ def leaf_components(sets: list[np.ndarray], threshold: Threshold, known: np.ndar
     label = np.arange(len(sets)) if known is None else known.copy()
     if len(sets) < 2:
         return label
-    tree = CountTree(sets, threshold)
-    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    tree = CountTree(np.array([count_vector(s, LEAF_GROUPS, np.int32) for s in sets]), sizes, threshold)
+    distinct, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    dense = dense.astype(np.int32)
     offsets = np.concatenate(([0], np.cumsum(tree.sizes)))
-    flags = np.zeros(int(dense.max()) + 1, dtype=bool)
+    flags = np.zeros(len(distinct), dtype=bool)
+    del distinct
     for i in range(len(sets)) if ask is None else np.flatnonzero(ask):
         free = label != label[i]
         if not free.any():
             continue
+        found = tree.near(tree.points[i], int(tree.sizes[i]), free)
+        if not len(found):
+            continue
         own = dense[offsets[i] : offsets[i + 1]]
         flags[own] = True
-        for j in tree.near(tree.points[i], len(own), free):
+        # a few are compared one by one, until one is linked and others become known with it; many in one sweep
+        shared = np.add.reduceat(flags[dense], offsets[:-1], dtype=np.int64)[found] if len(found) > 100 else None
+        for k, j in enumerate(found):
             if label[j] != label[i]:
-                both = int(np.count_nonzero(flags[dense[offsets[j] : offsets[j + 1]]]))
+                both = int(np.count_nonzero(flags[dense[offsets[j] : offsets[j + 1]]])) if shared is None else int(shared[k])
                 if threshold.linked(both, len(own), int(tree.sizes[j])):
                     a, b = sorted((label[i], label[j]))
                     label[label == b] = a
@@ -185,6 +210,21 @@ def leaf_components(sets: list[np.ndarray], threshold: Threshold, known: np.ndar
     return label
 
 
+def bound_components(points: np.ndarray, sizes: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """Component labels of count vectors whose bound allows a link."""
+    label = np.arange(len(points))
+    tree = CountTree(points, sizes, threshold) if len(points) > NODE else None
+    if tree is None:
+        fits = overlap_bound(points[:, None], points[None]) >= threshold.least_overlap(sizes[:, None], sizes[None])
+    for i in range(len(points)):
+        free = label != label[i]
+        for j in np.flatnonzero(fits[i] & free) if tree is None else tree.near(points[i], int(tree.sizes[i]), free):
+            if label[j] != label[i]:
+                a, b = sorted((label[i], label[j]))
+                label[label == b] = a
+    return label
+
+
 def _candidates(docs: DataFrame, threshold: Threshold) -> DataFrame:
     """(key, class) of each class that a task sees for the first time."""
 
@@ -212,24 +252,28 @@ def _candidates(docs: DataFrame, threshold: Threshold) -> DataFrame:
 def _sized(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64())],
-                names=["doc_id", "n_shingles", "class"],
-            )
-
-    return map_batches(docs.select("doc_id", F.col("text").cast("string")), run, "doc_id bigint, n_shingles bigint, class bigint")
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sizes, owners, vectors = [], [], []
+                for text in part.column(1).to_pylist():
+                    s = shingles(text, size)
+                    sizes.append(len(s))
+                    owners.append(_class_of(s) if len(s) else None)
+                    vectors.append(count_vector(s, COUNT_GROUPS, np.uint8).tobytes() if len(s) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(owners, pa.int64()), pa.array(vectors, pa.binary())],
+                    names=["doc_id", "n_shingles", "class", "vector"],
+                )
+
+    return map_batches(docs.select("doc_id", F.col("text").cast("string")), run, "doc_id bigint, n_shingles bigint, class bigint, vector binary")
 
 
 def near_duplicates(docs: DataFrame, threshold: Threshold = Threshold()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
     sized = written(_sized(docs, threshold.size), "sized")
-    # Step 1: stars of classes that share a key, then blocks.
-    keys = _candidates(docs, threshold)
-    first = F.min("class").over(_by_key())
-    stars = keys.select("class", first.alias("center")).where(F.col("class") != F.col("center")).distinct()
-    stars = written(stars, "stars")
-    blocks = components(stars.select(F.col("class").alias("a"), F.col("center").alias("b")), "blocks")
+    # Step 1: edges between classes that share a key and whose count vectors allow a link, then blocks.
+    stars, edges = _survivors(_candidates(docs, threshold), sized, threshold)
+    blocks = components(edges, "blocks")
     blocks = blocks.select(F.col("node").alias("class"), F.col("component").alias("block"))
 
     # Step 2: one row per class, its leaf, and its text.
@@ -277,13 +321,77 @@ def near_duplicates(docs: DataFrame, threshold: Threshold = Threshold()) -> Data
     named = classes.join(linked, "class", "left").withColumn("part", F.coalesce("part", "class"))
     least = named.groupBy("part").agg(F.min("least").alias("component_id"))
     named = named.join(least, "part").select("class", "component_id")
-    return sized.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sized.select("doc_id", "n_shingles", "class").join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
 
+def _points(vectors: pa.Array | pd.Series) -> np.ndarray:
+    data = vectors.to_pylist() if isinstance(vectors, pa.Array) else list(vectors)
+    return np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, COUNT_GROUPS)
 
-def _by_key():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("key")
+def _survivors(keys: DataFrame, sized: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(class, center) of all that meet a centre and may link to it, and (a, b) edges whose components hold all links."""
+    by_key = Window.partitionBy("key")
+    met = keys.select("key", "class", F.min("class").over(by_key).alias("center"), F.max("class").over(by_key).alias("last"))
+    met = written(met.where("center <> last").select("key", "class", "center"), "met")
+    vectors = sized.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("vector").alias("vector"), F.first("n_shingles").alias("n"))
+    stars = met.where(F.col("class") != F.col("center")).select("class", "center").distinct()
+    pairs = stars.join(vectors, "class").join(vectors.select(F.col("class").alias("center"), F.col("vector").alias("other"), F.col("n").alias("n_other")), "center")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
+                fits = overlap_bound(_points(batch.column(2)), _points(batch.column(3))) >= threshold.least_overlap(*sizes)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fits)], names=["class", "center", "fits"])
+
+    judged = written(map_batches(pairs.select("class", "center", "vector", "other", "n", "n_other"), bound, "class bigint, center bigint, fits boolean"), "judged")
+    good = judged.where("fits").select("class", "center")
+    edges = good.select(F.col("class").alias("a"), F.col("center").alias("b"))
+    bad = judged.where("not fits").select("class", "center")
+    n_bad = bad.count()
+    if not n_bad:
+        return good, edges
+    # keys whose classes do not all fit their centre: an R-tree of each, or a star where there are very many
+    bad_keys = met.join(F.broadcast(bad) if n_bad <= BROADCAST_ROWS else bad, ["class", "center"], "left_semi").select("key").distinct()
+    bad_keys = written(bad_keys, "bad-keys")
+    crowded = met.join(F.broadcast(bad_keys) if bad_keys.count() <= BROADCAST_ROWS else bad_keys, "key", "left_semi")
+    # keys under which the same classes meet are one
+    sets = crowded.groupBy("key", "center").agg(F.count("*").alias("m"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("same"))
+    one = sets.groupBy("center", "m", "same").agg(F.min("key").alias("key"))
+    crowded = written(crowded.join(one.select("key", "m"), "key"), "crowded")
+    edges = edges.unionByName(crowded.where(F.col("m") > LEAF_CLASSES).where("class <> center").select(F.col("class").alias("a"), F.col("center").alias("b")))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key; a key's classes are linked once its last row has come."""
+        key, owners, points, sizes = None, [], [], []
+        left, right = [], []
+
+        def link() -> None:
+            if len(owners) > 1:
+                label = bound_components(np.array(points), np.array(sizes, dtype=np.int64), threshold)
+                for k in np.flatnonzero(label != np.arange(len(label))):
+                    left.append(owners[k])
+                    right.append(owners[label[k]])
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in (0, 1, 3))
+            for (k, owner, size), point in zip(zip(*columns), _points(batch.column(2))):
+                if k != key:
+                    link()
+                    key, owners, points, sizes = k, [], [], []
+                owners.append(owner)
+                points.append(point)
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            left.clear()
+            right.clear()
+        link()
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    few = crowded.where(F.col("m") <= LEAF_CLASSES).join(vectors, "class").select("key", "class", "vector", "n")
+    few = few.repartition("key").sortWithinPartitions("key")
+    return good, edges.unionByName(map_batches(few, search, "a bigint, b bigint").distinct())
 
 
 def _with_text(placed: DataFrame, texts: DataFrame) -> DataFrame:
