@@ -315,15 +315,15 @@ WITH l AS (SELECT * FROM ({_LAYOUT_SQL}) WHERE manifold = 'hybrid'),
 e AS (SELECT range AS slot, range % 10000 AS source, (range % 10000 + (range // 10000 + 1) * 97) % 10000 AS target FROM range(50000)),
 p AS (SELECT e.slot, s.x AS sx, t.x AS tx, a.x AS ax, b.x AS bx, (s.x + t.x) * 0.5 - (e.slot % 17 * 0.035::DOUBLE - 0.28) AS mx FROM e JOIN l s ON s.slot = e.source JOIN l t ON t.slot = e.target
   JOIN l a ON a.slot = e.source // 100 * 100 JOIN l b ON b.slot = e.target // 100 * 100)
-SELECT 'straight' AS style, 2 AS points, count(*) AS n, round(sum(sx + tx), 2) AS x FROM p UNION ALL SELECT 'curved', 3, count(*), round(sum(sx + mx + tx), 2) FROM p
-UNION ALL SELECT 'bundled', 4, count(*), round(sum(sx + ax + bx + tx), 2) FROM p""")
+SELECT 'straight' AS style, 2 AS points, count(*) AS n, round(sum(sx + tx), 4) AS x FROM p UNION ALL SELECT 'curved', 3, count(*), round(sum(sx + mx + tx), 4) FROM p
+UNION ALL SELECT 'bundled', 4, count(*), round(sum(sx + ax + bx + tx), 4) FROM p""")
 def edge_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = generators.cohort_layout(generators.cohort_nodes(spark), "hybrid")
     found = []
     for style in ("straight", "curved", "bundled"):
         made = paths.edge_paths(generators.cohort_edges(spark), layout, style)
         total = F.aggregate("points", F.lit(0.0), lambda acc, p: acc + p["x"])
-        found.append(made.groupBy(F.lit(style).alias("style"), F.size("points").alias("points")).agg(F.count("*").alias("n"), F.round(F.sum(total), 2).alias("x")))
+        found.append(made.groupBy(F.lit(style).alias("style"), F.size("points").alias("points")).agg(F.count("*").alias("n"), F.round(F.sum(total), 4).alias("x")))
     return validate.union(found)
 
 
