@@ -13,8 +13,11 @@ host that holds a third of all pages is no single task's work.
 
 A page is then read along its host's wrapper. Groups are labelled by their tag
 and class: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are dropped. Text slots inside an article group are
-content; on a page without such a group, content is what varies over the host.
+styles and reader comments are dropped, and article groups are content. For all
+other text the wrapper's slots decide, on every page: a slot is template if at
+least two different pages showed the same text there and none another one, and
+then only where a page shows that text. Pages whose kept texts are equal count
+as one, so a copied page does not make its own text a template.
 
 Defined results: null and empty html gives an empty text; a url without a host
 is a host of its own; repeated rows get equal texts; blocks that are blank
@@ -39,6 +42,7 @@ from .common import map_batches, read_table, written
 SALTS = 32
 #: Hosts whose wrappers a task gathers before it passes them on.
 TASK_HOSTS = 1_000
+SEVERAL = -1
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -46,6 +50,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_DIGIT = re.compile(r"[0-9]")
 _SPACE = re.compile(r"\s+")
 _RAW = {t: re.compile(rf"</{t}[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,33 +75,42 @@ _ARTICLE_TAGS = frozenset(("article", "main"))
 class Group:
     """One group of a wrapper or of a page: a name, children in order, and text slots."""
 
-    __slots__ = ("name", "children", "optional", "repeated", "slot", "parts")
+    __slots__ = ("name", "label", "children", "optional", "repeated", "slot", "page", "parts")
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, label: str = ""):
         self.name = name
+        #: On pages: the name with all class, id and role words.
+        self.label = label or name
         self.children: list[Group] = []
         self.optional = self.repeated = False
         #: Digest of the constant text of the group's own slots, -1 where it varies, 0 without text.
         self.slot = 0
+        #: Digest of the one page that showed the slot, SEVERAL where different pages did.
+        self.page = 0
         #: On pages: texts and children in page order.
         self.parts: list = []
 
     def dump(self) -> list:
-        return [self.name, int(self.optional), int(self.repeated), self.slot, [c.dump() for c in self.children]]
+        return [self.name, int(self.optional), int(self.repeated), self.slot, self.page, [c.dump() for c in self.children]]
 
     @staticmethod
     def load(data: list) -> Group:
         group = Group(data[0])
-        group.optional, group.repeated, group.slot = bool(data[1]), bool(data[2]), data[3]
-        group.children = [Group.load(c) for c in data[4]]
+        group.optional, group.repeated, group.slot, group.page = bool(data[1]), bool(data[2]), data[3], data[4]
+        group.children = [Group.load(c) for c in data[5]]
         return group
 
 
-def _name(tag: str, attributes: str) -> str:
+def _names(tag: str, attributes: str) -> tuple[str, str]:
+    """The group's name, and its label with all class, id and role words.
+
+    Names leave out ids and words with digits, which may be one page's own.
+    """
     if not attributes:
-        return tag
-    found = [b or c or d for a, b, c, d in _NAMED.findall(attributes)]
-    return tag + "".join("." + n for f in found for n in f.lower().split())
+        return tag, tag
+    found = [(a.lower(), n) for a, b, c, d in _NAMED.findall(attributes) for n in (b or c or d).lower().split()]
+    name = tag + "".join("." + n for a, n in found if a != "id" and not _DIGIT.search(n))
+    return name, tag + "".join("." + n for _, n in found)
 
 
 def dropped(name: str) -> bool:
@@ -136,12 +150,15 @@ def read_page(source: str) -> Group:
             if tag in _VOID:
                 if tag in ("br", "hr", "img", "wbr"):
                     stack[-1].parts.append("" if tag == "wbr" else " ")
-            elif tag not in _INLINE or "." in _name(tag, token[3]) and dropped(_name(tag, token[3])):
+                token = _TOKEN.search(source, at)
+                continue
+            name, label = _names(tag, token[3])
+            if tag not in _INLINE or label != tag and dropped_cached(label):
                 if tag in _ENDS_P:
                     close(("p",), ("article", "aside", "body", "div", "section", "td", "th", "button", "object"))
                 elif tag in _ENDS_SAME:
                     close(_ENDS_SAME[tag], ("ul", "ol", "dl", "table", "select"))
-                group = Group(_name(tag, token[3]))
+                group = Group(name, label)
                 stack[-1].parts.append(group)
                 if not token[3].rstrip().endswith("/") or tag not in ("svg", "path"):
                     if tag in _RAW:
@@ -158,14 +175,32 @@ def read_page(source: str) -> Group:
     return root
 
 
-def _settle(group: Group) -> Group:
+def _digest(text: str) -> int:
+    return zlib.crc32(" ".join(text.split()).encode("utf-8", "surrogatepass")) + 1
+
+
+def _own_text(group: Group) -> str:
+    return " ".join(p for p in group.parts if isinstance(p, str))
+
+
+def _kept_texts(group: Group) -> Iterator[str]:
+    for part in group.parts:
+        if isinstance(part, str):
+            yield part
+        elif not dropped_cached(part.label):
+            yield from _kept_texts(part)
+
+
+def _settle(group: Group, page: int | None = None) -> Group:
     """A page's group as a wrapper: runs of one name become one repeated group."""
-    texts = " ".join(p for p in group.parts if isinstance(p, str))
-    group.slot = zlib.crc32(" ".join(texts.split()).encode("utf-8", "surrogatepass")) + 1 if texts.strip() else 0
+    if page is None:
+        page = _digest(" ".join(_kept_texts(group)))
+    text = _own_text(group)
+    group.slot, group.page = _digest(text) if text.strip() else 0, page
     children: list[Group] = []
     for part in group.parts:
         if isinstance(part, Group):
-            _settle(part)
+            _settle(part, page)
             if children and children[-1].name == part.name:
                 children[-1] = align(children[-1], part)
                 children[-1].repeated = True
@@ -180,6 +215,7 @@ def align(a: Group, b: Group) -> Group:
     out = Group(a.name)
     out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
     out.slot = a.slot if a.slot == b.slot else -1
+    out.page = a.page if a.page == b.page else SEVERAL
     x, y = a.children, b.children
     if [c.name for c in x] == [c.name for c in y]:
         out.children = [align(c, d) for c, d in zip(x, y)]
@@ -213,8 +249,9 @@ def align(a: Group, b: Group) -> Group:
     return out
 
 
-def has_article(group: Group) -> bool:
-    return group.name.partition(".")[0] in _ARTICLE_TAGS or any(isinstance(p, Group) and not dropped(p.name) and has_article(p) for p in group.parts)
+def is_template(group: Group, along: Group | None) -> bool:
+    """Whether the page's group shows the text that different pages of its host show in this slot, and no page another one."""
+    return along is not None and along.slot > 0 and along.page == SEVERAL and _digest(_own_text(group)) == along.slot
 
 
 def extract(page: Group, wrapper: Group | None) -> str:
@@ -229,13 +266,10 @@ def extract(page: Group, wrapper: Group | None) -> str:
                 blocks.append(joined)
             run.clear()
 
-    only_article = has_article(page)
-
     def walk(group: Group, along: Group | None, inside: bool) -> None:
         tag = group.name.partition(".")[0]
         inside = inside or tag in _ARTICLE_TAGS
-        # without an article, a slot that is constant over the host belongs to its template
-        content = inside if only_article else along is None or along.slot <= 0
+        content = inside or not is_template(group, along)
         place = 0
         inline = tag in _INLINE
         if not inline:
@@ -244,7 +278,7 @@ def extract(page: Group, wrapper: Group | None) -> str:
             if isinstance(part, str):
                 if content:
                     run.append(part)
-            elif not dropped_cached(part.name):
+            elif not dropped_cached(part.label):
                 child = None
                 if along is not None:
                     k = place

@@ -53,3 +53,23 @@ def test_query_against_the_article_element(spark):
         blocks = [" ".join(unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", b))).split()) for b in re.split("</?(?:p|h1)>", body)]
         assert r.text == "\n".join(b for b in blocks if b), r.page_id
         assert r.n_chars == len(r.text)
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, f"http://{url}", source) for i, (url, source) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in h.extract_main_text(df).orderBy("page_id").collect()]
+
+
+def test_slots_decide_on_pages_with_an_article_too(spark):
+    page = "<body><div class=top>Welcome</div><div class=story><p>Story {0}</p></div><div class=teasers><article><p>Teaser {0}</p><p>Read on</p></article></div></body>"
+    assert texts_of(spark, [(f"a.b/{i}", page.format(i)) for i in range(4)]) == [f"Story {i}\nTeaser {i}\nRead on" for i in range(4)]
+
+
+def test_a_template_needs_two_different_pages(spark):
+    page = "<body><div class=top>Welcome</div><div class=body id=post-{0}><p>Story {0}</p><div id=n{0}>Note</div></div></body>"
+    whole = [("one.page/", page.format(0)), ("two.copies/1", page.format(1)), ("two.copies/2", page.format(1).replace("<body>", "<body><nav>2</nav>"))]
+    assert texts_of(spark, whole) == ["Welcome\nStory 0\nNote", "Welcome\nStory 1\nNote", "Welcome\nStory 1\nNote"]
+    # groups that differ only in an id of their page meet, and their own texts vary
+    assert texts_of(spark, [(f"c.d/{i}", page.format(i)) for i in range(3)]) == [f"Story {i}" for i in range(3)]
+    own = "<body><div class=top>Welcome</div><div id=post-{0}>Body {0}</div><div class='box postid-{0}'>Same</div></body>"
+    assert texts_of(spark, [(f"e.f/{i}", own.format(i)) for i in range(3)]) == [f"Body {i}" for i in range(3)]
