@@ -13,7 +13,9 @@ host that holds a third of all pages is no single task's work.
 
 A page is then read along its host's wrapper. Groups are labelled by their tag
 and class: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are dropped, and article groups are content. For all
+styles and reader comments are dropped, and article groups are content, whatever
+their class. A class, role or id counts as a whole, with words such as "site" or
+"list" beside it, so "no-sidebar" or "related-work" drop nothing. For all
 other text the wrapper's slots decide, on every page: a slot is template if at
 least two different pages showed the same text there and none another one, and
 then only where a page shows that text. Pages whose kept texts are equal count
@@ -31,6 +33,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -69,18 +72,34 @@ _DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar comment comments disqus notice notices cookie cookies consent menu nav navbar navigation "
     "breadcrumb breadcrumbs header masthead footer related share sharing social newsletter subscribe signup popup modal alert toolbar pagination complementary contentinfo search".split()
 )
+#: Words that only say more about such a name before or after them, as in site-header, cookie-bar or ad-300x250.
+_BEFORE = "site main top bottom mobile global primary secondary google dfp".split()
+_AFTER = (
+    "list wrapper wrap container area section block box bar unit slot widget widgets inner link links icon icons button buttons form item items message messages "
+    "thread toggle posts articles stories".split()
+)
+#: What may stand beside a post and be named after it; a post's header is its own.
+_BESIDE_POST = "ad ads comment comments nav navigation newsletter pagination related share sharing social".split()
+_ANY = "|".join(sorted(_DROPPED_NAMES))
+_DROPPED_WORD = re.compile(
+    rf"(?:(?:(?:{'|'.join(_BEFORE)})[-_]+)*(?:{_ANY})|(?:post|posts|article|entry|reader|user)[-_]+(?:{'|'.join(_BESIDE_POST)}))"
+    rf"(?:[-_]+(?:{_ANY}|{'|'.join(_AFTER)}|[0-9]+(?:x[0-9]+)?))*"
+)
 _ARTICLE_TAGS = frozenset(("article", "main"))
+#: Never dropped by a name.
+_KEPT_TAGS = _ARTICLE_TAGS | {"html", "body"}
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Group:
     """One group of a wrapper or of a page: a name, children in order, and text slots."""
 
-    __slots__ = ("name", "label", "children", "optional", "repeated", "slot", "page", "parts")
+    __slots__ = ("name", "dropped", "children", "optional", "repeated", "slot", "page", "parts")
 
-    def __init__(self, name: str, label: str = ""):
+    def __init__(self, name: str, dropped: bool = False):
         self.name = name
-        #: On pages: the name with all class, id and role words.
-        self.label = label or name
+        #: On pages: whether its tag, class, id or role says that it is no content.
+        self.dropped = dropped
         self.children: list[Group] = []
         self.optional = self.repeated = False
         #: Digest of the constant text of the group's own slots, -1 where it varies, 0 without text.
@@ -101,29 +120,34 @@ class Group:
         return group
 
 
-def _names(tag: str, attributes: str) -> tuple[str, str]:
-    """The group's name, and its label with all class, id and role words.
+def _names(tag: str, attributes: str) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
+    """The group's name, the words of its class and role, and its ids.
 
     Names leave out ids and words with digits, which may be one page's own.
     """
     if not attributes:
-        return tag, tag
+        return tag, (), ()
     found = [(a.lower(), n) for a, b, c, d in _NAMED.findall(attributes) for n in (b or c or d).lower().split()]
-    name = tag + "".join("." + n for a, n in found if a != "id" and not _DIGIT.search(n))
-    return name, tag + "".join("." + n for _, n in found)
+    words = tuple(n for a, n in found if a != "id")
+    return tag + "".join("." + n for n in words if not _DIGIT.search(n)), words, tuple(n for a, n in found if a == "id")
 
 
-def dropped(name: str) -> bool:
-    tag, _, rest = name.partition(".")
+@lru_cache(100_000)
+def dropped(tag: str, words: tuple[str, ...] = (), ids: tuple[str, ...] = (), inside: bool = False) -> bool:
+    """Whether a group is no content; ``inside`` an article, ids of sections are its chapters' names."""
     if tag in _DROPPED_TAGS:
         return True
-    return bool(rest) and tag not in ("html", "body") and any(p in _DROPPED_NAMES for n in rest.split(".") for p in (n, *re.split("[-_]+", n)))
+    if tag in _KEPT_TAGS:
+        return False
+    named = words if tag in _HEADINGS or inside and tag == "section" else words + ids
+    return any(_DROPPED_WORD.fullmatch(n) for n in named)
 
 
 def read_page(source: str) -> Group:
     """The page's tokens as nested groups; tags left open and stray ends are mended as browsers do."""
     root = Group("")
     stack = [root]
+    articles = 0
 
     def text(data: str) -> None:
         if data and not data.isspace():
@@ -152,13 +176,17 @@ def read_page(source: str) -> Group:
                     stack[-1].parts.append("" if tag == "wbr" else " ")
                 token = _TOKEN.search(source, at)
                 continue
-            name, label = _names(tag, token[3])
-            if tag not in _INLINE or label != tag and dropped_cached(label):
+            name, words, ids = _names(tag, token[3])
+            # a main without an article so far is the article
+            inside = bool(ids) and tag == "section" and any(g.name.partition(".")[0] in ("article",) + ("main",) * (not articles) for g in stack)
+            out = dropped(tag, words, ids, inside)
+            articles += tag == "article"
+            if tag not in _INLINE or out:
                 if tag in _ENDS_P:
                     close(("p",), ("article", "aside", "body", "div", "section", "td", "th", "button", "object"))
                 elif tag in _ENDS_SAME:
                     close(_ENDS_SAME[tag], ("ul", "ol", "dl", "table", "select"))
-                group = Group(name, label)
+                group = Group(name, out)
                 stack[-1].parts.append(group)
                 if not token[3].rstrip().endswith("/") or tag not in ("svg", "path"):
                     if tag in _RAW:
@@ -187,7 +215,7 @@ def _kept_texts(group: Group) -> Iterator[str]:
     for part in group.parts:
         if isinstance(part, str):
             yield part
-        elif not dropped_cached(part.label):
+        elif not part.dropped:
             yield from _kept_texts(part)
 
 
@@ -278,7 +306,7 @@ def extract(page: Group, wrapper: Group | None) -> str:
             if isinstance(part, str):
                 if content:
                     run.append(part)
-            elif not dropped_cached(part.label):
+            elif not part.dropped:
                 child = None
                 if along is not None:
                     k = place
@@ -296,18 +324,6 @@ def extract(page: Group, wrapper: Group | None) -> str:
     return "\n".join(blocks)
 
 
-_DROPPED: dict[str, bool] = {}
-
-
-def dropped_cached(name: str) -> bool:
-    found = _DROPPED.get(name)
-    if found is None:
-        if len(_DROPPED) > 100_000:
-            _DROPPED.clear()
-        found = _DROPPED[name] = dropped(name)
-    return found
-
-
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
 

@@ -73,3 +73,20 @@ def test_a_template_needs_two_different_pages(spark):
     assert texts_of(spark, [(f"c.d/{i}", page.format(i)) for i in range(3)]) == [f"Story {i}" for i in range(3)]
     own = "<body><div class=top>Welcome</div><div id=post-{0}>Body {0}</div><div class='box postid-{0}'>Same</div></body>"
     assert texts_of(spark, [(f"e.f/{i}", own.format(i)) for i in range(3)]) == [f"Body {i}" for i in range(3)]
+
+
+def test_names_that_only_hold_a_word_drop_nothing():
+    for start in ('<main class="no-sidebar">', '<article class="post has-comments">', '<div class="content with-sidebar">', '<article class="sponsored-by-none header-large">', '<article class="comments" id="ad">', '<main id="search">'):
+        assert text_of(f"<body>{start}<p>Body</p>") == "Body", start
+    source = '<article><h2 id="related-work">Related work</h2><p>a</p><section id="search-methods"><h3 id="search">Search</h3>b</section><section id="search">c</section></article>'
+    assert text_of(source) == "Related work\na\nSearch\nb\nc"
+    assert text_of(source.replace("article", "main")) == "Related work\na\nSearch\nb\nc"
+    assert text_of('<article>a</article><h2 id="social">b</h2><div class="social-history">c') == "a\nb\nc"
+
+
+def test_whole_names_and_their_forms_are_dropped():
+    for name in ("sidebar", "site-header", "cookie-bar", "ad-300x250", "ad_slot", "comment-list", "post-comments", "related-posts", "main-nav", "newsletter-signup", "comment-12"):
+        for attribute in ("class", "id"):
+            assert text_of(f'<body><div>a</div><div {attribute}="x {name}">b</div>c<span class="{name}">d</span>') == "a\nc", name
+    assert text_of('<main><article>a</article><section id="comments">b</section></main><div role="complementary">c</div>') == "a"
+    assert text_of('<article>a<section class="comments">b</section></article>') == "a"
