@@ -2,7 +2,7 @@
 
 An Aho-Corasick automaton finds the characters and words that personal data
 cannot do without: at-signs, digits and plus signs, URL schemes, and cues such
-as "iban". At each anchor a local parser expands to the boundaries of an
+as "iban", the latter two in any mix of upper and lower case. At each anchor a local parser expands to the boundaries of an
 address, number or account and validates it; text far from anchors is never
 parsed.
 
@@ -11,7 +11,8 @@ Kinds, in the order in which spans are listed:
 - email, ip, card, phone: the base kinds, leftmost and non-overlapping each;
 - url: a scheme and what follows it up to white space or a closing mark;
 - iban: a cue, then a country code, two check digits and up to 30 characters
-  whose remainder modulo 97 is 1;
+  whose remainder modulo 97 is 1; what follows an account is cut off at its
+  country's length, or at the end of a word where the country is not known;
 - ssn: a cue, then three groups of 3, 2 and 4 digits.
 
 Defined results: null and empty texts have no spans; offsets count code points,
@@ -43,24 +44,43 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"(?:(?:https?|ftp)://|www\.)[^\s<>\"'`{}|\\^]+", re.IGNORECASE)
+_IBAN_START = re.compile(r"[A-Z]{2}[0-9]{2}")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9])")
+#: Characters of an account by its country.
+_IBAN_SIZES = {
+    country: int(size)
+    for size, countries in (
+        entry.split(":")
+        for entry in (
+            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+            "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA "
+            "30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for country in countries.split(",")
+}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = "0123456789"
 
 
 def _automaton() -> ahocorasick.Automaton:
+    """Anchors in lower case, for texts lowered by ``ascii_lower``."""
     found = ahocorasick.Automaton()
     for word, kind in [("@", "@"), ("+", "+"), *((d, "0") for d in _DIGITS), *((s, "url") for s in SCHEMES)]:
         found.add_word(word, (kind, len(word)))
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
 
+def ascii_lower(text: str) -> str:
+    """``text`` with A to Z in lower case; offsets stay, which str.lower does not promise."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -74,6 +94,25 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def _iban(text: str, start: int, stop: int) -> tuple[int, int] | None:
+    """The first account that begins from ``start`` to ``stop``."""
+    for begin in _IBAN_START.finditer(text, start, stop + 4):
+        m = _IBAN.match(text, begin.start())
+        if not m:
+            continue
+        ends = [k + 1 for k in range(m.start(), m.end()) if text[k] != " "]
+        size = _IBAN_SIZES.get(m[0][:2])
+        if size is None:
+            # whole words, most of them first
+            tried = [e for e in reversed(ends) if e == m.end() or not text[e].isalnum()]
+        else:
+            tried = [*ends[size - 1 : size], m.end()]
+        for end in tried:
+            if iban_valid(text[m.start() : end]):
+                return m.start(), end
+    return None
+
+
 def _email(text: str, at: int, last: int) -> tuple[int, int] | None:
     start = at
     while start > last and text[start - 1] in _LOCAL:
@@ -87,7 +126,7 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tu
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     last = dict.fromkeys(KINDS, 0)
     digit_before = -2
-    for end, (kind, length) in automaton.iter(text):
+    for end, (kind, length) in automaton.iter(ascii_lower(text)):
         start = end - length + 1
         if kind == "0":
             in_run, digit_before = start == digit_before + 1, start
@@ -117,11 +156,15 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tu
                 last["url"] = m.end()
                 if stop > start + length:
                     found["url"].append((start, stop))
+        elif kind == "iban":
+            if span := _iban(text, max(end + 1, last["iban"]), end + 1 + CUE_REACH):
+                last["iban"] = span[1]
+                found["iban"].append(span)
         else:
-            m = (_IBAN if kind == "iban" else _SSN).search(text, end + 1, end + 1 + CUE_REACH + 50)
-            if m and m.start() <= end + 1 + CUE_REACH and m.start() >= last[kind] and (kind == "ssn" or iban_valid(m[0])):
-                last[kind] = m.end()
-                found[kind].append(m.span())
+            m = _SSN.search(text, end + 1, end + 1 + CUE_REACH + 50)
+            if m and m.start() <= end + 1 + CUE_REACH and m.start() >= last["ssn"]:
+                last["ssn"] = m.end()
+                found["ssn"].append(m.span())
     return found
 
 

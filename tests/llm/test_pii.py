@@ -68,3 +68,27 @@ def test_edges_and_redaction(spark):
     assert out[3].text == "mail <email> now" and out[3].n_chars == 16 and out[1].text is None
     assert pii.redact(df).columns == df.columns
     assert pii.find_personal_data(df.where("false")).count() == 0
+
+
+def found_texts(text, kind):
+    return [text[a:b] for a, b in pii.find_spans(text, pii._automaton())[kind]]
+
+
+def test_cues_and_schemes_in_any_case():
+    for cue in ("Social Security number", "sOCIAL sECURITY no.", "Ssn", "İ é SSN"):
+        assert found_texts(f"{cue} 123-45-6789.", "ssn") == ["123-45-6789"], cue
+    for url in ("HTTP://a.b/c", "Https://a.b", "WWW.a.b", "fTP://a.b", "https://A.b"):
+        assert found_texts(f"İ see {url}, é", "url") == [url]
+    for cue in ("IBAN", "Iban", "iBAN", "KONTO", "aCCOUNT"):
+        assert found_texts(f"{cue} DE89370400440532013000", "iban") == ["DE89370400440532013000"]
+
+
+def test_an_account_ends_before_what_follows_it():
+    german, unknown = "DE89 3704 0044 0532 0130 00", "ZZ33 1234 5678 9012 345"
+    for after in (" BIC COBADEFF", " BIC COBADEFFXXX USD 100", "", ", BIC", " AND", "\nBIC"):
+        assert found_texts(f"IBAN {german}{after}", "iban") == [german], after
+        assert found_texts(f"IBAN NO93 8601 1117 947{after}", "iban") == ["NO93 8601 1117 947"], after
+    assert pii.iban_valid(unknown) and found_texts(f"IBAN {unknown} BIC", "iban") == [unknown]
+    assert found_texts("IBAN GB82WEST12345698765432BIC", "iban") == ["GB82WEST12345698765432"]
+    assert found_texts(f"IBAN no. AB12 of {german} BIC", "iban") == [german]
+    assert found_texts("IBAN DE88 3704 0044 0532 0130 00 BIC", "iban") == []
