@@ -1,7 +1,8 @@
 """Folder and note trees as adjacency lists, walked level by level.
 
 Levels are joins on parent ids, so a tree is as deep as its data and no
-recursion limit applies; each level's frontier is what the next one joins.
+recursion limit applies; each level's frontier is what the next one joins. Every
+few levels are written to the shared folder, so plans stay short.
 """
 
 from __future__ import annotations
@@ -10,18 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.text import ascii_lower, name_error, trim_white
+from meshwork.sources.shared import new_path
 from meshwork.types import LIMITS
 
 from .validate import union, violations
 
 ROOT_ID = 1
+#: Levels that are written together.
+WRITTEN_LEVELS = 8
 
 
 def kind_rank(kind: Column) -> Column:
     return F.when(kind == "folder", 0).otherwise(1)
 
 
-def walk(entries: DataFrame, start: DataFrame, expand: Column | None = None, max_depth: int = 64) -> DataFrame:
+def walk(entries: DataFrame, start: DataFrame, expand: Column | None = None) -> DataFrame:
     """Rows reachable from ``start`` ids downwards: id, depth, path (names) and key (a sortable path).
 
     ``expand`` tells whose children to enter. Rows met again on their own path
@@ -32,9 +36,10 @@ def walk(entries: DataFrame, start: DataFrame, expand: Column | None = None, max
     level = rows.join(start.select("id"), "id", "left_semi").select(
         "id", "kind", F.lit(0).alias("depth"), F.array("name").alias("path"), F.array(step).alias("key"), F.array("id").alias("ids")
     ).persist()
-    found = [level]
+    found, unwritten, depth = [], [level], 0
     children = rows.select(F.col("id").alias("c"), F.col("parent").alias("p"), F.col("kind").alias("c_kind"), F.col("name").alias("c_name"))
-    for depth in range(1, max_depth + 1):
+    while True:  # ends, as no row is met twice on its own path
+        depth += 1
         parents = level if expand is None else level.where(expand)
         nxt = parents.join(children, parents["id"] == children["p"]).where(~F.array_contains("ids", F.col("c")))
         c_step = F.struct(kind_rank(F.col("c_kind")).alias("rank"), F.lower("c_name").alias("name"))
@@ -43,9 +48,15 @@ def walk(entries: DataFrame, start: DataFrame, expand: Column | None = None, max
             F.concat("key", F.array(c_step)).alias("key"), F.concat("ids", F.array("c")).alias("ids"),
         ).persist()  # else each level would walk all levels above it again; lost blocks are recomputed
         if level.isEmpty():
-            break
-        found.append(level)
-    return union(found)
+            return union(found + unwritten)
+        unwritten.append(level)
+        if len(unwritten) == WRITTEN_LEVELS:
+            path = new_path(entries.sparkSession, "walk")
+            union(unwritten).write.parquet(path)
+            found.append(entries.sparkSession.read.schema(level.schema).parquet(path))
+            for done in unwritten:
+                done.unpersist()
+            unwritten, level = [], found[-1].where(F.col("depth") == depth)
 
 
 def root(entries: DataFrame) -> DataFrame:

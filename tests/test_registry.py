@@ -104,6 +104,13 @@ def test_trees(spark):
     assert not tree.name_taken(accents.where("id < 3"), 1, "é") and first(tree.tree_violations(accents)) == "DuplicateName"
 
 
+def test_trees_deeper_than_any_limit(spark):
+    n = 150
+    chain = spark.createDataFrame([(k, k - 1, "folder" if k < n else "note", f"n{k}") for k in range(1, n + 1)], "id long, parent long, kind string, name string").repartition(1)
+    walked = {r.id: (r.depth, r.path) for r in tree.walk(chain, tree.root(chain)).collect()}
+    assert walked == {k: (k - 1, [f"n{j}" for j in range(1, k + 1)]) for k in range(1, n + 1)}
+
+
 def test_leases(spark):
     docs = spark.createDataFrame([], "entry_id long, revision long, content_hash string, content string")
     token = documents.lease(docs, 3).first()
