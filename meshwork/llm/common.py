@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 
 from meshwork.sources.shared import new_path
 
-__all__ = ["components", "crc_mod", "map_batches", "new_path", "read_table", "written"]
+__all__ = ["components", "crc_mod", "map_batches", "new_path", "read_table", "skewed_join", "written"]
+
+#: A key with more than one in so many rows is hot in a join; so many rows of the other side are broadcast at most.
+HOT_ROWS = 2_000
+#: Keys with fewer rows than this are never hot.
+LEAST_HOT = 1_000
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +44,25 @@ def crc_mod(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def skewed_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has at most one row a key, by bigint ``key``; hot keys are not shuffled.
+
+    Keys that hold more than one in ``HOT_ROWS`` of the rows of ``many`` are
+    counted first (there are fewer than that), and their rows of ``one`` are
+    broadcast. Null keys of a left join never meet a partner and stay apart.
+    """
+    counts = written(many.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= LEAST_HOT), "key-counts")
+    rows = many.count()
+    hot = written(counts.where(F.col("count") * HOT_ROWS > rows).select(key), "hot")
+    if not hot.limit(1).count():
+        return many.join(one, key, how)
+    hot = F.broadcast(hot)
+    few = written(one.join(hot, key, "left_semi"), "hot-rows")
+    apart = many.join(hot, key, "left_semi").join(F.broadcast(few), key, how)
+    rest = many.join(hot, key, "left_anti").join(one, key, how)
+    return rest.unionByName(apart)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of the undirected edges (a, b), both bigint.
 
