@@ -3,8 +3,9 @@
 Documents are cut into chunks of a full window and one tail. A task gathers a
 shard of tails (bounded in tokens), counts them by length bin, enumerates the
 multisets of at most ``DEPTH`` bins that nearly fill a window, solves
-``min |A x - histogram|, x >= 0`` for how often each pattern is used, rounds
-down and fills those windows. Tails that no pattern took form a stream from
+``min |A x - histogram|, x >= 0`` for how often each pattern is used, scales
+the solution to what the bins hold, rounds down, solves again for what is left
+(at most ``SOLVES`` times) and fills those windows. Tails that no pattern took form a stream from
 which the holes of pattern windows and then whole windows are filled greedily,
 cutting where a window ends. What is left of a shard goes into windows whose
 lengths are powers of two, which need no padding.
@@ -19,8 +20,9 @@ packed once each; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import itertools
+import functools
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -34,11 +36,18 @@ from .common import map_batches, read_table
 
 WINDOW = 4096
 END_ID = 2
-DEPTH = 3
-BINS = 32
+DEPTH = 8
+BINS = 16
+SOLVES = 8
 SHARD_TOKENS = 2_000_000
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker keeps in each of two generations.
+CACHE_WORDS = 300_000
+JOINED_WORDS = 1_000
+#: Texts that are encoded together.
+TEXTS = 200
+#: How the vocabulary marks a word's last piece, and ASCII punctuation, which never joins a letter before it.
+WORD_END = "</w>"
+MARKS = string.punctuation.encode()
 PIECES_SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 )
@@ -48,8 +57,11 @@ class WordEncoder:
     """Ids of whole texts, as little-endian uint32 bytes, word by word.
 
     The vocabulary's pre-tokenizer never joins what ASCII white space parts, so
-    a text's ids are those of its words; ids of words are kept in a bounded
-    table. Ending punctuation is its own pre-token and is looked up apart.
+    a text's ids are those of its words. A worker keeps ids of words in two
+    generations of bounded size: a full young one becomes the old one, and what
+    is met again comes back from there, so frequent words stay. Ending
+    punctuation is its own pre-token and is looked up apart; words of letters
+    alone are encoded many at a time and parted at their last pieces.
     """
 
     def __init__(self, path: str):
@@ -58,97 +70,153 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
-        self.marks: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _learn(self, unknown: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words not yet known; plain stems before marks are shared."""
-        parts = {}
+        self.old: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word."""
+        texts = [w.decode() for w in words]
+        found: dict[bytes, bytes] = {}
+        letters = [w for w, t in zip(words, texts) if t.isalpha()]
+        rest = [(w, t) for w, t in zip(words, texts) if not t.isalpha()]
+        for at in range(0, len(letters), JOINED_WORDS):
+            some = letters[at : at + JOINED_WORDS]
+            (ids,) = self._ids([b" ".join(some).decode()])
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == len(some):
+                data, start = ids.tobytes(), 0
+                for word, end in zip(some, ends.tolist()):
+                    found[word] = data[start:end]
+                    start = end
+            else:  # lower-casing took a letter apart
+                rest += [(w, w.decode()) for w in some]
+        found.update((w, ids.tobytes()) for (w, _), ids in zip(rest, self._ids([t for _, t in rest])))
+        return found
+
+    def _learn(self, unknown: set[bytes]) -> None:
+        """Adds ids of words not yet known."""
+        split = []
+        plain = set()
         for word in unknown:
-            stem = word.rstrip(b".,;:!?")
-            # a special token of the vocabulary may end in a mark, and a stem must end in an ASCII letter
-            parts[word] = (stem, word[len(stem) :]) if stem[-1:].isalpha() and b"<|" not in word else (word, b"")
-        stems = list({s for s, _ in parts.values()} - self.words.keys())
-        marks = list({m for _, m in parts.values() if m} - self.marks.keys())
-        if len(self.words) + len(stems) + len(unknown) > CACHE_WORDS:
-            self.words.clear()
-            stems = list({s for s, _ in parts.values()})
-        if len(self.marks) > 50_000:
-            self.marks.clear()
-            marks = list({m for _, m in parts.values() if m})
-        known = dict(zip(stems, self._encode(stems)))
-        self.marks.update(zip(marks, self._encode(marks)))
-        if len(stems) < CACHE_WORDS // 2:
-            self.words.update(known)
-        return {
-            w: (known[s] if s in known else self.words[s]) + (self.marks[m] if m else b"") for w, (s, m) in parts.items()
-        }
+            stem = word.rstrip(MARKS)
+            # a special token of the vocabulary may end in a mark
+            if len(stem) < len(word) and b"<|" not in word and stem[-4:].decode(errors="ignore")[-1:].isalpha():
+                split.append((word, stem, word[len(stem) :]))
+            else:
+                plain.add(word)
+        parts = {s for _, s, _ in split} | {m for _, _, m in split}
+        self._recall(parts)
+        self.words.update(self._encode(list(plain | parts.difference(self.words))))
+        known = self.words
+        known.update([(word, known[stem] + known[marks]) for word, stem, marks in split])
+
+    def _recall(self, words: set[bytes]) -> None:
+        old = self.old
+        self.words.update([(w, old[w]) for w in words if w in old])
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; unknown words of all texts are encoded in one batch."""
         split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        get = self.words.get
-        rows = [list(map(get, words)) for words in split]
-        unknown = {w for words, ids in zip(split, rows) if None in ids for w, i in zip(words, ids) if i is None}
-        if unknown:
-            new = self._learn(unknown)
-            for words, ids in zip(split, rows):
-                if None in ids:
-                    ids[:] = [new[w] if i is None else i for w, i in zip(words, ids)]
-            if len(self.words) + len(new) <= CACHE_WORDS:
-                self.words.update(new)
-        return [b"".join(ids) for ids in rows]
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.old = {}, self.words
+        unknown = set().union(*split).difference(self.words)
+        self._recall(unknown)
+        self._learn(unknown.difference(self.words))
+        get = self.words.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+
+def _multisets(size: int, total: int, most: int) -> Iterator[list[int]]:
+    """Multisets of ``size`` numbers from 0 to ``most`` with this sum, largest first."""
+    if size == 0:
+        if total == 0:
+            yield []
+        return
+    for first in range(min(most, total), -(-total // size) - 1, -1):
+        for rest in _multisets(size - 1, total - first, first):
+            yield [first, *rest]
 
 
 def patterns(bins: int = BINS, depth: int = DEPTH) -> np.ndarray:
     """Multisets of at most ``depth`` bins that fill a window, as count columns.
 
-    Bin b holds lengths from b to b + 1 of ``bins`` parts of a window, so a
-    multiset whose lower ends sum to ``bins - size`` up to ``bins`` fits
-    with a hole or an overhang of at most ``size`` parts.
+    Bin b holds lengths from b to b + 1 of ``bins`` parts of a window, so lengths
+    of a multiset are expected to sum to its lower ends and half its size; this
+    lies within a part of the window.
     """
     rows = []
     for size in range(2, depth + 1):
-        for chosen in itertools.combinations_with_replacement(range(bins), size):
-            if bins - size <= sum(chosen) <= bins - size // 2:
-                rows.append(np.bincount(chosen, minlength=bins))
+        for total in range(bins - 1 - size // 2, bins + 1 - (size + 1) // 2 + 1):
+            rows += [np.bincount(chosen, minlength=bins) for chosen in _multisets(size, total, bins - 1)]
     return np.array(rows, dtype=float).T
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative least squares by accelerated projected gradient steps."""
-    gram, right = a.T @ a, a.T @ b
-    step = 1.0 / max(np.linalg.norm(gram, 2), 1e-9)
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1_000, close: float = 0.0) -> np.ndarray:
+    """Non-negative least squares by accelerated projected gradient steps, until the residual is ``close`` to none of b."""
+    step = 1.0 / max(np.linalg.norm(a @ a.T, 2), 1e-9)
     x = y = np.zeros(a.shape[1])
     t = 1.0
-    for _ in range(rounds):
-        new = np.maximum(0.0, y - step * (gram @ y - right))
+    for k in range(rounds):
+        if k % 50 == 49 and np.abs(a @ x - b).sum() <= close * b.sum():
+            break
+        new = np.maximum(0.0, y - step * (a.T @ (a @ y - b)))
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y = new + (t - 1) / t_new * (new - x)
         x, t = new, t_new
     return x
 
 
-_PATTERNS = patterns()
+@functools.cache
+def _patterns() -> np.ndarray:
+    return patterns()
 
 
-def pack_tails(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Windows of (tail, start in the tail, length); each tail token lies in one."""
+def repeats(counts: np.ndarray) -> np.ndarray:
+    """How often each pattern is used: solved, scaled to what each bin holds, rounded; then the same for what is left.
+
+    The solution is spread over many similar patterns, most below one, so
+    fractions are carried from a pattern to the next, which differs little.
+    """
+    columns = _patterns()
+    total = np.zeros(columns.shape[1], dtype=np.int64)
+    left = counts.astype(np.int64)
+    for _ in range(SOLVES):
+        x = nnls(columns, left.astype(float), close=0.02)
+        over = columns @ x / np.maximum(left, 1e-9)
+        x /= np.maximum(1.0, np.where(columns > 0, over[:, None], 0.0).max(0))
+        times = np.diff(np.floor(np.cumsum(x) + 1e-9), prepend=0.0).astype(np.int64)
+        used = 0
+        for column in np.flatnonzero(times):
+            need = columns[:, column].astype(np.int64)
+            held = need > 0
+            n = min(int(times[column]), int((left[held] // need[held]).min()))
+            total[column] += n
+            left -= n * need
+            used += n
+        if not used:
+            break
+    return total
+
+
+def pattern_windows(lengths: np.ndarray, window: int = WINDOW) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Windows that patterns make of tails, and the pieces that are left over."""
     bins = np.minimum(lengths * BINS // window, BINS - 1)
     stacks = [list(np.flatnonzero(bins == b)) for b in range(BINS)]
-    counts = np.array([len(s) for s in stacks], dtype=float)
+    counts = np.array([len(s) for s in stacks])
     windows: list[list[tuple[int, int, int]]] = []
     stream: list[tuple[int, int, int]] = []
     if counts.sum() >= 2:
-        for column, times in enumerate(np.floor(nnls(_PATTERNS, counts) + 1e-6).astype(int)):
-            need = np.flatnonzero(_PATTERNS[:, column])
-            per = _PATTERNS[need, column].astype(int)
-            for _ in range(min(times, *(len(stacks[b]) // k for b, k in zip(need, per)))):
+        times = repeats(counts)
+        for column in np.flatnonzero(times):
+            chosen = np.repeat(np.arange(BINS), _patterns()[:, column].astype(int))[::-1]
+            for _ in range(times[column]):
                 room, content = window, []
-                for tail in (stacks[b].pop() for b, k in zip(need, per) for _ in range(k)):
+                for tail in [stacks[b].pop() for b in chosen]:
                     size = int(lengths[tail])
                     taken = min(size, room)
                     if taken:
@@ -158,6 +226,12 @@ def pack_tails(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int
                     room -= taken
                 windows.append(content)
     stream += [(int(tail), 0, int(lengths[tail])) for stack in stacks for tail in stack]
+    return windows, stream
+
+
+def pack_tails(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """Windows of (tail, start in the tail, length); each tail token lies in one."""
+    windows, stream = pattern_windows(lengths, window)
     stream.reverse()
 
     def fill(content: list[tuple[int, int, int]], room: int) -> None:
@@ -243,8 +317,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_i
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 found = encoder.encode_many([t or "" for t in part.column(1).to_pylist()])
                 for doc_id, buffer in zip(part.column(0).to_pylist(), found):
                     ids.append(doc_id)

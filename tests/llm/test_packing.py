@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from meshwork.llm.packing import WordEncoder, nnls, op2_packing, pack_documents, pack_tails
+from meshwork.llm.packing import BINS, WordEncoder, _patterns, nnls, op2_packing, pack_documents, pack_tails, pattern_windows, repeats
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -50,6 +50,28 @@ def test_words_encode_as_the_tokenizer_does():
         assert [np.frombuffer(b, dtype="<u4").tolist() + [2] for b in encoder.encode_many(texts)] == brute_ids(texts)
 
 
+def test_words_survive_generations(monkeypatch):
+    monkeypatch.setattr("meshwork.llm.packing.CACHE_WORDS", 20)
+    rng = np.random.default_rng(1)
+    encoder = WordEncoder(VOCABULARY)
+    letters = list("aeioußéštn")
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 9))) + rng.choice(["", ".", "--", "'s", "9", "##!"]) for _ in range(15)) for _ in range(3)]
+        assert [np.frombuffer(b, dtype="<u4").tolist() + [2] for b in encoder.encode_many(texts)] == brute_ids(texts)
+
+
+def test_patterns_take_what_bins_hold():
+    rng = np.random.default_rng(2)
+    for lengths in (rng.integers(1, 4096, 3000), rng.lognormal(6.3, 1.0, 3000).astype(int) % 4095 + 1, np.full(500, 700)):
+        counts = np.bincount(lengths * BINS // 4096, minlength=BINS)
+        times = repeats(counts)
+        assert (_patterns() @ times <= counts).all() and times.min() >= 0
+        windows, stream = pattern_windows(lengths)
+        placed = sum(p[2] for w in windows for p in w)
+        assert placed + sum(p[2] for p in stream) == lengths.sum()
+        assert placed >= 0.9 * lengths.sum()
+
+
 def test_tails_fill_windows():
     rng = np.random.default_rng(0)
     for n in (1, 2, 30, 2000):
