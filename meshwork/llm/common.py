@@ -12,11 +12,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from meshwork.sources.shared import new_path
 
-__all__ = ["components", "crc_mod", "map_batches", "new_path", "read_table", "skewed_join", "written"]
+__all__ = ["components", "crc_mod", "map_batches", "new_path", "read_table", "skewed_join", "unused", "written"]
 
+SLICE_ROWS = 1_000
+SLICE_BYTES = 8 << 20
 #: A key with more than one in so many rows is hot in a join; so many rows of the other side are broadcast at most.
 HOT_ROWS = 2_000
 #: Keys with fewer rows than this are never hot.
@@ -34,10 +37,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it while ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_batches(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
-    return df.mapInArrow(function, schema)
+    """``mapInArrow`` over slices of bounded size, so that a worker holds few whole texts as objects at once."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    return df.mapInArrow(lambda batches: function(sliced(batches)), schema)
 
 
 def crc_mod(column: Column, modulus: int) -> Column:

@@ -229,7 +229,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[k] = pa.array(sizes, batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

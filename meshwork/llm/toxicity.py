@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import crc_mod, read_table
+from .common import crc_mod, map_batches, read_table
 
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 12_000
@@ -160,8 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, shards: int = SHARDS) -> tuple[lis
     return list(found.values()), prior
 
 
-def score_rows(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
-    """Every row of ``docs`` with the columns score and predicted added, trained on ``labels``."""
+def score_rows(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Every row of ``docs`` with score and predicted added under these names, trained on ``labels``; columns so named give way."""
     models, prior = train(docs, labels)
     mean: Counter = Counter()
     for weights, _ in models:
@@ -169,7 +169,7 @@ def score_rows(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT)
             mean[f] += x / len(models)
     bias = sum(b for _, b in models) / len(models) if models else float(np.log(prior / (1 - prior)))
     model = docs.sparkSession.sparkContext.broadcast((dict(mean), bias))
-    others = [c for c in docs.columns if c not in ("score", "predicted")]
+    others = [c for c in docs.columns if c not in names]
     place = others.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,11 +184,11 @@ def score_rows(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT)
                 logits.append(start + sum(sorted(filter(None, map(get, words | parts)))))
             scores = _sigmoid(np.array(logits, dtype=float))
             columns = [*batch.columns, pa.array(scores), pa.array((scores >= reject_at).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*others, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, *names])
 
     selected = docs.select(*others)
-    schema = StructType([*selected.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return selected.mapInArrow(run, schema)
+    schema = StructType([*selected.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
+    return map_batches(selected, run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:

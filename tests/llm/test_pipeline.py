@@ -57,9 +57,31 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
 def test_edges(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "some words here again and more", "en", "a", 30), (3, "some words here again and more", "en", "a", 30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for df in (docs, docs.where("false")):
+    given = [(r.doc_id, r.text) for r in docs.collect()]
+    for df, ids in ((docs, [1, 2, 3]), (docs.where("false"), [])):
         out = df
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES[:3]:
             out = stage(spark, out, "/root/testdata/sf0.001")
-        assert out.count() >= 0
+            assert out.columns == COLUMNS
+        assert sorted(r.doc_id for r in out.collect()) == ids
+        for r in out.collect():
+            assert (r.doc_id, r.text) in given
+        mixed = corpus_pipeline.mix(spark, out, "")
+        assert {r.doc_id for r in mixed.collect()} <= {3}  # texts without words are never taken
+        packed = corpus_pipeline.pack(spark, out, "").collect()
+        assert sorted({r.doc_id for r in packed}) == ids
     assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == 3
+
+
+def test_extra_columns_with_clashing_names_come_through(spark):
+    extra = ["score", "predicted", "mix_repeats", "mix_copy", "mix_size", "component_id", "n_rows", "pattern", "size", "row", "document", "class", "key", "spans"]
+    text = "a few plain words that stand alone in text number"
+    rows = [(i, f"{text} {i} {i * 7} {i * 11} {i * 13} mail a{i}@example.com", "en", "s", 50, *[f"{c}{i}" for c in extra]) for i in range(40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found and all(r[c] == f"{c}{r.doc_id}" for r in found for c in extra), name
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, docs, "").collect()} == set(range(40))
