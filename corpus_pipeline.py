@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.llm import mixing, near_duplicates, packing, pii, toxicity
-from meshwork.llm.common import new_path, read_table, written
+from meshwork.llm.common import new_path, read_table, unused, written
 
 #: No stage but the first could be given in SQL: learned scores, flows and packings are tested against brute force.
 ORACLE_SQL = None
@@ -20,21 +20,22 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from training labels only."""
-    scored = toxicity.score_rows(docs, toxicity.training_labels(read_table(spark, sf_dir, "labels")))
-    return scored.where("predicted = 0").select(*docs.columns)
+    names = unused(docs, "score"), unused(docs, "predicted")
+    scored = toxicity.score_rows(docs, toxicity.training_labels(read_table(spark, sf_dir, "labels")), names=names)
+    return scored.where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that share 80 % of their five-word shingles, the one with the smallest doc_id stays."""
     found = near_duplicates.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id"))
-    kept = written(found.groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    kept = written(found.groupBy("doc_id").agg(F.count("*").alias("n_rows")), "kept")
     small = kept.count() <= near_duplicates.BROADCAST_ROWS
 
     def only(ids: DataFrame) -> DataFrame:
         return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
 
-    out = only(kept.where("rows = 1").select("doc_id"))
-    several = kept.where("rows > 1").select("doc_id")
+    out = only(kept.where("n_rows = 1").select("doc_id"))
+    several = kept.where("n_rows > 1").select("doc_id")
     if several.limit(1).count():  # rows that share a doc_id: one of each text stays
         out = out.unionByName(only(several).dropDuplicates(["doc_id", "text"]))
     return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
@@ -47,8 +48,10 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are dropped or repeated until sources meet their target weights."""
-    mixed = mixing.mix_sources(docs).where("mix_repeats > 0")
-    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_repeats").cast("int")))).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("document"), "doc_id", "text", "source")
+    mixed = mixing.mix_sources(whole).where("mix_repeats > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("mix_repeats").cast("int")))
+    return mixed.select("document", copies.alias("mix_copy")).select("document.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
