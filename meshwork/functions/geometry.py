@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bounds(nodes: DataFrame) -> DataFrame:
-    """One row: low and high corner over x, y, z widened by radius; nulls when there is no node."""
-    return nodes.agg(
+def bounds(nodes: DataFrame, *by: str) -> DataFrame:
+    """Low and high corner over x, y, z widened by radius, of all nodes (nulls when there is none) or of each group."""
+    return nodes.groupBy(*by).agg(
         *(F.min(F.col(a) - F.col("radius")).alias(f"min_{a}") for a in "xyz"),
         *(F.max(F.col(a) + F.col("radius")).alias(f"max_{a}") for a in "xyz"),
     )
@@ -41,6 +41,8 @@ class Camera:
         right = _unit(_cross(forward, (0.0, 1.0, 0.0)), (1.0, 0.0, 0.0))
         return right, _unit(_cross(right, forward)), forward
 
+    # Steps, limits and margins of the camera's movements below.
+
     def orbit(self, dx: float, dy: float) -> Camera:
         limit = math.pi / 2 - 0.01
         return replace(self, yaw=self.yaw + dx * 0.005, pitch=min(max(self.pitch - dy * 0.005, -limit), limit))

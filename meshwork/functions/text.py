@@ -38,10 +38,22 @@ def is_boundary(text: Column, offset: Column) -> Column:
     return (offset == size) | ((offset >= 0) & (offset < size) & (byte.bitwiseAND(F.lit(0xC0)) != 0x80))
 
 
-def byte_offset_of(text: Column, surface: Column) -> Column:
-    """Byte offset of the first occurrence, null when there is none."""
-    at = F.locate_expr(text, surface) if hasattr(F, "locate_expr") else F.position(surface, text)
-    return F.when(at > 0, F.octet_length(F.left(text, at - 1)))
+def occurrence_offsets(text: Column, surface: Column) -> Column:
+    """Byte offsets of the non-overlapping occurrences from left to right; none of an empty surface."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(surface, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    parts = F.when(F.length(surface) > 0, F.split(text, quoted))
+    size = F.octet_length(surface)
+    none = F.array().cast("array<bigint>")
+    # a running sum over what lies between the occurrences
+    running = F.aggregate(
+        F.slice(parts, 1, F.size(parts) - 1),
+        F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found")),
+        lambda acc, p: F.struct(
+            (acc["at"] + F.octet_length(p) + size).cast("bigint").alias("at"),
+            F.concat(acc["found"], F.array((acc["at"] + F.octet_length(p)).cast("bigint"))).alias("found"),
+        ),
+    )
+    return F.coalesce(running["found"], none)
 
 
 def occurrences(text: Column, surface: Column) -> Column:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshwork.functions.masks import bit_for
+from meshwork.types import ACCEPTED, ALL_BITS
+
+from .slots import RANGE, before, ranged
 from .validate import union, violations
 
 
@@ -35,17 +39,30 @@ def mapping_violations(mappings: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def running_offsets(rows: DataFrame, order: str, size: Column, block_bits: int = 16) -> DataFrame:
-    """``rows`` with offset: the summed size of all rows before in order of an integer key.
+def running_offsets(rows: DataFrame, order: str, size: Column) -> DataFrame:
+    """``rows`` with offset: the summed size of all rows before in order of a unique key.
 
-    Sums run within blocks of the key in parallel; only the blocks' totals are summed in one place.
+    Sums run within ranges of the key in parallel; only the ranges' totals are summed in one place.
     """
-    sized = rows.withColumn("_size", size.cast("bigint")).withColumn("_block", F.shiftright(F.col(order).cast("bigint"), block_bits))
-    totals = sized.groupBy("_block").agg(F.sum("_size").alias("_total"))
-    before = F.coalesce(F.sum("_total").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select("_block", before.alias("_before"))
-    local = F.coalesce(F.sum("_size").over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sized.withColumn("_local", local).join(totals, "_block").withColumn("offset", F.col("_before") + F.col("_local")).drop("_size", "_block", "_local", "_before")
+    sized = ranged(rows.withColumn("_size", size.cast("bigint")), order)
+    totals = F.broadcast(before(sized.groupBy(RANGE).agg(F.sum("_size").alias("_total")), "_total", "_before"))
+    local = F.coalesce(F.sum("_size").over(Window.partitionBy(RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sized.withColumn("_local", local).join(totals, RANGE).withColumn("offset", F.col("_before") + F.col("_local")).drop("_size", RANGE, "_local", "_before")
+
+
+def from_scene(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The product rows of a scene: family by kind, all scopes, accepted; an edge's relation is its family."""
+    shared = lambda: (bit_for(F.col("kind")).alias("family_mask"), F.lit(ALL_BITS).cast("bigint").alias("scope_mask"))
+    accepted = F.lit(ACCEPTED).cast("bigint").alias("review_mask")
+    return (
+        nodes.select(F.col("id").alias("node_id"), *shared(), accepted),
+        edges.select(F.col("id").alias("edge_id"), *shared(), bit_for(F.col("kind")).alias("relation_mask"), accepted),
+    )
+
+
+def binding(scene: DataFrame) -> DataFrame:
+    """What binds an index to a scene (generation, cohort_hash): both must be equal."""
+    return scene.select(F.struct("generation", "cohort_hash").alias("binding"))
 
 
 def cohort_digest(descriptors: DataFrame, order: str, value: Column) -> DataFrame:

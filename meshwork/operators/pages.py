@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meshwork.functions.text import align_up
 from meshwork.types import LIMITS
 
+from .slots import next_power
 from .validate import union, violations
 
 # Page kinds that exist once per manifold, prefixes of statuses to act on, and classes of load errors by rule.
@@ -53,7 +54,7 @@ def page_violations(pages: DataFrame, data_start: int, file_length: int) -> Data
 def allocation(counts: DataFrame, record_bytes: dict[str, int]) -> DataFrame:
     """Bytes that buffers of (name, slots) take: the next power of two of slots times the record's size."""
     size = reduce(lambda acc, kv: acc.when(F.col("name") == kv[0], kv[1]), record_bytes.items(), F.when(F.lit(False), 0))
-    capacity = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("slots", F.lit(1)).cast("double")))).cast("bigint")
+    capacity = next_power(F.col("slots"))
     return counts.select("name", capacity.alias("capacity"), (capacity * size).alias("bytes"))
 
 

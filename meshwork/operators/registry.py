@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.functions.masks import bit_for
-from meshwork.functions.text import byte_slice, contains_ascii_ci, is_boundary, occurrences, quote_prefix, quote_suffix, trim_white
+from meshwork.functions.text import ascii_lower, byte_slice, contains_ascii_ci, is_boundary, occurrence_offsets, occurrences, quote_prefix, quote_suffix, trim_white
 from meshwork.types import ENTITY_KINDS, FAMILIES, LIMITS
 
 from .validate import union, violations
@@ -54,6 +54,17 @@ def search(entities: DataFrame, query: str) -> DataFrame:
     return entities.join(kinds, "kind").where(hit).drop("kind_label")
 
 
+def without_source(sources: str = "sources") -> Column:
+    """Whether neither a batch nor a user stands behind an entity."""
+    return ~F.col(f"{sources}.ner") & ~F.col(f"{sources}.user_tagged")
+
+
+def native_kind(label: Column) -> Column:
+    """The registry's kind for a toolbar label, ignoring ASCII case; null when there is none."""
+    kinds = [F.when(ascii_lower(label) == shown.lower(), kind) for kind, shown, _ in ENTITY_KINDS]
+    return F.coalesce(*kinds)
+
+
 def source_flags(sources: str = "sources") -> Column:
     return F.col(f"{sources}.ner").cast("int") + F.shiftleft(F.col(f"{sources}.user_tagged").cast("int"), 1)
 
@@ -118,19 +129,8 @@ def relocate(mentions: DataFrame) -> DataFrame:
     """
     same = is_boundary(F.col("content"), F.col("start")) & is_boundary(F.col("content"), F.col("end"))
     exact = F.coalesce((F.col("end") <= F.octet_length("content")) & same & (byte_slice(F.col("content"), F.col("start"), F.col("end")) == F.col("surface")), F.lit(False))
-    parts = F.filter(F.split("content", F.concat(F.lit(r"\Q"), F.replace(F.col("surface"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), lambda p: p.isNotNull())
-    size = F.octet_length("surface")
-    # byte offsets of the occurrences: a running sum over what lies between them
-    running = F.aggregate(
-        F.slice("parts", 1, F.size("parts") - 1),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("found")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.octet_length(p) + F.col("size")).cast("bigint").alias("at"),
-            F.concat(acc["found"], F.array((acc["at"] + F.octet_length(p)).cast("bigint"))).alias("found"),
-        ),
-    )
-    placed = mentions.withColumn("exact", exact).withColumn("parts", F.when(F.length("surface") > 0, parts)).withColumn("size", size)
-    placed = placed.withColumn("found", F.coalesce(running["found"], F.array().cast("array<bigint>")))
+    placed = mentions.withColumn("exact", exact).withColumn("size", F.octet_length("surface"))
+    placed = placed.withColumn("found", occurrence_offsets(F.col("content"), F.col("surface")))
     fits = F.filter(
         "found",
         lambda at: F.endswith(quote_prefix(F.col("content"), at), F.col("prefix")) & F.startswith(quote_suffix(F.col("content"), at + F.col("size")), F.col("suffix")),
@@ -140,7 +140,7 @@ def relocate(mentions: DataFrame) -> DataFrame:
     active = F.col("at").isNotNull()
     return placed.withColumns(
         {"start": F.coalesce("at", "start"), "end": F.when(active, F.col("at") + F.col("size")).otherwise(F.col("end")).cast("bigint"), "active": active}
-    ).drop("exact", "parts", "size", "found", "at")
+    ).drop("exact", "size", "found", "at")
 
 
 def occurrence_counts(pairs: DataFrame) -> DataFrame:

@@ -7,13 +7,14 @@ few levels are written to the shared folder, so plans stay short.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from meshwork.functions.text import ascii_lower, name_error, trim_white
 from meshwork.sources.shared import new_path
 from meshwork.types import LIMITS
 
+from .slots import assign_slots
 from .validate import union, violations
 
 ROOT_ID = 1
@@ -71,7 +72,8 @@ def paths(entries: DataFrame) -> DataFrame:
 def visible_rows(entries: DataFrame, expanded: Column) -> DataFrame:
     """Rows shown when some folders are expanded, with depth and pre-order place: folders first, then by lower-case name."""
     shown = walk(entries, root(entries), expanded & (F.col("kind") == "folder"))
-    return shown.select("id", "depth", F.row_number().over(Window.orderBy("key")).alias("place"))
+    placed = assign_slots(shown.select("id", "depth", F.struct("key", "id").alias("key")), "key", "place")
+    return placed.select("id", "depth", (F.col("place") + 1).alias("place"))
 
 
 def closure(entries: DataFrame, start: DataFrame) -> DataFrame:
@@ -81,8 +83,11 @@ def closure(entries: DataFrame, start: DataFrame) -> DataFrame:
 
 def delete(entries: DataFrame, ids: DataFrame) -> DataFrame:
     """The tree without the given entries and what is below them. The root cannot be deleted."""
-    if ids.where(F.col("id") == ROOT_ID).limit(1).count():
+    if not ids.where(F.col("id") == ROOT_ID).isEmpty():
         raise ValueError("RootIsImmutable")
+    lost = ids.select("id").join(entries, "id", "left_anti").agg(F.min("id").alias("id")).first().id
+    if lost is not None:
+        raise ValueError(f"MissingEntry({lost})")
     return entries.join(closure(entries, ids), "id", "left_anti")
 
 
@@ -120,21 +125,42 @@ def create(entries: DataFrame, parent: int, kind: str, name: str, next_id: int)
     return entries.unionByName(spark.createDataFrame([(next_id, parent, kind, checked.name)], "id bigint, parent bigint, kind string, name string"))
 
 
-def rename(entries: DataFrame, entry: int, name: str) -> DataFrame:
-    if entry == ROOT_ID:
+def rename(entries: DataFrame, wanted: int, name: str) -> DataFrame:
+    if wanted == ROOT_ID:
         raise ValueError("RootIsImmutable")
-    row = entries.where(F.col("id") == entry).first()
+    row = entries.where(F.col("id") == wanted).first()
     if row is None:
-        raise ValueError("EntryNotFound")
+        raise ValueError(f"MissingEntry({wanted})")
     checked = entries.sparkSession.range(1).select(trim_white(F.lit(name)).alias("name"), name_error(F.lit(name)).alias("error")).first()
     if checked.error:
         raise ValueError(checked.error)
-    if name_taken(entries, row.parent, checked.name, entry):
+    if name_taken(entries, row.parent, checked.name, wanted):
         raise ValueError("DuplicateName")
-    return entries.withColumn("name", F.when(F.col("id") == entry, F.lit(checked.name)).otherwise(F.col("name")))
+    return entries.withColumn("name", F.when(F.col("id") == wanted, F.lit(checked.name)).otherwise(F.col("name")))
+
+
+def entry(entries: DataFrame, wanted: int) -> Row:
+    """One entry by its id."""
+    row = entries.where(F.col("id") == wanted).first()
+    if row is None:
+        raise ValueError(f"MissingEntry({wanted})")
+    return row
+
+
+def require_note(entries: DataFrame, wanted: int) -> Row:
+    row = entry(entries, wanted)
+    if row.kind != "note":
+        raise ValueError(f"NotNote({wanted})")
+    return row
+
+
+def active_document(entries: DataFrame) -> DataFrame:
+    """(id, document): the document that selecting an entry makes active; none for a folder."""
+    return entries.select("id", F.when(F.col("kind") == "note", F.col("id")).alias("document"))
 
 
 def parent_for_create(entries: DataFrame, selected: int) -> DataFrame:
+    entry(entries, selected)
     return entries.where(F.col("id") == selected).select(F.when(F.col("kind") == "folder", F.col("id")).otherwise(F.col("parent")).alias("id"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.functions.text import byte_slice, digest, name_error, occurrences, quote_prefix, quote_suffix, trim_white
+from meshwork.functions.text import byte_slice, digest, name_error, occurrences, quote_prefix, quote_suffix
 from meshwork.operators import anchors as spans
 from meshwork.operators import logs, registry, tree
 from meshwork.sources.tables import anchors, entities, entries, mentions, ner_batch, table
@@ -20,19 +22,22 @@ ENTITIES_SQL = f"""
   FROM (SELECT n_nationkey::BIGINT AS k, n_name AS label, 1 AS base FROM nation UNION ALL SELECT p_partkey, p_name, 1001 FROM part)"""
 BATCH_SQL = f"""
   SELECT k + base AS stable_id, label, {_KIND % 'k'} AS kind, CASE WHEN k % 7 = 6 THEN 'TRIBE' END AS custom_kind, k % 9 + 1 AS mention_count
-  FROM (SELECT n_nationkey::BIGINT AS k, n_name AS label, 1 AS base FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name, 5000001 FROM supplier WHERE s_suppkey % 4 = 0)"""
+  FROM (SELECT n_nationkey::BIGINT AS k, n_name AS label, 1 AS base FROM nation UNION ALL SELECT s_suppkey, s_name, 5000001 FROM supplier)"""
 MENTIONS_SQL = """
   SELECT user_id % (SELECT count(*) FROM nation) + 1 AS entity_id, user_id % 40 + 1 AS document, event_id * 7 % 1000 AS start, event_id * 7 % 1000 + event_id % 13 + 1 AS "end",
          event_id % 5 <> 0 AS active FROM events"""
 _LABELS = "(VALUES ('character','Character',0),('location','Location',1),('npc','NPC',2),('faction','Faction',3),('event','Event',4),('concept','Concept',5),('custom','Custom',6)) k(kind, kind_label, place)"
 ANCHORS_SQL = """
-  SELECT doc_id + 1 AS document, strlen(left(d.text, position(b.text IN d.text) - 1)) AS start, strlen(left(d.text, position(b.text IN d.text) - 1)) + strlen(b.text) AS "end",
-         item_id + 1 AS node_id, b.text AS surface, d.text AS content FROM documents d JOIN benchmark b ON contains(d.text, b.text)"""
+  SELECT document, strlen(left(content, cut)) AS start, strlen(left(content, cut)) + strlen(surface) AS "end", node_id, surface, content,
+         left(content, cut) AS pre, substr(content, cut + length(surface) + 1) AS post FROM (
+    SELECT doc_id + 1 AS document, item_id + 1 AS node_id, surface, content, (list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * length(surface))::BIGINT AS cut FROM (
+      SELECT *, unnest(range(1, len(p))) AS k FROM (
+        SELECT doc_id, item_id, b.text AS surface, d.text AS content, string_split(d.text, b.text) AS p FROM documents d JOIN benchmark b ON contains(d.text, b.text))))"""
 ENTRIES_SQL = """
   SELECT 1::BIGINT AS id, 0::BIGINT AS parent, 'folder' AS kind, 'World' AS name
   UNION ALL SELECT r_regionkey + 10, 1, 'folder', r_name FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey + 10, 'folder', n_name FROM nation
   UNION ALL SELECT c_custkey + 1000000, c_nationkey + 100, 'folder', c_name FROM customer
-  UNION ALL SELECT o_orderkey + 100000000, o_custkey + 1000000, 'note', 'order ' || o_orderkey FROM orders WHERE o_orderkey < 10000"""
+  UNION ALL SELECT o_orderkey + 100000000, o_custkey + 1000000, 'note', 'order ' || o_orderkey FROM orders"""
 
 
 @BOOK.add(f"""
@@ -85,8 +90,9 @@ WITH a AS (SELECT *, lag("end") OVER (PARTITION BY document ORDER BY start, "end
 SELECT document, start, "end", node_id, previous_end FROM a WHERE start < previous_end""")
 def anchor_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = anchors(spark, sf_dir).select("document", "start", "end", "node_id")
-    shifted = found.select("document", (F.col("start") + 5).alias("start"), "end", (F.col("node_id") + 1000).alias("node_id"))
-    return spans.overlapping(found.unionByName(shifted))
+    copies = F.explode(F.array(*(F.struct(F.lit(by).alias("by"), F.lit(number).alias("number")) for by, number in ((0, 0), (5, 1000)))))
+    both = found.withColumn("copy", copies)
+    return spans.overlapping(both.select("document", (F.col("start") + F.col("copy.by")).alias("start"), "end", (F.col("node_id") + F.col("copy.number")).alias("node_id")))
 
 
 @BOOK.add(f"SELECT document, node_id, start, \"end\", true AS exact, false AS shifted_exact FROM ({ANCHORS_SQL})")
@@ -120,11 +126,11 @@ def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add(f"""
-SELECT document, node_id, right(left(content, position(surface IN content) - 1), 32) AS prefix, left(substr(content, position(surface IN content) + length(surface)), 32) AS suffix
+SELECT document, node_id, start, right(pre, 32) AS prefix, left(post, 32) AS suffix
 FROM ({ANCHORS_SQL})""")
 def quote_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = anchors(spark, sf_dir)
-    return rows.select("document", "node_id", quote_prefix(F.col("content"), F.col("start")).alias("prefix"), quote_suffix(F.col("content"), F.col("end")).alias("suffix"))
+    return rows.select("document", "node_id", "start", quote_prefix(F.col("content"), F.col("start")).alias("prefix"), quote_suffix(F.col("content"), F.col("end")).alias("suffix"))
 
 
 @BOOK.add(f"""
@@ -184,12 +190,17 @@ def workspace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.counts(entries(spark, sf_dir))
 
 
-@BOOK.add("""
-WITH n AS (SELECT doc_id, left(text, 12 + (doc_id % 120)::INT) AS name FROM documents), t AS (SELECT doc_id, regexp_replace(name, '^\\s+|\\s+$', '', 'g') AS name FROM n)
-SELECT CASE WHEN length(name) = 0 THEN 'EmptyName' WHEN strlen(name) > 96 OR regexp_matches(name, '[[:cntrl:]/\\\\<>:"|?*]') THEN 'InvalidName' ELSE 'ok' END AS error, count(*) AS n FROM t GROUP BY ALL""")
+_NAMES = ("documents", "doc_id", "text"), ("part", "p_partkey", "p_name"), ("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("nation", "n_nationkey", "n_name")
+
+
+@BOOK.add(f"""
+WITH n AS ({' UNION ALL '.join(f"SELECT '{t}' AS source, {k}::BIGINT AS id, {c} AS name FROM {t}" for t, k, c in _NAMES)}),
+  t AS (SELECT source, id, regexp_replace(name, '^\\s+|\\s+$', '', 'g') AS name FROM n)
+SELECT source, id, CASE WHEN length(name) = 0 THEN 'EmptyName' WHEN strlen(name) > 96 OR regexp_matches(name, '[[:cntrl:]/\\\\<>:"|?*]') THEN 'InvalidName' ELSE 'ok' END AS error FROM t""")
 def name_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "documents").select(trim_white(F.left("text", F.lit(12) + (F.col("doc_id") % 120).cast("int"))).alias("name"))
-    return names.groupBy(F.coalesce(name_error(F.col("name")), F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
+    """Whether whole texts and names may name an entry."""
+    rows = [table(spark, sf_dir, t).select(F.lit(t).alias("source"), F.col(k).cast("bigint").alias("id"), name_error(F.col(c)).alias("error")) for t, k, c in _NAMES]
+    return reduce(DataFrame.unionByName, rows).withColumn("error", F.coalesce("error", F.lit("ok")))
 
 
 @BOOK.add("SELECT quantile_disc(value, 0.95) AS p95, count(*) AS n FROM events")

@@ -172,10 +172,8 @@ def layout_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add(f"""
 WITH p AS ({POSITIONS_SQL}) SELECT manifold, {', '.join(f"round(min({a} - 0.5), 4) AS min_{a}, round(max({a} + 0.5), 4) AS max_{a}" for a in 'xyz')} FROM p GROUP BY manifold""")
 def graph_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = positions(spark, sf_dir).withColumn("radius", F.lit(0.5))
-    return rows.groupBy("manifold").agg(
-        *(F.round(F.min(F.col(a) - F.col("radius")), 4).alias(f"min_{a}") for a in "xyz"), *(F.round(F.max(F.col(a) + F.col("radius")), 4).alias(f"max_{a}") for a in "xyz")
-    )
+    rows = geometry.bounds(positions(spark, sf_dir).withColumn("radius", F.lit(0.5)), "manifold")
+    return rows.select("manifold", *(F.round(f"{end}_{a}", 4).alias(f"{end}_{a}") for end in ("min", "max") for a in "xyz"))
 
 
 _HALF = min(math.pi / 8, math.atan(math.tan(math.pi / 8) * 3.2))
@@ -185,8 +183,8 @@ _HALF = min(math.pi / 8, math.atan(math.tan(math.pi / 8) * 3.2))
 WITH b AS (SELECT manifold, max(x + 0.5) - min(x - 0.5) AS dx, max(y + 0.5) - min(y - 0.5) AS dy, max(z + 0.5) - min(z - 0.5) AS dz FROM ({POSITIONS_SQL}) GROUP BY manifold)
 SELECT manifold, round(least(greatest(greatest(sqrt(dx * dx + dy * dy + dz * dz) / 2, 1.0) / {math.sin(_HALF)!r} * 1.1, 0.05), 100000.0), 3) AS distance FROM b""")
 def camera_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = positions(spark, sf_dir).withColumn("radius", F.lit(0.5))
-    spans = rows.groupBy("manifold").agg(*((F.max(F.col(a) + F.col("radius")) - F.min(F.col(a) - F.col("radius"))).alias(a) for a in "xyz"))
+    box = geometry.bounds(positions(spark, sf_dir).withColumn("radius", F.lit(0.5)), "manifold")
+    spans = box.select("manifold", *((F.col(f"max_{a}") - F.col(f"min_{a}")).alias(a) for a in "xyz"))
     radius = F.greatest(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")) / 2, F.lit(1.0))
     return spans.select("manifold", F.round(geometry.fit_distance(radius, math.pi / 4, 3.2), 3).alias("distance"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,27 +38,66 @@ def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 def seed_entries(spark: SparkSession) -> DataFrame:
     """The tree that a new workspace begins with."""
+    # The five entries of a new workspace.
     rows = [(1, 0, "folder", "Workspace"), (2, 1, "folder", "Notes"), (3, 2, "note", "Welcome"), (4, 1, "folder", "Research"), (5, 4, "note", "Graph notes")]
     return spark.createDataFrame(rows, ENTRY_SCHEMA)
 
 
-def lease(documents: DataFrame, entry: int) -> DataFrame:
-    """One row (entry_id, revision, content_hash, content); a document never saved has revision 0 and no content."""
-    one = documents.sparkSession.range(1).select(F.lit(entry).cast("bigint").alias("entry_id"))
-    found = one.join(documents, "entry_id", "left")
+def load_or_seed(spark: SparkSession, path: str) -> DataFrame:
+    """The tree stored at ``path``; the seed when nothing is there."""
+    try:
+        return read_entries(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return seed_entries(spark)
+
+
+def write_json(rows: DataFrame, name: str, path: str, **fields: int) -> None:
+    """One JSON document with the fields and all rows under ``name``: what the readers above read.
+
+    A stored tree or registry is one document of bounded size (``LIMITS``), so its rows meet in one place.
+    """
+    gathered = rows.agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias(name))
+    gathered.select(*(F.lit(v).alias(k) for k, v in fields.items()), name).coalesce(1).write.option("ignoreNullFields", False).json(path)
+
+
+def leases(documents: DataFrame, entries: DataFrame) -> DataFrame:
+    """A row (entry_id, revision, content_hash, content) for each entry; a document never saved has revision 0 and no content."""
+    found = entries.select("entry_id").distinct().join(documents, "entry_id", "left")
     content = F.coalesce("content", F.lit(""))
     return found.select("entry_id", F.coalesce("revision", F.lit(0)).cast("bigint").alias("revision"), digest(content).alias("content_hash"), content.alias("content"))
 
 
+def lease(documents: DataFrame, entry: int) -> DataFrame:
+    return leases(documents, documents.sparkSession.range(1).select(F.lit(entry).cast("bigint").alias("entry_id")))
+
+
+def judged(documents: DataFrame, saves: DataFrame) -> DataFrame:
+    """``saves`` (entry_id, revision, content_hash, content; one a document) with their outcome.
+
+    A token that is not the document's is stale; equal content changes nothing, also of a document never saved.
+    """
+    held = leases(documents, saves).select("entry_id", F.col("revision").alias("_revision"), F.col("content_hash").alias("_hash"), F.col("content").alias("_content"))
+    fresh = (F.col("revision") == F.col("_revision")) & (F.col("content_hash") == F.col("_hash"))
+    outcome = F.when(F.octet_length("content") > LIMITS["document_bytes"], "DocumentTooLarge").when(~fresh, "StaleDocumentLease")
+    outcome = outcome.when(F.col("content") == F.col("_content"), "unchanged").otherwise("saved")
+    return saves.join(held, "entry_id").withColumn("outcome", outcome).drop("_revision", "_hash", "_content")
+
+
+def commit_all(documents: DataFrame, saves: DataFrame) -> DataFrame:
+    """The documents after all saves whose outcome is ``saved``."""
+    good = judged(documents, saves).where("outcome = 'saved'")
+    rows = good.select("entry_id", (F.col("revision") + 1).alias("revision"), digest(F.col("content")).alias("content_hash"), "content")
+    return documents.join(rows.select("entry_id"), "entry_id", "left_anti").unionByName(rows.select(*documents.columns))
+
+
 def commit(documents: DataFrame, entry: int, revision: int, content_hash: str, content: str) -> DataFrame:
-    """The documents after a save under a lease token (revision, hash); equal content changes nothing."""
-    if len(content.encode()) > LIMITS["document_bytes"]:
-        raise ValueError("DocumentTooLarge")
-    held = lease(documents, entry).first()
-    if (held.revision, held.content_hash) != (revision, content_hash):
-        raise ValueError(f"StaleDocumentLease({entry})")
-    if held.content == content and held.revision:
+    """The documents after one save under a lease token (revision, hash)."""
+    saves = documents.sparkSession.createDataFrame([(entry, revision, content_hash, content)], "entry_id bigint, revision bigint, content_hash string, content string")
+    outcome = judged(documents, saves).first().outcome
+    if outcome == "unchanged":
         return documents
-    row = documents.sparkSession.createDataFrame([(entry, revision + 1, content)], "entry_id bigint, revision bigint, content string")
-    row = row.withColumn("content_hash", digest(F.col("content")))
-    return documents.where(F.col("entry_id") != entry).unionByName(row.select(*documents.columns))
+    if outcome != "saved":
+        raise ValueError(f"{outcome}({entry})")
+    return commit_all(documents, saves)

@@ -29,31 +29,71 @@ def _unit(seed: int, salt: str) -> Column:
     return F.xxhash64("id", F.lit(seed), F.lit(salt)).cast("double") / 2.0**64 + 0.5
 
 
+# Nodes of a group and the least number of groups, by topology.
+GROUPS = {"clustered": (250, 3), "hubs": (500, 1), "communities": (200, 2)}
+TOPOLOGIES = ("uniform", "clustered", "hubs", "chain", "communities")
+
+
+def groups_of(topology: str, count: int) -> int:
+    size, least = GROUPS[topology]
+    return max(1, min(max(count // size, least), count))
+
+
 def random_nodes(spark: SparkSession, topology: str, count: int, seed: int = 42) -> DataFrame:
-    """Nodes (id, x, y, z, radius, kind) of a topology: uniform, clustered, hubs, chain or communities."""
+    """Nodes (id, x, y, z, radius, color, kind) of a topology; numbers are fixed by id and seed.
+
+    Uniform: a box of 5 times the root of the count, flat in z. Clustered: boxes
+    of 5 to 40 around centres within 8 times the root. Hubs: centres of radius 8
+    and kind 1 on a circle of 150, the others at 10 to 120 from theirs. Chain: a
+    closed formula. Communities: boxes of 40 on a circle of 6 times the root.
+    """
+    if topology not in TOPOLOGIES:
+        raise ValueError(f"unknown topology {topology}")
     rows = spark.range(1, count + 1)
     side = math.sqrt(max(count, 1))
-    spread = lambda salt, size: (_unit(seed, salt) * 2 - 1) * size
     i = F.col("id") - 1
+    between = lambda salt, low, high: _unit(seed, salt) * (high - low) + low
+    spread = lambda salt, size: (_unit(seed, salt) * 2 - 1) * size
+    number = lambda value: F.lit(float(value))
     if topology == "uniform":
-        place, kind = [spread("x", 5 * side), spread("y", 5 * side), spread("z", side)], F.lit(0)
+        place = [spread("x", 5 * side), spread("y", 5 * side), spread("z", side)]
+        radius, kind = between("radius", 1.0, 3.5), F.lit(0)
+        color = [between("red", 0.2, 0.9), between("green", 0.3, 0.95), between("blue", 0.5, 1.0)]
     elif topology == "chain":
-        place, kind = [i * 8.0 - 4.0 * count, F.sin(i * 0.3) * 20, F.cos(i * 0.2) * 10], F.lit(0)
-    elif topology in ("clustered", "communities", "hubs"):
-        groups = max(count // {"clustered": 250, "communities": 200, "hubs": 500}[topology], {"clustered": 3, "communities": 2, "hubs": 1}[topology])
-        kind = (i % groups).cast("int")
-        angle = kind * (2 * math.pi / groups)
-        ring = 150.0 if topology == "hubs" else 6 * side
+        place = [i * 8.0 - 4.0 * count, F.sin(i * 0.1) * 50.0, F.cos(i * 0.15) * 20.0]
+        radius, kind, color = number(2), F.lit(0), [number(0.2), number(0.8), number(0.6)]
+    else:
+        groups = groups_of(topology, count)
+        group = i % groups
+        angle, hue = group * (2 * math.pi / groups), group / groups
+        kind = group
         if topology == "clustered":
-            group_unit = lambda salt: F.xxhash64(kind, F.lit(seed), F.lit(salt)).cast("double") / 2.0**64 + 0.5
-            middle = [(group_unit(s) * 2 - 1) * 8 * side for s in ("cx", "cy", "cz")]
+            center = lambda salt, size: (F.xxhash64(group, F.lit(seed), F.lit(salt)).cast("double") / 2.0**64 * 2) * size
+            reach = between("reach", 5.0, 40.0)
+            place = [center(f"c{a}", 8 * side * flat) + (_unit(seed, a) * 2 - 1) * reach * share for a, flat, share in (("x", 1, 1), ("y", 1, 1), ("z", 0.1, 0.3))]
+            radius, color = between("radius", 1.2, 3.0), [hue * 0.8 + 0.1, 1.0 - hue * 0.5, hue * 0.9 + 0.1]
+        elif topology == "communities":
+            place = [F.cos(angle) * (6 * side) + spread("x", 40.0), F.sin(angle) * (6 * side) + spread("y", 40.0), spread("z", 15.0)]
+            radius, color = between("radius", 1.5, 3.2), [hue, number(0.7), 1.0 - hue]
         else:
-            middle = [F.cos(angle) * ring, F.sin(angle) * ring, F.lit(0.0)]
-        away, turn = _unit(seed, "r") * 35 + 5, _unit(seed, "t") * 2 * math.pi
-        place = [middle[0] + F.cos(turn) * away, middle[1] + F.sin(turn) * away, middle[2] + spread("z", 5.0)]
-    else:
-        raise ValueError(f"unknown topology {topology}")
-    return rows.select("id", *(p.cast("double").alias(a) for p, a in zip(place, "xyz")), (_unit(seed, "radius") * 2.5 + 1).alias("radius"), kind.cast("int").alias("kind"))
+            hub = i < groups
+            away, turn = between("away", 10.0, 120.0), _unit(seed, "turn") * (2 * math.pi)
+            from_hub = lambda offset: F.when(hub, 0.0).otherwise(offset)
+            place = [F.cos(angle) * 150.0 + from_hub(F.cos(turn) * away), F.sin(angle) * 150.0 + from_hub(F.sin(turn) * away), from_hub(spread("z", 10.0))]
+            radius, kind = F.when(hub, 8.0).otherwise(between("radius", 1.0, 2.5)), F.when(hub, 1).otherwise(0)
+            color = [F.when(hub, h).otherwise(o) for h, o in ((1.0, 0.3), (0.3, 0.7), (0.2, 0.9))]
+    shade = F.array(*(c.cast("double") for c in color), number(1)).alias("color")
+    return rows.select("id", *(p.cast("double").alias(a) for p, a in zip(place, "xyz")), radius.cast("double").alias("radius"), shade, kind.cast("int").alias("kind"))
+
+
+def topology_edges(spark: SparkSession, topology: str, count: int) -> DataFrame:
+    """Edges (id, source, target) that a topology itself has: hub to spoke, or each link of a chain."""
+    if topology == "hubs" and count:
+        hubs = groups_of(topology, count)
+        return spark.range(1, count - hubs + 1).select("id", ((F.col("id") + hubs - 1) % hubs + 1).alias("source"), (F.col("id") + hubs).alias("target"))
+    if topology == "chain":
+        return spark.range(1, max(count, 1)).select("id", F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    return spark.range(0).select("id", F.col("id").alias("source"), F.col("id").alias("target"))
 
 
 def random_edges(spark: SparkSession, nodes: int, requested: int, seed: int = 42) -> DataFrame:
@@ -77,37 +117,43 @@ def random_edges(spark: SparkSession, nodes: int, requested: int, seed: int = 42
 
 
 def jitter(nodes: DataFrame, ratio: float, revision: int, seed: int = 42) -> DataFrame:
-    """An update lane: a share of the live nodes, moved a little; which ones a hash of id and revision tells."""
-    moved = nodes.where(_unit(seed + revision, "pick") < ratio)
-    return moved.select(F.lit(revision).cast("bigint").alias("revision"), F.lit("update").alias("op"), "id", *((F.col(a) + (_unit(seed + revision, a) - 0.5)).alias(a) for a in "xyz"))
+    """An update lane of a share of the live nodes, rounded up and at least one: x and y move by up to 1.5, red by up to 0.04."""
+    count = nodes.count()
+    wanted = max(min(math.ceil(count * ratio), count), min(count, 1))
+    pick = F.xxhash64("id", F.lit(seed + revision), F.lit("pick"))
+    moved = nodes.withColumn("_pick", pick).orderBy("_pick", "id").limit(wanted).drop("_pick")
+    by = lambda salt, size: (_unit(seed + revision, salt) * 2 - 1) * size
+    rows = moved.withColumns({"x": F.col("x") + by("x", 1.5), "y": F.col("y") + by("y", 1.5)})
+    if "color" in nodes.columns:
+        red = F.least(F.greatest(F.element_at("color", 1) + by("red", 0.04), F.lit(0.05)), F.lit(1.0))
+        rows = rows.withColumn("color", F.concat(F.array(red), F.slice("color", 2, 3)))
+    return rows.select(F.lit(revision).cast("bigint").alias("revision"), F.lit("update").alias("op"), *nodes.columns)
+
+
+# The five layouts' coordinates x, y, z of node i.
+LAYOUTS = {
+    "hybrid": ("i % 100 - 49.5D", "i div 100 % 100 - 49.5D", "i * 37 % 211 * 0.025D - 2.625D"),
+    "hopf": (
+        "(34D + i div 100 % 8 * 1.4D + (4D + i % 11 * 0.12D) * cos(i * 0.017453292D * 7 + i % 100 * 0.031D)) * cos(i * 0.017453292D)",
+        "(34D + i div 100 % 8 * 1.4D + (4D + i % 11 * 0.12D) * cos(i * 0.017453292D * 7 + i % 100 * 0.031D)) * sin(i * 0.017453292D)",
+        "(4D + i % 11 * 0.12D) * sin(i * 0.017453292D * 7 + i % 100 * 0.031D)",
+    ),
+    "caps": (
+        "cos(i % 16 * (pi() / 8)) * 32D + cos(i * 0.017453292D) * (18D + i % 97 * 0.08D)",
+        "sin(i % 16 * (pi() / 8)) * 32D + sin(i * 0.017453292D) * (18D + i % 97 * 0.08D)",
+        "i div 16 % 80 * 0.18D - 7.2D",
+    ),
+    "transit": ("(i % 100 - 49.5D) * 1.35D", "(i % 12 - 5.5D) * 5.5D + sin(i * 0.017453292D * 3) * 0.8D", "(i div 100 % 100 - 49.5D) * 0.22D"),
+    "siegel": ("sqrt(i) * 0.45D * cos(i * 0.017453292D)", "sqrt(i) * 0.45D * sin(i * 0.017453292D)", "(i % 257 - 128D) * 0.035D"),
+}
 
 
 def cohort_layout(nodes: DataFrame, manifold: str) -> DataFrame:
-    """(slot, x, y, z) of a closed-form layout over slots.
-
-    Fixed values: the coefficients of the five layouts.
-    """
-    i = F.col("slot")
-    grid_x, grid_y = i % 100 - F.lit(49.5), F.floor(i / 100) % 100 - F.lit(49.5)
-    phase = i * F.lit(0.017453292)
-    if manifold == "hybrid":
-        place = (grid_x, grid_y, i * 37 % 211 * F.lit(0.025) - 2.625)
-    elif manifold == "hopf":
-        major, minor = F.floor(i / 100) % 8 * F.lit(1.4) + 34.0, i % 11 * F.lit(0.12) + 4.0
-        phi = phase * 7.0 + i % 100 * F.lit(0.031)
-        ring = major + minor * F.cos(phi)
-        place = (ring * F.cos(phase), ring * F.sin(phase), minor * F.sin(phi))
-    elif manifold == "caps":
-        angle, radius = i % 16 * F.lit(2 * math.pi / 16), i % 97 * F.lit(0.08) + 18.0
-        place = (F.cos(angle) * 32.0 + F.cos(phase) * radius, F.sin(angle) * 32.0 + F.sin(phase) * radius, F.floor(i / 16) % 80 * F.lit(0.18) - 7.2)
-    elif manifold == "transit":
-        place = (grid_x * 1.35, (i % 12 - F.lit(5.5)) * 5.5 + F.sin(phase * 3.0) * 0.8, grid_y * 0.22)
-    elif manifold == "siegel":
-        radius = F.sqrt(i) * 0.45
-        place = (radius * F.cos(phase), radius * F.sin(phase), (i % 257 - F.lit(128.0)) * 0.035)
-    else:
+    """(slot, x, y, z) of a closed-form layout over slots."""
+    if manifold not in LAYOUTS:
         raise ValueError(f"unknown manifold {manifold}")
-    return nodes.select("slot", *(p.cast("double").alias(a) for p, a in zip(place, "xyz")))
+    rows = nodes.select("slot", F.col("slot").alias("i"))
+    return rows.select("slot", *(F.expr(f"cast({formula} as double)").alias(a) for a, formula in zip("xyz", LAYOUTS[manifold])))
 
 
 def guide_strokes(spark: SparkSession, level: int, strokes: int = 8, points: int = 65) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.functions.masks import bit_for
+from meshwork.functions.text import occurrence_offsets
 from meshwork.operators.slots import assign_slots
 from meshwork.types import ENTITY_KINDS
 
 SUPPLIER_BASE, PART_BASE = 10_000_001, 20_000_001
+KEY_WORDS, KEY_CHARACTERS = 3, 3
+#: Keys of surfaces up to this number are broadcast; beyond, keys are shuffled.
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,10 +120,9 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ner_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incoming named entities: every second nation, under the ids of the registry, and suppliers from 5,000,001."""
+    """Incoming named entities: the nations, under the ids of the registry, and suppliers from 5,000,001."""
     kinds = F.array(*(F.lit(k) for k, _, _ in ENTITY_KINDS))
-    nation = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0")
-    supplier = table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0")
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     rows = []
     for df, key, label, base in ((nation, F.col("n_nationkey").cast("bigint"), F.col("n_name"), 1), (supplier, F.col("s_suppkey").cast("bigint"), F.col("s_name"), 5_000_001)):
         kind = F.element_at(kinds, (key % 7).cast("int") + 1)
@@ -143,31 +148,55 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of benchmark texts within documents, as byte offsets: document, start, end, node_id, surface, content.
+def _candidates(docs: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """(doc_id, item_id) that may hold a surface: no pair that does is missing, and texts meet by key, never all with all.
 
-    Each benchmark text is looked up by its first six words, so texts meet by
-    key and not by a product of the two tables.
+    Words inside a surface, all but its first and last, are whole words of any
+    text that holds it, whatever its ends are glued to: up to ``KEY_WORDS`` of
+    them make a key. Surfaces of one or two words are met by their first characters.
     """
-    head = 6
-    words = lambda c: F.split(c, r"\s+")
-    bench = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("surface"))
-    bench = bench.withColumn("key", F.xxhash64(F.array_join(F.slice(words(F.col("surface")), 1, head), " ")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    tokens = docs.select("doc_id", words(F.col("content")).alias("w"))
-    keyed = tokens.where(F.size("w") >= head).select(
-        "doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - head + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, head), " "))))).alias("key")
-    )
-    pairs = keyed.join(bench, "key").select("doc_id", "item_id", "surface").join(docs, "doc_id")
-    at = F.position("surface", "content")
-    start = F.octet_length(F.left("content", at - 1))
-    return pairs.where(at > 0).select(
-        (F.col("doc_id") + 1).alias("document"), start.cast("bigint").alias("start"), (start + F.octet_length("surface")).cast("bigint").alias("end"),
+    words = lambda c: F.transform(F.split(c, r"\s+"), lambda w: F.xxhash64(w))
+    named = surfaces.where(F.length("surface") > 0).withColumn("w", words("surface"))
+    inner = F.size("w") - 2
+    named = named.withColumn("m", F.when(inner > 0, F.least(inner, F.lit(KEY_WORDS))).otherwise(-F.least(F.length("surface"), F.lit(KEY_CHARACTERS))))
+    window = lambda array, at, m: F.xxhash64(F.lit(m), *(F.element_at(array, at + k) for k in range(m)))
+    tokens = docs.select("doc_id", words("content").alias("w"))
+    found = []
+    for m in sorted(r.m for r in named.select("m").distinct().collect()):  # at most KEY_WORDS + KEY_CHARACTERS numbers
+        if m > 0:
+            keys = named.where(F.col("m") == m).select("item_id", window("w", F.lit(2), m).alias("key"))
+            at = F.sequence(F.lit(1), F.size("w") - (m - 1))
+            grams = tokens.where(F.size("w") >= m).select("doc_id", F.explode(F.array_distinct(F.transform(at, lambda i: window("w", i, m)))).alias("key"))
+        else:
+            keys = named.where(F.col("m") == m).select("item_id", F.left("surface", F.lit(-m)).alias("key"))
+            at = F.sequence(F.lit(1), F.length("content") + (m + 1))
+            long_enough = docs.where(F.length("content") >= -m)
+            grams = long_enough.select("doc_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("content", i, F.lit(-m))))).alias("key"))
+        small = keys.count() <= BROADCAST_ROWS
+        found.append(grams.join(F.broadcast(keys) if small else keys, "key").select("doc_id", "item_id"))
+    if not found:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def spans_of(docs: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """Every place (from left to right, not overlapping) of each surface (item_id, surface) in each text (doc_id, content)."""
+    pairs = _candidates(docs, surfaces).join(surfaces, "item_id").join(docs, "doc_id").where(F.contains("content", "surface"))
+    start = F.explode(occurrence_offsets(F.col("content"), F.col("surface")))
+    placed = pairs.select("doc_id", "item_id", "surface", "content", start.alias("start"))
+    return placed.select(
+        (F.col("doc_id") + 1).alias("document"), "start", (F.col("start") + F.octet_length("surface")).cast("bigint").alias("end"),
         (F.col("item_id") + 1).alias("node_id"), "surface", "content",
     )
 
 
-def entries(spark: SparkSession, sf_dir: str, order_limit: int = 10_000) -> DataFrame:
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of benchmark texts within documents, as byte offsets: document, start, end, node_id, surface, content."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return spans_of(docs, table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("surface")))
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree: root 1, regions 10+, nations 100+, customers 1,000,000+ as folders, orders 100,000,000+ as notes."""
     root = spark.range(1).select(F.lit(1).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("parent"), F.lit("folder").alias("kind"), F.lit("World").alias("name"))
     t = lambda name: table(spark, sf_dir, name)
@@ -175,7 +204,7 @@ def entries(spark: SparkSession, sf_dir: str, order_limit: int = 10_000) -> Data
     region = t("region").select((big("r_regionkey") + 10).alias("id"), F.lit(1).cast("bigint").alias("parent"), F.lit("folder").alias("kind"), F.col("r_name").alias("name"))
     nation = t("nation").select((big("n_nationkey") + 100).alias("id"), (big("n_regionkey") + 10).alias("parent"), F.lit("folder").alias("kind"), F.col("n_name").alias("name"))
     customer = t("customer").select((big("c_custkey") + 1_000_000).alias("id"), (big("c_nationkey") + 100).alias("parent"), F.lit("folder").alias("kind"), F.col("c_name").alias("name"))
-    orders = t("orders").where(F.col("o_orderkey") < order_limit).select(
+    orders = t("orders").select(
         (big("o_orderkey") + 100_000_000).alias("id"), (big("o_custkey") + 1_000_000).alias("parent"), F.lit("note").alias("kind"), F.concat(F.lit("order "), F.col("o_orderkey")).alias("name")
     )
     return root.unionByName(region).unionByName(nation).unionByName(customer).unionByName(orders)

@@ -1,7 +1,7 @@
 """Streaming appliers: progress is ordered by revision, not by event time.
 
 Each micro-batch folds the batch's changes per id and merges them into the
-state, which is written as a new version; what is not newer than the state's
+state, whose touched buckets are written as a new version; what is not newer than the state's
 revision of its id is late and is rejected, never merged.
 """
 
@@ -10,39 +10,64 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 class StateApplier:
-    """Keeps rows (id, revision, ...) under a folder, one version for each micro-batch.
+    """Keeps rows (id, revision, op, ...) under a folder, dealt into buckets by id.
 
-    A batch that is replayed after a failure overwrites its own version, so the result is exactly once.
+    A micro-batch rewrites only the buckets that its ids fall into, as a new
+    version, and then notes those in the folder's table of commits. A batch reads
+    what was committed before it, so one that is replayed after a failure, also
+    by a new applier on the same folder, writes the same version again: the
+    result is exactly once. Older versions stay until they are cleaned up.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
-        self.version = -1
+    def __init__(self, spark: SparkSession, folder: str, schema: str, buckets: int = 32):
+        self.spark, self.folder, self.schema, self.buckets = spark, folder.rstrip("/"), schema, buckets
+
+    def _versions(self, below: int | None = None) -> dict[int, int]:
+        """The newest committed version of each bucket; at most as many rows as there are buckets."""
+        try:
+            commits = self.spark.read.schema("version bigint, bucket int").parquet(f"{self.folder}/commits")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return {}
+        if below is not None:
+            commits = commits.where(F.col("version") < below)
+        return {r.bucket: r.version for r in commits.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
 
     def _path(self, version: int) -> str:
-        return f"{self.folder}/version={version:012d}"
+        return f"{self.folder}/version-{version:012d}"
+
+    def _rows(self, versions: dict[int, int]) -> DataFrame:
+        paths = [f"{self._path(v)}/bucket={b}" for b, v in sorted(versions.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def state(self) -> DataFrame:
         """All rows with the newest change of each id, removals kept as tombstones."""
-        if self.version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._path(self.version))
+        return self._rows(self._versions())
 
     def live(self) -> DataFrame:
         return self.state().where("op <> 'remove'").drop("op")
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        columns = [c for c in self.state().columns if c != "id"]
-        both = self.state().unionByName(batch.select("id", *columns))
+        columns = [c for c in self._rows({}).columns if c != "id"]
+        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
+        batch = batch.select("id", *columns)
+        touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]
+        if not touched:
+            return
+        before = self._versions(below=batch_id)
+        both = self._rows({b: before[b] for b in touched if b in before}).unionByName(batch)
         newest = both.groupBy("id").agg(F.max_by(F.struct(*columns), "revision").alias("c")).select("id", "c.*")
-        newest.write.mode("overwrite").parquet(self._path(batch_id))
-        self.version = batch_id
+        newest.withColumn("bucket", bucket).write.partitionBy("bucket").mode("overwrite").parquet(self._path(batch_id))
+        commits = self.spark.createDataFrame([(batch_id, b) for b in touched], "version bigint, bucket int").coalesce(1)
+        commits.write.mode("append").parquet(f"{self.folder}/commits")
 
 
 def run_log(spark: SparkSession, log: str, schema: str, applier: StateApplier, checkpoint: str, files: int = 1) -> None:

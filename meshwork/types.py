@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 ALL_BITS = -1  # unsigned 64-bit masks are kept as the bit pattern of a BIGINT
 
+ACCEPTED = 1  # the review bit of what has been accepted
+
 NODE_SCHEMA = "id bigint, position array<float>, radius float, color array<float>, kind int, flags int"
 EDGE_SCHEMA = "id bigint, source bigint, target bigint, width float, color array<float>, kind int, flags int"
 SNAPSHOT_SCHEMA = f"revision bigint, nodes array<struct<{NODE_SCHEMA}>>, edges array<struct<{EDGE_SCHEMA}>>"
@@ -87,6 +90,10 @@ class View:
     def is_unfiltered(self) -> bool:
         return self.families == self.scopes == self.relations == ALL_BITS and self.reviews == 7
 
+    def style_error(self, revision: int, node_scale: float) -> str | None:
+        """Why a style may not replace the view's style; None when it may."""
+        return None if revision != 0 and math.isfinite(node_scale) and node_scale > 0 else "InvalidStyle"
+
     def authority_error(self, generation: int | None, cohort_hash: str | None, index_hash: str | None) -> str | None:
         """Why this view may not be applied to the resident scene; None when it may."""
         if not self.is_unfiltered and index_hash is None:

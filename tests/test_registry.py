@@ -121,6 +121,35 @@ def test_leases(spark):
         documents.commit(saved, 3, 0, token.content_hash, "second")
     held = documents.lease(saved, 3).first()
     assert documents.commit(saved, 3, 1, held.content_hash, "first") is saved
+    assert documents.commit(docs, 3, 0, token.content_hash, "") is docs  # an empty first save is no revision
+
+
+def test_selecting_entries(spark):
+    seed = documents.seed_entries(spark)
+    assert tree.entry(seed, 4).name == "Research" and tree.require_note(seed, 3).name == "Welcome"
+    for bad, error in ((lambda: tree.entry(seed, 9), "MissingEntry"), (lambda: tree.require_note(seed, 4), "NotNote"), (lambda: tree.parent_for_create(seed, 9), "MissingEntry"),
+                       (lambda: tree.rename(seed, 9, "x"), "MissingEntry"), (lambda: tree.delete(seed, spark.createDataFrame([(3,), (77,)], "id long")), "MissingEntry")):
+        with pytest.raises(ValueError, match=error):
+            bad()
+    assert {r.id: r.document for r in tree.active_document(seed).collect()} == {1: None, 2: None, 3: 3, 4: None, 5: 5}
+
+
+def test_spans_are_found_wherever_they_stand(spark):
+    from meshwork.sources.tables import spans_of
+
+    docs = {1: 'He said "New Rome, old Rome and new streets of Rome" twice: New Rome, old Rome and new streets of Romeo.', 2: "aa aaa é", 3: "", 4: None, 5: "x New Rome\n"}
+    surfaces = {1: "New Rome, old Rome and new streets of Rome", 2: "aa", 3: "New Rome", 4: "e", 5: " New Rome", 6: "é", 7: "not there at all in any", 8: ""}
+    found = spans_of(spark.createDataFrame(list(docs.items()), "doc_id long, content string"), spark.createDataFrame(list(surfaces.items()), "item_id long, surface string"))
+    expected = set()
+    for d, text in docs.items():
+        for i, surface in surfaces.items():
+            parts = text.split(surface) if text and surface else [""]
+            at = 0
+            for part in parts[:-1]:
+                at += len(part.encode())
+                expected.add((d + 1, i + 1, at, at + len(surface.encode())))
+                at += len(surface.encode())
+    assert {(r.document, r.node_id, r.start, r.end) for r in found.collect()} == expected and len(expected) > 10
 
 
 def test_json_sources(spark, tmp_path):

@@ -76,7 +76,7 @@ def test_slots_are_reused_last_in_first_out(spark):
 
 def test_ranges_join_across_blocks(spark):
     touched = spark.createDataFrame([(s,) for s in (0, 1, 2, 3, 4, 5, 9, 9, 12, 13)], "slot long")
-    assert sorted(map(tuple, slots.coalesced_ranges(touched, block=4).collect())) == [(0, 6), (9, 1), (12, 2)]
+    assert sorted(map(tuple, slots.coalesced_ranges(touched).collect())) == [(0, 6), (9, 1), (12, 2)]
 
 
 def test_masks(spark):
@@ -132,18 +132,50 @@ def test_tombstones_and_layouts(spark):
 
 
 def test_generators(spark):
-    for topology in ("uniform", "clustered", "hubs", "chain", "communities"):
+    radii = {"uniform": (1, 3.5), "clustered": (1.2, 3), "hubs": (1, 8), "chain": (2, 2), "communities": (1.5, 3.2)}
+    for topology in generators.TOPOLOGIES:
         rows = generators.random_nodes(spark, topology, 600).collect()
-        assert len(rows) == 600 and all(math.isfinite(r.x) and 1 <= r.radius <= 3.5 for r in rows)
+        low, high = radii[topology]
+        assert len(rows) == 600 and all(math.isfinite(r.x) and low <= r.radius <= high and len(r.color) == 4 for r in rows)
+        assert generators.random_nodes(spark, topology, 0).count() == 0 and generators.topology_edges(spark, topology, 0).count() == 0
+    side = math.sqrt(600)
+    box = generators.random_nodes(spark, "uniform", 600).agg(*(F.max(F.abs(a)) for a in "xyz")).first()
+    assert 4 * side < box[0] <= 5 * side and 4 * side < box[1] <= 5 * side and 0.8 * side < box[2] <= side
+    chain = {r.id: r for r in generators.random_nodes(spark, "chain", 10).collect()}
+    assert [chain[4].x, chain[4].y, chain[4].z] == pytest.approx([24 - 40, math.sin(0.3) * 50, math.cos(0.45) * 20])
+    assert [tuple(r)[1:] for r in generators.topology_edges(spark, "chain", 4).orderBy("id").collect()] == [(1, 2), (2, 3), (3, 4)]
+    nodes = {r.id: r for r in generators.random_nodes(spark, "hubs", 1200).collect()}
+    assert [(nodes[k].radius, nodes[k].kind) for k in (1, 2)] == [(8.0, 1)] * 2 and nodes[1].x == pytest.approx(150) and nodes[2].x == pytest.approx(-150)
+    spokes = generators.topology_edges(spark, "hubs", 1200).collect()
+    assert len(spokes) == 1198
+    for e in spokes:
+        hub, spoke = nodes[e.source], nodes[e.target]
+        assert hub.kind == 1 and spoke.kind == 0 and e.source == (e.target - 1) % 2 + 1 and 10 <= math.hypot(spoke.x - hub.x, spoke.y - hub.y) <= 120.001
+    groups = generators.random_nodes(spark, "communities", 800).collect()
+    assert {r.kind for r in groups} == {0, 1, 2, 3}
+    assert all(abs(r.x - math.cos(r.kind * math.pi / 2) * 6 * math.sqrt(800)) <= 40 and abs(r.z) <= 15 for r in groups)
     edges = generators.random_edges(spark, 12, 500).collect()
     assert len({(e.source, e.target) for e in edges}) == len(edges) == 132 and all(e.source != e.target and 1 <= e.source <= 12 and 1 <= e.target <= 12 for e in edges)
     assert len(generators.random_edges(spark, 1000, 50).collect()) == 50 and not generators.random_edges(spark, 1, 5).collect()
-    moved = generators.jitter(generators.random_nodes(spark, "uniform", 1000), 0.1, 2).count()
-    assert 50 < moved < 160
+    start = generators.random_nodes(spark, "uniform", 1000)
+    old = {r.id: r for r in start.collect()}
+    moved = generators.jitter(start, 0.1004, 2).collect()
+    assert len({r.id for r in moved}) == 101 and all(abs(r.x - old[r.id].x) <= 1.5 and r.z == old[r.id].z and abs(r.color[0] - old[r.id].color[0]) <= 0.04 for r in moved)
+    assert generators.jitter(start, 0.0, 2).count() == 1 and generators.jitter(start.where("false"), 0.5, 2).count() == 0
     nodes = generators.cohort_nodes(spark)
     assert nodes.select("rank").distinct().count() == 10_000
 
 
+def test_checked_arithmetic(spark):
+    last = (1 << 63) - 1
+    rows = spark.createDataFrame([(10, 48, 1000), (10, 48, 100), (last, 2, last)], "capacity long, element long, most long")
+    assert [r[0] for r in rows.select(slots.buffer_error(F.col("capacity"), F.col("element"), F.col("most"))).collect()] == [None, "DeviceBufferLimit", "BufferSizeOverflow"]
+    revisions = spark.createDataFrame([(1,), (last,)], "revision long")
+    assert [r[0] for r in revisions.select(slots.next_revision(F.col("revision"))).collect()] == [2, None]
+    assert View().style_error(1, 1.5) is None
+    assert [View().style_error(*s) for s in ((0, 1.0), (1, 0.0), (1, math.inf), (1, math.nan))] == ["InvalidStyle"] * 4
+
+
 def test_page_catalogue(spark):
     from meshwork.operators import pages
 

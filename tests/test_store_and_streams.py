@@ -48,10 +48,34 @@ def test_stream_equals_batch_and_replays_are_exact(spark, tmp_path):
     applier = StateApplier(spark, str(tmp_path / "state"), schema)
     run_log(spark, log, schema, applier, str(tmp_path / "progress"))
     assert [tuple(r) for r in applier.live().collect()] == [(1, 3, 9.0)]
-    applier.apply(spark.createDataFrame([(1, 2, "remove", None)], schema), applier.version + 1)  # late: rejected
+    applier.apply(spark.createDataFrame([(1, 2, "remove", None)], schema), 100)  # late: rejected
     assert [tuple(r) for r in applier.live().collect()] == [(1, 3, 9.0)]
 
 
+def test_a_new_applier_goes_on_where_the_last_one_ended(spark, tmp_path):
+    schema = "id long, revision long, op string, value double"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    new = lambda: StateApplier(spark, str(tmp_path / "state"), schema, buckets=4)
+    new().apply(rows(*((i, 1, "add", float(i)) for i in range(20))), 0)
+    new().apply(rows((3, 2, "update", 33.0), (4, 2, "remove", None)), 1)
+    new().apply(rows((3, 3, "update", 333.0)), 2)
+    expected = {i: float(i) for i in range(20) if i != 4} | {3: 333.0}
+    assert {r.id: r.value for r in new().live().collect()} == expected
+    new().apply(rows((3, 3, "update", 333.0)), 2)  # replayed
+    new().apply(rows(), 3)
+    assert {r.id: r.value for r in new().live().collect()} == expected and new().state().count() == 20
+
+
+def test_a_stream_split_over_two_appliers(spark, tmp_path):
+    schema = "id long, revision long, op string, value double"
+    log = str(tmp_path / "log")
+    for part in range(2):
+        spark.createDataFrame([(i, 1 + part, "add" if not part else "update", float(i + part)) for i in range(part * 5, 10)], schema).coalesce(1).write.mode("append").parquet(log)
+        run_log(spark, log, schema, StateApplier(spark, str(tmp_path / "state"), schema), str(tmp_path / "progress"))
+    live = StateApplier(spark, str(tmp_path / "state"), schema).live().collect()
+    assert {r.id: (r.revision, r.value) for r in live} == {i: (1, float(i)) if i < 5 else (2, i + 1.0) for i in range(10)}
+
+
 def test_pointer_machine(spark, tmp_path):
     inputs = pd.DataFrame(
         [(1, 1, "move", 0.0, 0.0), (1, 2, "press", 10.0, 10.0), (1, 3, "move", 13.0, 10.0), (1, 4, "release", 13.0, 10.0),
