@@ -32,6 +32,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,10 +47,13 @@ SALTS = 32
 #: Hosts whose wrappers a task gathers before it passes them on.
 TASK_HOSTS = 1_000
 SEVERAL = -1
+#: Groups nested deeper than this stand inside their last ancestor, as in browsers.
+MAX_DEPTH = 300
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    # a quote opens a value only right after its equals sign; elsewhere it is a character like others
+    r"|<([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))*+)(?:>|\Z)",
     re.S,
 )
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -148,6 +152,7 @@ def read_page(source: str) -> Group:
     root = Group("")
     stack = [root]
     articles = 0
+    flat: Counter[str] = Counter()
 
     def text(data: str) -> None:
         if data and not data.isspace():
@@ -192,11 +197,16 @@ def read_page(source: str) -> Group:
                     if tag in _RAW:
                         closing = _RAW[tag].search(source, at)
                         at = closing.end() if closing else len(source)
-                    else:
+                    elif len(stack) <= MAX_DEPTH or out and not stack[-1].dropped:
                         stack.append(group)
+                    else:
+                        flat[tag] += 1
         elif token[1]:
             tag = token[1].lower()
-            if tag not in _INLINE or any(g.name.partition(".")[0] == tag for g in stack):
+            if flat[tag]:
+                flat[tag] -= 1
+                stack[-1].parts.append(Group(tag))
+            elif tag not in _INLINE or any(g.name.partition(".")[0] == tag for g in stack):
                 close((tag,), ())
         token = _TOKEN.search(source, at)
     text(source[at:])

@@ -90,3 +90,28 @@ def test_whole_names_and_their_forms_are_dropped():
             assert text_of(f'<body><div>a</div><div {attribute}="x {name}">b</div>c<span class="{name}">d</span>') == "a\nc", name
     assert text_of('<main><article>a</article><section id="comments">b</section></main><div role="complementary">c</div>') == "a"
     assert text_of('<article>a<section class="comments">b</section></article>') == "a"
+
+
+def test_quotes_open_values_only_after_an_equals_sign():
+    assert text_of("<article><p data-x=it's>one</p><p>two</p><p>three's</p></article>") == "one\ntwo\nthree's"
+    assert text_of('<article><p "x>one</p><p a = "b>c" d=\'e>f\' g=h"i>two</p></article>') == "one\ntwo"
+    assert text_of('<article><a href=/x?y="z>link</a> more</article>') == "link more"
+
+
+def test_very_deep_pages(spark):
+    deep = "<div>" * 10_000 + "deep" + "</div>" * 10_000 + "after"
+    assert text_of(f"<article>{deep}</article><footer>x") == "deep\nafter"
+    assert text_of("<body>" + "<div>" * 2_000 + "a<nav>menu<div>menu</div></nav>b" + "</div>" * 2_000 + "<footer>x</footer>c") == "a\nb\nc"
+    pages = [(f"deep.er/{i}", f"<p>Same</p>{deep.replace('deep', f'deep {i}')} {i}") for i in range(3)]
+    assert texts_of(spark, pages) == [f"deep {i}\nafter {i}" for i in range(3)]
+
+
+def test_the_wrapper_decides_without_any_article(spark):
+    """Against a plain count: a text at one place that several pages share is template, all others stay."""
+    pages = []
+    for i in range(12):
+        extra = f"<p>Extra {i}</p>" if i % 3 == 0 else ""
+        pages.append((f"h.i/{i}", f"<body><div class=brand>Brand</div><div class=story><h2>Title {i}</h2><p>Text {i}</p>{extra}</div><div class=legal>All rights</div></body>"))
+    expected = [f"Title {i}\nText {i}" + (f"\nExtra {i}" if i % 3 == 0 else "") for i in range(12)]
+    assert texts_of(spark, pages) == expected
+    assert [text_of(source) for _, source in pages] == [f"Brand\n{t}\nAll rights" for t in expected]  # without the wrapper nothing is known to be template
