@@ -19,7 +19,8 @@ place and the code points of its text within the turn's rendered segment.
 
 Defined results: null texts and roles are empty; rows that repeat a message and
 seq are all applied, in order of kind and text; messages of one conversation
-that tie are ordered by role and text; an empty log gives no conversation.
+that tie are ordered by role and text; an empty log gives no conversation. A
+conversation's events meet in one row, since its formatted text is one row too.
 """
 
 from __future__ import annotations
@@ -110,10 +111,31 @@ def parse(rendered: DataFrame) -> DataFrame:
 
 
 def conversation_events(rows: DataFrame) -> DataFrame:
-    """A log that says what conversation rows say: each row opens a message with its whole text, in order of turn."""
-    rows = rows.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text")).repartition("conv_id")
+    """A log that says what conversation rows say, in order of turn, as chat services write it.
+
+    By turns a message comes whole, streamed in two deltas, streamed anew after
+    a draft that is dropped, or edited after a draft.
+    """
+    rows = rows.select("conv_id", "turn", "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).repartition("conv_id")
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    return rows.select("conv_id", number.alias("seq"), number.alias("message"), F.lit("open").alias("kind"), "role", "text")
+    rows = rows.withColumn("message", number.cast("bigint"))
+    half = (F.length("text") / 2).cast("int")
+    head, tail = F.left("text", half), F.substring("text", half + 1, F.length("text"))
+    draft = F.concat(F.lit("draft "), head)
+    stories = [
+        [("open", F.col("text"))],
+        [("open", F.lit("")), ("delta", head), ("delta", tail)],
+        [("open", draft), ("delta", F.lit("...")), ("regenerate", F.lit(None).cast("string")), ("delta", head), ("delta", tail)],
+        [("open", head), ("delta", draft), ("edit", head), ("delta", tail)],
+    ]
+    arrays = [
+        F.array(*(F.struct(F.lit(k).alias("at"), F.lit(kind).alias("kind"), text.alias("text"), (F.col("role") if kind == "open" else F.lit(None).cast("string")).alias("role")) for k, (kind, text) in enumerate(story)))
+        for story in stories
+    ]
+    kind = F.col("message") % len(stories)
+    events = F.when(kind == 0, arrays[0]).when(kind == 1, arrays[1]).when(kind == 2, arrays[2]).otherwise(arrays[3])
+    told = rows.select("conv_id", "message", F.explode(events).alias("e"))
+    return told.select("conv_id", (F.col("message") * 8 + F.col("e.at")).alias("seq"), "message", "e.kind", "e.role", "e.text")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,17 @@ def test_repeated_rows_are_kept(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")] * 3 + [(None, None, None, None)], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: len(r.turns) for r in chat.parse(chat.format_logs(chat.conversation_events(df))).collect()}
     assert got == {1: 3, None: 1}
+
+
+def test_logs_hold_drafts_deltas_and_edits_that_fold_to_the_rows(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", None if t == 5 else f"text é {t} <|im_end|>\\") for t in range(12)]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.conversation_events(given)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"open", "delta", "regenerate", "edit"}
+    messages = {}
+    for e in sorted(log.collect(), key=lambda e: e.seq):
+        role, text = messages.get(e.message, ("", ""))
+        text = {"open": e.text, "edit": e.text, "regenerate": ""}.get(e.kind, text + (e.text or ""))
+        messages[e.message] = (e.role if e.role is not None else role, text)
+    found = {r.message: (r.role, r.text) for r in chat.fold_events(log.repartition(3)).collect()}
+    assert found == messages and [found[k + 1] for k in range(12)] == [(r, t or "") for _, _, r, t in rows]
