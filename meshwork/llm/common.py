@@ -64,7 +64,7 @@ def crc_mod(column: Column, modulus: int) -> Column:
 
 
 def skewed_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``many`` joined with ``one``, which has at most one row a key, by bigint ``key``; hot keys are not shuffled.
+    """``many`` joined with ``one``, which has at most one row a key; both are read several times. Hot keys are not shuffled.
 
     Keys that hold more than one in ``HOT_ROWS`` of the rows of ``many`` are
     counted first (there are fewer than that), and their rows of ``one`` are

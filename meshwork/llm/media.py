@@ -7,8 +7,9 @@ folder; within a shard a payload is stored once, under its digest. The manifest
 holds digest, shard, offset and length; a digest that several shards hold is
 resolved to one of them, so each payload has one address and is read back once.
 
-Metadata columns come from range reads of a picture's header only; digests of
-stored bytes and features come from reading the address in full.
+Metadata columns (width, height, bits) come from range reads of a picture's
+header only; digests of stored bytes and features come from reading the address
+in full, which must hold as many samples as the header says.
 
 A retried task writes a shard of its own name; only the shards named in the
 manifest of successful tasks are ever read. The manifest is a written table,
@@ -33,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, new_path, read_table, written
+from .common import map_batches, new_path, read_table, skewed_join, written
 
 UNIT = 576
 PAD = b"\xff"
@@ -150,14 +151,23 @@ def addresses(manifest: DataFrame) -> DataFrame:
     return least.select("digest", "at.*")
 
 
-def header_columns(index: DataFrame, folder: str) -> DataFrame:
-    """``index`` with width, height and bits, from range reads of headers only."""
-    return _read(index, folder, HEADER_BYTES, lambda data, _: picture_header(data), "width bigint, height bigint, bits bigint")
+ADDRESS = "digest binary, shard string, offset bigint, length bigint"
+HEADER = "width bigint, height bigint, bits bigint"
 
 
-def _read(index: DataFrame, folder: str, most: int | None, of, columns: str) -> DataFrame:
-    """``index`` with columns made from the first ``most`` stored bytes (None: all) of each address."""
-    schema = f"digest binary, shard string, offset bigint, length bigint, {columns}"
+def in_shard_order(index: DataFrame) -> DataFrame:
+    """Addresses dealt by shard and in order of place, so that each task reads its shards once from front to back."""
+    return index.select("digest", "shard", "offset", "length").repartition("shard").sortWithinPartitions("shard", "offset")
+
+
+def header_columns(placed: DataFrame, folder: str) -> DataFrame:
+    """Addresses with width, height and bits, from range reads of headers only."""
+    return _read(placed, folder, HEADER_BYTES, lambda data, _: picture_header(data), ADDRESS, HEADER)
+
+
+def _read(placed: DataFrame, folder: str, most: int | None, of, given: str, columns: str) -> DataFrame:
+    """``placed`` (``given``) with columns made from the first ``most`` stored bytes (None: all) of each address."""
+    schema = f"{given}, {columns}"
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64()}
     fields = [kinds[c.split()[1]] for c in schema.split(", ")]
@@ -167,24 +177,27 @@ def _read(index: DataFrame, folder: str, most: int | None, of, columns: str) ->
         opened, name = None, None
         for batch in batches:
             rows = []
-            for digest, shard, offset, length in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                _, shard, offset, length = row[:4]
                 if shard != name:
                     if opened:
                         opened.close()
                     opened, name = system.open_input_file(f"{root}/{shard}"), shard
                 data = opened.read_at(length if most is None else min(most, length), offset)
-                rows.append((digest, shard, offset, length, *of(data, digest)))
+                rows.append((*row, *of(data, row)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), fields)] if rows else [pa.array([], t) for t in fields], names=names)
         if opened:
             opened.close()
 
-    placed = index.select("digest", "shard", "offset", "length").repartition("shard").sortWithinPartitions("shard", "offset")
     return map_batches(placed, run, schema)
 
 
-def _measure(data: bytes, digest: bytes) -> tuple:
-    """What a stored picture reads as; its payload's digest must be the address it was stored under."""
+def _measure(data: bytes, row: tuple) -> tuple:
+    """What a stored picture reads as; its payload must be that of its address, and as long as its header says."""
+    digest, header = row[0], row[4:7]
     payload = decode_picture(data)
+    if header[0] * header[1] * header[2] != 8 * len(payload):
+        raise ValueError(f"the header stored for {digest.hex()} is not that of its payload")
     if hashlib.sha256(payload).digest() != digest:
         raise ValueError(f"the payload stored as {digest.hex()} reads as another one")
     return (
@@ -192,7 +205,7 @@ def _measure(data: bytes, digest: bytes) -> tuple:
         zlib.crc32(payload[-32:]),
         len(data),
         hashlib.sha256(data).digest(),
-        features(payload, picture_header(data[:HEADER_BYTES])),
+        features(payload, header),
     )
 
 
@@ -201,18 +214,17 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or new_path(docs.sparkSession, "media")
     manifest = store_payloads(docs, folder)
     columns = "payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media binary, feature string"
-    measured = _read(addresses(manifest), folder, None, _measure, columns)
-    rows = manifest.select("doc_id", "n_bytes", "digest").join(measured, "digest")
+    headers = header_columns(in_shard_order(addresses(manifest)), folder)
+    measured = written(_read(headers, folder, None, _measure, f"{ADDRESS}, {HEADER}", columns), "measured")
+    # one payload (such as that of empty texts) may stand for a third of all rows
+    rows = skewed_join(manifest.select("doc_id", "n_bytes", "digest"), measured, "digest")
     # digests travel as bytes and are spelt out last; a payload's was held against what was read back
     name = lambda c: F.lower(F.hex(c))
     return rows.select(
         "doc_id", "n_bytes", "payload_bytes", name("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", name("media").alias("media_sha256"), "feature",
-        name("digest").alias("digest"), "shard", "offset", "length",
+        name("digest").alias("digest"), "width", "height", "bits", "shard", "offset", "length",
     )
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = media_columns(read_table(spark, sf_dir, "documents"))
-    return rows.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length"
-    )
+    return media_columns(read_table(spark, sf_dir, "documents"))

@@ -1,3 +1,5 @@
+import pytest
+
 import hashlib
 import tarfile
 import zlib
@@ -39,3 +41,27 @@ def test_shards_are_tar_files_and_equal_texts_share_an_address(spark, tmp_path):
     heads = media.header_columns(index, folder + "2").collect()
     assert {(r.width, r.bits) for r in heads} == {(576, 8)} and len(heads) == 4
     assert media.media_columns(df.where("false"), folder + "3").count() == 0
+
+
+def test_metadata_comes_from_headers_and_disagreement_is_found(spark, tmp_path):
+    texts = ["", None, "a" * 576, "b" * 577, "é" * 2000] + ["same"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = media.media_columns(docs, f"file://{tmp_path}/m").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        data, _ = media.payload_of(texts[r.doc_id])
+        assert (r.width, r.height, r.bits) == (576, len(data) // 576, 8) and r.feature == media.features(data, (576, len(data) // 576, 8))
+    picture = media.encode_picture(b"x" * 576)
+    digest = media.hashlib.sha256(b"x" * 576).digest()
+    assert media._measure(picture, (digest, "s", 0, len(picture), 576, 1, 8))[0] == 576
+    with pytest.raises(ValueError, match="header"):
+        media._measure(picture, (digest, "s", 0, len(picture), 576, 2, 8))
+
+
+def test_one_payload_of_very_many_rows(spark, tmp_path, monkeypatch):
+    from meshwork.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 50)
+    docs = spark.createDataFrame([(i, None if i % 3 == 0 else "" if i % 3 == 1 else f"t{i}") for i in range(600)], "doc_id long, text string").repartition(3)
+    rows = media.media_columns(docs, f"file://{tmp_path}/m").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(600)) and len({r.digest for r in rows if r.doc_id % 3 < 2}) == 1
