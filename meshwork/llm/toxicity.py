@@ -1,19 +1,20 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives; texts without any label are the
-unlabelled set. A few numpy logistic classifiers are trained, each in a task of
-its own on its own bounded shard, by full-batch descent on
+unlabelled set. One numpy logistic classifier is trained, in one task on a
+bounded sample, by full-batch descent on
 
     prior * risk_P(+1) + max(0, risk_U(-1) - prior * risk_P(-1))
 
-and their logits are averaged. Features are the distinct words of a text and
+with the same steps whatever the table's size. Features are the distinct words of a text and
 their beginnings of four and six characters, scaled by the log ratio of their
 frequencies among positives and unlabelled texts.
 
 Parameters that bound the fit (scoring covers every whole text):
-``MAX_POSITIVE`` and ``MAX_UNLABELLED`` training texts over all shards, drawn
-by a hash of doc_id, and ``MAX_FEATURES`` weights per classifier, so what is
-broadcast never grows with the data.
+``MAX_POSITIVE`` labelled rows and ``MAX_UNLABELLED`` unlabelled ones, drawn by
+a hash of doc_id and text. What is broadcast are the
+features of those texts whose frequencies differ by more than chance, so it
+never grows with the data.
 
 Defined results: null and empty texts are scored as texts without features;
 repeated rows get equal scores; an empty table gives no rows; without positive
@@ -23,7 +24,6 @@ training labels every score is the class prior.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import crc_mod, map_batches, read_table
+from .common import crc_mod, map_batches, read_table, written
 
-MAX_POSITIVE = 6_000
-MAX_UNLABELLED = 12_000
-SHARDS = 3
-#: Positives a shard should have at least.
-SHARD_POSITIVE = 1_000
-MAX_FEATURES = 120_000
+MAX_POSITIVE = 4_000
+MAX_UNLABELLED = 8_000
 #: Standard errors by which a feature's log ratio is shrunk towards none.
 NOISE = 2.5
 REJECT_AT = 0.7
@@ -77,7 +73,6 @@ def fit_nnpu(
     in_p = np.bincount(np.concatenate(positive), minlength=n_all)
     in_u = np.bincount(np.concatenate(unlabelled), minlength=n_all)
     chosen = np.flatnonzero(in_p + in_u >= 2)
-    chosen = chosen[np.argsort(-(in_p + in_u)[chosen], kind="stable")[:MAX_FEATURES]]
     place = np.full(n_all, -1, dtype=np.int64)
     place[chosen] = np.arange(len(chosen))
     p, u = in_p[chosen].astype(float), in_u[chosen].astype(float)
@@ -117,58 +112,53 @@ def fit_nnpu(
     return {f: float(weights[i]) for f, i in index.ids.items() if abs(weights[i]) > 1e-3}, float(bias)
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
-    """Ids of the training texts with part 1 (toxic) or 0 (no label); at most about the two bounds. And how many are toxic."""
+def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The training texts with part 1 (toxic) or 0 (no label): at most as many rows as the two bounds.
+
+    A hash of doc_id first thins the rows to about twice what is wanted, then
+    the bounded numbers with the least hashes are taken.
+    """
     share = lambda salt: (F.xxhash64(F.col("doc_id"), F.lit(salt)).cast("double") / 2.0**64 + 0.5)
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     n_toxic, n_docs = toxic.count(), docs.count()
-    chosen = toxic.where(share("p") < MAX_POSITIVE / max(n_toxic, 1)).select("doc_id", F.lit(1).alias("part"))
-    free = docs.where(crc_mod(F.col("doc_id"), 3) != 1).select("doc_id").where(share("u") < 2 * MAX_UNLABELLED / max(n_docs, 1))
-    free = free.distinct().join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    # the ids are bounded, so they come to the driver and go back as a small relation
-    rows = chosen.limit(2 * MAX_POSITIVE).collect() + [
-        (r.doc_id, 0) for r in free.orderBy(share("u")).limit(MAX_UNLABELLED).collect()
-    ]
-    ids = docs.sparkSession.createDataFrame([tuple(r) for r in rows], "doc_id bigint, part int")
-    return ids, sum(r[1] for r in rows)
-
-
-def train(docs: DataFrame, labels: DataFrame, shards: int = SHARDS) -> tuple[list[tuple[dict[str, float], float]], float]:
-    """The classifiers and the class prior. ``labels`` holds training labels only."""
+    toxic = toxic.where(share("p") < 2 * MAX_POSITIVE / max(n_toxic, 1))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    free = texts.where(crc_mod(F.col("doc_id"), 3) != 1).where(share("u") < 3 * MAX_UNLABELLED / max(n_docs, 1))
+    free = free.join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
+    found = []
+    # the labelled ids that are left are bounded by the thinning, so they can be broadcast
+    for part, rows, most in ((1, texts.join(F.broadcast(toxic), "doc_id", "left_semi"), MAX_POSITIVE), (0, free, MAX_UNLABELLED)):
+        placed = rows.select(F.lit(part).alias("part"), F.xxhash64("doc_id", "text", F.lit(part)).alias("place"), "text")
+        found.append(placed.orderBy("place").limit(most))
+    return found[0].unionByName(found[1])
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
+    """Weights by feature and the bias. ``labels`` holds training labels only."""
     share = labels.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     prior = DEFAULT_PRIOR if share is None else min(max(share, 0.001), 0.6)
-    ids, n_positive = _sample(docs, labels.where("doc_id is not null and toxic is not null"))
-    shards = max(1, min(shards, n_positive // SHARD_POSITIVE))
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null")
-    texts = texts.select("part", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    texts = written(_sample(docs, labels.where("doc_id is not null and toxic is not null")), "training")
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["part", "place"])
         index = FeatureIndex()
         positive = [index.add(t) for t in pdf.text[pdf.part == 1]]
         unlabelled = [index.add(t) for t in pdf.text[pdf.part == 0]]
         if not positive or not unlabelled:
-            return pd.DataFrame({"shard": key[0], "feature": [""], "weight": [float(np.log(prior / (1 - prior)))]})
+            return pd.DataFrame({"feature": [""], "weight": [float(np.log(prior / (1 - prior)))]})
         weights, bias = fit_nnpu(positive, unlabelled, index, prior)
-        return pd.DataFrame({"shard": key[0], "feature": [*weights, ""], "weight": [*weights.values(), bias]})
+        return pd.DataFrame({"feature": [*weights, ""], "weight": [*weights.values(), bias]})
 
-    found: dict[int, tuple[dict[str, float], float]] = {}
-    for r in texts.groupBy("shard").applyInPandas(fit, "shard bigint, feature string, weight double").collect():
-        weights, bias = found.get(r.shard, ({}, 0.0))
-        if r.feature:
-            weights[r.feature] = r.weight
-        found[r.shard] = (weights, bias if r.feature else r.weight)
-    return list(found.values()), prior
+    # the sample is bounded by two parameters, so it may meet in one task, and its features on the driver
+    rows = texts.groupBy().applyInPandas(fit, "feature string, weight double").collect()
+    found = {r.feature: r.weight for r in rows}
+    bias = found.pop("", float(np.log(prior / (1 - prior))))
+    return found, bias
 
 
 def score_rows(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Every row of ``docs`` with score and predicted added under these names, trained on ``labels``; columns so named give way."""
-    models, prior = train(docs, labels)
-    mean: Counter = Counter()
-    for weights, _ in models:
-        for f, x in weights.items():
-            mean[f] += x / len(models)
-    bias = sum(b for _, b in models) / len(models) if models else float(np.log(prior / (1 - prior)))
-    model = docs.sparkSession.sparkContext.broadcast((dict(mean), bias))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     others = [c for c in docs.columns if c not in names]
     place = others.index("text")
 
