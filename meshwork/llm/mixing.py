@@ -8,9 +8,14 @@ number of full repetitions for all its documents and a remainder, taken from
 documents in a seeded order: whole buckets of that order first, and in the
 bucket where the remainder ends each next document that still fits.
 
-Only pattern sums reach the driver (bounded by ``MAX_PATTERNS``, else an
-error); documents are never ranked in one task: buckets of the seeded order
-hold about ``BUCKET_ROWS`` rows and one bucket a pattern is ranked.
+Targets are found by aggregates over a table of sources, however many there
+are. A source that shares no document with another one is settled by itself:
+its flow is its target, up to its capacity. Only patterns of sources that do
+overlap go through the network on the driver, so ``MAX_PATTERNS`` bounds the
+overlapping ones (more raise an error) and no others.
+
+Documents are never ranked in one task: buckets of the seeded order hold about
+``BUCKET_ROWS`` rows and one bucket a pattern is ranked.
 
 Defined results: null and empty texts have size 0 and are never taken; a null
 source is a source of its own, last in order; repeated rows are separate rows
@@ -27,10 +32,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from meshwork.operators.slots import assign_slots
+
+from .common import read_table, skewed_join, written
 
 MAX_REPEATS = 3
+#: Patterns of overlapping sources that the network on the driver may hold.
 MAX_PATTERNS = 100_000
+#: Patterns (rows of some 60 bytes) that are broadcast; beyond, documents are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 BUCKET_ROWS = 256
 MAX_BUCKETS = 65_536
 WEIGHTS = (5, 2, 1)
@@ -56,7 +66,8 @@ def targets(sizes: Sequence[int], weights: Sequence[float], total: float, cap: f
         for i in over:
             found[i] = float(cap * sizes[i])
             left -= found[i]
-        free = [i for i in free if i not in set(over)]
+        above = set(over)
+        free = [i for i in free if i not in above]
     return found
 
 
@@ -153,34 +164,54 @@ def _choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.loc[chosen, ["pattern", "doc_id", "size"]]
 
 
-def mix(docs: DataFrame, slim: DataFrame, quotas: dict[str, float], seed: int = SEED) -> DataFrame:
+def _joined(rows: DataFrame, by: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``by``, one row a pattern; a written table."""
+    return rows.join(F.broadcast(by), "pattern") if by.count() <= BROADCAST_ROWS else skewed_join(rows, by, "pattern")
+
+
+def _flows(sums: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(pattern, total, n, flow): words that each pattern gives."""
+    spark = sums.sparkSession
+    members = sums.select("pattern", "total", "n", F.explode_outer("members").alias("source"), F.size("members").alias("k"))
+    shared = written(members.where("k > 1").select("source").distinct(), "shared")
+    single = members.where("k = 1").join(shared, "source", "left_anti").join(quotas, "source", "left")
+    flow = F.least(F.round(F.coalesce("quota", F.lit(0.0))).cast("bigint"), F.col("total") * MAX_REPEATS)
+    settled = single.select("pattern", "total", "n", flow.alias("flow"))
+    rest = sums.join(single.select("pattern"), "pattern", "left_anti")
+    rows = sorted(rest.limit(MAX_PATTERNS + 1).collect(), key=lambda r: r.pattern)
+    if len(rows) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns of overlapping sources")
+    wanted = {r.source: r.quota for r in quotas.join(shared, "source", "left_semi").collect()} if rows else {}
+    at = {source: i for i, source in enumerate(sorted(wanted))}
+    given = min_cost_flow([r.total for r in rows], [[at[m] for m in r.members if m in at] for r in rows], [round(wanted[source]) for source in at])
+    found = spark.createDataFrame([(r.pattern, r.total, r.n, int(g)) for r, g in zip(rows, given)], "pattern string, total bigint, n bigint, flow bigint")
+    return settled.unionByName(found)
+
+
+def mix(docs: DataFrame, slim: DataFrame, quotas: DataFrame | dict[str, float], seed: int = SEED) -> DataFrame:
     """``docs`` with the column repeats: how often the mix takes a row, 0 to ``MAX_REPEATS``.
 
     ``docs`` and ``slim`` have doc_id, size and pattern; ``slim`` also has
     members, the array of sources that the pattern stands for, and is read
-    several times. ``quotas`` maps a source to its target in words. Rows that
-    share pattern, doc_id and size are taken together or not at all.
+    several times. ``quotas`` has a source's target in words, as (source, quota).
+    Rows that share pattern, doc_id and size are taken together or not at all.
     """
-    spark = docs.sparkSession
+    if isinstance(quotas, dict):
+        quotas = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in quotas.items()], "source string, quota double")
     sums = slim.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("total"), F.count("*").alias("n"))
-    rows = sums.limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    rows.sort(key=lambda r: r.pattern)
-    names = sorted(quotas)
-    at = {s: i for i, s in enumerate(names)}
-    members = [[at[m] for m in r.members if m in at] for r in rows]
-    given = min_cost_flow([r.total for r in rows], members, [round(quotas[s]) for s in names])
-    plan = []
-    for r, flow in zip(rows, given):
-        full, rest = divmod(flow, r.total) if r.total else (0, 0)
-        plan.append((r.pattern, int(full), int(rest), max(1, min(MAX_BUCKETS, r.n // BUCKET_ROWS))))
-    plan_df = spark.createDataFrame(plan, "pattern string, full bigint, rest bigint, buckets bigint")
+    flows = _flows(written(sums, "sums"), quotas)
+    some = F.col("total") > 0
+    plan_df = flows.select(
+        "pattern",
+        F.when(some, F.expr("flow div total")).otherwise(0).cast("bigint").alias("full"),
+        F.when(some, F.col("flow") % F.col("total")).otherwise(0).cast("bigint").alias("rest"),
+        F.greatest(F.least(F.expr(f"n div {BUCKET_ROWS}"), F.lit(MAX_BUCKETS)), F.lit(1)).cast("bigint").alias("buckets"),
+    )
+    plan_df = written(plan_df, "plan")
 
     def placed(df: DataFrame, by: DataFrame) -> DataFrame:
         bucket = F.least(F.floor(_seeded(seed) * F.col("buckets")), F.col("buckets") - 1)
-        # one row a pattern, and never more than MAX_PATTERNS of them: always small enough to broadcast
-        return df.join(F.broadcast(by), "pattern").withColumn("bucket", F.coalesce(bucket, F.lit(0).cast("bigint")))
+        return _joined(df, by).withColumn("bucket", F.coalesce(bucket, F.lit(0).cast("bigint")))
 
     words = placed(slim.select("doc_id", "size", "pattern"), plan_df)
     words = words.groupBy("pattern", "full", "rest", "buckets", "bucket").agg(F.sum("size").alias("words"))
@@ -211,26 +242,41 @@ def _source_key(column: Column) -> Column:
 
 
 def source_targets(sizes: dict[str, int], weights: Sequence[float] = WEIGHTS) -> dict[str, float]:
-    """Targets by source key, sources in order of code points."""
+    """Targets by source key, sources in order of code points: the plain version of ``target_table``."""
     names = sorted(sizes)
     return dict(zip(names, targets([sizes[n] for n in names], [weights[i % len(weights)] for i in range(len(names))], sum(sizes.values()))))
 
 
+def target_table(sizes: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """(pattern, source_size, target) of sources (pattern, source_size), one row each.
+
+    What each free source gets for a unit of weight rises until no source is
+    above its cap; a round is one aggregate over the sources.
+    """
+    placed = assign_slots(sizes, "pattern", "place")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    table = written(placed.select("pattern", "source_size", weight.alias("weight"), (F.col("source_size") * MAX_REPEATS).cast("double").alias("cap")), "sources")
+    total = table.agg(F.sum("source_size")).first()[0] or 0
+    unit, capped = 0.0, -1
+    while True:
+        over = F.lit(unit) * F.col("weight") > F.col("cap")
+        found = table.agg(
+            F.count_if(over).alias("n"), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)).alias("full"), F.sum(F.when(~over, F.col("weight"))).alias("free")
+        ).first()
+        if found.n == capped or not found.free:
+            break
+        capped, unit = found.n, (total - found.full) / found.free
+    return table.select("pattern", "source_size", F.least(F.lit(unit) * F.col("weight"), F.col("cap")).alias("target"))
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """All rows and columns of ``docs`` with mix_size, mix_source_size, mix_target and mix_repeats."""
-    spark = docs.sparkSession
     size, key = word_count(F.col("text").cast("string")), _source_key(F.col("source").cast("string"))
     slim = written(docs.select("doc_id", size.alias("size"), key.alias("pattern")), "mix")
-    rows = slim.groupBy("pattern").agg(F.sum("size").alias("total")).limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sources")
-    totals = {r.pattern: r.total for r in rows}
-    quotas = source_targets(totals, weights)
-    info = spark.createDataFrame(
-        [(k, totals[k], float(quotas[k])) for k in totals], "pattern string, source_size bigint, target double"
-    )
+    info = written(target_table(slim.groupBy("pattern").agg(F.sum("size").alias("source_size")), weights), "targets")
+    quotas = info.select(F.col("pattern").alias("source"), F.col("target").alias("quota"))
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id"), size.alias("size"), key.alias("pattern"))
-    taken = mix(packed, slim.withColumn("members", F.array("pattern")), quotas, seed).join(F.broadcast(info), "pattern")
+    taken = _joined(mix(packed, slim.withColumn("members", F.array("pattern")), quotas, seed), info)
     return taken.select(
         "row.*",
         F.col("size").alias("mix_size"),

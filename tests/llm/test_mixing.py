@@ -1,3 +1,5 @@
+import itertools
+import random
 from collections import defaultdict
 
 import pytest
@@ -49,3 +51,56 @@ def test_edges(spark):
     rows = mixing.mix_sources(docs).collect()
     assert len(rows) == 6 and all(r.mix_repeats == 0 for r in rows if r.mix_size == 0)
     assert mixing.mix_sources(docs.where("false")).count() == 0
+
+
+def best_flow(sizes, members, quotas, repeats=3):
+    """The most that can be routed and its least cost, by trying every way."""
+    best = {}
+    options = [[(given, per) for given in range(repeats * size + 1) for per in itertools.product(range(given + 1), repeat=len(m)) if sum(per) == given] for size, m in zip(sizes, members)]
+    for chosen in itertools.product(*options):
+        used = [0] * len(quotas)
+        for (_, per), m in zip(chosen, members):
+            for s, x in zip(m, per):
+                used[s] += x
+        if all(u <= q for u, q in zip(used, quotas)):
+            cost = sum(min(max(given - r * size, 0), size) * r * r for (given, _), size in zip(chosen, sizes) for r in range(repeats))
+            total = sum(used)
+            best[total] = min(best.get(total, cost), cost)
+    return max(best), best[max(best)]
+
+
+def test_flow_against_every_way():
+    rng = random.Random(4)
+    for _ in range(60):
+        n = rng.randint(1, 3)
+        sources = rng.randint(1, 3)
+        sizes = [rng.randint(0, 2) for _ in range(n)]
+        members = [sorted(rng.sample(range(sources), rng.randint(1, sources))) for _ in range(n)]
+        quotas = [rng.randint(0, 5) for _ in range(sources)]
+        given = mixing.min_cost_flow(sizes, members, quotas)
+        cost = sum(min(max(g - r * s, 0), s) * r * r for g, s in zip(given, sizes) for r in range(3))
+        assert (sum(given), cost) == best_flow(sizes, members, quotas)
+
+
+def test_targets_of_a_table_equal_the_plain_ones(spark):
+    rng = random.Random(5)
+    sizes = {f"s{k:04d}é" if k % 3 else f"sÄ{k}": int(10 ** rng.uniform(0, 6)) for k in range(500)} | {"\U0010ffff": 40, "s": 0}
+    table = spark.createDataFrame(list(sizes.items()), "pattern string, source_size long")
+    found = {r.pattern: r.target for r in mixing.target_table(table).collect()}
+    assert found == pytest.approx(mixing.source_targets(sizes))
+    assert mixing.target_table(table.where("false")).count() == 0
+
+
+def test_many_sources_alone_and_some_overlapping(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 4)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 3)
+    rows = [(i, 5, f"p{i % 30}", [f"p{i % 30}"]) for i in range(900)] + [(1000 + i, 10, "ab", ["a", "b"]) for i in range(20)] + [(2000 + i, 10, "a", ["a"]) for i in range(20)]
+    slim = spark.createDataFrame(rows, "doc_id long, size long, pattern string, members array<string>")
+    out = mixing.mix(slim, slim, {f"p{k}": 150.0 * (k % 3) for k in range(30)} | {"a": 150.0, "b": 120.0}).collect()
+    taken = defaultdict(int)
+    for r in out:
+        taken[r.pattern] += r.size * r.repeats
+    assert len(out) == len(rows) and all(taken[f"p{k}"] == 150 * (k % 3) for k in range(30)) and taken["a"] + taken["ab"] == 270
+    with pytest.raises(ValueError, match="overlapping"):
+        many = spark.createDataFrame([(i, 1, f"x{i}", ["a", f"x{i}"]) for i in range(9)], "doc_id long, size long, pattern string, members array<string>")
+        mixing.mix(many, many, {"a": 3.0})
