@@ -3,23 +3,25 @@
 Unit vectors with cosine of at least c lie within the distance sqrt(2 - 2c), so
 pairs are found in metric terms and confirmed by the cosine in double precision.
 
-1. Equal vectors become one point with a multiplicity.
-2. The top of the tree: pivots from a bounded seeded sample. Each point's home
-   is the cell of its nearest pivot, and it also visits the cells whose
+1. Equal vectors become one point with a multiplicity; only points of one
+   length meet in what follows.
+2. The top of the tree: pivots from a bounded seeded sample of each length. A
+   point's home is the cell of its nearest pivot, and it also visits the cells whose
    bisecting plane is near enough that a partner may live behind it.
 3. A cell's points and its visitors are dealt by a hash to tiles of bounded
    size; a task gets two tiles, builds their nested levels with halving radii,
    and walks pairs of nodes, dropping those whose centres are farther apart
-   than their covering radii and the threshold allow. Node pairs at the
-   bottom are compared by a matrix product.
+   than their covering radii and the threshold allow. Bounds are taken in
+   single precision with a margin above its error; node pairs at the bottom are
+   compared in double precision.
 4. Tasks give link counts and the edges of a spanning forest, never all pairs.
 
 Every point is indexed; the sample only places pivots, and a bad sample costs
 time, not links.
 
-Defined results: vectors that are null, empty, zero, of another length than
-most, or hold null or non-finite components have no link and are their own
-component; repeated rows with one vec_id are points of their own that share the
+Defined results: vectors that are null, empty, zero, or hold null or non-finite
+components have no link and are their own component; vectors of different
+lengths are never linked; repeated rows with one vec_id are points of their own that share the
 id; an empty table gives no rows.
 """
 
@@ -34,15 +36,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, map_batches, read_table, written
+from .common import components, map_batches, read_table, skewed_join, written
 
-MAX_PIVOTS = 128
+MAX_PIVOTS = 1_024
 #: Points that a pivot should have at least, so small tables get few cells.
 CELL_POINTS = 8_192
 TILE_POINTS = 8_192
 LEAF_POINTS = 48
-#: Distances that are held at once.
+#: Distances that are held at once, and linked pairs.
 BLOCK_DISTANCES = 1_000_000
+BLOCK_PAIRS = 500_000
+#: Above the error of a cosine in single precision.
+MARGIN = 1e-4
+#: Tasks for each pair of tiles, so that few share one.
+SPREAD = 4
+MAX_TASKS = 20_000
 SEED = 9
 
 
@@ -55,6 +63,7 @@ class CoverTree:
 
     def __init__(self, points: np.ndarray, reach: float):
         self.points = points
+        self.rough = points.astype(np.float32)
         self.reach = reach
         self.centres: list[int] = []
         self.radii: list[float] = []
@@ -80,7 +89,9 @@ class CoverTree:
         parts = []
         while len(at):
             some = at[:128]
-            near = _apart(self.points[at], self.points[some]) <= half
+            # which ball takes a point is free; radii are measured afterwards
+            near = self.rough[at] @ self.rough[some].T >= 1.0 - half * half / 2
+            near[np.arange(len(some)), np.arange(len(some))] = True
             chosen, covered = [], np.zeros(len(some), dtype=bool)
             for k in range(len(some)):
                 if not covered[k]:
@@ -109,8 +120,10 @@ def dual_pairs(a: CoverTree, b: CoverTree) -> Iterator[tuple[np.ndarray, np.ndar
     """Pairs of point lists that may hold linked points; for one tree with itself, each unordered pair once."""
     same = a is b
     radii_a, radii_b = np.array(a.radii), np.array(b.radii)
-    centres_a, centres_b = a.points[a.centres], b.points[b.centres]
+    centres_a, centres_b = a.rough[a.centres], b.rough[b.centres]
     slack = a.reach + 1e-6
+    # a distance is at most s where the cosine is at least 1 - s * s / 2
+    least = lambda s: 1.0 - s * s / 2 - MARGIN
     stack = [(0, 0)]
     while stack:
         x, y = stack.pop()
@@ -123,10 +136,12 @@ def dual_pairs(a: CoverTree, b: CoverTree) -> Iterator[tuple[np.ndarray, np.ndar
         step = max(1, BLOCK_DISTANCES // len(cy))
         for at in range(0, len(cx), step):
             some = cx[at : at + step]
-            near = _apart(centres_a[some], centres_b[cy]) <= radii_a[some][:, None] + radii_b[cy][None, :] + slack
+            cosine = centres_a[some] @ centres_b[cy].T
+            i, j = np.nonzero(cosine >= least(radii_a[some].max() + radii_b[cy].max() + slack))
+            near = cosine[i, j] >= least(radii_a[some][i] + radii_b[cy][j] + slack)
             if same and x == y:
-                near = np.triu(near, at)
-            i, j = np.nonzero(near)
+                near &= j >= i + at
+            i, j = i[near], j[near]
             stack += zip(some[i].tolist(), cy[j].tolist())
 
 
@@ -148,123 +163,154 @@ def link_tiles(left: np.ndarray, right: np.ndarray | None, least: float) -> Iter
                 yield i, j
 
 
-def _unit(vector: list | None, width: int) -> np.ndarray | None:
-    if vector is None or len(vector) != width or any(x is None for x in vector):
+def _unit(vector: list | None) -> np.ndarray | None:
+    if not vector or any(x is None for x in vector):
         return None
     v = np.asarray(vector, dtype=np.float64)
-    size = np.abs(v).max() if len(v) else 0.0
+    size = np.abs(v).max()
     if not np.isfinite(v).all() or size == 0.0:
         return None
     v = v / size  # keeps squares in range
     return v / np.sqrt((v * v).sum())
 
 
-def _roots(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> None:
-    """Unites the pairs in the forest ``label``."""
-    for a, b in zip(i.tolist(), j.tolist()):
-        x, y = a, b
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = label[x]
-        while label[y] != y:
-            label[y] = label[label[y]]
-            y = label[y]
-        if x != y:
-            label[max(x, y)] = min(x, y)
+def unite(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> None:
+    """Joins the pairs in ``label``, in which every index names the least of its component."""
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != label[label]).any():
+            label[:] = label[label]
+
+
+def tile_links(units: np.ndarray, copies: np.ndarray, p: np.ndarray, q: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each point and labels of components: within ``p``, or between ``p`` and ``q``."""
+    links, label = np.zeros(len(units), dtype=np.int64), np.arange(len(units))
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+
+    def count() -> None:
+        i, j = np.concatenate(left), np.concatenate(right)
+        for x, y in ((i, j), (j, i)):
+            links[:] += np.bincount(x, copies[y], len(units)).astype(np.int64)
+        unite(i, j, label)
+        left.clear()
+        right.clear()
+
+    held = 0
+    for i, j in link_tiles(units[p], None if q is None else units[q], least):
+        left.append(p[i])
+        right.append((p if q is None else q)[j])
+        held += len(i)
+        if held >= BLOCK_PAIRS:
+            count()
+            held = 0
+    if left:
+        count()
+    return links, label
+
+
+def _pivots(points: DataFrame, seed: int) -> dict[int, np.ndarray]:
+    """Pivots of each width from a sample that is bounded by ``MAX_PIVOTS``; one row a width is counted on the driver."""
+    sizes = {r.width: r for r in points.groupBy("width").agg(F.count("*").alias("n"), F.min("unit").alias("first")).collect()}
+    wanted = {w: max(1, min(MAX_PIVOTS, r.n // CELL_POINTS)) for w, r in sizes.items()}
+    if not sizes:
+        return {}
+    shares = points.sparkSession.createDataFrame([(w, 4.0 * wanted[w] / r.n) for w, r in sizes.items() if wanted[w] > 1], "width int, share double")
+    place = F.xxhash64("unit", F.lit(seed)).cast("double") / 2.0**64 + 0.5
+    found: dict[int, list[bytes]] = {}
+    for r in points.join(F.broadcast(shares), "width").where(place < F.col("share")).select("width", "unit").collect():
+        found.setdefault(r.width, []).append(bytes(r.unit))
+    chosen = {w: sorted(found.get(w, [bytes(r.first)]))[: wanted[w]] for w, r in sizes.items()}
+    return {w: np.array([np.frombuffer(u, dtype=np.float64) for u in units]) for w, units in chosen.items()}
 
 
 def near_vectors(rows: DataFrame, least: float = 0.95, seed: int = SEED) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``rows`` (vec_id, embedding)."""
-    spark = rows.sparkSession
-    vectors = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    widths = vectors.where("size(embedding) > 0").groupBy(F.size("embedding").alias("width")).count()
-    common = widths.orderBy(F.desc("count"), "width").first()
-    width = common.width if common else 1
+    vectors = rows.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("embedding"))
 
     def normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, units = [], []
             for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                unit = _unit(vector, width)
+                unit = _unit(vector)
                 ids.append(vec_id)
                 units.append(None if unit is None else unit.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units, pa.binary())], names=["vec_id", "unit"])
 
     every = written(map_batches(vectors, normalised, "vec_id bigint, unit binary"), "units")
     points = every.where("unit is not null and vec_id is not null").groupBy("unit").agg(F.min("vec_id").alias("point"), F.count("*").alias("copies"))
-    points = written(points, "points")
-    n = points.count()
-    n_pivots = max(1, min(MAX_PIVOTS, n // CELL_POINTS))
-    order = F.xxhash64("unit", F.lit(seed))
-    pivots = points.where(order.cast("double") / 2.0**64 + 0.5 < 4.0 * n_pivots / max(n, 1)).select("unit").limit(8 * n_pivots).collect()
-    pivots = pivots or points.select("unit").limit(1).collect()
-    table = np.array([np.frombuffer(p.unit, dtype=np.float64) for p in sorted(pivots, key=lambda p: p.unit)][:n_pivots]).reshape(-1, width)
+    points = written(points.withColumn("width", (F.octet_length("unit") / 8).cast("int")), "points")
+    pivots = _pivots(points, seed)
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * least)) + 1e-9
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        between = np.sqrt(np.maximum(2.0 - 2.0 * table @ table.T, 0.0))
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.float64).reshape(-1, width)
-            squared = np.maximum(2.0 - 2.0 * x @ table.T, 0.0)
-            home = squared.argmin(1)
-            own = squared[np.arange(len(x)), home]
-            # distance from the plane between the home pivot and another one
-            gap = between[home]
-            plane = (squared - own[:, None]) / np.maximum(2.0 * gap, 1e-12)
-            visits = (plane <= reach) | (gap < 1e-9)
-            r, cell = np.nonzero(visits)
-            at_home = cell == home[r]
-            # of two cells, points of the lower one visit the higher one
-            keep = at_home | (home[r] < cell)
-            r, cell, at_home = r[keep], cell[keep], at_home[keep]
-            taken = pa.array(r)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(taken), batch.column(1).take(taken), batch.column(2).take(taken), pa.array(cell.astype(np.int64)), pa.array(at_home)],
-                names=["unit", "point", "copies", "cell", "home"],
-            )
-
-    schema = "unit binary, point bigint, copies bigint, cell bigint, home boolean"
-    placed = written(map_batches(points.select("unit", "point", "copies"), place, schema), "placed")
+            widths = batch.column(3).to_numpy(zero_copy_only=False)
+            for width in np.unique(widths):
+                table = pivots[int(width)]
+                between = np.sqrt(np.maximum(2.0 - 2.0 * table @ table.T, 0.0))
+                part = batch.take(pa.array(np.flatnonzero(widths == width)))
+                x = np.frombuffer(b"".join(part.column(0).to_pylist()), dtype=np.float64).reshape(-1, width)
+                squared = np.maximum(2.0 - 2.0 * x @ table.T, 0.0)
+                home = squared.argmin(1)
+                own = squared[np.arange(len(x)), home]
+                # distance from the plane between the home pivot and another one
+                gap = between[home]
+                plane = (squared - own[:, None]) / np.maximum(2.0 * gap, 1e-12)
+                visits = (plane <= reach) | (gap < 1e-9)
+                r, cell = np.nonzero(visits)
+                at_home = cell == home[r]
+                # of two cells, points of the lower one visit the higher one
+                keep = at_home | (home[r] < cell)
+                r, cell, at_home = r[keep], cell[keep], at_home[keep]
+                given = part.take(pa.array(r))
+                yield pa.RecordBatch.from_arrays(
+                    [*given.columns, pa.array(cell.astype(np.int64)), pa.array(at_home)], names=["unit", "point", "copies", "width", "cell", "home"]
+                )
+
+    schema = "unit binary, point bigint, copies bigint, width int, cell bigint, home boolean"
+    placed = written(map_batches(points.select("unit", "point", "copies", "width"), place, schema), "placed")
     # a cell's home points and visitors are dealt to tiles; a task joins two home tiles or a home tile and a visiting one
-    tiles = placed.groupBy("cell").agg(
+    tiles = placed.groupBy("width", "cell").agg(
         F.greatest(F.ceil(F.count_if("home") / TILE_POINTS), F.lit(1)).alias("homes"),
         F.ceil(F.count_if(~F.col("home")) / TILE_POINTS).alias("guests"),
     )
-    placed = placed.join(tiles, "cell").withColumn("tile", F.pmod(F.xxhash64("point"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))))
+    tiles = written(tiles, "tiles")
+    n_pairs = tiles.agg(F.sum(F.col("homes") * (F.col("homes") + 1) / 2 + F.col("homes") * F.col("guests"))).first()[0] or 1
+    placed = placed.join(F.broadcast(tiles), ["width", "cell"]).withColumn(
+        "tile", F.pmod(F.xxhash64("point"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests")))
+    )
     upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>"))
     task = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"))
     among = F.transform(upto("homes"), lambda t: task("home", F.least(t, F.col("tile")), F.greatest(t, F.col("tile"))))
     as_host = F.transform(upto("guests"), lambda t: task("guest", F.col("tile"), t))
     as_guest = F.transform(upto("homes"), lambda t: task("guest", t, F.col("tile")))
     tasks = placed.withColumn("task", F.explode(F.when(F.col("home"), F.concat(among, as_host)).otherwise(as_guest)))
-    tasks = tasks.select("cell", "task.kind", "task.low", "task.high", "tile", "home", "unit", "point", "copies")
+    names = ["width", "cell", "kind", "low", "high"]
+    tasks = tasks.select("width", "cell", "task.kind", "task.low", "task.high", "tile", "home", "unit", "point", "copies")
 
     def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, low, high = key[1], int(key[2]), int(key[3])
+        width, kind, low, high = int(key[0]), key[2], int(key[3]), int(key[4])
         pdf = pdf.sort_values("point").reset_index(drop=True)
         points, copies = pdf["point"].to_numpy(), pdf["copies"].to_numpy(dtype=np.int64)
         units = np.frombuffer(b"".join(pdf["unit"]), dtype=np.float64).reshape(-1, width)
-        links, label = np.zeros(len(pdf), dtype=np.int64), np.arange(len(pdf))
         first = pdf["home"].to_numpy(dtype=bool) if kind == "guest" else pdf["tile"].to_numpy() == low
-        p, q = np.flatnonzero(first), np.flatnonzero(~first)
         alone = kind == "home" and low == high
-        for i, j in link_tiles(units[p], None if alone else units[q], least):
-            i, j = p[i], (p if alone else q)[j]
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            _roots(i, j, label)
-        for k in range(len(label)):
-            while label[k] != label[label[k]]:
-                label[k] = label[label[k]]
+        links, label = tile_links(units, copies, np.flatnonzero(first), None if alone else np.flatnonzero(~first), least)
         found = np.flatnonzero(links)
         return pd.DataFrame({"point": points[found], "links": links[found], "to": points[label[found]]})
 
-    linked = written(tasks.groupBy("cell", "kind", "low", "high").applyInPandas(link, "point bigint, links bigint, to bigint"), "links")
+    # pairs of tiles are the units of work: dealt to as many tasks, none of which is worth merging with another
+    dealt = tasks.repartition(int(min(MAX_TASKS, SPREAD * n_pairs)), *names)
+    linked = written(dealt.groupBy(*names).applyInPandas(link, "point bigint, links bigint, to bigint"), "links")
     totals = linked.groupBy("point").agg(F.sum("links").alias("links"))
     parts = components(linked.select(F.col("point").alias("a"), F.col("to").alias("b")), "vectors")
     named = points.join(totals, "point", "left").join(parts.withColumnRenamed("node", "point"), "point", "left")
     named = named.select("unit", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "point").alias("component"))
-    joined = every.join(named, "unit", "left")
+    joined = skewed_join(every, written(named, "named"), "unit", "left")
     component = F.coalesce("component", "vec_id")
     return joined.select(
         "vec_id",

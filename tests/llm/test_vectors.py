@@ -52,3 +52,46 @@ def test_against_all_pairs(spark, monkeypatch, cell, tile, spread):
 
 def test_empty_table(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_every_width_is_searched(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for width, n in ((8, 60), (5, 55), (64, 3), (1, 4)):
+        base = rng.normal(size=(max(2, n // 6), width))
+        for _ in range(n):
+            v = base[rng.integers(0, len(base))] + 0.1 * rng.normal(size=width)
+            rows.append((len(rows), [float(np.float32(c)) for c in v]))
+    expected = []
+    for width in (8, 5, 64, 1):
+        mine = [r for r in rows if len(r[1]) == width]
+        unit = {i: np.array(v) / np.linalg.norm(v) for i, v in mine}
+        links = {i: [j for j in unit if j != i and unit[i] @ unit[j] >= 0.95] for i in unit}
+        for i in unit:
+            reached, new = {i}, [i]
+            while new:
+                new = [j for k in new for j in links[k] if j not in reached]
+                reached |= set(new)
+            expected.append((i, len(links[i]), min(reached), i == min(reached)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, vectors.near_vectors(df).collect())) == sorted(expected)
+
+
+def test_a_large_group_of_near_copies_is_counted_in_blocks(monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_PAIRS", 500)
+    rng = np.random.default_rng(2)
+    units = rng.normal(size=(1, 16)) + 0.05 * rng.normal(size=(300, 16))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    copies = rng.integers(1, 4, 300)
+    links, label = vectors.tile_links(units, copies, np.arange(300), None, 0.95)
+    near = units @ units.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert (links == near @ copies).all() and len(set(label)) == 1
+    pairs = rng.integers(0, 300, (2, 260))
+    found = np.arange(300)
+    vectors.unite(*pairs, found)
+    plain = list(range(300))
+    for _ in range(300):
+        for a, b in pairs.T:
+            plain[a] = plain[b] = min(plain[a], plain[b])
+    assert found.tolist() == plain
