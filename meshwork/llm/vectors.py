@@ -46,6 +46,9 @@ LEAF_POINTS = 48
 #: Distances that are held at once, and linked pairs.
 BLOCK_DISTANCES = 1_000_000
 BLOCK_PAIRS = 500_000
+#: Points whose balls are drawn at once, and the points that a ball of these must hold for the node to be divided.
+SAMPLE = 128
+CROWDED = 1.5
 #: Above the error of a cosine in single precision.
 MARGIN = 1e-4
 #: Tasks for each pair of tiles, so that few share one.
@@ -58,7 +61,10 @@ class CoverTree:
     """Nested levels over unit vectors: a node's children lie within its radius, and radii halve downwards.
 
     A node is not divided further once its points are so close that any two of
-    them, or of a neighbour's, must be compared anyway.
+    them, or of a neighbour's, must be compared anyway, nor where balls of half
+    its radius hold little more than their centres: there all levels below are
+    as wide as the points themselves, and a plain product of the node's points
+    does the same work at less cost.
     """
 
     def __init__(self, points: np.ndarray, reach: float):
@@ -87,8 +93,9 @@ class CoverTree:
     def _balls(self, at: np.ndarray, half: float) -> list[tuple[int, np.ndarray]]:
         """Covers the points by balls whose centres are farther apart than their radius."""
         parts = []
+        everything = at
         while len(at):
-            some = at[:128]
+            some = at[:SAMPLE]
             # which ball takes a point is free; radii are measured afterwards
             near = self.rough[at] @ self.rough[some].T >= 1.0 - half * half / 2
             near[np.arange(len(some)), np.arange(len(some))] = True
@@ -98,6 +105,8 @@ class CoverTree:
                     chosen.append(k)
                     covered |= near[: len(some), k]
             within = near[:, chosen]
+            if len(at) == len(everything) > SAMPLE and np.count_nonzero(within.any(1)) < CROWDED * len(chosen):
+                return [(int(at[0]), at)]
             taken, ball = within.any(1), within.argmax(1)
             ball[chosen] = np.arange(len(chosen))
             order = np.argsort(ball[taken], kind="stable")
@@ -155,8 +164,10 @@ def link_tiles(left: np.ndarray, right: np.ndarray | None, least: float) -> Iter
     for x, y in dual_pairs(a, b):
         step = max(1, BLOCK_DISTANCES // len(y))
         for at in range(0, len(x), step):
-            i, j = np.nonzero(a.points[x[at : at + step]] @ b.points[y].T >= least)
+            i, j = np.nonzero(a.rough[x[at : at + step]] @ b.rough[y].T >= least - MARGIN)
             i, j = x[at + i], y[j]
+            exact = np.concatenate([np.zeros(0, dtype=bool)] + [(a.points[i[k : k + step]] * b.points[j[k : k + step]]).sum(1) >= least for k in range(0, len(i), step)])
+            i, j = i[exact], j[exact]
             if right is None and x is y:
                 i, j = i[i < j], j[i < j]
             if len(i):
