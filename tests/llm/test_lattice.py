@@ -66,3 +66,27 @@ def test_edges(spark):
     assert sorted(r.n_tokens for r in found) == [1, 1, 2, 4, 4, 1001]
     assert all(math.isfinite(r.score) for r in found)
     assert lattice.score_documents(df.where("false"), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+@pytest.mark.parametrize("head", [200_000, 30])
+def test_scores_against_a_plain_sum(spark, monkeypatch, head):
+    import public_tokenizers
+    import sentencepiece
+
+    monkeypatch.setattr(lattice, "HEAD_WORDS", head)
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    docs = [(i, t, k) for i, (t, k) in enumerate([("The cat sat on the mat. The END", True), ("É cat é", True), (None, True), ("the unknown 新羅 word", False), ("", False), ("The cat sat on the mat. The END", True)] + [(f"word{j} the cat {j}", j % 3 > 0) for j in range(40)])]
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
+    uses, tokens, ends = Counter(), 0, 0
+    for _, text, training in docs:
+        if training:
+            ends += 1
+            for word in (text or "").encode().lower().split():
+                tokens += 1
+                uses.update(model.encode(word.decode()))
+    plain = lattice._lattice(vocabulary, uses)
+    end = math.log10((ends + 1) / (tokens + ends + 2))
+    found = {r.doc_id: r.score for r in lattice.score_documents(spark.createDataFrame(docs, "doc_id long, text string, training boolean").repartition(3), vocabulary).collect()}
+    for i, text, _ in docs:
+        words = (text or "").encode().lower().split()
+        assert found[i] == pytest.approx(sum(plain.word(w.decode()) + math.log10(1 - 10**end) for w in words) + end, rel=1e-9)
