@@ -46,9 +46,8 @@ LEAF_POINTS = 48
 #: Distances that are held at once, and linked pairs.
 BLOCK_DISTANCES = 1_000_000
 BLOCK_PAIRS = 500_000
-#: Points whose balls are drawn at once, and the points that a ball of these must hold for the node to be divided.
+#: Points whose balls are drawn at once.
 SAMPLE = 128
-CROWDED = 1.5
 #: Above the error of a cosine in single precision.
 MARGIN = 1e-4
 #: Tasks for each pair of tiles, so that few share one.
@@ -61,10 +60,10 @@ class CoverTree:
     """Nested levels over unit vectors: a node's children lie within its radius, and radii halve downwards.
 
     A node is not divided further once its points are so close that any two of
-    them, or of a neighbour's, must be compared anyway, nor where balls of half
-    its radius hold little more than their centres: there all levels below are
-    as wide as the points themselves, and a plain product of the node's points
-    does the same work at less cost.
+    them, or of a neighbour's, must be compared anyway, nor where most balls of
+    half its radius hold their centre alone: there all levels below are about as
+    wide as the points themselves, and a plain product of the node's points does
+    the same work at less cost.
     """
 
     def __init__(self, points: np.ndarray, reach: float):
@@ -92,8 +91,7 @@ class CoverTree:
 
     def _balls(self, at: np.ndarray, half: float) -> list[tuple[int, np.ndarray]]:
         """Covers the points by balls whose centres are farther apart than their radius."""
-        parts = []
-        everything = at
+        parts, everything = [], at
         while len(at):
             some = at[:SAMPLE]
             # which ball takes a point is free; radii are measured afterwards
@@ -105,7 +103,7 @@ class CoverTree:
                     chosen.append(k)
                     covered |= near[: len(some), k]
             within = near[:, chosen]
-            if len(at) == len(everything) > SAMPLE and np.count_nonzero(within.any(1)) < CROWDED * len(chosen):
+            if len(at) == len(everything) > SAMPLE and 2 * np.count_nonzero(within.sum(0) == 1) > len(chosen):
                 return [(int(at[0]), at)]
             taken, ball = within.any(1), within.argmax(1)
             ball[chosen] = np.arange(len(chosen))
