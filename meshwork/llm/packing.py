@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import os
 import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -41,7 +42,7 @@ BINS = 16
 SOLVES = 8
 SHARD_TOKENS = 2_000_000
 #: Words whose ids a worker keeps in each of two generations.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 JOINED_WORDS = 1_000
 #: Texts that are encoded together.
 TEXTS = 200
@@ -66,15 +67,27 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for lower-case words of letters in composed form, all that normalizing and splitting at classes of characters do is part them
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
 
+    def _letters(self, words: list[bytes]) -> np.ndarray:
+        """Ids of words of letters, one after the other."""
+        text = b" ".join(words).decode()
+        low = text.lower()
+        # lower-casing may depend on what stands around a letter, take one apart, or leave room for composition
+        if "Σ" in text or not low.replace(" ", "").isalpha() or not unicodedata.is_normalized("NFC", low):
+            return self._ids([text])[0]
+        return np.array(self.plain.encode_batch_fast([low], add_special_tokens=False)[0].ids, dtype="<u4")
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -86,7 +99,7 @@ class WordEncoder:
         rest = [(w, t) for w, t in zip(words, texts) if not t.isalpha()]
         for at in range(0, len(letters), JOINED_WORDS):
             some = letters[at : at + JOINED_WORDS]
-            (ids,) = self._ids([b" ".join(some).decode()])
+            ids = self._letters(some)
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(ends) == len(some):
                 data, start = ids.tobytes(), 0
@@ -119,9 +132,9 @@ class WordEncoder:
         old = self.old
         self.words.update([(w, old[w]) for w in words if w in old])
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; unknown words of all texts are encoded in one batch."""
-        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    def encode_many(self, texts: list[str | bytes]) -> list[bytes]:
+        """Ids of each text (UTF-8 where it is bytes); unknown words of all texts are encoded in one batch."""
+        split = [(t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass")).lower().split() for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words, self.old = {}, self.words
         unknown = set().union(*split).difference(self.words)
@@ -319,7 +332,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_i
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                found = encoder.encode_many([t or "" for t in part.column(1).to_pylist()])
+                found = encoder.encode_many([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
                 for doc_id, buffer in zip(part.column(0).to_pylist(), found):
                     ids.append(doc_id)
                     data.append(buffer + end)
