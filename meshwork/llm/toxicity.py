@@ -35,8 +35,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import crc_mod, map_batches, read_table, written
 
-MAX_POSITIVE = 4_000
-MAX_UNLABELLED = 8_000
+MAX_POSITIVE = 2_000
+MAX_UNLABELLED = 4_000
 #: Standard errors by which a feature's log ratio is shrunk towards none.
 NOISE = 2.5
 REJECT_AT = 0.7
