@@ -65,7 +65,8 @@ class WordEncoder:
     alone are encoded many at a time and parted at their last pieces.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int | None = None):
+        self.cache_words = cache_words or CACHE_WORDS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -135,7 +136,7 @@ class WordEncoder:
     def encode_many(self, texts: list[str | bytes]) -> list[bytes]:
         """Ids of each text (UTF-8 where it is bytes); unknown words of all texts are encoded in one batch."""
         split = [(t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass")).lower().split() for t in texts]
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > self.cache_words:
             self.words, self.old = {}, self.words
         unknown = set().union(*split).difference(self.words)
         self._recall(unknown)
@@ -304,20 +305,28 @@ def _pieces(ids: list[int], data: list[bytes], first_sequence: int, window: int)
     return rows, sequence
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def _encoder(vocabulary: str, cache_words: int) -> WordEncoder:
+    """The worker's encoder, which keeps its tables from task to task."""
+    if (vocabulary, cache_words) not in _ENCODERS:
+        _ENCODERS[vocabulary, cache_words] = WordEncoder(vocabulary, cache_words)
+    return _ENCODERS[vocabulary, cache_words]
+
+
+def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) packed into sequences of ``window`` ids.
 
-    Returns one row per piece; see the module text. sequence_id is unique over
+    Returns one row per piece; see the module text. ``cache_words`` only trades
+    a worker's memory (some 400 bytes each) against time. sequence_id is unique over
     the result: the task's partition in its high bits, a counter in the low 36.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
     names = [f.split()[0] for f in PIECES_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(vocabulary, WordEncoder(vocabulary) if vocabulary not in _ENCODERS else None)
+        encoder = _encoder(vocabulary, cache_words)
         sequence = TaskContext.get().partitionId() << 36
         ids: list[int] = []
         data: list[bytes] = []
