@@ -56,7 +56,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # workers that earlier stages used keep part of their memory, so the word tables are smaller than by default
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=100_000)
 
 
 STAGES = [
