@@ -37,3 +37,11 @@ c AS (SELECT vec_id AS root, vec_id FROM embeddings UNION SELECT c.root, l.b FRO
 m AS (SELECT root, min(vec_id) AS component_id FROM c GROUP BY root), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT e.vec_id, coalesce(k.n, 0) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
 FROM embeddings e JOIN m ON m.root = e.vec_id LEFT JOIN k ON k.a = e.vec_id"""
+
+# Groups of texts that are equal once white space is normalised.
+COPIES = r"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+       row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+FROM t"""
