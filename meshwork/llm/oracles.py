@@ -45,3 +45,32 @@ WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
        row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
 FROM t"""
+
+# Integer k-means of four parts: c0 is the first codebook, each round an assignment and floored means.
+_ASSIGNED = """
+a{k} AS MATERIALIZED (
+  SELECT p.vec_id, p.label, p.part, p.v, arg_min(c.k, (c.v2 + p.v2 - 2 * list_dot_product(p.v, c.v)) * 256 + c.k) AS k,
+         min(c.v2 + p.v2 - 2 * list_dot_product(p.v, c.v)) AS d
+  FROM p JOIN c{k} c ON c.part = p.part GROUP BY ALL)"""
+_MOVED = """
+m{k} AS (SELECT part, k, j, floor(sum(x) / count(*)) AS x FROM (SELECT part, k, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{k}) GROUP BY ALL),
+c{n} AS MATERIALIZED (
+  SELECT *, list_dot_product(v, v) AS v2 FROM (
+    SELECT c.part, c.k, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (SELECT part, k, list(x ORDER BY j) AS v FROM m{k} GROUP BY ALL) m ON m.part = c.part AND m.k = c.k))"""
+CODES = (
+    """
+WITH f AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (
+  SELECT *, list_dot_product(v, v) AS v2 FROM (
+    SELECT vec_id, label, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS v FROM f, (SELECT unnest(range(4)) AS part))),
+c0 AS MATERIALIZED (SELECT part, k, v, v2 FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k FROM p) WHERE k < 256),"""
+    + ",".join(_ASSIGNED.format(k=k) + "," + _MOVED.format(k=k, n=k + 1) for k in range(4))
+    + ","
+    + _ASSIGNED.format(k=4)
+    + """,
+g AS (SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY ALL),
+s AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT), ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM c4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM g, s"""
+)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, content_sort, html, lattice, media, mixing, near_duplicates, oracles, packing, pii, toxicity, vectors
+from . import chat, codes, content_sort, html, lattice, media, mixing, near_duplicates, oracles, packing, pii, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8_pii,
         "op9_vectors": vectors.op9_vectors,
         "op10_lattice": lattice.op10_lattice,
+        "op11_codes": codes.op11_codes,
         "op12_content_sort": content_sort.op12_content_sort,
     }
 
@@ -31,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat": oracles.CHAT,
         "op6_ngram_jaccard": oracles.NGRAM,
         "op9_vectors": oracles.VECTORS,
+        "op11_codes": oracles.CODES,
         "op12_content_sort": oracles.COPIES,
     }
