@@ -74,3 +74,20 @@ g AS (SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY part) AS c
 s AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT), ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM c4)
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM g, s"""
 )
+
+# Rebuilt conversations, a digest of each prefix, and sums over the prefixes of each node's smallest member.
+TRIE = r"""
+WITH r AS (SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(sha256(strlen(role) || ':' || role || text), 32)) AS pos
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+k AS (SELECT c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, n: xor(a >> 1, 3988292384 * (a & 1))))) % 9 AS h FROM (SELECT DISTINCT c FROM r)),
+b AS (SELECT k.c, r.pos, r.role, r.text FROM k JOIN r ON r.c = k.c - k.c % 5 AND r.pos <= h UNION ALL SELECT k.c, r.pos, r.role, r.text FROM k JOIN r ON r.c = k.c AND r.pos > h),
+q AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS d, sha256(strlen(role) || ':' || role || text) AS t, strlen(text) AS size FROM b),
+p AS MATERIALIZED (SELECT c, d, sha256(string_agg(t, '') OVER (PARTITION BY c ORDER BY d)) AS f, size FROM q UNION ALL SELECT c, 0, 'root', 0 FROM k),
+u AS (SELECT *, lag(f) OVER (PARTITION BY c ORDER BY d) AS above, d = max(d) OVER (PARTITION BY c) AS is_end FROM p),
+n AS MATERIALIZED (
+  SELECT d, f, any_value(above) AS above, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (is_end), '')) AS ends FROM u GROUP BY d, f),
+m AS (SELECT above, count(*) AS n_children FROM n GROUP BY above),
+s AS (SELECT a.d, a.f, count(*) FILTER (m.above IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.size) AS saved FROM n JOIN p a ON a.c = n.conv_id AND a.d <= n.d LEFT JOIN m ON m.above = n.f GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(m.n_children, 0) AS n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN s ON s.f = n.f AND s.d = n.d LEFT JOIN m ON m.above = n.f LEFT JOIN n o ON o.f = n.above AND o.d = n.d - 1"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, codes, content_sort, html, lattice, media, mixing, near_duplicates, oracles, packing, pii, toxicity, vectors
+from . import chat, codes, content_sort, html, lattice, media, mixing, near_duplicates, oracles, packing, pii, prefix_trie, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_lattice": lattice.op10_lattice,
         "op11_codes": codes.op11_codes,
         "op12_content_sort": content_sort.op12_content_sort,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_vectors": oracles.VECTORS,
         "op11_codes": oracles.CODES,
         "op12_content_sort": oracles.COPIES,
+        "op13_prefix_trie": oracles.TRIE,
     }
