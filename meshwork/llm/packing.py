@@ -49,6 +49,8 @@ TEXTS = 200
 #: How the vocabulary marks a word's last piece, and ASCII punctuation, which never joins a letter before it.
 WORD_END = "</w>"
 MARKS = string.punctuation.encode()
+#: What the vocabulary's special tokens begin with.
+SPECIAL = b"<|"
 PIECES_SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 )
@@ -118,8 +120,9 @@ class WordEncoder:
         plain = set()
         for word in unknown:
             stem = word.rstrip(MARKS)
-            # a special token of the vocabulary may end in a mark
-            if len(stem) < len(word) and b"<|" not in word and stem[-4:].decode(errors="ignore")[-1:].isalpha():
+            # a special token of the vocabulary may end in a mark, and a letter in lower case may end in one that joins others
+            last = unicodedata.normalize("NFC", stem[-4:].decode(errors="ignore")[-1:].lower())
+            if len(stem) < len(word) and SPECIAL not in word and last.isalpha():
                 split.append((word, stem, word[len(stem) :]))
             else:
                 plain.add(word)
@@ -135,7 +138,7 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str | bytes]) -> list[bytes]:
         """Ids of each text (UTF-8 where it is bytes); unknown words of all texts are encoded in one batch."""
-        split = [(t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass")).lower().split() for t in texts]
+        split = [_words(t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass")) for t in texts]
         if len(self.words) > self.cache_words:
             self.words, self.old = {}, self.words
         unknown = set().union(*split).difference(self.words)
@@ -145,6 +148,13 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in split]
 
 
+def _words(text: bytes) -> list[bytes]:
+    """Words with ASCII letters in lower case; special tokens are matched as they are written, so words that may hold one keep their case."""
+    if SPECIAL not in text:
+        return text.lower().split()
+    return [w if SPECIAL in w else w.lower() for w in text.split()]
+
+
 def _multisets(size: int, total: int, most: int) -> Iterator[list[int]]:
     """Multisets of ``size`` numbers from 0 to ``most`` with this sum, largest first."""
     if size == 0:

@@ -50,6 +50,23 @@ def test_words_encode_as_the_tokenizer_does():
         assert [np.frombuffer(b, dtype="<u4").tolist() + [2] for b in encoder.encode_many(texts)] == brute_ids(texts)
 
 
+def test_special_tokens_and_letters_that_lower_case_takes_apart():
+    texts = ["<|ENDOFTEXT|>", "x<|STARTOFTEXT|>y", "x<|startoftext|>Y <|EndOfText|> <|endoftext|>", "ALİ.", "ALİ, VELİ!", "İ'", "İİ...", "\u0958.", "\u0958!\u0958", "A<|", "Ǆ.", "ẞ!"]
+    encoder = WordEncoder(VOCABULARY)
+    for _ in range(2):
+        assert [np.frombuffer(b, dtype="<u4").tolist() + [2] for b in encoder.encode_many(texts)] == brute_ids(texts)
+
+
+def test_random_strings_of_mixed_scripts():
+    rng = np.random.default_rng(20)
+    pieces = [*"aAzZİıßẞΣσςЖжéÉ漢字ﬁǄ09.,!?'<|>-_ \t\n\xa0", "\u0301", "\u0327", "\u0958", "\u093c", "\u0338", "<|endoftext|>", "<|EndOfText|>", "'s", "'LL", "ab", "Word ", "😀", "\u200d", "\u212b", "\u1e9b\u0323", "각", "\u1100\u1161"]
+    texts = ["".join(rng.choice(pieces, rng.integers(1, 14))) for _ in range(20_000)]
+    encoder = WordEncoder(VOCABULARY)
+    got = encoder.encode_many(texts)
+    wrong = [t for t, b, ids in zip(texts, got, brute_ids(texts)) if np.frombuffer(b, dtype="<u4").tolist() + [2] != ids]
+    assert not wrong, (len(wrong), wrong[:10])
+
+
 def test_words_survive_generations(monkeypatch):
     monkeypatch.setattr("meshwork.llm.packing.CACHE_WORDS", 20)
     rng = np.random.default_rng(1)
