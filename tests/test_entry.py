@@ -25,3 +25,8 @@ def test_queries_are_listed_without_the_optional_folders(tmp_path):
     # a folder that is left with nothing but compiled files counts as deleted
     (tmp_path / "meshwork" / "llm" / "__pycache__").mkdir(parents=True)
     subprocess.run([sys.executable, "-c", SCRIPT], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_queries_are_listed_without_what_the_operators_need(tmp_path):
+    (tmp_path / "ahocorasick.py").write_text("raise ImportError('not installed', name='ahocorasick')\n")
+    subprocess.run([sys.executable, "-W", "ignore", "-c", f"import sys; sys.path[:0] = [{str(tmp_path)!r}, {str(ROOT)!r}]\n{SCRIPT}"], cwd=tmp_path, check=True, timeout=120)
