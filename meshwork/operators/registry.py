@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.masks import bit_for
-from meshwork.functions.text import ascii_lower, byte_slice, contains_ascii_ci, is_boundary, occurrence_offsets, occurrences, quote_prefix, quote_suffix, trim_white
+from meshwork.functions.text import ascii_lower, byte_slice, contains_ascii_ci, is_boundary, occurrence_offsets, occurrences, quote_prefix, quote_suffix, stable_id, trim_white
 from meshwork.types import ENTITY_KINDS, FAMILIES, LIMITS
 
+from .intervals import overlap_neighbours, overlap_pairs
 from .validate import union, violations
 
 
@@ -116,9 +117,37 @@ def ner_merge(entities: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def tag_evictions(mentions: DataFrame, tags: DataFrame) -> DataFrame:
-    """Active mentions that a new tag (document, tag_start, tag_end) overlaps; spans meet per document."""
-    joined = mentions.where("active").join(tags, "document")
-    return joined.where((F.col("tag_start") < F.col("end")) & (F.col("start") < F.col("tag_end")))
+    """Active mentions with each new tag (document, tag_start, tag_end) that overlaps them."""
+    spans = tags.withColumnsRenamed({"tag_start": "other_start", "tag_end": "other_end"})
+    met = overlap_pairs(mentions.where("active"), spans, "document")
+    return met.withColumnsRenamed({"other_start": "tag_start", "other_end": "tag_end"})
+
+
+def fold_tags(tags: DataFrame) -> DataFrame:
+    """What a sequence of tags (document, sequence, start, end, ...) leaves behind, all documents at once.
+
+    A tag evicts every active mention that it overlaps, and takes over the entity of
+    one with its very span; else it makes an entity. So a tag's entity is that of the
+    overlapping tag just before it if both spans are equal, and a mention stays active
+    until the first overlapping tag after it. Mentions that are there already count
+    as tags with lower sequences. Adds ``is_new``, ``first`` (the sequence of the tag
+    that made the entity), ``entity_id``, ``active`` and ``evicted_by``.
+    """
+    near = overlap_neighbours(tags, "document", "sequence")
+    before = tags.select("document", F.col("sequence").alias("previous"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    same = (F.col("_start") == F.col("start")) & (F.col("_end") == F.col("end"))
+    told = near.join(before, ["document", "previous"], "left").withColumn("is_new", ~F.coalesce(same, F.lit(False)))
+    made = F.when(F.col("is_new"), F.col("sequence"))
+    chain = Window.partitionBy("document", "start", "end").orderBy("sequence")
+    told = told.withColumn("first", F.last(made, ignorenulls=True).over(chain))
+    parts = (F.col(c).cast("string") for c in ("document", "start", "end", "first"))
+    return told.withColumns({"entity_id": stable_id(*parts), "active": F.col("next").isNull(), "evicted_by": F.col("next")}).drop("_start", "_end", "previous", "next")
+
+
+def tagged_entities(folded: DataFrame) -> DataFrame:
+    """The entities that tags made or took over, as the last tag of each names them: entity_id, document, surface, kind."""
+    last = F.max_by(F.struct("document", "surface", "kind"), "sequence")
+    return folded.groupBy("entity_id").agg(last.alias("e")).select("entity_id", "e.*")
 
 
 def relocate(mentions: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Folder and note trees as adjacency lists, walked level by level.
+"""Folder and note trees as adjacency lists, climbed by pointer doubling.
 
-Levels are joins on parent ids, so a tree is as deep as its data and no
-recursion limit applies; each level's frontier is what the next one joins. Every
-few levels are written to the shared folder, so plans stay short.
+Each entry keeps a link to an ancestor. In a round, all links are replaced by
+their ancestor's own links, so they reach twice as far: a tree takes as many rounds
+as its depth has binary digits, each a join and a write to the shared folder.
+Entries whose link has reached a top take no part in later rounds, so no
+round sends many rows to one top.
 """
 
 from __future__ import annotations
@@ -18,46 +20,61 @@ from .slots import assign_slots
 from .validate import union, violations
 
 ROOT_ID = 1
-#: Levels that are written together.
-WRITTEN_LEVELS = 8
 
 
 def kind_rank(kind: Column) -> Column:
     return F.when(kind == "folder", 0).otherwise(1)
 
 
+def climb(links: DataFrame, tops: DataFrame, **carried: Column) -> DataFrame:
+    """(id, top, steps, carried) of each entry from which parents lead to one of ``tops``, up to the nearest one.
+
+    ``links`` has id and parent. ``carried`` names what is gathered along the way, as arrays
+    from the top down to the entry. Entries whose parents end elsewhere, or
+    go round in a cycle, are left out: while any other is left, each round
+    settles some, so a round that settles none is the last.
+    """
+    spark, names = links.sparkSession, list(carried)
+    rows = links.where("id is not null").select("id", "parent", *(F.array(c).alias(n) for n, c in carried.items()))
+    tops = tops.select("id").distinct()
+    at_top = rows.join(tops, "id", "left_semi")
+    joined = lambda here: [F.concat(f"above_{n}", n).alias(n) if here is None else F.when(here, F.concat(f"above_{n}", n)).otherwise(F.col(n)).alias(n) for n in names]
+    above = lambda df: df.select(F.col("id").alias("above_id"), *(F.col(c).alias(f"above_{c}") for c in df.columns if c != "id"))
+
+    def stored(df: DataFrame) -> DataFrame:
+        path = new_path(spark, "climb")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    begun = at_top.select("id", F.col("id").alias("up"), F.lit(0).cast("bigint").alias("steps"), F.lit(True).alias("reached"), *names)
+    met = F.col("above_id").isNotNull()
+    others = rows.join(tops, "id", "left_anti").join(above(at_top.select("id", *names)), F.col("parent") == F.col("above_id"), "left")
+    others = others.select("id", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("steps"), met.alias("reached"), *joined(met))
+    parts, active, left = [], stored(begun.unionByName(others)), None
+    while True:
+        parts.append(active.where("reached"))
+        active = active.where("not reached")
+        unsettled = active.count()
+        if unsettled in (0, left):
+            return union(parts).select("id", F.col("up").alias("top"), "steps", *names)
+        left = unsettled
+        far = active.join(above(union([*parts, active])), F.col("up") == F.col("above_id"))
+        active = stored(far.select("id", F.col("above_up").alias("up"), (F.col("steps") + F.col("above_steps")).alias("steps"), F.col("above_reached").alias("reached"), *joined(None)))
+
+
 def walk(entries: DataFrame, start: DataFrame, expand: Column | None = None) -> DataFrame:
-    """Rows reachable from ``start`` ids downwards: id, depth, path (names) and key (a sortable path).
+    """Rows reachable from ``start`` ids downwards: id, kind, depth, path (names) and key (a sortable path).
 
-    ``expand`` tells whose children to enter. Rows met again on their own path
-    (a cycle) are not entered twice.
+    ``expand`` tells whose children to enter.
     """
     rows = entries.select("id", "parent", "kind", "name")
+    if expand is not None:
+        # an entry below a closed one has no way up
+        entered = entries.where(expand).select(F.col("id").alias("parent"))
+        rows = rows.join(entered, "parent", "left_semi").unionByName(rows.join(start.select("id"), "id", "left_semi")).distinct()
     step = F.struct(kind_rank(F.col("kind")).alias("rank"), F.lower("name").alias("name"))
-    level = rows.join(start.select("id"), "id", "left_semi").select(
-        "id", "kind", F.lit(0).alias("depth"), F.array("name").alias("path"), F.array(step).alias("key"), F.array("id").alias("ids")
-    ).persist()
-    found, unwritten, depth = [], [level], 0
-    children = rows.select(F.col("id").alias("c"), F.col("parent").alias("p"), F.col("kind").alias("c_kind"), F.col("name").alias("c_name"))
-    while True:  # ends, as no row is met twice on its own path
-        depth += 1
-        parents = level if expand is None else level.where(expand)
-        nxt = parents.join(children, parents["id"] == children["p"]).where(~F.array_contains("ids", F.col("c")))
-        c_step = F.struct(kind_rank(F.col("c_kind")).alias("rank"), F.lower("c_name").alias("name"))
-        level = nxt.select(
-            F.col("c").alias("id"), F.col("c_kind").alias("kind"), F.lit(depth).alias("depth"), F.concat("path", F.array("c_name")).alias("path"),
-            F.concat("key", F.array(c_step)).alias("key"), F.concat("ids", F.array("c")).alias("ids"),
-        ).persist()  # else each level would walk all levels above it again; lost blocks are recomputed
-        if level.isEmpty():
-            return union(found + unwritten)
-        unwritten.append(level)
-        if len(unwritten) == WRITTEN_LEVELS:
-            path = new_path(entries.sparkSession, "walk")
-            union(unwritten).write.parquet(path)
-            found.append(entries.sparkSession.read.schema(level.schema).parquet(path))
-            for done in unwritten:
-                done.unpersist()
-            unwritten, level = [], found[-1].where(F.col("depth") == depth)
+    climbed = climb(rows, start, path=F.col("name"), key=step, kinds=F.col("kind"))
+    return climbed.select("id", F.element_at("kinds", -1).alias("kind"), F.col("steps").cast("int").alias("depth"), "path", "key")
 
 
 def root(entries: DataFrame) -> DataFrame:
@@ -78,7 +95,7 @@ def visible_rows(entries: DataFrame, expanded: Column) -> DataFrame:
 
 def closure(entries: DataFrame, start: DataFrame) -> DataFrame:
     """Ids of the given entries and all below them."""
-    return walk(entries, start).select("id").distinct()
+    return climb(entries.select("id", "parent").distinct(), start).select("id").distinct()
 
 
 def delete(entries: DataFrame, ids: DataFrame) -> DataFrame:
@@ -93,7 +110,7 @@ def delete(entries: DataFrame, ids: DataFrame) -> DataFrame:
 
 def unrooted(entries: DataFrame) -> DataFrame:
     """Ids from which no chain of parents leads to the root: cycles and lost branches."""
-    return entries.join(walk(entries, root(entries)).select("id"), "id", "left_anti").select("id")
+    return entries.join(closure(entries, root(entries)), "id", "left_anti").select("id")
 
 
 def counts(entries: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.text import byte_slice, digest, name_error, occurrences, quote_prefix, quote_suffix
@@ -84,6 +84,47 @@ def tag_overlap_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.groupBy("document").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
 
 
+_ORDER_TAGS_SQL = """
+  SELECT o_orderkey % 40 + 1 AS document, o_orderkey AS sequence, o_custkey * 3 % 1000 AS tag_start,
+         o_custkey * 3 % 1000 + CASE WHEN o_orderkey % 50 = 0 THEN 120 ELSE o_orderkey % 11 + 1 END AS tag_end FROM orders"""
+
+
+@BOOK.add(f"""
+WITH m AS ({MENTIONS_SQL}), t AS ({_ORDER_TAGS_SQL})
+SELECT document, start, "end", count(*) AS n_tags, min(sequence) AS first_tag, sum(least("end", tag_end) - greatest(start, tag_start))::BIGINT AS shared
+FROM m JOIN t USING (document) WHERE active AND tag_start < "end" AND start < tag_end GROUP BY ALL""")
+def tag_evictions_by_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mention with what many tags of its document take from it."""
+    key, place = F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint") * 3 % 1000
+    size = F.when(key % 50 == 0, 120).otherwise(key % 11 + 1)
+    tags = table(spark, sf_dir, "orders").select((key % 40 + 1).alias("document"), key.alias("sequence"), place.alias("tag_start"), (place + size).alias("tag_end"))
+    gone = registry.tag_evictions(mentions(spark, sf_dir), tags)
+    shared = F.least("end", "tag_end") - F.greatest("start", "tag_start")
+    return gone.groupBy("document", "start", "end").agg(F.count("*").alias("n_tags"), F.min("sequence").alias("first_tag"), F.sum(shared).alias("shared"))
+
+
+@BOOK.add(f"""
+WITH a AS (SELECT DISTINCT document, start, "end", node_id FROM ({ANCHORS_SQL})),
+  t AS (SELECT document, (start * 10000 + node_id) * 4 + (copy + node_id) % 4 AS sequence, CASE WHEN copy = 2 THEN start + ("end" - start) // 3 ELSE start END AS start,
+               CASE WHEN copy = 1 THEN start + ("end" - start) // 2 ELSE "end" END AS "end" FROM a, range(4) c(copy)),
+  o AS (SELECT x.document, x.sequence, max(y.sequence) FILTER (y.sequence < x.sequence) AS previous, min(y.sequence) FILTER (y.sequence > x.sequence) AS next
+        FROM t x JOIN t y ON x.document = y.document AND x.start < y."end" AND y.start < x."end" GROUP BY ALL),
+  f AS (SELECT t.*, o.next, p.sequence IS NULL AS is_new FROM t JOIN o USING (document, sequence) LEFT JOIN t p ON p.document = t.document AND p.sequence = o.previous AND p.start = t.start AND p."end" = t."end")
+SELECT document, sequence, start, "end", is_new, max(sequence) FILTER (is_new) OVER (PARTITION BY document, start, "end" ORDER BY sequence) AS first, next IS NULL AS active, next AS evicted_by FROM f""")
+def batch_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All anchors of all documents, and parts of them, tagged one after the other."""
+    found = anchors(spark, sf_dir).select("document", "start", "end", "node_id").distinct()
+    rows = found.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    size = F.col("end") - F.col("start")
+    tags = rows.select(
+        "document",
+        ((F.col("start") * 10_000 + F.col("node_id")) * 4 + (F.col("copy") + F.col("node_id")) % 4).alias("sequence"),
+        F.when(F.col("copy") == 2, F.col("start") + F.floor(size / 3)).otherwise(F.col("start")).cast("bigint").alias("start"),
+        F.when(F.col("copy") == 1, F.col("start") + F.floor(size / 2)).otherwise(F.col("end")).cast("bigint").alias("end"),
+    )
+    return registry.fold_tags(tags).drop("entity_id")
+
+
 @BOOK.add(f"""
 WITH a AS (SELECT *, lag("end") OVER (PARTITION BY document ORDER BY start, "end", node_id) AS previous_end FROM (
   SELECT document, start, "end", node_id FROM ({ANCHORS_SQL}) UNION ALL SELECT document, start + 5, "end", node_id + 1000 FROM ({ANCHORS_SQL})))
@@ -155,6 +196,17 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", digest(F.col("text")).alias("hash"))
 
 
+@BOOK.add("""
+WITH e AS (SELECT event_id + 2 AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS depth, first_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id) + 2 AS first FROM events)
+SELECT id, depth, first FROM e""")
+def event_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event below the event before it of its user: depth below the root, and the first of the chain."""
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    links = table(spark, sf_dir, "events").select((F.col("event_id") + 2).alias("id"), F.coalesce(before + 2, F.lit(tree.ROOT_ID)).alias("parent"))
+    found = tree.climb(links, links.where(F.col("parent") == tree.ROOT_ID))
+    return found.select("id", (F.col("steps") + 1).alias("depth"), F.col("top").alias("first"))
+
+
 @BOOK.add(f"""
 WITH RECURSIVE e AS ({ENTRIES_SQL}), w AS (SELECT id, name AS path FROM e WHERE id = 1 UNION ALL SELECT e.id, w.path || ' / ' || e.name FROM e JOIN w ON e.parent = w.id)
 SELECT id, path FROM w""")

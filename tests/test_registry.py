@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,49 @@ def test_trees_deeper_than_any_limit(spark):
     assert walked == {k: (k - 1, [f"n{j}" for j in range(1, k + 1)]) for k in range(1, n + 1)}
 
 
+def test_rounds_grow_with_the_logarithm_of_depth(spark, monkeypatch):
+    rounds = []
+    new_path = tree.new_path
+    monkeypatch.setattr(tree, "new_path", lambda *a: rounds.append(a) or new_path(*a))
+    rng = random.Random(4)
+    names = rng.sample(range(10**9), 5000)
+    up = {a: b for a, b in zip(names[1:], names)} | {names[0]: 1, 1: 0}
+    # a branch that leads nowhere, a cycle with a tail, and a long cycle
+    up |= {-k: -k - 1 for k in range(1, 300)} | {-1000: -1001, -1001: -1000, -1002: -1000} | {-2000 - k: -2000 - (k + 1) % 777 for k in range(777)}
+    chain = spark.createDataFrame(list(up.items()), "id long, parent long")
+    found = {r.id: (r.top, r.steps) for r in tree.climb(chain, chain.where("id = 1")).collect()}
+    assert found == {1: (1, 0)} | {name: (1, k + 1) for k, name in enumerate(names)}
+    assert len(rounds) <= 15
+    assert {r.id for r in tree.unrooted(chain).collect()} == {k for k in up if k < 0}
+    rounds.clear()
+    tops = chain.where(F.col("id").isin(names[10], names[2000], -2005))
+    assert {r.id: r.top for r in tree.climb(chain, tops).collect() if r.id > 0} == {name: names[10] if k < 2000 else names[2000] for k, name in enumerate(names) if k >= 10}
+    assert tree.closure(chain, chain.where("id = -2005")).count() == 777 and tree.closure(chain.where("false"), chain).count() == 0
+
+
+def test_tags_fold_as_one_after_the_other(spark):
+    rng = random.Random(7)
+    tags = [(rng.randrange(3), k, *sorted(rng.sample(range(25), 2)), f"s{k}", rng.choice(["npc", "event"])) for k in range(120)]
+    tags += [(0, 200 + k, 3, 9, f"t{k}", "npc") for k in range(5)]
+    mentions, made, entities = {}, {}, {}
+    for document, k, start, end, surface, kind in tags:
+        same = [e for (d, _), (s, e_, e, on) in mentions.items() if on is None and (d, s, e_) == (document, start, end)]
+        entity = same[0] if same else (document, k)
+        made[document, k] = not same
+        for key, (s, e_, e, on) in mentions.items():
+            if key[0] == document and on is None and start < e_ and s < end:
+                mentions[key] = (s, e_, e, k)
+        mentions[document, k] = (start, end, entity, None)
+        entities[entity] = (surface, kind)
+    df = spark.createDataFrame(tags, "document long, sequence long, start long, end long, surface string, kind string")
+    folded = registry.fold_tags(df.repartition(3))
+    got = {(r.document, r.sequence): r for r in folded.collect()}
+    assert {k: ((r.document, r.first), r.evicted_by, r.is_new) for k, r in got.items()} == {k: (e, on, made[k]) for k, (_, _, e, on) in mentions.items()}
+    assert all(r.active == (r.evicted_by is None) for r in got.values())
+    named = {r.entity_id: (r.surface, r.kind) for r in registry.tagged_entities(folded).collect()}
+    assert named == {got[e].entity_id: v for e, v in entities.items()}
+
+
 def test_leases(spark):
     docs = spark.createDataFrame([], "entry_id long, revision long, content_hash string, content string")
     token = documents.lease(docs, 3).first()
