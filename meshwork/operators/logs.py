@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from meshwork.types import LIMITS
 
+from .quantiles import nearest_ranks, sliding_ranks
+
 
 def replay(events: DataFrame, after: int) -> DataFrame:
     return events.where(F.col("sequence") > after)
@@ -51,15 +53,12 @@ def command_metrics(log: DataFrame, step: Column) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, value: str, share: float = 0.95) -> DataFrame:
-    return values.agg(F.expr(f"percentile_disc({share}) within group (order by {value})").alias("p95"), F.count("*").alias("n"))
+    return nearest_ranks(values, value, share).select(F.col(value).alias("p95"), "n")
 
 
 def ring_percentile(rows: DataFrame, key: str, order: str, value: str, size: int = LIMITS["sample_ring"], share: float = 0.95) -> DataFrame:
     """At each row, the nearest-rank percentile over the newest ``size`` samples of its key."""
-    window = Window.partitionBy(key).orderBy(order).rowsBetween(-(size - 1), 0)
-    sorted_ring = F.array_sort(F.collect_list(value).over(window))
-    rank = F.ceil(F.size("ring") * F.lit(share)).cast("int")
-    return rows.withColumn("ring", sorted_ring).withColumn("p95", F.element_at("ring", rank)).drop("ring")
+    return sliding_ranks(rows, key, order, value, size, share, "p95")
 
 
 def admitted(commands: DataFrame, drained: Column, capacity: int = LIMITS["event_log"]) -> DataFrame:

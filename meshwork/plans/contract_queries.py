@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions import geometry
@@ -528,9 +528,10 @@ SELECT * FROM d WHERE event IS NOT NULL""")
 def pointer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     kind = F.when(k % 6 == 0, "press").when(k % 6 == 3, "release").when(k % 6 == 5, "wheel").otherwise("move")
-    inputs = table(spark, sf_dir, "events").select(F.col("user_id").cast("bigint").alias("session"), k.alias("sequence"), kind.alias("input"), (k * 3 % 7).cast("double").alias("x"), (k * 5 % 11).cast("double").alias("y"))
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint").alias("number")
+    inputs = table(spark, sf_dir, "events").select(F.col("user_id").cast("bigint").alias("session"), number, k.alias("sequence"), kind.alias("input"), (k * 3 % 7).cast("double").alias("x"), (k * 5 % 11).cast("double").alias("y"))
     folder, out = new_path(spark, "pointer"), new_path(spark, "pointer-events")
-    inputs.write.parquet(folder)
+    inputs.repartition(4, F.xxhash64("sequence")).write.parquet(folder)  # as they may come: out of order
     stream = pointer_events(spark.readStream.schema(inputs.schema).parquet(folder))
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", new_path(spark, "pointer-progress")).trigger(availableNow=True).start(out)
     query.awaitTermination()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -78,36 +79,67 @@ def run_log(spark: SparkSession, log: str, schema: str, applier: StateApplier, c
 
 
 POINTER_OUTPUT = "session bigint, sequence bigint, event string, x double, y double"
-POINTER_STATE = "down boolean, dragging boolean, px double, py double"
+_PENDING = {"number": "bigint", "sequence": "bigint", "input": "string", "x": "double", "y": "double"}
+POINTER_STATE = "down boolean, dragging boolean, px double, py double, next bigint, " + ", ".join(f"{c} array<{kind}>" for c, kind in _PENDING.items())
 DRAG_SQUARED = 16.0
+Pointer = tuple[bool, bool, float, float]
+
+
+def pointer_steps(pointer: Pointer, inputs: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, Pointer]:
+    """The event of each input in order (None where there is none), and the pointer after them: down, dragging and the place of its press."""
+    down, dragging, px, py = pointer
+    at = np.arange(len(inputs))
+    edge = (inputs == "press") | (inputs == "release")
+    # the last press or release before each input, -1 for what the pointer brought along
+    since = np.concatenate(([-1], np.maximum.accumulate(np.where(edge, at, -1))))
+    last, brought = since[:-1], since[:-1] < 0
+    held = np.where(brought, down, inputs[last] == "press")
+    ox, oy = np.where(brought, px, x[last]), np.where(brought, py, y[last])
+    far = (inputs == "move") & held & ((x - ox) ** 2 + (y - oy) ** 2 >= DRAG_SQUARED)
+    moved = np.concatenate(([0], np.cumsum(far)))
+    drags = held & ((moved[1:] > moved[last + 1]) | (brought & dragging))
+    event = np.full(len(inputs), None, dtype=object)
+    event[(inputs == "release") & held] = "select"
+    event[(inputs == "release") & drags] = "drag_end"
+    event[(inputs == "move") & ~held] = "hover"
+    event[(inputs == "move") & drags] = "drag"
+    event[inputs == "wheel"] = "zoom"
+    end = since[-1]
+    if end < 0:
+        return event, (down, bool(dragging or down and moved[-1] > 0), px, py)
+    pressed = inputs[end] == "press"
+    return event, (bool(pressed), bool(pressed and moved[-1] > moved[end + 1]), float(x[end]), float(y[end]))
 
 
 def pointer_events(inputs: DataFrame) -> DataFrame:
-    """Graph events from pointer inputs (session, sequence, input, x, y): a state machine per session.
+    """Graph events from pointer inputs (session, number, sequence, input, x, y): a state machine per session.
 
     A press and a release without a drag select; moving 4 pixels or more from
     the press begins a drag that lasts to the release; moving without a press hovers.
+
+    ``number`` counts a session's inputs from 1 without a gap. Inputs may come in any order: what comes
+    early waits in the state until all before it are there, and a number that was
+    there already is a repeated delivery and is dropped. What waits is as much as the
+    inputs are out of order. Without that column ``sequence`` is the number.
     """
+    if "number" not in inputs.columns:
+        inputs = inputs.withColumn("number", F.col("sequence"))
+    names = list(_PENDING)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        down, dragging, px, py = state.get if state.exists else (False, False, 0.0, 0.0)
-        rows = []
+        held = state.get if state.exists else (False, False, 0.0, 0.0, 1, *([] for _ in names))
+        pointer, due = tuple(held[:4]), held[4]
+        waiting = pd.DataFrame(dict(zip(names, map(list, held[5:]))))
         for pdf in batches:
-            for r in pdf.sort_values("sequence").itertuples():
-                event = None
-                if r.input == "press":
-                    down, dragging, px, py = True, False, r.x, r.y
-                elif r.input == "release":
-                    event = "select" if down and not dragging else "drag_end" if down else None
-                    down = dragging = False
-                elif r.input == "move":
-                    dragging = dragging or down and (r.x - px) ** 2 + (r.y - py) ** 2 >= DRAG_SQUARED
-                    event = "drag" if dragging else None if down else "hover"
-                elif r.input == "wheel":
-                    event = "zoom"
-                if event:
-                    rows.append((key[0], r.sequence, event, r.x, r.y))
-        state.update((down, dragging, px, py))
-        yield pd.DataFrame(rows, columns=["session", "sequence", "event", "x", "y"])
-
-    return inputs.groupBy("session").applyInPandasWithState(step, POINTER_OUTPUT, POINTER_STATE, "append", GroupStateTimeout.NoTimeout)
+            rows = pdf[names] if waiting.empty else pd.concat([waiting, pdf[names]])
+            rows = rows[rows["number"] >= due].drop_duplicates("number").sort_values("number", ignore_index=True)
+            ready = int((rows["number"].to_numpy() == due + np.arange(len(rows))).sum())
+            now, waiting = rows.iloc[:ready], rows.iloc[ready:]
+            due += ready
+            event, pointer = pointer_steps(pointer, *(now[c].to_numpy() for c in ("input", "x", "y")))
+            told = now.assign(session=key[0], event=event)
+            yield told.loc[told["event"].notna(), ["session", "sequence", "event", "x", "y"]]
+        state.update((*pointer, due, *(waiting[c].tolist() for c in names)))
+
+    columns = inputs.select("session", *names)
+    return columns.groupBy("session").applyInPandasWithState(step, POINTER_OUTPUT, POINTER_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -1,9 +1,14 @@
+import random
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from meshwork.sources import store
-from meshwork.streaming.appliers import StateApplier, pointer_events, run_log
+from meshwork.streaming.appliers import StateApplier, pointer_events, pointer_steps, run_log
 
 
 def tables(spark, ids, edges=(), swap=False):
@@ -88,3 +93,57 @@ def test_pointer_machine(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("pointer").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [(r.sequence, r.event) for r in spark.table("pointer").orderBy("sequence").collect()] == [(1, "hover"), (4, "select"), (6, "drag"), (7, "drag_end"), (8, "zoom")]
+
+
+def plain_pointer(rows):
+    down = dragging = False
+    px = py = 0.0
+    out = []
+    for sequence, kind, x, y in sorted(rows):
+        event = None
+        if kind == "press":
+            down, dragging, px, py = True, False, x, y
+        elif kind == "release":
+            event = "select" if down and not dragging else "drag_end" if down else None
+            down = dragging = False
+        elif kind == "move":
+            dragging = dragging or down and (x - px) ** 2 + (y - py) ** 2 >= 16
+            event = "drag" if dragging else None if down else "hover"
+        elif kind == "wheel":
+            event = "zoom"
+        if event:
+            out.append((sequence, event))
+    return out
+
+
+def test_pointer_steps_continue_across_batches():
+    rng = random.Random(2)
+    rows = [(k, rng.choice(["press", "release", "move", "move", "move", "wheel", "other"]), float(rng.randrange(6)), float(rng.randrange(6))) for k in range(2000)]
+    pointer, got, at = (False, False, 0.0, 0.0), [], 0
+    while at < len(rows):
+        part = rows[at : at + rng.randrange(30)]
+        event, pointer = pointer_steps(pointer, *(np.array([r[c] for r in part], dtype=kind) for c, kind in ((1, object), (2, float), (3, float))))
+        got += [(r[0], e) for r, e in zip(part, event) if e]
+        at += len(part)
+    assert got == plain_pointer(rows)
+
+
+@pytest.mark.parametrize("order", ["sorted", "reversed", "shuffled"])
+def test_pointer_restores_the_order_of_long_sessions(spark, tmp_path, order):
+    rng = random.Random(3)
+    rows = [(k + 1, rng.choice(["press", "release", "move", "move", "wheel"]), float(rng.randrange(9)), float(rng.randrange(9))) for k in range(30_000)]
+    given = sorted(rows, reverse=order == "reversed")
+    if order == "shuffled":
+        rng.shuffle(given)
+    schema = "session long, sequence long, input string, x double, y double"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for part in range(3):  # several micro-batches, with some inputs delivered twice
+        some = given[part * 10_000 : part * 10_000 + 10_050]
+        table = pa.table({"session": [7] * len(some), **{n: [r[c] for r in some] for c, n in enumerate(("sequence", "input", "x", "y"))}})
+        pq.write_table(table, folder / f"part-{part}.parquet")
+    stream = pointer_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder)))
+    query = stream.writeStream.format("memory").queryName(f"pointer_{order}").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [(r.sequence, r.event) for r in spark.table(f"pointer_{order}").collect()]
+    assert got == plain_pointer(rows)
