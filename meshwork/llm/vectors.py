@@ -12,17 +12,18 @@ pairs are found in metric terms and confirmed by the cosine in double precision.
    size; a task gets two tiles, builds their nested levels with halving radii,
    and walks pairs of nodes, dropping those whose centres are farther apart
    than their covering radii and the threshold allow. Bounds are taken in
-   single precision with a margin above its error; node pairs at the bottom are
-   compared in double precision.
+   single precision with a margin above its error; points of node pairs at the bottom
+   alone are compared themselves, in double precision at last.
 4. Tasks give link counts and the edges of a spanning forest, never all pairs.
 
 Every point is indexed; the sample only places pivots, and a bad sample costs
 time, not links.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
-components have no link and are their own component; vectors of different
+components have no link and are their own component; so do rows without
+vec_id, which no link can name. Vectors of different
 lengths are never linked; repeated rows with one vec_id are points of their own that share the
-id; an empty table gives no rows.
+id; an empty table gives no rows. Columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -54,16 +55,16 @@ MARGIN = 1e-4
 SPREAD = 4
 MAX_TASKS = 20_000
 SEED = 9
+NONE = np.zeros(0, dtype=np.int64)
 
 
 class CoverTree:
     """Nested levels over unit vectors: a node's children lie within its radius, and radii halve downwards.
 
-    A node is not divided further once its points are so close that any two of
-    them, or of a neighbour's, must be compared anyway, nor where most balls of
-    half its radius hold their centre alone: there all levels below are about as
-    wide as the points themselves, and a plain product of the node's points does
-    the same work at less cost.
+    The last level is the one whose radii fall under half the reach: points of
+    such a node, or of two such neighbours, are all about as near as the
+    threshold asks, so they are compared themselves. A node that holds its centre alone
+    has radius 0 and no levels below it.
     """
 
     def __init__(self, points: np.ndarray, reach: float):
@@ -76,22 +77,25 @@ class CoverTree:
         self.members: list[np.ndarray] = []
         self._grow(np.arange(len(points)), 0)
 
-    def _grow(self, at: np.ndarray, centre: int) -> int:
-        away = _apart(self.points[at], self.points[[centre]])[:, 0]
-        me, radius = len(self.radii), float(away.max())
+    def _node(self, at: np.ndarray, centre: int, radius: float) -> int:
         self.centres.append(centre)
         self.radii.append(radius)
-        self.children.append(np.zeros(0, dtype=np.int64))
+        self.children.append(NONE)
         self.members.append(at)
-        if len(at) > LEAF_POINTS and radius > self.reach / 2:
-            parts = self._balls(at, radius / 2)
+        return len(self.radii) - 1
+
+    def _grow(self, at: np.ndarray, centre: int) -> int:
+        me = self._node(at, centre, float(_apart(self.points[at], self.points[[centre]])[:, 0].max()))
+        if len(at) > LEAF_POINTS and self.radii[me] > self.reach / 2:
+            parts = self._balls(at, self.radii[me] / 2)
             if len(parts) > 1:
-                self.children[me] = np.array([self._grow(part, c) for c, part in parts])
+                # most balls of scattered points hold their centre alone
+                self.children[me] = np.array([self._grow(part, c) if len(part) > 1 else self._node(part, c, 0.0) for c, part in parts])
         return me
 
     def _balls(self, at: np.ndarray, half: float) -> list[tuple[int, np.ndarray]]:
         """Covers the points by balls whose centres are farther apart than their radius."""
-        parts, everything = [], at
+        parts = []
         while len(at):
             some = at[:SAMPLE]
             # which ball takes a point is free; radii are measured afterwards
@@ -103,8 +107,6 @@ class CoverTree:
                     chosen.append(k)
                     covered |= near[: len(some), k]
             within = near[:, chosen]
-            if len(at) == len(everything) > SAMPLE and 2 * np.count_nonzero(within.sum(0) == 1) > len(chosen):
-                return [(int(at[0]), at)]
             taken, ball = within.any(1), within.argmax(1)
             ball[chosen] = np.arange(len(chosen))
             order = np.argsort(ball[taken], kind="stable")
@@ -123,11 +125,17 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(found, out=found)
 
 
-def dual_pairs(a: CoverTree, b: CoverTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of point lists that may hold linked points; for one tree with itself, each unordered pair once."""
+def dual_pairs(a: CoverTree, b: CoverTree) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Points that may be linked; for one tree with itself, each unordered pair of nodes once.
+
+    Yields two lists of points of which each of the one may be linked with each of the
+    other (False), or two lists of pairs (True): nodes that hold one point.
+    """
     same = a is b
     radii_a, radii_b = np.array(a.radii), np.array(b.radii)
     centres_a, centres_b = a.rough[a.centres], b.rough[b.centres]
+    points_a, points_b = np.array(a.centres), np.array(b.centres)
+    alone_a, alone_b = (np.array([len(m) == 1 for m in t.members]) for t in (a, b))
     slack = a.reach + 1e-6
     # a distance is at most s where the cosine is at least 1 - s * s / 2
     least = lambda s: 1.0 - s * s / 2 - MARGIN
@@ -136,7 +144,7 @@ def dual_pairs(a: CoverTree, b: CoverTree) -> Iterator[tuple[np.ndarray, np.ndar
         x, y = stack.pop()
         cx, cy = a.children[x], b.children[y]
         if not len(cx) and not len(cy):
-            yield a.members[x], b.members[y]
+            yield a.members[x], b.members[y], False
             continue
         cx = cx if len(cx) else np.array([x])
         cy = cy if len(cy) else np.array([y])
@@ -148,8 +156,11 @@ def dual_pairs(a: CoverTree, b: CoverTree) -> Iterator[tuple[np.ndarray, np.ndar
             near = cosine[i, j] >= least(radii_a[some][i] + radii_b[cy][j] + slack)
             if same and x == y:
                 near &= j >= i + at
-            i, j = i[near], j[near]
-            stack += zip(some[i].tolist(), cy[j].tolist())
+            i, j = some[i[near]], cy[j[near]]
+            one = alone_a[i] & alone_b[j]
+            if one.any():
+                yield points_a[i[one]], points_b[j[one]], True
+            stack += zip(i[~one].tolist(), j[~one].tolist())
 
 
 def link_tiles(left: np.ndarray, right: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -159,15 +170,19 @@ def link_tiles(left: np.ndarray, right: np.ndarray | None, least: float) -> Iter
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * least))
     a = CoverTree(left, reach)
     b = a if right is None else CoverTree(right, reach)
-    for x, y in dual_pairs(a, b):
-        step = max(1, BLOCK_DISTANCES // len(y))
+    for x, y, paired in dual_pairs(a, b):
+        step = len(x) if paired else max(1, BLOCK_DISTANCES // len(y))
         for at in range(0, len(x), step):
-            i, j = np.nonzero(a.rough[x[at : at + step]] @ b.rough[y].T >= least - MARGIN)
-            i, j = x[at + i], y[j]
+            if paired:
+                i, j = x, y
+            else:
+                i, j = np.nonzero(a.rough[x[at : at + step]] @ b.rough[y].T >= least - MARGIN)
+                i, j = x[at + i], y[j]
+            if right is None and (paired or x is y):
+                once = i != j if paired else i < j
+                i, j = i[once], j[once]
             exact = np.concatenate([np.zeros(0, dtype=bool)] + [(a.points[i[k : k + step]] * b.points[j[k : k + step]]).sum(1) >= least for k in range(0, len(i), step)])
             i, j = i[exact], j[exact]
-            if right is None and x is y:
-                i, j = i[i < j], j[i < j]
             if len(i):
                 yield i, j
 
@@ -244,7 +259,7 @@ def near_vectors(rows: DataFrame, least: float = 0.95, seed: int = SEED) -> Data
         for batch in batches:
             ids, units = [], []
             for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                unit = _unit(vector)
+                unit = None if vec_id is None else _unit(vector)
                 ids.append(vec_id)
                 units.append(None if unit is None else unit.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units, pa.binary())], names=["vec_id", "unit"])

@@ -50,6 +50,54 @@ def test_against_all_pairs(spark, monkeypatch, cell, tile, spread):
     assert sorted(map(tuple, vectors.near_vectors(df).collect())) == brute(rows)
 
 
+def compared(tree):
+    """Pairs of centres and of points that a traversal of the tree with itself looks at."""
+    centres = points = 0
+    stack = [(0, 0)]
+    while stack:  # all pairs of nodes that the walk would open
+        x, y = stack.pop()
+        cx, cy = tree.children[x], tree.children[y]
+        if not len(cx) and not len(cy):
+            points += len(tree.members[x]) * len(tree.members[y])
+            continue
+        cx, cy = (c if len(c) else np.array([n]) for c, n in ((cx, x), (cy, y)))
+        centres += len(cx) * len(cy)
+        away = vectors._apart(tree.points[[tree.centres[c] for c in cx]], tree.points[[tree.centres[c] for c in cy]])
+        for i, j in zip(*np.nonzero(away <= np.array(tree.radii)[cx][:, None] + np.array(tree.radii)[cy] + tree.reach)):
+            if x != y or i <= j:
+                stack.append((cx[i], cy[j]))
+    return centres, points
+
+
+def test_tree_prunes_clustered_points_and_keeps_levels_of_scattered_ones():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 64))
+    close = base[rng.integers(0, 30, 3000)] + 0.05 * rng.normal(size=(3000, 64))
+    scattered = rng.normal(size=(1000, 64))
+    trees = []
+    for x in (close, scattered):
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        tree = vectors.CoverTree(x, np.sqrt(0.1))
+        trees.append(tree)
+        leaves = [tree.members[k] for k in range(len(tree.radii)) if not len(tree.children[k])]
+        assert sorted(np.concatenate(leaves)) == list(range(len(x)))
+        for k, parts in enumerate(tree.children):
+            assert (vectors._apart(tree.points[tree.members[k]], tree.points[[tree.centres[k]]]) <= tree.radii[k] + 1e-7).all()
+            assert all(tree.radii[c] <= tree.radii[k] / 2 + 1e-4 for c in parts)
+        found = {tuple(sorted(p)) for i, j in vectors.link_tiles(x, None, 0.95) for p in zip(i.tolist(), j.tolist())}
+        i, j = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+        assert found == set(zip(i.tolist(), j.tolist()))
+    assert sum(compared(trees[0])) < 0.06 * 3000 * 3000
+    # scattered points are balls of their own: their centres are compared, and hardly any points after that
+    assert len(trees[1].radii) == 1001 and compared(trees[1])[1] < 0.01 * 1000 * 1000
+
+
+def test_rows_without_an_id_link_with_nothing(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, vectors.near_vectors(df).collect()), key=repr)
+    assert got == sorted([(None, 0, None, True)] * 2 + [(1, 1, 1, True), (2, 1, 1, False)], key=repr)
+
+
 def test_empty_table(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
