@@ -35,7 +35,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,16 +207,19 @@ def _moved(vectors: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
         if columns:
             yield pa.RecordBatch.from_arrays(columns, names=["part", "entry", "n", "total"])
 
-    def mean(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, total = sum(pdf["n"].tolist()), None
-        for t in pdf["total"]:
-            one = np.frombuffer(t, dtype=np.int64).astype(object)  # sums over all tasks are of any size
-            total = one if total is None else total + one
-        return pd.DataFrame({"part": [key[0]], "entry": [key[1]], "vector": [np.array([int(t) // n for t in total], dtype=np.int64).tobytes()]})
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[int, np.ndarray]] = {}  # as many as there are entries at most
+        for batch in batches:
+            for part, entry, n, total in zip(*(c.to_pylist() for c in batch.columns)):
+                before, so_far = held.get((part, entry), (0, 0))
+                held[part, entry] = before + n, so_far + np.frombuffer(total, dtype=np.int64).astype(object)  # sums over all tasks are of any size
+        rows = [(*key, np.array([int(t) // n for t in total], dtype=np.int64).tobytes()) for key, (n, total) in held.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["part", "entry", "vector"])
 
     partial = vectors.select("vector").mapInArrow(sums, "part int, entry int, n bigint, total binary")
     after = [b.copy() for b in books]
-    for r in partial.groupBy("part", "entry").applyInPandas(mean, "part int, entry int, vector binary").collect():
+    for r in partial.repartition("part", "entry").mapInArrow(means, "part int, entry int, vector binary").collect():
         after[r.part][r.entry] = np.frombuffer(r.vector, dtype=np.int64)
     return after
 
