@@ -9,10 +9,10 @@ documents in a seeded order: whole buckets of that order first, and in the
 bucket where the remainder ends each next document that still fits.
 
 Targets are found by aggregates over a table of sources, however many there
-are. A source that shares no document with another one is settled by itself:
-its flow is its target, up to its capacity. Only patterns of sources that do
-overlap go through the network on the driver, so ``MAX_PATTERNS`` bounds the
-overlapping ones (more raise an error) and no others.
+are. Sources that documents tie together, directly or over others, form one flow network, which
+one task solves; a source that shares no document with another one is a
+network of its own. Networks hold a row a pattern, never documents, and none is solved
+on the driver.
 
 Documents are never ranked in one task: buckets of the seeded order hold about
 ``BUCKET_ROWS`` rows and one bucket a pattern is ranked.
@@ -34,11 +34,9 @@ from pyspark.sql import functions as F
 
 from meshwork.operators.slots import assign_slots
 
-from .common import read_table, skewed_join, written
+from .common import components, read_table, skewed_join, written
 
 MAX_REPEATS = 3
-#: Patterns of overlapping sources that the network on the driver may hold.
-MAX_PATTERNS = 100_000
 #: Patterns (rows of some 60 bytes) that are broadcast; beyond, documents are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 BUCKET_ROWS = 256
@@ -169,23 +167,38 @@ def _joined(rows: DataFrame, by: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(by), "pattern") if by.count() <= BROADCAST_ROWS else skewed_join(rows, by, "pattern")
 
 
+def _networks(sums: DataFrame, quotas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patterns and sources with the number of the network they belong to: sources that documents tie together, directly or not, share one."""
+    member = sums.select("pattern", F.explode("members").alias("source"))
+    sources = written(assign_slots(quotas.select("source").unionByName(member.select("source")).distinct(), "source", "node"), "sources")
+    # consecutive members of a pattern tie all of them together
+    pairs = F.filter(F.transform("members", lambda m, i: F.struct(m.alias("a"), F.element_at("members", F.least(i + 2, F.size("members"))).alias("b"))), lambda p: p["a"] != p["b"])
+    ties = sums.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    named = sources.select("source", "node", F.col("node").alias("network"))
+    if ties.limit(1).count():
+        end = lambda name: sources.select(F.col("source").alias(name), F.col("node").alias(f"{name}_node"))
+        found = components(ties.join(end("a"), "a").join(end("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "networks")
+        named = sources.join(found, "node", "left").select("source", "node", F.coalesce("component", "node").alias("network"))
+    named = written(named, "networks")
+    patterns = member.groupBy("pattern").agg(F.min("source").alias("source")).join(named.select("source", "network"), "source")
+    told = patterns.select("pattern", "network").join(sums, "pattern")
+    return told, named.select("source", F.col("network").alias("of")).join(quotas, "source").select(F.col("of").alias("of_network"), "source", "quota")
+
+
 def _flows(sums: DataFrame, quotas: DataFrame) -> DataFrame:
-    """(pattern, total, n, flow): words that each pattern gives."""
-    spark = sums.sparkSession
-    members = sums.select("pattern", "total", "n", F.explode_outer("members").alias("source"), F.size("members").alias("k"))
-    shared = written(members.where("k > 1").select("source").distinct(), "shared")
-    single = members.where("k = 1").join(shared, "source", "left_anti").join(quotas, "source", "left")
-    flow = F.least(F.round(F.coalesce("quota", F.lit(0.0))).cast("bigint"), F.col("total") * MAX_REPEATS)
-    settled = single.select("pattern", "total", "n", flow.alias("flow"))
-    rest = sums.join(single.select("pattern"), "pattern", "left_anti")
-    rows = sorted(rest.limit(MAX_PATTERNS + 1).collect(), key=lambda r: r.pattern)
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns of overlapping sources")
-    wanted = {r.source: r.quota for r in quotas.join(shared, "source", "left_semi").collect()} if rows else {}
-    at = {source: i for i, source in enumerate(sorted(wanted))}
-    given = min_cost_flow([r.total for r in rows], [[at[m] for m in r.members if m in at] for r in rows], [round(wanted[source]) for source in at])
-    found = spark.createDataFrame([(r.pattern, r.total, r.n, int(g)) for r, g in zip(rows, given)], "pattern string, total bigint, n bigint, flow bigint")
-    return settled.unionByName(found)
+    """(pattern, total, n, flow): words that each pattern gives, by one flow network for each set of sources that overlap."""
+
+    def flow(key: tuple, patterns: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        patterns, wanted = patterns.sort_values("pattern").reset_index(drop=True), wanted.sort_values("source")
+        at = {source: i for i, source in enumerate(wanted["source"])}
+        members = [[at[m] for m in ms if m in at] for ms in patterns["members"]]
+        given = min_cost_flow(patterns["total"].tolist(), members, [round(q) for q in wanted["quota"]])
+        return patterns.assign(flow=pd.Series(given, dtype="int64"))[["pattern", "total", "n", "flow"]]
+
+    patterns, wanted = _networks(sums, quotas)
+    found = patterns.groupBy("network").cogroup(wanted.groupBy("of_network")).applyInPandas(flow, "pattern string, total bigint, n bigint, flow bigint")
+    alone = sums.where(F.size("members") == 0).select("pattern", "total", "n", F.lit(0).cast("bigint").alias("flow"))
+    return found.unionByName(alone)
 
 
 def mix(docs: DataFrame, slim: DataFrame, quotas: DataFrame | dict[str, float], seed: int = SEED) -> DataFrame:

@@ -92,7 +92,6 @@ def test_targets_of_a_table_equal_the_plain_ones(spark):
 
 
 def test_many_sources_alone_and_some_overlapping(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_PATTERNS", 4)
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 3)
     rows = [(i, 5, f"p{i % 30}", [f"p{i % 30}"]) for i in range(900)] + [(1000 + i, 10, "ab", ["a", "b"]) for i in range(20)] + [(2000 + i, 10, "a", ["a"]) for i in range(20)]
     slim = spark.createDataFrame(rows, "doc_id long, size long, pattern string, members array<string>")
@@ -101,6 +100,71 @@ def test_many_sources_alone_and_some_overlapping(spark, monkeypatch):
     for r in out:
         taken[r.pattern] += r.size * r.repeats
     assert len(out) == len(rows) and all(taken[f"p{k}"] == 150 * (k % 3) for k in range(30)) and taken["a"] + taken["ab"] == 270
-    with pytest.raises(ValueError, match="overlapping"):
-        many = spark.createDataFrame([(i, 1, f"x{i}", ["a", f"x{i}"]) for i in range(9)], "doc_id long, size long, pattern string, members array<string>")
-        mixing.mix(many, many, {"a": 3.0})
+    many = spark.createDataFrame([(i, 1, f"x{i}", ["a", f"x{i}"]) for i in range(9)], "doc_id long, size long, pattern string, members array<string>")
+    assert sum(r.repeats for r in mixing.mix(many, many, {"a": 3.0}).collect()) == 3
+
+
+def test_sources_tied_over_others_share_a_network(spark):
+    rows = [("ab", ["a", "b"]), ("bc", ["b", "c"]), ("d", ["d"]), ("ef", ["f", "e"]), ("e", ["e"]), ("none", [])]
+    sums = spark.createDataFrame([(p, m, 10, 1) for p, m in rows], "pattern string, members array<string>, total long, n long")
+    quotas = spark.createDataFrame([(s, 12.0) for s in "abcdefg"], "source string, quota double")
+    patterns, sources = mixing._networks(sums, quotas)
+    network = {r.pattern: r.network for r in patterns.collect()}
+    assert network["ab"] == network["bc"] and network["e"] == network["ef"] and len({network[p] for p in ("ab", "d", "e")}) == 3
+    at = {r.source: r.of_network for r in sources.collect()}
+    assert at["a"] == at["c"] == network["ab"] and len(set(at.values())) == 4
+    flows = {r.pattern: r.flow for r in mixing._flows(sums, quotas).collect()}
+    # three quotas of 12 meet 60 words at most; the cheapest way repeats both patterns alike
+    assert flows == {"ab": 18, "bc": 18, "d": 12, "ef": 14, "e": 10, "none": 0} or (flows["ab"] + flows["bc"], flows["ef"] + flows["e"], flows["d"], flows["none"]) == (36, 24, 12, 0)
+
+
+def test_nothing_is_taken_without_the_flow(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "min_cost_flow", lambda sizes, members, quotas: [0] * len(sizes))
+    assert sum(r.taken for r in mixing.op3_mixing(spark, "/root/testdata/sf0.001").collect()) == 0
+
+
+def plain_choice(rows, flow, place):
+    """How often each document (doc_id, size) of one pattern is taken: whole rounds, whole buckets, then what fits."""
+    total = sum(size for _, size in rows)
+    full, rest = divmod(flow, total)
+    buckets = max(1, min(len(rows) // mixing.BUCKET_ROWS, mixing.MAX_BUCKETS))
+    order = sorted(rows, key=lambda r: (place[r[0]], r))
+    of = {d: min(int(place[d] * buckets), buckets - 1) for d, _ in rows}
+    times, before = {d: full * (size > 0) for d, size in rows}, 0
+    for b in range(buckets):
+        mine = [(d, size) for d, size in order if of[d] == b]
+        words = sum(size for _, size in mine)
+        if before + words <= rest:
+            for d, size in mine:
+                times[d] += size > 0
+            before += words
+            continue
+        left, missed = rest - before, []
+        for d, size in mine:
+            if 0 < size <= left:
+                times[d] += 1
+                left -= size
+            elif size:
+                missed.append((size, place[d], d))
+        if left and missed and min(missed)[0] < 2 * left:
+            times[min(missed)[2]] += 1
+        break
+    return times
+
+
+def test_query_takes_the_documents_that_a_plain_version_takes(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 40)
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    place = {r.doc_id: r.u for r in docs.select("doc_id", mixing._seeded(mixing.SEED).alias("u")).collect()}
+    rows, by, target = mixing.op3_mixing(spark, d).collect(), defaultdict(list), {}
+    for r in rows:
+        by[source[r.doc_id]].append((r.doc_id, r.size))
+        target[source[r.doc_id]] = r.target
+    wanted = {}
+    for name, members in by.items():
+        total = sum(size for _, size in members)
+        flow = mixing.min_cost_flow([total], [[0]], [round(target[name])])[0]
+        wanted |= plain_choice(members, flow, place)
+    assert {r.doc_id: r.taken for r in rows} == {r.doc_id: r.size * wanted[r.doc_id] for r in rows}
