@@ -1,4 +1,4 @@
-"""Bounds, camera and projection: driver-side parameters, per-row Column expressions."""
+"""Bounds, cameras, rays and projection as expressions over rows."""
 
 from __future__ import annotations
 
@@ -18,67 +18,85 @@ def bounds(nodes: DataFrame, *by: str) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Camera:
-    target: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    yaw: float = 0.0
-    pitch: float = 0.2
-    distance: float = 100.0
+class Lens:
+    """What all rows share: opening angle and size of the viewport, near and far plane."""
+
     fov_y: float = math.pi / 4
-    aspect: float = 16 / 9
-    near: float = 0.1
-    far: float = 100_000.0
     width: float = 1600.0
     height: float = 900.0
+    near: float = 0.1
+    far: float = 100_000.0
 
-    def eye(self) -> tuple[float, float, float]:
-        flat = self.distance * math.cos(self.pitch)
-        offset = (flat * math.sin(self.yaw), self.distance * math.sin(self.pitch), flat * math.cos(self.yaw))
-        return tuple(t + o for t, o in zip(self.target, offset))
-
-    def basis(self) -> tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...]]:
-        """Right, up and forward unit vectors."""
-        forward = _unit([t - e for t, e in zip(self.target, self.eye())])
-        right = _unit(_cross(forward, (0.0, 1.0, 0.0)), (1.0, 0.0, 0.0))
-        return right, _unit(_cross(right, forward)), forward
-
-    # Steps, limits and margins of the camera's movements below.
-
-    def orbit(self, dx: float, dy: float) -> Camera:
-        limit = math.pi / 2 - 0.01
-        return replace(self, yaw=self.yaw + dx * 0.005, pitch=min(max(self.pitch - dy * 0.005, -limit), limit))
-
-    def zoom(self, delta: float) -> Camera:
-        return replace(self, distance=min(max(self.distance * math.exp(-delta * 0.12), 0.05), 100_000.0))
+    @property
+    def tall(self) -> float:
+        return math.tan(self.fov_y / 2)
 
-    def pan(self, dx: float, dy: float) -> Camera:
-        right, up, _ = self.basis()
-        unit = 2.0 * self.distance * math.tan(self.fov_y / 2) / self.height
-        return replace(self, target=tuple(t - r * dx * unit + u * dy * unit for t, r, u in zip(self.target, right, up)))
+    @property
+    def aspect(self) -> float:
+        return self.width / self.height
 
-    def fit(self, low: tuple[float, ...] | None, high: tuple[float, ...] | None) -> Camera:
-        """The camera that shows a box; without a box, the default pose."""
-        if low is None or high is None or any(v is None for v in (*low, *high)):
-            return replace(self, target=(0.0, 0.0, 0.0), yaw=0.0, pitch=0.2, distance=100.0)
-        radius = max(math.dist(low, high) / 2, 1.0)
-        half = min(self.fov_y / 2, math.atan(math.tan(self.fov_y / 2) * self.aspect))
-        target = tuple((a + b) / 2 for a, b in zip(low, high))
-        return replace(self, target=target, distance=min(max(radius / math.sin(half) * 1.1, 0.05), 100_000.0))
 
-    def ray(self, x: float, y: float) -> tuple[tuple[float, ...], tuple[float, ...]]:
-        """Origin and direction of the ray through a pixel."""
-        right, up, forward = self.basis()
-        tall = math.tan(self.fov_y / 2)
-        across, upward = (2.0 * x / self.width - 1.0) * tall * self.aspect, (1.0 - 2.0 * y / self.height) * tall
-        return self.eye(), _unit([f + r * across + u * upward for f, r, u in zip(forward, right, up)])
+@dataclass(frozen=True)
+class Pose:
+    """A camera of each row: it looks at ``target`` from ``distance`` away, turned by yaw and pitch."""
 
+    yaw: Column
+    pitch: Column
+    distance: Column
+    target: tuple[Column, Column, Column]
 
-def _cross(a, b):
-    return (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    @staticmethod
+    def default() -> Pose:
+        zero = F.lit(0.0)
+        return Pose(zero, F.lit(0.2), F.lit(100.0), (zero, zero, zero))
 
+    # Steps and limits of the camera's movements below.
 
-def _unit(v, fallback=(0.0, 0.0, 0.0)):
-    size = math.sqrt(sum(x * x for x in v))
-    return tuple(x / size for x in v) if size > 1e-12 else fallback
+    def turned(self, dx: Column, dy: Column) -> Pose:
+        limit = math.pi / 2 - 0.01
+        return replace(self, yaw=self.yaw + dx * 0.005, pitch=F.least(F.greatest(self.pitch - dy * 0.005, F.lit(-limit)), F.lit(limit)))
+
+    def zoomed(self, delta: Column) -> Pose:
+        return replace(self, distance=F.least(F.greatest(self.distance * F.exp(delta * -0.12), F.lit(0.05)), F.lit(100_000.0)))
+
+    def shifted(self, dx: Column, dy: Column, lens: Lens) -> Pose:
+        """The target moves with the pointer, by as much as a pixel shows at its distance."""
+        right, up, _ = self.axes()
+        pixel = self.distance * (2.0 * lens.tall / lens.height)
+        return replace(self, target=tuple(t + (u * dy - r * dx) * pixel for t, r, u in zip(self.target, right, up)))
+
+    def axes(self) -> tuple[list[Column], list[Column], list[Column]]:
+        """Right, up and forward unit vectors of the sphere around the target."""
+        sin_y, cos_y, sin_p, cos_p = F.sin(self.yaw), F.cos(self.yaw), F.sin(self.pitch), F.cos(self.pitch)
+        return [cos_y, F.lit(0.0), -sin_y], [-sin_p * sin_y, cos_p, -sin_p * cos_y], [-cos_p * sin_y, -sin_p, -cos_p * cos_y]
+
+    def eye(self) -> list[Column]:
+        return [t - f * self.distance for t, f in zip(self.target, self.axes()[2])]
+
+    def ray(self, x: Column, y: Column, lens: Lens) -> tuple[list[Column], list[Column]]:
+        """Origin and unit direction of the ray through a pixel."""
+        right, up, forward = self.axes()
+        across, upward = (x * (2.0 / lens.width) - 1.0) * (lens.tall * lens.aspect), (y * (-2.0 / lens.height) + 1.0) * lens.tall
+        through = [f + r * across + u * upward for f, r, u in zip(forward, right, up)]
+        size = F.sqrt(across * across + upward * upward + 1.0)
+        return self.eye(), [c / size for c in through]
+
+    def seen(self, point: list[Column], lens: Lens) -> list[Column]:
+        """Where a point shows: across and up from -1 to 1 within the viewport, and depth from 0 (near) to 1 (far)."""
+        offset = [p - e for p, e in zip(point, self.eye())]
+        across, up, ahead = (a[0] * offset[0] + a[1] * offset[1] + a[2] * offset[2] for a in self.axes())
+        return [across / (ahead * (lens.tall * lens.aspect)), up / (ahead * lens.tall), (F.lit(1.0) - lens.near / ahead) * (lens.far / (lens.far - lens.near))]
+
+
+def fitted_pose(box: str = "box", lens: Lens = Lens()) -> Pose:
+    """The pose that shows a whole box of ``bounds``; the default pose where there is none."""
+    corners = [(F.col(f"{box}.min_{a}"), F.col(f"{box}.max_{a}")) for a in "xyz"]
+    spans = [high - low for low, high in corners]
+    radius = F.greatest(F.sqrt(spans[0] * spans[0] + spans[1] * spans[1] + spans[2] * spans[2]) / 2, F.lit(1.0))
+    there = F.col(f"{box}.min_x").isNotNull()
+    pose = Pose.default()
+    distance = F.when(there, fit_distance(radius, lens.fov_y, lens.aspect)).otherwise(pose.distance)
+    return replace(pose, distance=distance, target=tuple(F.when(there, (low + high) / 2).otherwise(0.0) for low, high in corners))
 
 
 def fit_distance(radius: Column, fov_y: float, aspect: float) -> Column:

@@ -171,6 +171,31 @@ def require_note(entries: DataFrame, wanted: int) -> Row:
     return row
 
 
+def find_entries(entries: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (request, id) with the entry that each names, and what it is good for.
+
+    ``error`` says why there is no such entry, ``note_error`` also why it is no note. ``home`` is the folder
+    in which something new goes when the entry is selected: itself, or a note's folder.
+    """
+    rows = entries.select("id", "kind", "name", "parent")
+    found = requests.join(rows, "id", "left")
+    missing = F.when(F.col("kind").isNull(), "MissingEntry")
+    home = F.when(F.col("kind") == "folder", F.col("id")).otherwise(F.col("parent"))
+    return found.withColumns({"error": missing, "note_error": F.coalesce(missing, F.when(F.col("kind") != "note", "NotNote")), "home": home})
+
+
+def names_taken(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The requests (request, parent, name, besides) whose name a sibling other than ``besides`` has, ignoring ASCII case."""
+    held = entries.select(F.col("parent").alias("_parent"), ascii_lower(F.col("name")).alias("_name"), F.col("id").alias("_id"))
+    same = (F.col("parent") == F.col("_parent")) & (ascii_lower(F.col("name")) == F.col("_name"))
+    return wanted.join(held, same & (F.col("_id") != F.coalesce("besides", F.lit(0))), "left_semi")
+
+
+def first_notes(entries: DataFrame) -> DataFrame:
+    """(parent, id): the first note of each folder in stored order."""
+    return entries.where("kind = 'note'").groupBy("parent").agg(F.min("id").alias("id"))
+
+
 def active_document(entries: DataFrame) -> DataFrame:
     """(id, document): the document that selecting an entry makes active; none for a folder."""
     return entries.select("id", F.when(F.col("kind") == "note", F.col("id")).alias("document"))

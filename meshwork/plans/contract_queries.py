@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from meshwork.functions import geometry
 from meshwork.functions.masks import bit_for, split_words, unsigned_order
 from meshwork.operators import anchors as spans
-from meshwork.operators import diff, index, logs, pages, paths, registry, scene, slots, tree, validate, workflow
+from meshwork.operators import diff, index, logs, pages, paths, registry, scene, slots, tree, validate, views, workflow
 from meshwork.sources import documents, generators, store
 from meshwork.sources.shared import new_path
 from meshwork.sources.tables import PART_BASE, edge_rows, entities, entries, mentions, ner_batch, node_rows, nodes, table
 from meshwork.streaming.appliers import POINTER_OUTPUT, pointer_events
-from meshwork.types import ENTITY_SCHEMA, LIMITS, MENTION_SCHEMA, View
+from meshwork.types import ENTITY_SCHEMA, LIMITS, MENTION_SCHEMA
 
 from .registering import Book
 from .registry_queries import BATCH_SQL, ENTITIES_SQL, ENTRIES_SQL, MENTIONS_SQL
@@ -328,26 +328,38 @@ def workspace_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add(f"""
-WITH t AS ({TREE_SQL}) SELECT 'entry' AS what, 'World' AS value UNION ALL SELECT 'note', (SELECT name FROM t WHERE id = (SELECT min(id) FROM t WHERE kind = 'note'))
-UNION ALL SELECT 'parent of folder', '100' UNION ALL SELECT 'parent of note', (SELECT parent::VARCHAR FROM t WHERE id = (SELECT min(id) FROM t WHERE kind = 'note'))
-UNION ALL SELECT 'taken', 'true' UNION ALL SELECT 'taken besides itself', 'false' UNION ALL SELECT 'missing', 'MissingEntry(99)' UNION ALL SELECT 'folder', 'NotNote(100)'""")
+WITH t AS ({ENTRIES_SQL}), r AS (SELECT event_id AS request, CASE event_id % 3 WHEN 0 THEN 80 + user_id % 50 WHEN 1 THEN 1000000 + user_id * 11 ELSE 100000000 + event_id END AS id FROM events)
+SELECT request, r.id, t.name, CASE WHEN t.id IS NULL THEN 'MissingEntry' END AS error, CASE WHEN t.id IS NULL THEN 'MissingEntry' WHEN t.kind <> 'note' THEN 'NotNote' END AS note_error,
+       CASE WHEN t.kind = 'folder' THEN t.id ELSE t.parent END AS home FROM r LEFT JOIN t USING (id)""")
 def entry_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _tree(spark, sf_dir)
-    note = tree.first_note(rows).first().id
-    region = tree.entry(rows, 10).name
+    """What each of many requests finds in the tree."""
+    k = F.col("event_id")
+    wanted = F.when(k % 3 == 0, F.col("user_id") % 50 + 80).when(k % 3 == 1, F.col("user_id") * 11 + 1_000_000).otherwise(k + 100_000_000)
+    requests = table(spark, sf_dir, "events").select(k.alias("request"), wanted.alias("id"))
+    return tree.find_entries(entries(spark, sf_dir), requests).select("request", "id", "name", "error", "note_error", "home")
+
+
+_NAME_REQUESTS_SQL = """
+  SELECT event_id AS request, 10 + event_id % 5 AS parent, CASE WHEN event_id % 2 = 0 THEN lower(n_name) ELSE n_name END AS name, CASE WHEN event_id % 7 = 0 THEN 100 + n_nationkey ELSE 0 END AS besides
+  FROM events JOIN nation ON n_nationkey = user_id % 25"""
+
+
+@BOOK.add(f"""
+WITH t AS ({ENTRIES_SQL}), w AS ({_NAME_REQUESTS_SQL})
+SELECT request, parent, name FROM w WHERE EXISTS (SELECT 1 FROM t WHERE t.parent = w.parent AND lower(t.name) = lower(w.name) AND t.id <> w.besides)""")
+def taken_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of many new names a sibling has already."""
+    k = F.col("event_id")
+    joined = table(spark, sf_dir, "events").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("user_id") % 25)
+    wanted = joined.select(
+        k.alias("request"), (k % 5 + 10).alias("parent"), F.when(k % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("name"), F.when(k % 7 == 0, F.col("n_nationkey") + 100).otherwise(0).alias("besides")
+    )
+    return tree.names_taken(entries(spark, sf_dir), wanted).select("request", "parent", "name")
 
-    def refused(call, wanted: int) -> str:
-        try:
-            return str(call(rows, wanted))
-        except ValueError as error:
-            return str(error)
 
-    found = [
-        ("entry", tree.entry(rows, 1).name), ("note", tree.require_note(rows, note).name), ("parent of folder", str(tree.parent_for_create(rows, 100).first().id)),
-        ("parent of note", str(tree.parent_for_create(rows, note).first().id)), ("taken", str(tree.name_taken(rows, 1, region.lower())).lower()),
-        ("taken besides itself", str(tree.name_taken(rows, 1, region.lower(), 10)).lower()), ("missing", refused(tree.entry, 99)), ("folder", refused(tree.require_note, 100)),
-    ]
-    return spark.createDataFrame(found, "what string, value string")
+@BOOK.add(f"SELECT parent, min(id) AS id FROM ({ENTRIES_SQL}) WHERE kind = 'note' GROUP BY parent")
+def first_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.first_notes(entries(spark, sf_dir))
 
 
 @BOOK.add(f"SELECT id, CASE WHEN kind = 'note' THEN id END AS document FROM ({ENTRIES_SQL})")
@@ -444,32 +456,57 @@ def entity_node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.entity_nodes(mapped, table(spark, sf_dir, "supplier").select((F.col("s_suppkey").cast("bigint") * 2).alias("entity_id")))
 
 
-@BOOK.add("""
-SELECT * FROM (VALUES ('all', true, NULL, NULL), ('filtered without index', false, 'ProductIndexRequiredForFilteredView', 'InvalidStyle'),
-  ('filtered, old generation', false, 'StaleGraphViewAuthority', 'InvalidStyle'), ('filtered, bound', false, NULL, NULL), ('all, bound', true, NULL, NULL)) t(view, unfiltered, error, style_error)""")
+_VIEWS_SQL = """
+  s AS (SELECT r_regionkey AS scene_id, r_regionkey % 3 + 1 AS generation, 'c' || (r_regionkey % 3 + 1) AS cohort_hash, CASE WHEN r_regionkey <> 1 THEN 'i' || (r_regionkey % 3 + 1) END AS index_hash FROM region),
+  v AS (SELECT event_id AS view_id, user_id AS session, event_id AS sequence, user_id % 6 AS scene_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id % 8 + 1 END AS families,
+               CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 4 END AS generation, event_id % 5 AS style_revision, CASE WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE ELSE value - 5 END AS node_scale FROM events),
+  w AS (SELECT v.*, families = -1 AS unfiltered,
+               CASE WHEN s.scene_id IS NULL THEN 'StaleGraphViewAuthority' WHEN families <> -1 AND s.index_hash IS NULL THEN 'ProductIndexRequiredForFilteredView'
+                    WHEN v.generation IS DISTINCT FROM s.generation OR 'c' || v.generation IS DISTINCT FROM s.cohort_hash OR CASE WHEN v.scene_id <> 1 THEN 'i' || v.generation END IS DISTINCT FROM s.index_hash THEN 'StaleGraphViewAuthority' END AS error,
+               CASE WHEN NOT (style_revision <> 0 AND isfinite(node_scale) AND node_scale > 0) THEN 'InvalidStyle' END AS style_error FROM v LEFT JOIN s USING (scene_id))"""
+
+
+def _checked_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views that users ask for, against scenes of which one has no product index and one is not there."""
+    number = (F.col("r_regionkey") % 3 + 1).cast("bigint")
+    scenes = table(spark, sf_dir, "region").select(
+        F.col("r_regionkey").cast("bigint").alias("scene_id"), number.alias("generation"), F.concat(F.lit("c"), number).alias("cohort_hash"),
+        F.when(F.col("r_regionkey") != 1, F.concat(F.lit("i"), number)).alias("index_hash"),
+    )
+    k, generation = F.col("event_id"), F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 4)
+    full = views.bound_views(scenes).select("scene_id", *views.MASKS[1:], "reviews")
+    asked = table(spark, sf_dir, "events").select(
+        k.alias("view_id"), F.col("user_id").alias("session"), k.alias("sequence"), (F.col("user_id") % 6).alias("scene_id"), F.when(k % 3 == 0, -1).otherwise(k % 8 + 1).alias("families"), generation.alias("generation"),
+        F.concat(F.lit("c"), generation).alias("cohort_hash"), F.when(F.col("user_id") % 6 != 1, F.concat(F.lit("i"), generation)).alias("index_hash"),
+        (k % 5).alias("style_revision"), F.when(k % 11 == 0, float("nan")).otherwise(F.col("value") - 5).alias("node_scale"),
+    )
+    masks = {**{m: F.coalesce(m, F.lit(-1)) for m in views.MASKS[1:]}, "reviews": F.coalesce("reviews", F.lit(7))}
+    return views.checked_views(asked.join(full, "scene_id", "left").withColumns(masks), scenes)
+
+
+@BOOK.add(f"WITH {_VIEWS_SQL} SELECT view_id, unfiltered, error, style_error FROM w")
 def view_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views = [
-        ("all", View(), (None, None, None), (1, 1.0)), ("filtered without index", View(families=1), (None, None, None), (0, 1.0)),
-        ("filtered, old generation", View(families=1, generation=1, cohort_hash="c", index_hash="i"), (2, "c", "i"), (1, math.nan)),
-        ("filtered, bound", View(scopes=1, generation=2, cohort_hash="c", index_hash="i"), (2, "c", "i"), (2, 0.5)), ("all, bound", View(generation=2, cohort_hash="c", index_hash="i"), (2, "c", "i"), (1, 2.0)),
-    ]
-    rows = [(name, view.is_unfiltered, view.authority_error(*scene_state), view.style_error(*style)) for name, view, scene_state, style in views]
-    return spark.createDataFrame(rows, "view string, unfiltered boolean, error string, style_error string")
+    return _checked_views(spark, sf_dir).select("view_id", "unfiltered", "error", "style_error")
+
+
+@BOOK.add(f"WITH {_VIEWS_SQL} SELECT session, arg_max(view_id, sequence) AS view_id FROM w WHERE error IS NULL AND style_error IS NULL GROUP BY session")
+def applied_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.applied_views(_checked_views(spark, sf_dir))
 
 
 @BOOK.add(f"""
-WITH c AS (SELECT range AS k, range * 0.05::DOUBLE AS yaw, greatest(0.2 - range * 0.1::DOUBLE, -({math.pi / 2 - 0.01!r})) AS pitch, greatest(100 * exp(-range * 0.12::DOUBLE * 3), 0.05) AS distance FROM range(30))
+WITH c AS (SELECT event_id AS k, user_id * 0.05::DOUBLE AS yaw, greatest(0.2 - event_id % 30 * 0.1::DOUBLE, -({math.pi / 2 - 0.01!r})) AS pitch, greatest(100 * exp(event_id % 40 * -0.12::DOUBLE), 0.05) AS distance, event_id % 90 AS dx FROM events)
 SELECT k, round(100 * cos(pitch) * sin(yaw), 6) AS x, round(100 * sin(pitch), 6) AS y, round(100 * cos(pitch) * cos(yaw), 6) AS z, round(distance, 6) AS distance,
   round(-cos(pitch) * sin(yaw), 6) AS ray_x, round(-sin(pitch), 6) AS ray_y, round(-cos(pitch) * cos(yaw), 6) AS ray_z,
-  round(-cos(yaw) * k * 200 * tan({math.pi / 8!r}) / 900, 6) AS pan_x, round(sin(yaw) * k * 200 * tan({math.pi / 8!r}) / 900, 6) AS pan_z FROM c""")
+  round(-cos(yaw) * dx * 200 * tan({math.pi / 8!r}) / 900, 6) AS pan_x, round(sin(yaw) * dx * 200 * tan({math.pi / 8!r}) / 900, 6) AS pan_z FROM c""")
 def camera_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = []
-    for k in range(30):
-        camera = geometry.Camera().orbit(10.0 * k, 20.0 * k)
-        origin, direction = camera.ray(800, 450)
-        target = camera.pan(float(k), 0.0).target
-        rows.append((k, *(round(v, 6) for v in (*origin, camera.zoom(3.0 * k).distance, *direction, target[0], target[2]))))
-    return spark.createDataFrame(rows, "k bigint, x double, y double, z double, distance double, ray_x double, ray_y double, ray_z double, pan_x double, pan_z double")
+    """The default camera moved by each event: eye, middle ray, zoomed distance and shifted target."""
+    k, lens = F.col("event_id"), geometry.Lens()
+    pose = geometry.Pose.default().turned(F.col("user_id") * 10.0, k % 30 * 20.0)
+    origin, direction = pose.ray(F.lit(lens.width / 2), F.lit(lens.height / 2), lens)
+    target = pose.shifted((k % 90).cast("double"), F.lit(0.0), lens).target
+    told = {"x": origin[0], "y": origin[1], "z": origin[2], "distance": pose.zoomed((k % 40).cast("double")).distance, "ray_x": direction[0], "ray_y": direction[1], "ray_z": direction[2], "pan_x": target[0], "pan_z": target[2]}
+    return table(spark, sf_dir, "events").select(k.alias("k"), *(F.round(c, 6).alias(name) for name, c in told.items()))
 
 
 # Generators: closed formulas row by row, random ones by what must hold of them.

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwork.functions import geometry
 from meshwork.operators import admission, delta, merkle, picking, quantiles, textsearch
 from meshwork.operators.validate import union
 from meshwork.sources.tables import positions, table
@@ -21,14 +24,18 @@ _RAYS_SQL = """
            CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS dx, (event_id % 11 - 5)::DOUBLE / 20 AS dy, (user_id % 7 - 3)::DOUBLE / 20 AS dz FROM events))"""
 
 
+def _spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    radius = 0.01 + 0.002 * (F.col("kind") % 10)
+    return positions(spark, sf_dir).where("manifold = 'hybrid'").select("id", "x", "y", "z", radius.alias("radius"))
+
+
 @BOOK.add(f"""
 WITH n AS ({_SPHERES_SQL}), r AS ({_RAYS_SQL}),
   p AS (SELECT ray_id, id, radius, (x - ox) * dx + (y - oy) * dy + (z - oz) * dz AS depth, (x - ox) * (x - ox) + (y - oy) * (y - oy) + (z - oz) * (z - oz) AS square FROM n, r)
 SELECT ray_id, arg_min(id, depth) AS id, round(min(depth), 6) AS depth, count(*) AS hits FROM p WHERE depth > 0 AND square - depth * depth <= radius * radius GROUP BY ray_id""")
 def rays_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a ray of each event meets first among all positions of a layout."""
-    radius = 0.01 + 0.002 * (F.col("kind") % 10)
-    nodes = positions(spark, sf_dir).where("manifold = 'hybrid'").select("id", "x", "y", "z", radius.alias("radius"))
+    nodes = _spheres(spark, sf_dir)
     even, part = F.col("event_id") % 2 == 0, lambda c, n, d: (F.col(c) % n - n // 2).cast("double") / d
     side = F.when(even, -1.0).otherwise(1.0)
     d = [-side, part("event_id", 11, 20), part("user_id", 7, 20)]
@@ -39,6 +46,47 @@ def rays_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picking.pick_along_rays(nodes, rays).select("ray_id", "id", F.round("depth", 6).alias("depth"), "hits")
 
 
+_TAN = math.tan(math.pi / 8)
+_PIXELS_SQL = f"""
+  b AS (SELECT min(x - radius) AS lx, max(x + radius) AS hx, min(y - radius) AS ly, max(y + radius) AS hy, min(z - radius) AS lz, max(z + radius) AS hz FROM n),
+  c AS (SELECT (lx + hx) / 2 AS tx, (ly + hy) / 2 AS ty, (lz + hz) / 2 AS tz, least(greatest(greatest(sqrt((hx - lx) * (hx - lx) + (hy - ly) * (hy - ly) + (hz - lz) * (hz - lz)) / 2, 1.0) / {math.sin(math.pi / 8)!r} * 1.1, 0.05), 100000.0) AS d FROM b),
+  e AS (SELECT event_id AS ray_id, user_id * 0.05::DOUBLE AS yaw, least(greatest(0.2 - (event_id % 60 - 30) * 0.01::DOUBLE, -({math.pi / 2 - 0.01!r})), {math.pi / 2 - 0.01!r}) AS pitch,
+               ((500 + event_id * 7 % 600)::DOUBLE * (2.0 / 1600) - 1.0) * ({_TAN!r} * 16 / 9) AS a, ((250 + event_id * 13 % 400)::DOUBLE * (-2.0 / 900) + 1.0) * {_TAN!r} AS u, c.* FROM events, c),
+  f AS (SELECT *, -cos(pitch) * sin(yaw) AS fx, -sin(pitch) AS fy, -cos(pitch) * cos(yaw) AS fz, sqrt(a * a + u * u + 1.0) AS size FROM e),
+  r AS (SELECT ray_id, tx - fx * d AS ox, ty - fy * d AS oy, tz - fz * d AS oz, (fx + cos(yaw) * a - sin(pitch) * sin(yaw) * u) / size AS dx, (fy + cos(pitch) * u) / size AS dy, (fz - sin(yaw) * a - sin(pitch) * cos(yaw) * u) / size AS dz FROM f)"""
+
+
+@BOOK.add(f"""
+WITH n AS ({_SPHERES_SQL}), {_PIXELS_SQL},
+  p AS (SELECT ray_id, id, radius, (x - ox) * dx + (y - oy) * dy + (z - oz) * dz AS depth, (x - ox) * (x - ox) + (y - oy) * (y - oy) + (z - oz) * (z - oz) AS square FROM n, r)
+SELECT ray_id, arg_min(id, depth) AS id, count(*) AS hits FROM p WHERE depth > 0 AND square - depth * depth <= radius * radius GROUP BY ray_id""")
+def picks_through_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user's pixels show: a camera that fits all nodes is turned by user, and each event's pixel sends a ray."""
+    nodes = _spheres(spark, sf_dir)
+    box = F.broadcast(geometry.bounds(nodes).select(F.struct("*").alias("box")))  # one row
+    k, lens = F.col("event_id"), geometry.Lens()
+    pose = geometry.fitted_pose("box", lens).turned(F.col("user_id") * 10.0, (k % 60 - 30) * 2.0)
+    origin, direction = pose.ray((k * 7 % 600 + 500).cast("double"), (k * 13 % 400 + 250).cast("double"), lens)
+    rays = table(spark, sf_dir, "events").crossJoin(box).select(k.alias("ray_id"), *(c.alias(f"{kind}{a}") for kind, cs in (("o", origin), ("d", direction)) for a, c in zip("xyz", cs)))
+    return picking.pick_along_rays(nodes, rays).select("ray_id", "id", "hits")
+
+
+@BOOK.add(f"""
+WITH n AS ({_SPHERES_SQL}), c AS (SELECT r_regionkey AS region, r_regionkey * 0.7::DOUBLE AS yaw, 0.2 - r_regionkey * 0.1::DOUBLE AS pitch FROM region),
+  f AS (SELECT *, -cos(pitch) * sin(yaw) AS fx, -sin(pitch) AS fy, -cos(pitch) * cos(yaw) AS fz FROM c),
+  v AS (SELECT region, id, yaw, pitch, x + fx * 100 AS x, y + fy * 100 AS y, z + fz * 100 AS z, fx, fy, fz FROM n, f),
+  w AS (SELECT region, id, cos(yaw) * x - sin(yaw) * z AS a, -sin(pitch) * sin(yaw) * x + cos(pitch) * y - sin(pitch) * cos(yaw) * z AS u, fx * x + fy * y + fz * z AS t FROM v)
+SELECT region, id, round(a / (t * {_TAN!r} * 16 / 9), 6) AS across, round(u / (t * {_TAN!r}), 6) AS up, round((1 - 0.1::DOUBLE / t) * (100000.0::DOUBLE / 99999.9::DOUBLE), 6) AS depth FROM w""")
+def nodes_on_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every node shows in each region's camera."""
+    k = F.col("r_regionkey")
+    pose = geometry.Pose.default().turned(k * 140.0, k * 20.0)
+    regions = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey"))  # five rows
+    rows = _spheres(spark, sf_dir).crossJoin(regions)
+    shown = pose.seen([F.col(a) for a in "xyz"], geometry.Lens())
+    return rows.select(k.cast("bigint").alias("region"), "id", *(F.round(c, 6).alias(name) for name, c in zip(("across", "up", "depth"), shown)))
+
+
 @BOOK.add(f"""
 WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM benchmark),
   t AS (SELECT 'document' AS source, doc_id AS id, translate(text, '{_UPPER}', '{_LOWER}') AS text FROM documents UNION ALL SELECT 'part', p_partkey, translate(p_name, '{_UPPER}', '{_LOWER}') FROM part)

@@ -133,6 +133,16 @@ def test_rounds_grow_with_the_logarithm_of_depth(spark, monkeypatch):
     assert tree.closure(chain, chain.where("id = -2005")).count() == 777 and tree.closure(chain.where("false"), chain).count() == 0
 
 
+def test_lookups_of_many_requests(spark):
+    seed = documents.seed_entries(spark)
+    requests = spark.createDataFrame([(1, 1), (2, 3), (3, 99), (4, 2)], "request long, id long")
+    got = {r.request: (r.error, r.note_error, r.home) for r in tree.find_entries(seed, requests).collect()}
+    assert got == {1: (None, "NotNote", 1), 2: (None, None, 2), 3: ("MissingEntry", "MissingEntry", None), 4: (None, "NotNote", 2)}
+    wanted = spark.createDataFrame([(1, 1, "NOTES", 0), (2, 1, "Notes", 2), (3, 2, "Notes", None), (4, 1, "research", None)], "request long, parent long, name string, besides long")
+    assert sorted(r.request for r in tree.names_taken(seed, wanted).collect()) == [1, 4]
+    assert {r.parent: r.id for r in tree.first_notes(seed).collect()} == {2: 3, 4: 5}
+
+
 def test_tags_fold_as_one_after_the_other(spark):
     rng = random.Random(7)
     tags = [(rng.randrange(3), k, *sorted(rng.sample(range(25), 2)), f"s{k}", rng.choice(["npc", "event"])) for k in range(120)]

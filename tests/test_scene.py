@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.functions import geometry, gradient, masks
-from meshwork.operators import diff, scene, slots, validate
+from meshwork.operators import diff, scene, slots, validate, views
 from meshwork.sources import generators
 from meshwork.types import View
 
@@ -100,18 +100,24 @@ def test_view_authority():
 
 def test_camera_and_picking(spark):
     nodes = spark.createDataFrame([(1, -50.0, -10.0, 0.0, 2.0), (2, 50.0, 10.0, 0.0, 2.0)], "id long, x double, y double, z double, radius double")
-    box = geometry.bounds(nodes).first()
-    camera = geometry.Camera(width=1600, height=500, aspect=3.2).fit((box.min_x, box.min_y, box.min_z), (box.max_x, box.max_y, box.max_z))
-    assert camera.target == (0, 0, 0) and camera.distance > 50
-    empty = geometry.bounds(nodes.where("false")).first()
-    assert geometry.Camera().fit((empty.min_x,), (empty.max_x,)).distance == 100
-    origin, direction = camera.ray(800, 250)
-    assert sum(o + 0 for o in origin) and abs(sum(d * d for d in direction) - 1) < 1e-9
+    lens = geometry.Lens(width=1600, height=500)
+    pose = geometry.fitted_pose("box", lens)
+    origin, direction = pose.ray(F.lit(300.0), F.lit(120.0), lens)
+    told = [pose.distance, *pose.target, *origin, *direction, *pose.seen([o + d * 40.0 for o, d in zip(origin, direction)], lens), *pose.seen(list(pose.target), lens)]
+    for rows, distance in ((nodes, None), (nodes.where("false"), 100.0)):
+        box = geometry.bounds(rows).select(F.struct("*").alias("box"))
+        got = list(box.select(*(c.cast("double").alias(f"c{k}") for k, c in enumerate(told))).first())
+        assert got[1:4] == [0, 0, 0] and (got[0] > 50 if distance is None else got[0] == distance)
+        assert math.dist(got[4:7], got[1:4]) == pytest.approx(got[0]) and sum(d * d for d in got[7:10]) == pytest.approx(1)
+        # a point on a pixel's ray shows at that pixel, the target in the middle
+        assert got[10:12] == pytest.approx([300 / 800 - 1, 1 - 120 / 250]) and 0 < got[12] < 1 and got[13:15] == pytest.approx([0, 0])
     line = spark.createDataFrame([(7, 0.0, 0.0, 5.0, 1.0), (8, 0.0, 0.5, 3.0, 1.0), (9, 4.0, 0.0, 1.0, 1.0)], "id long, x double, y double, z double, radius double")
     assert geometry.pick_nearest(line, (0, 0, 0), (0, 0, 1)).first().id == 8
     assert geometry.pick_nearest(line, (0, 0, 0), (0, 0, 1), F.col("id") != 8).first().id == 7
-    assert geometry.Camera().orbit(0, 1e9).pitch == pytest.approx(-(math.pi / 2 - 0.01))
-    assert geometry.Camera().zoom(1e9).distance == 0.05
+    pose = geometry.Pose.default()
+    moved = [pose.turned(F.lit(0.0), F.lit(1e9)).pitch, pose.zoomed(F.lit(1e9)).distance, pose.zoomed(F.lit(-1e3)).distance, *pose.shifted(F.lit(3.0), F.lit(4.0), geometry.Lens()).target]
+    got = list(spark.range(1).select(*(c.cast("double").alias(f"c{k}") for k, c in enumerate(moved))).first())
+    assert got[:3] == pytest.approx([-(math.pi / 2 - 0.01), 0.05, 100_000]) and math.hypot(*got[3:]) == pytest.approx(5 * 200 * math.tan(math.pi / 8) / 900)
 
 
 def test_gradient_bands(spark):
@@ -193,3 +199,21 @@ def test_page_catalogue(spark):
     assert [r[0] for r in states.select(pages.actionable(F.col("s"))).collect()] == [True, False, True]
     palette = spark.createDataFrame([(0, [0.0, 1.0]), (1, [0.5, 1.5]), (2, [math.nan])], "family_slot int, channels array<double>")
     assert sorted(r.entity_id for r in pages.palette_violations(palette).collect()) == [1, 2]
+
+
+def test_views_as_rows(spark):
+    scenes = spark.createDataFrame([(1, 2, "c", "i"), (2, 2, "c", None)], "scene_id long, generation long, cohort_hash string, index_hash string")
+    full = (-1, -1, -1, 7)
+    rows = [
+        (1, 5, 1, *full, 2, "c", "i", 1, 1.0), (2, 5, 1, 4, -1, -1, 7, 2, "c", "i", 1, 1.0), (3, 5, 1, *full, 1, "c", "i", 1, 1.0), (4, 5, 2, *full, 2, "c", None, 1, 1.0),
+        (5, 6, 2, 4, -1, -1, 7, 2, "c", None, 1, 1.0), (6, 6, 9, *full, 2, "c", "i", 1, 1.0), (7, 5, 1, *full, 2, "c", "i", 0, 1.0), (8, 5, 1, *full, 2, "c", "i", 1, math.nan),
+        (9, 5, 1, *full, 2, "c", "i", 1, math.inf), (10, 5, 1, *full, 2, "c", "i", None, 1.0),
+    ]
+    names = "view_id long, session long, scene_id long, families long, scopes long, relations long, reviews int, generation long, cohort_hash string, index_hash string, style_revision long, node_scale double"
+    checked = views.checked_views(spark.createDataFrame(rows, names).withColumn("sequence", F.col("view_id")), scenes)
+    got = {r.view_id: (r.unfiltered, r.error, r.style_error) for r in checked.collect()}
+    stale, bad = "StaleGraphViewAuthority", "InvalidStyle"
+    assert got == {1: (True, None, None), 2: (False, None, None), 3: (True, stale, None), 4: (True, None, None), 5: (False, "ProductIndexRequiredForFilteredView", None), 6: (True, stale, None),
+                   7: (True, None, bad), 8: (True, None, bad), 9: (True, None, bad), 10: (True, None, bad)}
+    assert {r.session: r.view_id for r in views.applied_views(checked).collect()} == {5: 4}
+    assert [r.families for r in views.bound_views(scenes).collect()] == [-1, -1]
