@@ -407,9 +407,9 @@ def stored_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").cast("bigint").alias("id"), F.lit(1).cast("bigint").alias("source"), (F.col("s_nationkey").cast("bigint") + 1).alias("target"), F.lit(1).cast("float").alias("width"), color, F.lit(0).alias("kind"), F.lit(0).alias("flags"))
     path = new_path(spark, "snapshot")
-    gathered = points.agg(F.collect_list(F.struct("*")).alias("nodes")).crossJoin(links.agg(F.collect_list(F.struct("*")).alias("edges")))  # one row by one row
-    gathered.select(F.lit(3).cast("bigint").alias("revision"), "nodes", "edges").write.json(path)
-    points, links = documents.read_snapshot(spark, path)
+    for name, rows in (("nodes", points), ("edges", links)):
+        documents.write_json(rows, name, f"{path}/{name}", revision=3)
+    points, links = documents.read_snapshot(spark, f"{path}/*")
     big = lambda c: F.col(c).cast("bigint").alias(c)
     rows = points.select(F.lit("node").alias("what"), "id", F.col("x").cast("double").alias("x"), big("kind"), F.lit(None).cast("bigint").alias("target"))
     return rows.unionByName(links.select(F.lit("edge").alias("what"), "id", F.col("width").cast("double").alias("x"), big("kind"), "target"))
@@ -513,37 +513,45 @@ def camera_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add("""
-SELECT 'node' AS what, i + 1 AS id, round(i * 8.0::DOUBLE - 2000, 6) AS x, round(sin(i * 0.1::DOUBLE) * 50, 6) AS y, round(cos(i * 0.15::DOUBLE) * 20, 6) AS z FROM range(500) t(i)
-UNION ALL SELECT 'edge', i, i, i + 1, NULL FROM range(1, 500) t(i)
-UNION ALL SELECT 'spoke', i, (i + 1) % 2 + 1, i + 2, NULL FROM range(1, 999) t(i)""")
+WITH n AS (SELECT count(*) AS n FROM customer), i AS (SELECT c_custkey AS i, n FROM customer, n)
+SELECT 'node' AS what, i + 1 AS id, round(i * 8.0::DOUBLE - 4.0::DOUBLE * n, 6) AS x, round(sin(i * 0.1::DOUBLE) * 50, 6) AS y, round(cos(i * 0.15::DOUBLE) * 20, 6) AS z FROM i
+UNION ALL SELECT 'edge', i + 1, i + 1, i + 2, NULL FROM i WHERE i + 1 < n
+UNION ALL SELECT 'spoke', i + 1, (i + 1 + greatest(n // 500, 1) - 1) % greatest(n // 500, 1) + 1, i + 1 + greatest(n // 500, 1), NULL FROM i WHERE i + 1 <= n - greatest(n // 500, 1)""")
 def topology_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = generators.random_nodes(spark, "chain", 500).select(F.lit("node").alias("what"), "id", *(F.round(a, 6).alias(a) for a in "xyz"))
+    """Customers laid out as a chain, with the links of a chain and of hubs."""
+    ids = table(spark, sf_dir, "customer").select((F.col("c_custkey").cast("bigint") + 1).alias("id"))  # keys count from 0
+    count = ids.count()
+    points = generators.random_nodes(spark, "chain", count, ids=ids).select(F.lit("node").alias("what"), "id", *(F.round(a, 6).alias(a) for a in "xyz"))
     ends = lambda name, df: df.select(F.lit(name).alias("what"), "id", F.col("source").cast("double").alias("x"), F.col("target").cast("double").alias("y"), F.lit(None).cast("double").alias("z"))
-    return validate.union([points, ends("edge", generators.topology_edges(spark, "chain", 500)), ends("spoke", generators.topology_edges(spark, "hubs", 1000))])
+    return validate.union([points, ends("edge", generators.topology_edges(spark, "chain", count, ids)), ends("spoke", generators.topology_edges(spark, "hubs", count, ids))])
 
 
 @BOOK.add("""
-SELECT * FROM (VALUES ('uniform', 1000::BIGINT, true, 1::BIGINT, 0::BIGINT), ('clustered', 1000, true, 4, 0), ('hubs', 1000, true, 2, 998), ('chain', 1000, true, 1, 999), ('communities', 1000, true, 5, 0),
-  ('edges', 5000, true, 0, 5000), ('lane', 101, true, 0, 0)) t(name, rows, holds, kinds, edges)""")
+WITH n AS (SELECT count(*) AS n FROM customer)
+SELECT t.name, t.rows, true AS holds, t.kinds, t.edges FROM n, LATERAL (VALUES ('uniform', n, 1::BIGINT, 0::BIGINT), ('clustered', n, greatest(n // 250, 3), 0), ('hubs', n, 2, n - greatest(n // 500, 1)), ('chain', n, 1, n - 1),
+  ('communities', n, greatest(n // 200, 2), 0), ('edges', 5 * n, 0, 5 * n), ('lane', ceil(n * 0.1004::DOUBLE)::BIGINT, 0, 0)) t(name, rows, kinds, edges)""")
 def topology_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = math.sqrt(1000)
+    """What holds of every customer in each random topology."""
+    ids = table(spark, sf_dir, "customer").select((F.col("c_custkey").cast("bigint") + 1).alias("id"))  # keys count from 0
+    count = ids.count()
+    side, communities = math.sqrt(count), generators.groups_of("communities", count)
     near = lambda x, y, reach: (F.abs(F.col("x") - x) <= reach) & (F.abs(F.col("y") - y) <= reach)
-    turn = F.col("kind") * (2 * math.pi / 5)
+    turn = F.col("kind") * (2 * math.pi / communities)
     radius = {"uniform": (1.0, 3.5), "clustered": (1.2, 3.0), "hubs": (1.0, 8.0), "chain": (2.0, 2.0), "communities": (1.5, 3.2)}
     holds = {
         "uniform": near(F.lit(0), F.lit(0), 5 * side) & (F.abs("z") <= side), "clustered": near(F.lit(0), F.lit(0), 8 * side + 40),
-        "hubs": (F.sqrt(F.col("x") ** 2 + F.col("y") ** 2) <= 271) & (F.abs("z") <= 10), "chain": F.col("x") == F.col("id") * 8.0 - 4008.0,
-        "communities": near(F.cos(turn) * 6 * side, F.sin(turn) * 6 * side, 40) & (F.abs("z") <= 15),
+        "hubs": (F.sqrt(F.col("x") ** 2 + F.col("y") ** 2) <= 271) & (F.abs("z") <= 10), "chain": F.col("x") == (F.col("id") - 1) * 8.0 - 4.0 * count,
+        "communities": near(F.cos(turn) * 6 * side, F.sin(turn) * 6 * side, 40.000001) & (F.abs("z") <= 15),
     }
     rows = []
     for name in generators.TOPOLOGIES:
-        made = generators.random_nodes(spark, name, 1000).withColumn("good", holds[name] & F.col("radius").between(*radius[name]))
+        made = generators.random_nodes(spark, name, count, ids=ids).withColumn("good", holds[name] & F.col("radius").between(*radius[name]))
         found = made.agg(F.count("*").alias("rows"), F.min("good").alias("holds"), F.count_distinct("kind").alias("kinds"))
-        edges = generators.topology_edges(spark, name, 1000).agg(F.count("*").alias("edges"))
+        edges = generators.topology_edges(spark, name, count, ids).agg(F.count("*").alias("edges"))
         rows.append(found.crossJoin(edges).select(F.lit(name).alias("name"), "*"))  # one row by one row
-    drawn = generators.random_edges(spark, 1000, 5000)
+    drawn = generators.random_edges(spark, count, 5 * count)
     rows.append(drawn.agg(F.count_distinct("source", "target").alias("rows"), F.min(F.col("source") != F.col("target")).alias("holds"), F.lit(0).cast("bigint").alias("kinds"), F.count("*").alias("edges")).select(F.lit("edges").alias("name"), "*"))
-    start = generators.random_nodes(spark, "uniform", 1000)
+    start = generators.random_nodes(spark, "uniform", count, ids=ids)
     moved = generators.jitter(start, 0.1004, 2).select("id", F.col("x").alias("new_x"), F.col("z").alias("new_z")).join(start, "id")
     good = (F.abs(F.col("new_x") - F.col("x")) <= 1.5) & (F.col("new_z") == F.col("z"))
     rows.append(moved.agg(F.count("*").alias("rows"), F.min(good).alias("holds"), F.lit(0).cast("bigint").alias("kinds"), F.lit(0).cast("bigint").alias("edges")).select(F.lit("lane").alias("name"), "*"))

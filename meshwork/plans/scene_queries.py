@@ -278,9 +278,11 @@ def gradient_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add("""
-SELECT i % 4 AS lane_kind, count(*) AS n, sum((i % 10000 + (i // 10000 + 1) * 97) % 10000)::BIGINT AS targets FROM range(50000) t(i) GROUP BY ALL""")
+SELECT i % 4 AS lane_kind, count(*) AS n, sum((i % 10000 + (i // 10000 + 1) * 97) % 10000)::BIGINT AS targets FROM (SELECT l_orderkey * 8 + l_linenumber AS i FROM lineitem) GROUP BY ALL""")
 def frozen_cohort_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = generators.cohort_edges(spark)
+    """Line items as edges of a cohort."""
+    slots = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey").cast("bigint") * 8 + F.col("l_linenumber")).alias("slot"))
+    edges = generators.cohort_edges(spark, slots=slots)
     return edges.groupBy((F.col("slot") % 4).alias("lane_kind")).agg(F.count("*").alias("n"), F.sum("target").alias("targets"))
 
 
@@ -292,7 +294,7 @@ def generation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LAYOUT_SQL = """
-WITH i AS (SELECT range AS slot, range * 0.017453292::DOUBLE AS phase FROM range(10000))
+WITH i AS (SELECT o_orderkey AS slot, o_orderkey * 0.017453292::DOUBLE AS phase FROM orders)
 SELECT 'hybrid' AS manifold, slot, slot % 100 - 49.5::DOUBLE AS x, slot // 100 % 100 - 49.5::DOUBLE AS y, slot * 37 % 211 * 0.025::DOUBLE - 2.625 AS z FROM i
 UNION ALL SELECT 'hopf', slot, (slot // 100 % 8 * 1.4::DOUBLE + 34 + (slot % 11 * 0.12::DOUBLE + 4) * cos(phase * 7 + slot % 100 * 0.031::DOUBLE)) * cos(phase),
   (slot // 100 % 8 * 1.4::DOUBLE + 34 + (slot % 11 * 0.12::DOUBLE + 4) * cos(phase * 7 + slot % 100 * 0.031::DOUBLE)) * sin(phase), (slot % 11 * 0.12::DOUBLE + 4) * sin(phase * 7 + slot % 100 * 0.031::DOUBLE) FROM i
@@ -303,36 +305,45 @@ UNION ALL SELECT 'siegel', slot, sqrt(slot) * 0.45 * cos(phase), sqrt(slot) * 0.
 
 @BOOK.add(f"SELECT manifold, slot // 1000 AS block, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z, count(*) AS n FROM ({_LAYOUT_SQL}) GROUP BY ALL")
 def cohort_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [generators.cohort_layout(generators.cohort_nodes(spark), m).withColumn("manifold", F.lit(m)) for m in MANIFOLDS]
+    """Orders laid out in all manifolds."""
+    nodes = generators.cohort_nodes(spark, slots=table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("slot")))
+    rows = [generators.cohort_layout(nodes, m).withColumn("manifold", F.lit(m)) for m in MANIFOLDS]
     blocks = validate.union(rows).groupBy("manifold", F.expr("slot div 1000").alias("block"))
     return blocks.agg(*(F.round(F.sum(a), 3).alias(a) for a in "xyz"), F.count("*").alias("n"))
 
 
 @BOOK.add(f"""
-WITH l AS (SELECT * FROM ({_LAYOUT_SQL}) WHERE manifold = 'hybrid'),
-e AS (SELECT range AS slot, range % 10000 AS source, (range % 10000 + (range // 10000 + 1) * 97) % 10000 AS target FROM range(50000)),
+WITH l AS (SELECT slot, x FROM ({POSITIONS_SQL}) WHERE manifold = 'hybrid'), n AS (SELECT count(*) AS n FROM embeddings),
+e AS (SELECT l_orderkey * 8 + l_linenumber AS slot, l_suppkey % n AS source, l_partkey % n AS target FROM lineitem, n),
 p AS (SELECT e.slot, s.x AS sx, t.x AS tx, a.x AS ax, b.x AS bx, (s.x + t.x) * 0.5 - (e.slot % 17 * 0.035::DOUBLE - 0.28) AS mx FROM e JOIN l s ON s.slot = e.source JOIN l t ON t.slot = e.target
   JOIN l a ON a.slot = e.source // 100 * 100 JOIN l b ON b.slot = e.target // 100 * 100)
 SELECT 'straight' AS style, 2 AS points, count(*) AS n, round(sum(sx + tx), 4) AS x FROM p UNION ALL SELECT 'curved', 3, count(*), round(sum(sx + mx + tx), 4) FROM p
 UNION ALL SELECT 'bundled', 4, count(*), round(sum(sx + ax + bx + tx), 4) FROM p""")
 def edge_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layout = generators.cohort_layout(generators.cohort_nodes(spark), "hybrid")
+    """Line items as paths between positions."""
+    layout = positions(spark, sf_dir).where("manifold = 'hybrid'").select("slot", "x", "y", "z")
+    count = table(spark, sf_dir, "embeddings").count()
+    edges = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey").cast("bigint") * 8 + F.col("l_linenumber")).alias("slot"), (F.col("l_suppkey").cast("bigint") % count).alias("source"), (F.col("l_partkey").cast("bigint") % count).alias("target")
+    )
     found = []
     for style in ("straight", "curved", "bundled"):
-        made = paths.edge_paths(generators.cohort_edges(spark), layout, style)
+        made = paths.edge_paths(edges, layout, style)
         total = F.aggregate("points", F.lit(0.0), lambda acc, p: acc + p["x"])
         found.append(made.groupBy(F.lit(style).alias("style"), F.size("points").alias("points")).agg(F.count("*").alias("n"), F.round(F.sum(total), 4).alias("x")))
     return validate.union(found)
 
 
 @BOOK.add("""
-WITH s AS (SELECT range AS stroke, range * 7 AS first_point, range % 4 + 2 AS point_count FROM range(50)), p AS (SELECT range AS point, range * 0.5::DOUBLE AS x FROM range(400))
-SELECT stroke, point_count AS n, sum(x) AS x FROM s JOIN p ON point >= first_point AND point < first_point + point_count GROUP BY ALL""")
+WITH s AS (SELECT c_custkey AS stroke, c_custkey * 7 AS first_point, c_custkey % 4 + 2 AS point_count FROM customer)
+SELECT stroke, count(*) AS n, round(sum(value), 4) AS x FROM s JOIN events ON event_id >= first_point AND event_id < first_point + point_count GROUP BY ALL""")
 def guide_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strokes = spark.range(50).select(F.col("id").alias("stroke"), (F.col("id") * 7).alias("first_point"), (F.col("id") % 4 + 2).alias("point_count"))
-    points = spark.range(400).select(F.col("id").alias("point"), *((F.col("id") * 0.5).alias(a) for a in "xyz"))
+    """A stroke of each customer through the points of events."""
+    k = F.col("c_custkey").cast("bigint")
+    strokes = table(spark, sf_dir, "customer").select(k.alias("stroke"), (k * 7).alias("first_point"), (k % 4 + 2).alias("point_count"))
+    points = table(spark, sf_dir, "events").select(F.col("event_id").alias("point"), F.col("value").alias("x"), *(F.lit(0.0).alias(a) for a in "yz"))
     made = paths.slice_points(strokes, points)
-    return made.select("stroke", F.size("points").cast("bigint").alias("n"), F.aggregate("points", F.lit(0.0), lambda acc, p: acc + p["x"]).alias("x"))
+    return made.select("stroke", F.size("points").cast("bigint").alias("n"), F.round(F.aggregate("points", F.lit(0.0), lambda acc, p: acc + p["x"]), 4).alias("x"))
 
 
 @BOOK.add("""
@@ -344,11 +355,10 @@ def stable_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", *(F.round(f"p.{a}", 6).alias(a) for a in "xyz"))
 
 
-@BOOK.add("""
-SELECT i * 37 % 10000 AS rank, i AS slot FROM range(10000) t(i) WHERE i * 37 % 10000 < 20""")
+@BOOK.add("SELECT c_custkey AS slot, c_acctbal AS balance FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
 def label_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty labels to show first."""
-    return generators.cohort_nodes(spark).select("rank", "slot").orderBy("rank").limit(20)
+    """The twenty labels to show first: those of the highest balances."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("slot"), F.col("c_acctbal").alias("balance")).orderBy(F.desc("balance"), "slot").limit(20)
 
 
 @BOOK.add("""

@@ -7,15 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.functions.text import digest
+from meshwork.operators.slots import assign_slots
 from meshwork.types import ENTITY_SCHEMA, ENTRY_SCHEMA, LIMITS, MENTION_SCHEMA, SNAPSHOT_SCHEMA
 
+#: Rows of one stored document.
+DOCUMENT_ROWS = 65_536
+
 
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a graph snapshot in JSON, with ord = place in the file and the revision."""
+    """Nodes and edges of a graph snapshot in JSON, with ord = place among the stored ones and the revision."""
     rows = spark.read.schema(SNAPSHOT_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
     found = []
     for name in ("nodes", "edges"):
-        items = rows.select("revision", F.posexplode(name).alias("ord", "item")).select("revision", "ord", "item.*")
+        items = rows.select("revision", "first", F.posexplode(name).alias("at", "item")).select("revision", (F.coalesce("first", F.lit(0)) + F.col("at")).alias("ord"), "item.*")
         if name == "nodes":
             items = items.select("*", *(F.element_at("position", k + 1).alias(a) for k, a in enumerate("xyz")))
         found.append(items)
@@ -54,12 +58,17 @@ def load_or_seed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json(rows: DataFrame, name: str, path: str, **fields: int) -> None:
-    """One JSON document with the fields and all rows under ``name``: what the readers above read.
+    """JSON documents with the fields and up to ``DOCUMENT_ROWS`` rows each under ``name``, in order of the first column: what the readers above read.
 
-    A stored tree or registry is one document of bounded size (``LIMITS``), so its rows meet in one place.
+    A file holds one document, and ``first`` says at which place its rows begin, so
+    documents are written side by side and none grows with the table.
     """
-    gathered = rows.agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias(name))
-    gathered.select(*(F.lit(v).alias(k) for k, v in fields.items()), name).coalesce(1).write.option("ignoreNullFields", False).json(path)
+    placed = assign_slots(rows, rows.columns[0], "_place")
+    item = F.struct("_place", F.struct(*rows.columns).alias("row"))
+    held = F.transform(F.array_sort(F.collect_list(item)), lambda i: i["row"])
+    documents = placed.groupBy(F.floor(F.col("_place") / DOCUMENT_ROWS).alias("_document")).agg(F.min("_place").cast("bigint").alias("first"), held.alias(name))
+    told = documents.select(*(F.lit(v).alias(k) for k, v in fields.items()), "first", name)
+    told.write.option("ignoreNullFields", False).option("maxRecordsPerFile", 1).json(path)
 
 
 def leases(documents: DataFrame, entries: DataFrame) -> DataFrame:

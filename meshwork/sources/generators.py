@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 COHORT_NODES, COHORT_EDGES = 10_000, 50_000
 
 
-def cohort_nodes(spark: SparkSession, count: int = COHORT_NODES) -> DataFrame:
+def cohort_nodes(spark: SparkSession, count: int = COHORT_NODES, slots: DataFrame | None = None) -> DataFrame:
+    """Nodes of the given slots, else of the first ``count``."""
     i = F.col("slot")
-    rows = spark.range(count).select(F.col("id").alias("slot"))
+    rows = spark.range(count).select(F.col("id").alias("slot")) if slots is None else slots.select("slot")
     return rows.select(i, (i + 1).alias("id"), (i % 8).cast("int").alias("kind"), (F.lit(0.22) + (i % 5) * 0.025).alias("radius"), (i * 37 % count).alias("rank"))
 
 
-def cohort_edges(spark: SparkSession, count: int = COHORT_EDGES, nodes: int = COHORT_NODES) -> DataFrame:
-    """Edge i runs from i modulo nodes to a place 97 further for each lane."""
+def cohort_edges(spark: SparkSession, count: int = COHORT_EDGES, nodes: int = COHORT_NODES, slots: DataFrame | None = None) -> DataFrame:
+    """Edge i runs from i modulo nodes to a place 97 further for each lane; of the given slots, else of the first ``count``."""
     i = F.col("slot")
     lane = F.floor(i / nodes) + 1
-    rows = spark.range(count).select(F.col("id").alias("slot"))
+    rows = spark.range(count).select(F.col("id").alias("slot")) if slots is None else slots.select("slot")
     return rows.select(i, (i + 1).alias("id"), (i % nodes).alias("source"), ((i % nodes + lane * 97) % nodes).alias("target"), (lane % 4).cast("int").alias("kind"))
 
 
@@ -39,8 +40,8 @@ def groups_of(topology: str, count: int) -> int:
     return max(1, min(max(count // size, least), count))
 
 
-def random_nodes(spark: SparkSession, topology: str, count: int, seed: int = 42) -> DataFrame:
-    """Nodes (id, x, y, z, radius, color, kind) of a topology; numbers are fixed by id and seed.
+def random_nodes(spark: SparkSession, topology: str, count: int, seed: int = 42, ids: DataFrame | None = None) -> DataFrame:
+    """Nodes (id, x, y, z, radius, color, kind) of a topology; numbers are fixed by id and seed. ``ids`` may name a table's own, from 1 to ``count``.
 
     Uniform: a box of 5 times the root of the count, flat in z. Clustered: boxes
     of 5 to 40 around centres within 8 times the root. Hubs: centres of radius 8
@@ -49,7 +50,7 @@ def random_nodes(spark: SparkSession, topology: str, count: int, seed: int = 42)
     """
     if topology not in TOPOLOGIES:
         raise ValueError(f"unknown topology {topology}")
-    rows = spark.range(1, count + 1)
+    rows = spark.range(1, count + 1) if ids is None else ids.select("id")
     side = math.sqrt(max(count, 1))
     i = F.col("id") - 1
     between = lambda salt, low, high: _unit(seed, salt) * (high - low) + low
@@ -86,13 +87,14 @@ def random_nodes(spark: SparkSession, topology: str, count: int, seed: int = 42)
     return rows.select("id", *(p.cast("double").alias(a) for p, a in zip(place, "xyz")), radius.cast("double").alias("radius"), shade, kind.cast("int").alias("kind"))
 
 
-def topology_edges(spark: SparkSession, topology: str, count: int) -> DataFrame:
+def topology_edges(spark: SparkSession, topology: str, count: int, ids: DataFrame | None = None) -> DataFrame:
     """Edges (id, source, target) that a topology itself has: hub to spoke, or each link of a chain."""
+    rows = spark.range(1, count + 1) if ids is None else ids.select("id")
     if topology == "hubs" and count:
         hubs = groups_of(topology, count)
-        return spark.range(1, count - hubs + 1).select("id", ((F.col("id") + hubs - 1) % hubs + 1).alias("source"), (F.col("id") + hubs).alias("target"))
+        return rows.where(F.col("id") <= count - hubs).select("id", ((F.col("id") + hubs - 1) % hubs + 1).alias("source"), (F.col("id") + hubs).alias("target"))
     if topology == "chain":
-        return spark.range(1, max(count, 1)).select("id", F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+        return rows.where(F.col("id") < count).select("id", F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
     return spark.range(0).select("id", F.col("id").alias("source"), F.col("id").alias("target"))
 
 

@@ -11,7 +11,7 @@ ACCEPTED = 1  # the review bit of what has been accepted
 
 NODE_SCHEMA = "id bigint, position array<float>, radius float, color array<float>, kind int, flags int"
 EDGE_SCHEMA = "id bigint, source bigint, target bigint, width float, color array<float>, kind int, flags int"
-SNAPSHOT_SCHEMA = f"revision bigint, nodes array<struct<{NODE_SCHEMA}>>, edges array<struct<{EDGE_SCHEMA}>>"
+SNAPSHOT_SCHEMA = f"revision bigint, first bigint, nodes array<struct<{NODE_SCHEMA}>>, edges array<struct<{EDGE_SCHEMA}>>"
 ENTRY_SCHEMA = "id bigint, parent bigint, kind string, name string"
 ENTITY_SCHEMA = (
     "id bigint, label string, kind string, custom_kind string, origin_document bigint, "

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from meshwork.functions import text
 from meshwork.operators import anchors, logs, registry, tree, validate
 from meshwork.sources import documents
-from meshwork.types import ENTITY_SCHEMA
+from meshwork.types import ENTITY_SCHEMA, NODE_SCHEMA
 
 CONTENT = "Ryan met 新羅 in New Rome."
 
@@ -133,6 +133,19 @@ def test_rounds_grow_with_the_logarithm_of_depth(spark, monkeypatch):
     assert tree.closure(chain, chain.where("id = -2005")).count() == 777 and tree.closure(chain.where("false"), chain).count() == 0
 
 
+def test_stored_documents_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "DOCUMENT_ROWS", 2)
+    path = str(tmp_path / "tree")
+    documents.write_json(documents.seed_entries(spark), "entries", path, revision=1)
+    assert len(list((tmp_path / "tree").glob("part-*.json"))) == 3
+    assert sorted(map(tuple, documents.read_entries(spark, path).collect())) == sorted(map(tuple, documents.seed_entries(spark).collect()))
+    nodes = spark.createDataFrame([(9 - k, [float(k)] * 3, 1.0, [0.0] * 4, 1, 0) for k in range(5)], NODE_SCHEMA)
+    documents.write_json(nodes, "nodes", f"{tmp_path}/snapshot/nodes", revision=3)
+    documents.write_json(nodes.where("false"), "edges", f"{tmp_path}/snapshot/edges", revision=3)
+    points, links = documents.read_snapshot(spark, f"{tmp_path}/snapshot/*")
+    assert sorted((r.ord, r.id, r.x, r.revision) for r in points.collect()) == [(k, k + 5, 4.0 - k, 3) for k in range(5)] and links.count() == 0
+
+
 def test_lookups_of_many_requests(spark):
     seed = documents.seed_entries(spark)
     requests = spark.createDataFrame([(1, 1), (2, 3), (3, 99), (4, 2)], "request long, id long")
