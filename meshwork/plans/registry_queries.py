@@ -159,6 +159,27 @@ def reanchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.relocate(moved).select("document", "node_id", "start", "end", "active")
 
 
+@BOOK.add(f"""
+WITH a AS (SELECT document, node_id, start, "end", surface, right(pre, 32) AS prefix, left(post, 32) AS suffix,
+             CASE document % 5 WHEN 0 THEN content WHEN 1 THEN 'A new line' || chr(10) || content WHEN 2 THEN 'Copy of: ' || surface || '. ' || content || chr(10) || surface
+               WHEN 3 THEN replace(content, surface, upper(surface)) ELSE 'é ' || content || chr(10) || content END AS now FROM ({ANCHORS_SQL})),
+  p AS (SELECT *, string_split(now, surface) AS parts FROM a),
+  c AS (SELECT *, list_transform(range(1, len(parts)), lambda k: (list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(surface))::BIGINT) AS cuts FROM p),
+  o AS (SELECT *, list_transform(cuts, lambda c: strlen(left(now, c))) AS found,
+          list_filter(range(1, len(parts)), lambda k: ends_with(left(now, cuts[k]), prefix) AND starts_with(substr(now, cuts[k] + length(surface) + 1), suffix)) AS fits FROM c),
+  t AS (SELECT *, CASE WHEN list_contains(found, start) THEN start WHEN len(found) = 1 THEN found[1] WHEN len(fits) = 1 THEN found[fits[1]] END AS place FROM o)
+SELECT document, node_id, start AS was, coalesce(place, start)::BIGINT AS start, (CASE WHEN place IS NULL THEN "end" ELSE place + strlen(surface) END)::BIGINT AS "end", place IS NOT NULL AS active, len(found)::BIGINT AS n_found FROM t""")
+def reanchor_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor of every document after an edit: some stay, some move, some are met again by their context alone, some are lost."""
+    rows = anchors(spark, sf_dir)
+    kept = rows.withColumn("prefix", quote_prefix(F.col("content"), F.col("start"))).withColumn("suffix", quote_suffix(F.col("content"), F.col("end"))).withColumn("was", F.col("start"))
+    content, surface, kind = F.col("content"), F.col("surface"), F.col("document") % 5
+    edited = F.when(kind == 0, content).when(kind == 1, F.concat(F.lit("A new line\n"), content)).when(kind == 2, F.concat(F.lit("Copy of: "), surface, F.lit(". "), content, F.lit("\n"), surface))
+    edited = edited.when(kind == 3, F.replace(content, surface, F.upper(surface))).otherwise(F.concat(F.lit("é "), content, F.lit("\n"), content))
+    moved = registry.relocate(kept.withColumn("content", edited))
+    return moved.select("document", "node_id", "was", "start", "end", "active", occurrences(F.col("content"), F.col("surface")).alias("n_found"))
+
+
 @BOOK.add(f"""
 WITH e AS ({ENTITIES_SQL}) SELECT id, label, kind FROM e JOIN {_LABELS} USING (kind)
 WHERE contains(lower(label), 'large') OR contains(lower(kind_label), 'large') OR contains(lower(coalesce(custom_kind, '')), 'large')""")

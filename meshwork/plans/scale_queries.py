@@ -72,7 +72,7 @@ def picks_through_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add(f"""
-WITH n AS ({_SPHERES_SQL}), c AS (SELECT r_regionkey AS region, r_regionkey * 0.7::DOUBLE AS yaw, 0.2 - r_regionkey * 0.1::DOUBLE AS pitch FROM region),
+WITH n AS ({_SPHERES_SQL}), c AS (SELECT r_regionkey::BIGINT AS region, r_regionkey * 0.7::DOUBLE AS yaw, 0.2 - r_regionkey * 0.1::DOUBLE AS pitch FROM region),
   f AS (SELECT *, -cos(pitch) * sin(yaw) AS fx, -sin(pitch) AS fy, -cos(pitch) * cos(yaw) AS fz FROM c),
   v AS (SELECT region, id, yaw, pitch, x + fx * 100 AS x, y + fy * 100 AS y, z + fz * 100 AS z, fx, fy, fz FROM n, f),
   w AS (SELECT region, id, cos(yaw) * x - sin(yaw) * z AS a, -sin(pitch) * sin(yaw) * x + cos(pitch) * y - sin(pitch) * cos(yaw) * z AS u, fx * x + fy * y + fz * z AS t FROM v)
