@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 import zlib
 from collections import Counter
@@ -248,6 +249,58 @@ def _settle(group: Group, page: int | None = None) -> Group:
     return group
 
 
+def _paired(x: list[str], y: list[str]) -> Iterator[tuple[int | None, int | None]]:
+    """Both lists in order along a longest common subsequence: pairs of places, or a place of one list alone.
+
+    A row of the usual table is one number whose zero bits are the steps of that row, so
+    each of ``x`` costs a few operations on as many bits as ``y`` is long. Every
+    so many rows are kept, and those between are made again as the way passes
+    them: memory grows with the root of one length times the other.
+    """
+    n, m = len(x), len(y)
+    places: dict[str, int] = {}
+    for j, name in enumerate(y):
+        places[name] = places.get(name, 0) | 1 << (m - 1 - j)
+    full = (1 << m) - 1
+
+    def above(row: int, name: str) -> int:
+        hit = row & places.get(name, 0)
+        return (row + hit | row - hit) & full
+
+    step = max(1, math.isqrt(n))
+    kept, row = {n: full}, full
+    for i in range(n - 1, -1, -1):
+        row = above(row, x[i])
+        if i % step == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
+
+    def common(i: int, j: int) -> int:
+        """How much the lists share from these places on."""
+        low = m - j
+        return low - (rows[i] & (1 << low) - 1).bit_count()
+
+    i = j = 0
+    while i < n and j < m:
+        if i not in rows or i + 1 not in rows:
+            end = min(n, i - i % step + step)
+            row = kept[end]
+            rows = {end: row}
+            for k in range(end - 1, i - 1, -1):
+                row = rows[k] = above(row, x[k])
+        if x[i] == y[j]:
+            yield i, j
+            i, j = i + 1, j + 1
+        elif common(i + 1, j) >= common(i, j + 1):
+            yield i, None
+            i += 1
+        else:
+            yield None, j
+            j += 1
+    yield from ((k, None) for k in range(i, n))
+    yield from ((None, k) for k in range(j, m))
+
+
 def align(a: Group, b: Group) -> Group:
     """The smallest expression here that covers both groups of one name."""
     out = Group(a.name)
@@ -258,25 +311,14 @@ def align(a: Group, b: Group) -> Group:
     if [c.name for c in x] == [c.name for c in y]:
         out.children = [align(c, d) for c, d in zip(x, y)]
         return out
-    # longest common subsequence of names
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i].name == y[j].name else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
     found: list[Group] = []
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i].name == y[j].name:
+    for i, j in _paired([c.name for c in x], [c.name for c in y]):
+        if i is not None and j is not None:
             found.append(align(x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            x[i].optional = True
-            found.append(x[i])
-            i += 1
         else:
-            y[j].optional = True
-            found.append(y[j])
-            j += 1
+            one = x[i] if i is not None else y[j]
+            one.optional = True
+            found.append(one)
     for child in found:
         if out.children and out.children[-1].name == child.name:
             merged = align(out.children[-1], child)

@@ -1,3 +1,4 @@
+import random
 import re
 from html import unescape
 
@@ -115,3 +116,39 @@ def test_the_wrapper_decides_without_any_article(spark):
     expected = [f"Title {i}\nText {i}" + (f"\nExtra {i}" if i % 3 == 0 else "") for i in range(12)]
     assert texts_of(spark, pages) == expected
     assert [text_of(source) for _, source in pages] == [f"Brand\n{t}\nAll rights" for t in expected]  # without the wrapper nothing is known to be template
+
+
+def plain_pairs(x, y):
+    """The usual table of common subsequences, and the way through it."""
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    out = []
+    while i < len(x) or j < len(y):
+        if i < len(x) and j < len(y) and x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
+            out.append((i, None))
+            i += 1
+        else:
+            out.append((None, j))
+            j += 1
+    return out
+
+
+def test_pairs_equal_those_of_the_usual_table():
+    rng = random.Random(6)
+    for _ in range(300):
+        x, y = ([rng.choice("abcd"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(40))] for _ in range(2))
+        assert list(h._paired(x, y)) == plain_pairs(x, y)
+
+
+def test_very_many_siblings_align(spark):
+    rng = random.Random(7)
+    body = lambda page, n: "".join(f"<{rng.choice(['p', 'ul', 'h2'])}>x{page} {k}" for k in range(n))
+    pages = [(f"many.siblings/{k}", f"<body><div class=top>Top</div><div class=story>{body(k, 20_000)}</div></body>") for k in range(2)]
+    texts = texts_of(spark, pages)
+    assert [t.count("\n") for t in texts] == [19_999] * 2 and not any("Top" in t for t in texts)
