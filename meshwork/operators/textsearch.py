@@ -50,5 +50,8 @@ def find_texts(texts: DataFrame, queries: DataFrame, bound: int = BOUND) -> Data
     rarest = asked.join(counts, "gram", "left").groupBy("query_id").agg(F.min_by(F.struct("gram", "n"), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("r"))
     rarest = rarest.where("r.n is not null").select("query_id", F.col("r.gram").alias("gram"))
     candidates = dealt_join(postings, rarest, ["gram"], bound).select("query_id", "id")
-    met = candidates.join(lowered, "id").join(_small(wanted.select("query_id", "query")), "query_id")
-    return met.where(F.contains("text", F.col("query"))).select("query_id", "id")
+    candidates = stored(candidates.join(_small(wanted.select("query_id", "query")), "query_id"), "candidates")
+    # a query that is one gram is in all texts that hold the gram
+    whole = F.length("query") > GRAM
+    met = candidates.where(whole).join(lowered, "id").where(F.contains("text", F.col("query")))
+    return candidates.where(~whole).select("query_id", "id").unionByName(met.select("query_id", "id"))
