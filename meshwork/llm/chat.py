@@ -20,7 +20,8 @@ place and the code points of its text within the turn's rendered segment.
 Defined results: null texts and roles are empty; rows that repeat a message and
 seq are all applied, in order of kind and text; messages of one conversation
 that tie are ordered by role and text; an empty log gives no conversation. A
-conversation's events meet in one row, since its formatted text is one row too.
+conversation's events meet in one row, since its formatted text is one row too. Texts of any
+length are kept whole; other columns of a log are not read.
 """
 
 from __future__ import annotations

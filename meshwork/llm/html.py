@@ -23,7 +23,9 @@ as one, so a copied page does not make its own text a template.
 
 Defined results: null and empty html gives an empty text; a url without a host
 is a host of its own; repeated rows get equal texts; blocks that are blank
-vanish; an empty table gives no rows.
+vanish; an empty table gives no rows. Pages of any length are read whole. Of alignments that
+share equally many groups, the one that passes over the left side's groups first is taken. Columns
+other than page_id, url and html are not read.
 """
 
 from __future__ import annotations

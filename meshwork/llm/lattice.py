@@ -15,6 +15,7 @@ what other words add to a document is joined by word and summed per row.
 Defined results: null and empty texts are one end token; rows that repeat a
 doc_id are scored apart; without training rows counts are 0 and piece
 probabilities come from the vocabulary's ranks alone; an empty table gives no rows.
+Texts and words of any length are scored whole.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ manifest of successful tasks are ever read. The manifest is a written table,
 so later stages never write shards again.
 
 Defined results: null and empty texts are one row of padding; equal texts share
-an address and all values; an empty table gives no rows.
+an address and all values; an empty table gives no rows. Texts of any length are
+stored whole.
 """
 
 from __future__ import annotations

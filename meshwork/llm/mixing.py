@@ -19,8 +19,9 @@ Documents are never ranked in one task: buckets of the seeded order hold about
 
 Defined results: null and empty texts have size 0 and are never taken; a null
 source is a source of its own, last in order; repeated rows are separate rows
-that the same seeded number puts next to each other; an empty table gives no
-rows.
+that the same seeded number puts next to each other, in order of doc_id and size; an empty table gives no
+rows. Words of texts of any length are counted whole. All columns come through, and those that are added
+begin with mix_.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ is wholly made by one task attempt, so a retried task stays consistent.
 
 Defined results: null text counts as empty (only the end id); repeated rows are
 packed once each; an empty table gives no rows; extra columns are ignored.
+Texts of any length are encoded whole and cut where sequences end.
 """
 
 from __future__ import annotations

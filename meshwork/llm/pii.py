@@ -17,6 +17,7 @@ Kinds, in the order in which spans are listed:
 
 Defined results: null and empty texts have no spans; offsets count code points,
 ends exclusive; repeated rows get equal results; an empty table gives no rows.
+Texts of any length are searched whole.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ never grows with the data.
 
 Defined results: null and empty texts are scored as texts without features;
 repeated rows get equal scores; an empty table gives no rows; without positive
-training labels every score is the class prior.
+training labels every score is the class prior. Texts of any length are scored whole. Other
+columns come through, but for ones that are named as the two added ones.
 """
 
 from __future__ import annotations
