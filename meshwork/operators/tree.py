@@ -127,9 +127,10 @@ def name_taken(entries: DataFrame, parent: int, name: str, besides: int = 0) ->
     return not entries.where((F.col("parent") == parent) & same & (F.col("id") != besides)).isEmpty()
 
 
-def create(entries: DataFrame, parent: int, kind: str, name: str, next_id: int) -> DataFrame:
+def create(entries: DataFrame, parent: int, kind: str, name: str, next_id: int, limit: int | None = LIMITS["entries"]) -> DataFrame:
+    """The tree with a new entry. ``limit`` bounds a workspace's entries; trees over tables of any size have none."""
     spark = entries.sparkSession
-    if entries.count() >= LIMITS["entries"]:
+    if limit is not None and entries.count() >= limit:
         raise ValueError("EntryLimit")
     folder = entries.where((F.col("id") == parent) & (F.col("kind") == "folder"))
     if folder.isEmpty():

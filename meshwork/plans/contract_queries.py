@@ -322,7 +322,8 @@ SELECT id, parent, kind, CASE WHEN id = 100 THEN 'Renamed' ELSE name END AS name
 UNION ALL SELECT 5000000, 10, 'folder', 'Drafts' UNION ALL SELECT 5000001, 5000000, 'note', 'Chapter 1'""")
 def workspace_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tree(spark, sf_dir)
-    rows = tree.create(tree.create(rows, 10, "folder", " Drafts ", 5_000_000), 5_000_000, "note", "Chapter 1", 5_000_001)
+    rows = tree.create(rows, 10, "folder", " Drafts ", 5_000_000, limit=None)
+    rows = tree.create(rows, 5_000_000, "note", "Chapter 1", 5_000_001, limit=None)
     rows = tree.rename(rows, 100, "Renamed")
     return tree.delete(rows, rows.where("id = 12").select("id")).select("id", "parent", "kind", "name")
 

@@ -278,3 +278,10 @@ def test_small_lookups(spark):
     assert sorted(r.id for r in index.bad_references(products, "ref", 5).collect()) == [2, 4]
     ranges = spark.createDataFrame([(0, 0, 5), (1, 8, 5)], "stroke long, first_point long, point_count long")
     assert [r.stroke for r in paths.range_violations(ranges, 10).collect()] == [1]
+
+
+def test_trees_without_a_limit_grow_beyond_that_of_a_workspace(spark):
+    rows = spark.range(1, 20_001).selectExpr("id", "case when id = 1 then 0 else 1 end as parent", "if(id = 1, 'folder', 'note') as kind", "concat('n', id) as name")
+    with pytest.raises(ValueError, match="EntryLimit"):
+        tree.create(rows, 1, "folder", "Drafts", 30_000)
+    assert tree.create(rows, 1, "folder", "Drafts", 30_000, limit=None).count() == 20_001
