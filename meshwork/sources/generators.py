@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COHORT_NODES, COHORT_EDGES = 10_000, 50_000
+#: Rows that one task makes at most.
+TASK_ROWS = 500_000
+#: Bits of a picking number by which rows are counted.
+KEY_BITS = 16
 
 
 def cohort_nodes(spark: SparkSession, count: int = COHORT_NODES, slots: DataFrame | None = None) -> DataFrame:
@@ -111,19 +115,44 @@ def random_edges(spark: SparkSession, nodes: int, requested: int, seed: int = 42
     prime = next(p for p in range(max(pairs, 2), 2 * max(pairs, 2) + 2) if all(p % q for q in range(2, math.isqrt(p) + 1)))
     factor, shift = seed * 2_654_435_761 % (prime - 1) + 1, seed * 40_503 % prime
     draw = ((F.col("id").cast("decimal(38,0)") * factor + shift) % prime).cast("bigint")
-    numbered = spark.range(prime).select("id", draw.alias("pair")) if wanted + (prime - pairs) >= prime else spark.range(wanted + prime - pairs).select("id", draw.alias("pair"))
-    kept = numbered.where(F.col("pair") < pairs).orderBy("id").limit(wanted)
+    # the ids that draw no pair are as few as the gap below the prime; each moves the last id on by one
+    back = pow(factor, -1, prime)
+    last = wanted
+    for unused in sorted((number - shift) * back % prime for number in range(pairs, prime)):
+        last += unused < last
+    kept = spark.range(0, last, 1, _parts(last)).select("id", draw.alias("pair")).where(F.col("pair") < pairs)
     source = F.expr(f"pair div {max(nodes - 1, 1)}")
     other = F.col("pair") % max(nodes - 1, 1)
     return kept.select("id", (source + 1).alias("source"), (F.when(other >= source, other + 1).otherwise(other) + 1).alias("target"))
 
 
+def _parts(rows: int) -> int:
+    """Tasks that make so many rows, each a bounded number of them."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def _least(rows: DataFrame, key: str, wanted: int) -> DataFrame:
+    """The ``wanted`` rows with the smallest ``key`` (evenly spread bigints), then ids.
+
+    Rows are counted by the key's first bits; only the range in which the last
+    wanted row lies is sorted.
+    """
+    place = F.call_function("shiftright", F.col(key), F.lit(64 - KEY_BITS))
+    before = 0
+    for r in sorted(rows.groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect()):  # 2 to the KEY_BITS at most
+        if before + r.n >= wanted:
+            last = rows.where(place == r.place).orderBy(key, "id").limit(wanted - before)
+            return rows.where(place < r.place).unionByName(last)
+        before += r.n
+    return rows
+
+
 def jitter(nodes: DataFrame, ratio: float, revision: int, seed: int = 42) -> DataFrame:
     """An update lane of a share of the live nodes, rounded up and at least one: x and y move by up to 1.5, red by up to 0.04."""
     count = nodes.count()
     wanted = max(min(math.ceil(count * ratio), count), min(count, 1))
     pick = F.xxhash64("id", F.lit(seed + revision), F.lit("pick"))
-    moved = nodes.withColumn("_pick", pick).orderBy("_pick", "id").limit(wanted).drop("_pick")
+    moved = _least(nodes.withColumn("_pick", pick), "_pick", wanted).drop("_pick")
     by = lambda salt, size: (_unit(seed + revision, salt) * 2 - 1) * size
     rows = moved.withColumns({"x": F.col("x") + by("x", 1.5), "y": F.col("y") + by("y", 1.5)})
     if "color" in nodes.columns:

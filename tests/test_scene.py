@@ -217,3 +217,25 @@ def test_views_as_rows(spark):
                    7: (True, None, bad), 8: (True, None, bad), 9: (True, None, bad), 10: (True, None, bad)}
     assert {r.session: r.view_id for r in views.applied_views(checked).collect()} == {5: 4}
     assert [r.families for r in views.bound_views(scenes).collect()] == [-1, -1]
+
+
+def test_random_edges_are_drawn_without_a_sort_of_all(spark):
+    nodes, seed = 12, 42
+    pairs, prime = 132, 137  # the least prime from 132 on
+    factor, shift = seed * 2_654_435_761 % (prime - 1) + 1, seed * 40_503 % prime
+    draws = [(i, (i * factor + shift) % prime) for i in range(prime)]
+    for wanted in (1, 50, 131, 132):
+        found = generators.random_edges(spark, nodes, wanted)
+        expected = [i for i, draw in draws if draw < pairs][:wanted]
+        assert sorted(r.id for r in found.collect()) == expected
+        assert "Sort" not in (plan := found._jdf.queryExecution().toString()) and "Limit" not in plan and "TakeOrdered" not in plan
+
+
+def test_jitter_sorts_only_the_range_of_its_last_row(spark):
+    nodes = generators.random_nodes(spark, "uniform", 5_000).persist()
+    pick = nodes.select("id", F.xxhash64("id", F.lit(44), F.lit("pick")).alias("pick"))
+    expected = {r.id for r in pick.orderBy("pick", "id").limit(700).collect()}
+    moved = generators.jitter(nodes, 0.13995, 2)
+    assert {r.id for r in moved.collect()} == expected
+    assert "Union" in moved._jdf.queryExecution().toString()  # all rows of lower ranges, and the last one's
+    nodes.unpersist()
