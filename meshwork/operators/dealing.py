@@ -1,4 +1,4 @@
-"""Joins whose crowded keys are dealt to several tasks."""
+"""Joins whose crowded keys are dealt to several tasks, and shuffles whose tasks get a bounded number of rows."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ from meshwork.sources.shared import new_path
 
 #: Rows of one key that one task gets from either side, at most.
 BOUND = 20_000
+#: Rows of distinct keys that a task of a sized shuffle gets on average, and rows of one key from which its partners are broadcast.
+TASK_ROWS = 500_000
+HOT_ROWS = 100_000
 #: Crowded keys up to this number are broadcast.
 BROADCAST_KEYS = 100_000
 
@@ -20,6 +23,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(rows: int) -> int:
+    """How many tasks so many rows are dealt to: by rows, since sorted keys take few bytes in a shuffle and many in memory."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def sized_join(many: DataFrame, one: DataFrame, key: str, other: str, tasks: int, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` where ``key`` equals ``other``, in so many tasks; ``one`` has few rows a key.
+
+    Keys that very many rows of ``many`` have are few: their partners are broadcast.
+    """
+    met = F.col(key) == F.col(other)
+    if tasks == 1:
+        return many.join(one, met, how)
+    dealt = lambda df: df.join(one.repartition(tasks, other), met, how)
+    hot = [r[0] for r in many.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > HOT_ROWS).collect()]  # at most a row for HOT_ROWS rows
+    if not hot:
+        return dealt(many.repartition(tasks, key))
+    crowded = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    apart = many.where(crowded).join(F.broadcast(one.where(F.col(other).isin(hot))), met, how)
+    return dealt(many.where(~crowded).repartition(tasks, key)).unionByName(apart)
+
+
 def dealt_join(left: DataFrame, right: DataFrame, on: list[str], bound: int = BOUND) -> DataFrame:
     """Inner join on keys of which some hold very many rows on either side.
 

@@ -239,3 +239,18 @@ def test_jitter_sorts_only_the_range_of_its_last_row(spark):
     assert {r.id for r in moved.collect()} == expected
     assert "Union" in moved._jdf.queryExecution().toString()  # all rows of lower ranges, and the last one's
     nodes.unpersist()
+
+
+def test_diff_rules_deal_ids_by_their_number(spark, monkeypatch):
+    from meshwork.operators import dealing
+
+    nodes = spark.range(1, 1_001)
+    edges = spark.range(1, 2_001).selectExpr("id", "1 + id % 1000 as source", "1 + id * 7 % 1000 as target")
+    lane = lambda df, op: df.selectExpr("*", "id as ord", f"'{op}' as op", "2L as revision")
+    changes = lane(nodes.where("id % 10 = 1"), "remove"), lane(edges.where("id % 4 = 0"), "update")
+    found = lambda: sorted(map(tuple, diff.diff_violations(nodes, edges, *changes, current=1).select("rule", "entity_id", "detail").collect()), key=repr)
+    whole = found()
+    monkeypatch.setattr(dealing, "TASK_ROWS", 100)
+    assert found() == whole and len(whole) > 100
+    plan = diff.diff_violations(nodes, edges, *changes, current=1)._jdf.queryExecution().executedPlan().toString()
+    assert "id#" in plan and "REPARTITION_BY_NUM" in plan
