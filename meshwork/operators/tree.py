@@ -16,6 +16,7 @@ from meshwork.functions.text import ascii_lower, name_error, trim_white
 from meshwork.sources.shared import new_path
 from meshwork.types import LIMITS
 
+from .dealing import sized_join, tasks_for
 from .slots import assign_slots
 from .validate import union, violations
 
@@ -48,7 +49,8 @@ def climb(links: DataFrame, tops: DataFrame, **carried: Column) -> DataFrame:
 
     begun = at_top.select("id", F.col("id").alias("up"), F.lit(0).cast("bigint").alias("steps"), F.lit(True).alias("reached"), *names)
     met = F.col("above_id").isNotNull()
-    others = rows.join(tops, "id", "left_anti").join(above(at_top.select("id", *names)), F.col("parent") == F.col("above_id"), "left")
+    tasks = tasks_for(rows.count())
+    others = sized_join(rows.join(tops, "id", "left_anti"), above(at_top.select("id", *names)), "parent", "above_id", tasks, "left")
     others = others.select("id", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("steps"), met.alias("reached"), *joined(met))
     parts, active, left = [], stored(begun.unionByName(others)), None
     while True:
@@ -58,7 +60,7 @@ def climb(links: DataFrame, tops: DataFrame, **carried: Column) -> DataFrame:
         if unsettled in (0, left):
             return union(parts).select("id", F.col("up").alias("top"), "steps", *names)
         left = unsettled
-        far = active.join(above(union([*parts, active])), F.col("up") == F.col("above_id"))
+        far = sized_join(active, above(union([*parts, active])), "up", "above_id", tasks)
         active = stored(far.select("id", F.col("above_up").alias("up"), (F.col("steps") + F.col("above_steps")).alias("steps"), F.col("above_reached").alias("reached"), *joined(None)))
 
 
@@ -95,7 +97,9 @@ def visible_rows(entries: DataFrame, expanded: Column) -> DataFrame:
 
 def closure(entries: DataFrame, start: DataFrame) -> DataFrame:
     """Ids of the given entries and all below them."""
-    return climb(entries.select("id", "parent").distinct(), start).select("id").distinct()
+    tasks = tasks_for(entries.count())
+    distinct = entries.select("id", "parent").repartition(tasks, "id").distinct()
+    return climb(distinct, start).select("id").repartition(tasks, "id").distinct()
 
 
 def delete(entries: DataFrame, ids: DataFrame) -> DataFrame:

@@ -285,3 +285,33 @@ def test_trees_without_a_limit_grow_beyond_that_of_a_workspace(spark):
     with pytest.raises(ValueError, match="EntryLimit"):
         tree.create(rows, 1, "folder", "Drafts", 30_000)
     assert tree.create(rows, 1, "folder", "Drafts", 30_000, limit=None).count() == 20_001
+
+
+def test_climbing_deals_rows_by_their_number(spark, monkeypatch):
+    from meshwork.operators import dealing
+
+    monkeypatch.setattr(dealing, "TASK_ROWS", 100)
+    monkeypatch.setattr(dealing, "HOT_ROWS", 50)
+    # 3,000 entries below four folders of one root, chains of three
+    links = spark.range(1, 3_001).selectExpr("id", "case when id = 1 then 0 when id < 6 then 1 when id < 1000 then 2 + id % 4 when id < 2000 then id - 900 else id - 1000 end as parent")
+    found = tree.closure(links, spark.range(2, 4))
+    parent = {r.id: r.parent for r in links.collect()}
+
+    def below(i):
+        while i not in (2, 3, 0):
+            i = parent[i]
+        return i > 0
+
+    assert sorted(r.id for r in found.collect()) == sorted(i for i in parent if below(i))
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sized_joins_equal_plain_ones(spark, monkeypatch):
+    from meshwork.operators import dealing
+
+    monkeypatch.setattr(dealing, "HOT_ROWS", 50)
+    many = spark.range(400).selectExpr("id", "case when id % 2 = 0 then 7 when id % 5 = 0 then null else id end as k")
+    one = spark.range(0, 300, 7).selectExpr("id as other", "id * 2 as value")
+    for how in ("inner", "left"):
+        plain = sorted(map(tuple, many.join(one, F.col("k") == F.col("other"), how).collect()), key=repr)
+        assert sorted(map(tuple, dealing.sized_join(many, one, "k", "other", 4, how).collect()), key=repr) == plain
