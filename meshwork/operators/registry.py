@@ -123,6 +123,20 @@ def tag_evictions(mentions: DataFrame, tags: DataFrame) -> DataFrame:
     return met.withColumnsRenamed({"other_start": "tag_start", "other_end": "tag_end"})
 
 
+def eviction_totals(mentions: DataFrame, tags: DataFrame) -> DataFrame:
+    """Of each span (document, start, end) of active mentions: pairs with overlapping tags (document, sequence, tag_start, tag_end), the first tag and the shared length.
+
+    Equal spans meet equal tags once, with their numbers, so work follows the distinct spans of a
+    document and not the pairs of rows.
+    """
+    spans = mentions.where("active").groupBy("document", "start", "end").agg(F.count("*").alias("_mentions")).withColumn("active", F.lit(True))
+    distinct = tags.groupBy("document", "tag_start", "tag_end").agg(F.count("*").alias("_tags"), F.min("sequence").alias("sequence"))
+    pairs = F.col("_mentions") * F.col("_tags")
+    shared = F.least("end", "tag_end") - F.greatest("start", "tag_start")
+    met = tag_evictions(spans, distinct)
+    return met.groupBy("document", "start", "end").agg(F.sum(pairs).alias("n_tags"), F.min("sequence").alias("first_tag"), F.sum(pairs * shared).alias("shared"))
+
+
 def fold_tags(tags: DataFrame) -> DataFrame:
     """What a sequence of tags (document, sequence, start, end, ...) leaves behind, all documents at once.
 

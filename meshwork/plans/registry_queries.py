@@ -98,9 +98,7 @@ def tag_evictions_by_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, place = F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint") * 3 % 1000
     size = F.when(key % 50 == 0, 120).otherwise(key % 11 + 1)
     tags = table(spark, sf_dir, "orders").select((key % 40 + 1).alias("document"), key.alias("sequence"), place.alias("tag_start"), (place + size).alias("tag_end"))
-    gone = registry.tag_evictions(mentions(spark, sf_dir), tags)
-    shared = F.least("end", "tag_end") - F.greatest("start", "tag_start")
-    return gone.groupBy("document", "start", "end").agg(F.count("*").alias("n_tags"), F.min("sequence").alias("first_tag"), F.sum(shared).alias("shared"))
+    return registry.eviction_totals(mentions(spark, sf_dir), tags)
 
 
 @BOOK.add(f"""

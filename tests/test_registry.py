@@ -315,3 +315,23 @@ def test_sized_joins_equal_plain_ones(spark, monkeypatch):
     for how in ("inner", "left"):
         plain = sorted(map(tuple, many.join(one, F.col("k") == F.col("other"), how).collect()), key=repr)
         assert sorted(map(tuple, dealing.sized_join(many, one, "k", "other", 4, how).collect()), key=repr) == plain
+
+
+def test_eviction_totals_meet_equal_spans_once(spark, monkeypatch):
+    rng = random.Random(4)
+    held = [(rng.randrange(2), a := rng.randrange(20), a + rng.randrange(6), rng.random() < 0.8) for _ in range(300)]
+    tags = [(rng.randrange(2), k, a := rng.randrange(20), a + rng.randrange(6)) for k in range(300)]
+    expected = {}
+    for document, a, b, active in held:
+        for other, k, c, d in tags:
+            if active and document == other and a < d and c < b and a < b and c < d:
+                n, first_tag, shared = expected.get((document, a, b), (0, k, 0))
+                expected[document, a, b] = n + 1, min(first_tag, k), shared + min(b, d) - max(a, c)
+    met = []
+    plain = registry.tag_evictions
+    monkeypatch.setattr(registry, "tag_evictions", lambda m, t: met.append((m.count(), t.count())) or plain(m, t))
+    found = registry.eviction_totals(
+        spark.createDataFrame(held, "document long, start long, end long, active boolean"), spark.createDataFrame(tags, "document long, sequence long, tag_start long, tag_end long")
+    )
+    assert {tuple(r[:3]): tuple(r[3:]) for r in found.collect()} == expected
+    assert met == [(len({h[:3] for h in held if h[3]}), len({(t[0], *t[2:]) for t in tags}))]
