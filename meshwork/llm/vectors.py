@@ -8,8 +8,9 @@ pairs are found in metric terms and confirmed by the cosine in double precision.
 2. The top of the tree: pivots from a bounded seeded sample of each length. A
    point's home is the cell of its nearest pivot, and it also visits the cells whose
    bisecting plane is near enough that a partner may live behind it.
-3. A cell's points and its visitors are dealt by a hash to tiles of bounded
-   size; a task gets two tiles, builds their nested levels with halving radii,
+3. A cell's points are dealt by a hash to tiles of bounded size, each stored once in
+   the shared folder; a task gets the names of pairs of tiles whose cells visit each other, a block of
+   few tiles by few, reads these, builds their nested levels with halving radii,
    and walks pairs of nodes, dropping those whose centres are farther apart
    than their covering radii and the threshold allow. Bounds are taken in
    single precision with a margin above its error; points of node pairs at the bottom
@@ -34,10 +35,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, map_batches, read_table, skewed_join, written
+from .common import components, map_batches, new_path, read_table, skewed_join, written
 
 MAX_PIVOTS = 1_024
 #: Points that a pivot should have at least, so small tables get few cells.
@@ -51,11 +54,13 @@ BLOCK_PAIRS = 500_000
 SAMPLE = 128
 #: Above the error of a cosine in single precision.
 MARGIN = 1e-4
-#: Tasks for each pair of tiles, so that few share one.
-SPREAD = 4
+#: Tiles a side of a block of pairs, whose trees a task keeps; smaller while there are few blocks.
+BLOCK_TILES = 8
+SPREAD = 24
 MAX_TASKS = 20_000
 SEED = 9
 NONE = np.zeros(0, dtype=np.int64)
+EMPTY_TILE = pa.table({"unit": pa.array([], pa.binary()), "point": pa.array([], pa.int64()), "copies": pa.array([], pa.int64())})
 
 
 class CoverTree:
@@ -163,13 +168,14 @@ def dual_pairs(a: CoverTree, b: CoverTree) -> Iterator[tuple[np.ndarray, np.ndar
             stack += zip(i[~one].tolist(), j[~one].tolist())
 
 
-def link_tiles(left: np.ndarray, right: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def link_tiles(left: CoverTree | np.ndarray, right: CoverTree | np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs with cosine of at least ``least``: within ``left``, or between ``left`` and ``right``."""
-    if not len(left) or right is not None and not len(right):
+    if any(isinstance(side, np.ndarray) and not len(side) for side in (left, right)):
         return
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * least))
-    a = CoverTree(left, reach)
-    b = a if right is None else CoverTree(right, reach)
+    grown = lambda side: CoverTree(side, reach) if isinstance(side, np.ndarray) else side
+    a = grown(left)
+    b = a if right is None else grown(right)
     for x, y, paired in dual_pairs(a, b):
         step = len(x) if paired else max(1, BLOCK_DISTANCES // len(y))
         for at in range(0, len(x), step):
@@ -211,20 +217,27 @@ def unite(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> None:
 
 def tile_links(units: np.ndarray, copies: np.ndarray, p: np.ndarray, q: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each point and labels of components: within ``p``, or between ``p`` and ``q``."""
-    links, label = np.zeros(len(units), dtype=np.int64), np.arange(len(units))
+    return tree_links(units[p], None if q is None else units[q], copies, p, q, least)
+
+
+def tree_links(
+    a: CoverTree | np.ndarray, b: CoverTree | np.ndarray | None, copies: np.ndarray, p: np.ndarray, q: np.ndarray | None, least: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """As ``tile_links``, of points or trees; ``p`` and ``q`` are the places of their points among all."""
+    links, label = np.zeros(len(copies), dtype=np.int64), np.arange(len(copies))
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
 
     def count() -> None:
         i, j = np.concatenate(left), np.concatenate(right)
         for x, y in ((i, j), (j, i)):
-            links[:] += np.bincount(x, copies[y], len(units)).astype(np.int64)
+            links[:] += np.bincount(x, copies[y], len(copies)).astype(np.int64)
         unite(i, j, label)
         left.clear()
         right.clear()
 
     held = 0
-    for i, j in link_tiles(units[p], None if q is None else units[q], least):
+    for i, j in link_tiles(a, b, least):
         left.append(p[i])
         right.append((p if q is None else q)[j])
         held += len(i)
@@ -264,77 +277,110 @@ def near_vectors(rows: DataFrame, least: float = 0.95, seed: int = SEED) -> Data
                 units.append(None if unit is None else unit.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units, pa.binary())], names=["vec_id", "unit"])
 
-    every = written(map_batches(vectors, normalised, "vec_id bigint, unit binary"), "units")
+    spark = rows.sparkSession
+    every = written(map_batches(vectors, normalised, "vec_id bigint, unit binary").withColumn("mark", F.unhex(F.sha2("unit", 256))), "units")
     points = every.where("unit is not null and vec_id is not null").groupBy("unit").agg(F.min("vec_id").alias("point"), F.count("*").alias("copies"))
     points = written(points.withColumn("width", (F.octet_length("unit") / 8).cast("int")), "points")
     pivots = _pivots(points, seed)
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * least)) + 1e-9
 
+    def measured(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Rows of each width, their home cells, and which cells each one visits."""
+        widths = batch.column(3).to_numpy(zero_copy_only=False)
+        for width in np.unique(widths):
+            table = pivots[int(width)]
+            between = np.sqrt(np.maximum(2.0 - 2.0 * table @ table.T, 0.0))
+            part = batch.take(pa.array(np.flatnonzero(widths == width)))
+            x = np.frombuffer(b"".join(part.column(0).to_pylist()), dtype=np.float64).reshape(-1, width)
+            squared = np.maximum(2.0 - 2.0 * x @ table.T, 0.0)
+            home = squared.argmin(1)
+            own = squared[np.arange(len(x)), home]
+            # distance from the plane between the home pivot and another one
+            gap = between[home]
+            plane = (squared - own[:, None]) / np.maximum(2.0 * gap, 1e-12)
+            yield int(width), part, home, (plane <= reach) | (gap < 1e-9)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            widths = batch.column(3).to_numpy(zero_copy_only=False)
-            for width in np.unique(widths):
-                table = pivots[int(width)]
-                between = np.sqrt(np.maximum(2.0 - 2.0 * table @ table.T, 0.0))
-                part = batch.take(pa.array(np.flatnonzero(widths == width)))
-                x = np.frombuffer(b"".join(part.column(0).to_pylist()), dtype=np.float64).reshape(-1, width)
-                squared = np.maximum(2.0 - 2.0 * x @ table.T, 0.0)
-                home = squared.argmin(1)
-                own = squared[np.arange(len(x)), home]
-                # distance from the plane between the home pivot and another one
-                gap = between[home]
-                plane = (squared - own[:, None]) / np.maximum(2.0 * gap, 1e-12)
-                visits = (plane <= reach) | (gap < 1e-9)
-                r, cell = np.nonzero(visits)
-                at_home = cell == home[r]
-                # of two cells, points of the lower one visit the higher one
-                keep = at_home | (home[r] < cell)
-                r, cell, at_home = r[keep], cell[keep], at_home[keep]
-                given = part.take(pa.array(r))
-                yield pa.RecordBatch.from_arrays(
-                    [*given.columns, pa.array(cell.astype(np.int64)), pa.array(at_home)], names=["unit", "point", "copies", "width", "cell", "home"]
-                )
-
-    schema = "unit binary, point bigint, copies bigint, width int, cell bigint, home boolean"
-    placed = written(map_batches(points.select("unit", "point", "copies", "width"), place, schema), "placed")
-    # a cell's home points and visitors are dealt to tiles; a task joins two home tiles or a home tile and a visiting one
-    tiles = placed.groupBy("width", "cell").agg(
-        F.greatest(F.ceil(F.count_if("home") / TILE_POINTS), F.lit(1)).alias("homes"),
-        F.ceil(F.count_if(~F.col("home")) / TILE_POINTS).alias("guests"),
-    )
-    tiles = written(tiles, "tiles")
-    n_pairs = tiles.agg(F.sum(F.col("homes") * (F.col("homes") + 1) / 2 + F.col("homes") * F.col("guests"))).first()[0] or 1
-    placed = placed.join(F.broadcast(tiles), ["width", "cell"]).withColumn(
-        "tile", F.pmod(F.xxhash64("point"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests")))
-    )
-    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>"))
-    task = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"))
-    among = F.transform(upto("homes"), lambda t: task("home", F.least(t, F.col("tile")), F.greatest(t, F.col("tile"))))
-    as_host = F.transform(upto("guests"), lambda t: task("guest", F.col("tile"), t))
-    as_guest = F.transform(upto("homes"), lambda t: task("guest", t, F.col("tile")))
-    tasks = placed.withColumn("task", F.explode(F.when(F.col("home"), F.concat(among, as_host)).otherwise(as_guest)))
-    names = ["width", "cell", "kind", "low", "high"]
-    tasks = tasks.select("width", "cell", "task.kind", "task.low", "task.high", "tile", "home", "unit", "point", "copies")
+            for _, part, home, _ in measured(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int64))], names=["unit", "point", "copies", "width", "cell"])
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for width, _, home, visits in measured(batch):
+                seen = met.setdefault(width, np.zeros((len(pivots[width]),) * 2, dtype=bool))
+                for cell in np.unique(home):
+                    seen[cell] |= visits[home == cell].any(0)
+        for width, seen in met.items():
+            low, high = np.nonzero(np.triu(seen | seen.T, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(low), width), pa.int32()), pa.array(low), pa.array(high)], names=["width", "a_cell", "b_cell"])
+
+    rows = points.select("unit", "point", "copies", "width")
+    placed = map_batches(rows, place, "unit binary, point bigint, copies bigint, width int, cell bigint")
+    sizes = placed.groupBy("width", "cell").agg(F.ceil(F.count("*") / TILE_POINTS).alias("tiles"))
+    sizes = written(sizes, "cells")  # MAX_PIVOTS for each width at most
+    n_tiles = sizes.agg(F.sum("tiles")).first()[0] or 1
+    placed = placed.join(F.broadcast(sizes), ["width", "cell"]).withColumn("tile", F.pmod(F.xxhash64("point"), F.col("tiles"))).drop("tiles")
+    folder = new_path(spark, "tiles")
+    # one folder a tile: each point is stored once, however many tiles its own is compared with
+    placed.repartition(int(min(MAX_TASKS, n_tiles)), "width", "cell", "tile").write.partitionBy("width", "cell", "tile").parquet(folder)
+    tiles = sizes.select("width", "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("tile"))
+    step = int(max(1, min(BLOCK_TILES, n_tiles // SPREAD)))
+    number = F.row_number().over(Window.partitionBy("width").orderBy("cell", "tile")) - 1
+    tiles = written(tiles.withColumn("block", F.floor(number / step)), "tile-blocks")
+    side = lambda name: tiles.select("width", *(F.col(c).alias(f"{name}_{c}") for c in ("cell", "tile", "block")))
+    alone = side("a").join(side("b"), "width").where((F.col("a_cell") == F.col("b_cell")) & (F.col("a_tile") <= F.col("b_tile")))
+    visits = map_batches(rows, visit, "width int, a_cell bigint, b_cell bigint").distinct()
+    apart = visits.join(side("a"), ["width", "a_cell"]).join(side("b"), ["width", "b_cell"])
+    columns = ["width", "a_cell", "a_tile", "a_block", "b_cell", "b_tile", "b_block"]
+    tasks = written(alone.select(*columns).unionByName(apart.select(*columns)), "tile-pairs")
+    names = ["width", "a_block", "b_block"]
+    n_blocks = tasks.select(*names).distinct().count()
 
     def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        width, kind, low, high = int(key[0]), key[2], int(key[3]), int(key[4])
-        pdf = pdf.sort_values("point").reset_index(drop=True)
-        points, copies = pdf["point"].to_numpy(), pdf["copies"].to_numpy(dtype=np.int64)
-        units = np.frombuffer(b"".join(pdf["unit"]), dtype=np.float64).reshape(-1, width)
-        first = pdf["home"].to_numpy(dtype=bool) if kind == "guest" else pdf["tile"].to_numpy() == low
-        alone = kind == "home" and low == high
-        links, label = tile_links(units, copies, np.flatnonzero(first), None if alone else np.flatnonzero(~first), least)
-        found = np.flatnonzero(links)
-        return pd.DataFrame({"point": points[found], "links": links[found], "to": points[label[found]]})
-
-    # pairs of tiles are the units of work: dealt to as many tasks, none of which is worth merging with another
-    dealt = tasks.repartition(int(min(MAX_TASKS, SPREAD * n_pairs)), *names)
+        width = int(key[0])
+        system, root = fs.FileSystem.from_uri(folder)
+        held: dict[tuple[int, int], tuple[CoverTree, np.ndarray, np.ndarray]] = {}
+
+        def tile(cell: int, number: int) -> tuple[CoverTree, np.ndarray, np.ndarray]:
+            if (cell, number) not in held:
+                path = f"{root}/width={width}/cell={cell}/tile={number}"
+                # a hash may leave a tile without points
+                empty = system.get_file_info(path).type == fs.FileType.NotFound
+                table = EMPTY_TILE if empty else pq.read_table(path, columns=["unit", "point", "copies"], filesystem=system, partitioning=None)
+                table = table.sort_by("point")
+                units = np.frombuffer(b"".join(table["unit"].to_pylist()), dtype=np.float64).reshape(-1, width)
+                tree = CoverTree(units, math.sqrt(max(0.0, 2.0 - 2.0 * least))) if len(units) else None
+                held[cell, number] = tree, table["point"].to_numpy(), table["copies"].to_numpy()
+            return held[cell, number]
+
+        out = []
+        for a_cell, a_tile, b_cell, b_tile in zip(*(pdf[c].tolist() for c in ("a_cell", "a_tile", "b_cell", "b_tile"))):
+            first, second = tile(a_cell, a_tile), tile(b_cell, b_tile)
+            if first[0] is None or second[0] is None:
+                continue
+            alone = first is second
+            points, copies = (first[1], first[2]) if alone else (np.concatenate([first[k], second[k]]) for k in (1, 2))
+            # a label is the least index of a component, so points ascend
+            order = np.argsort(points, kind="stable")
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            n = len(first[1])
+            links, label = tree_links(first[0], None if alone else second[0], copies[order], rank[:n], None if alone else rank[n:], least)
+            found = np.flatnonzero(links)
+            out.append(pd.DataFrame({"point": points[order][found], "links": links[found], "to": points[order][label[found]]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"point": NONE, "links": NONE, "to": NONE})
+
+    # blocks of pairs of tiles are the units of work: dealt to as many tasks, none of which is worth merging with another
+    dealt = tasks.repartition(int(min(MAX_TASKS, max(1, n_blocks))), *names)
     linked = written(dealt.groupBy(*names).applyInPandas(link, "point bigint, links bigint, to bigint"), "links")
     totals = linked.groupBy("point").agg(F.sum("links").alias("links"))
     parts = components(linked.select(F.col("point").alias("a"), F.col("to").alias("b")), "vectors")
     named = points.join(totals, "point", "left").join(parts.withColumnRenamed("node", "point"), "point", "left")
-    named = named.select("unit", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "point").alias("component"))
-    joined = skewed_join(every, written(named, "named"), "unit", "left")
+    named = named.select(F.unhex(F.sha2("unit", 256)).alias("mark"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "point").alias("component"))
+    # results find their rows by a digest of the vector, which is a sixteenth of it
+    joined = skewed_join(every.select("vec_id", "mark"), written(named, "named"), "mark", "left")
     component = F.coalesce("component", "vec_id")
     return joined.select(
         "vec_id",

@@ -143,3 +143,17 @@ def test_a_large_group_of_near_copies_is_counted_in_blocks(monkeypatch):
         for a, b in pairs.T:
             plain[a] = plain[b] = min(plain[a], plain[b])
     assert found.tolist() == plain
+
+
+def test_each_vector_is_stored_once_for_all_its_comparisons(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_POINTS", 50)
+    monkeypatch.setattr(vectors, "TILE_POINTS", 20)
+    folders, plain = [], vectors.new_path
+    monkeypatch.setattr(vectors, "new_path", lambda session, label: folders.append(plain(session, label)) or folders[-1])
+    x = np.random.default_rng(3).normal(size=(400, 8))
+    x[300:] = x[:100] + 0.01
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in vectors.near_vectors(rows).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert found == dict(enumerate(((unit @ unit.T >= 0.95).sum(1) - 1).tolist()))
+    assert [spark.read.parquet(f).count() for f in folders if "/tiles-" in f] == [400]
