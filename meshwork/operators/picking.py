@@ -2,8 +2,8 @@
 
 Nodes lie in the cells that their balls touch, two an axis at most; a ray is walked
 slab by slab along its steepest axis, where it touches few cells of each slab. Rays
-and nodes meet by cell, crowded cells are dealt to several tasks, and a pair is
-tested in the one cell that holds the ray's nearest point to the node.
+and nodes meet by cell: nodes are broadcast in blocks of cells, or else crowded cells
+are dealt to several tasks. A pair is tested in the one cell that holds the ray's nearest point to the node.
 """
 
 from __future__ import annotations
@@ -13,11 +13,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dealing import BOUND, dealt_join
+from .dealing import BOUND, dealt_join, stored
+from .validate import union
 
 #: Cells an axis at most, and cells a node on average.
 MOST_CELLS = 1 << 20
 CELLS_PER_NODE = 1.0
+#: Rows of nodes by cell that are broadcast at once, and how many such blocks rays pass at most.
+BLOCK_CELLS = 500_000
+MOST_BLOCKS = 64
+#: Rays a line from which on each line is walked once for all its rays.
+REPEATS = 4
 #: Share of a cell by which touching is widened against rounding.
 SLACK = 1e-6
 AXES = ("x", "y", "z")
@@ -95,8 +101,18 @@ def ray_cells(rays: DataFrame, grid: Grid) -> DataFrame:
 
 
 def tested_pairs(nodes: DataFrame, rays: DataFrame, grid: Grid, bound: int = BOUND) -> DataFrame:
-    """Rays and nodes that share a cell, with depth along the ray, squared distance from it and the cell of its nearest point."""
-    met = dealt_join(node_cells(nodes, grid), ray_cells(rays, grid), ["_cell"], bound)
+    """Rays and nodes that share a cell, with depth along the ray, squared distance from it and the cell of its nearest point.
+
+    Nodes are broadcast in blocks of cells, which rays pass where they are read: a ray is in far more
+    cells than can be shuffled. Beyond ``MOST_BLOCKS`` blocks, both sides are shuffled by cell.
+    """
+    held = stored(node_cells(nodes, grid), "node-cells")
+    blocks = -(-held.count() // BLOCK_CELLS)
+    if blocks > MOST_BLOCKS:
+        met = dealt_join(held, ray_cells(rays, grid), ["_cell"], bound)
+    else:
+        block = lambda k: held if blocks <= 1 else held.where(F.pmod(F.xxhash64("_cell"), F.lit(blocks)) == k)
+        met = union([ray_cells(rays, grid).join(F.broadcast(block(k)), "_cell") for k in range(max(blocks, 1))])
     offset = [F.col(a) - F.col(f"o{a}") for a in AXES]
     dot = lambda xs, ys: xs[0] * ys[0] + xs[1] * ys[1] + xs[2] * ys[2]
     met = met.withColumn("depth", dot(offset, [F.col(f"d{a}") for a in AXES]))
@@ -114,6 +130,21 @@ def pick_along_rays(nodes: DataFrame, rays: DataFrame, bound: int = BOUND) -> Da
     grid = Grid.over(nodes)
     if grid is None:
         return rays.where("false").select("ray_id", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("double").alias("depth"), F.lit(0).cast("bigint").alias("hits"))
-    met = tested_pairs(nodes.select("id", *AXES, "radius"), rays.select("ray_id", *(f"{k}{a}" for k in "od" for a in AXES)), grid, bound)
+    lines = [f"{k}{a}" for k in "od" for a in AXES]
+    rays = rays.select("ray_id", *lines)
+    size = rays.agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64(*lines)).alias("kinds")).first()
+    if size.n < REPEATS * size.kinds:
+        return _picked(nodes, rays, grid, bound)
+    # rays that run along one line meet the same
+    once = stored(rays.groupBy(*lines).agg(F.min("ray_id").alias("ray_id")), "lines")
+    told = stored(once.join(_picked(nodes, once, grid, bound), "ray_id").drop("ray_id"), "line-picks")
+    told = F.broadcast(told) if told.count() <= BLOCK_CELLS else told
+    return rays.join(told, lines).select("ray_id", "id", "depth", "hits")
+
+
+def _picked(nodes: DataFrame, rays: DataFrame, grid: Grid, bound: int) -> DataFrame:
+    # balls that are equal are met once
+    balls = nodes.groupBy(*AXES, "radius").agg(F.min("id").alias("id"), F.count("*").alias("_copies"))
+    met = tested_pairs(balls, rays, grid, bound)
     hit = met.where((F.col("_cell") == F.col("_nearest")) & (F.col("depth") > 0) & (F.col("away") <= F.col("radius") * F.col("radius")))
-    return hit.groupBy("ray_id").agg(F.min_by("id", F.struct("depth", "id")).alias("id"), F.min("depth").alias("depth"), F.count("*").alias("hits"))
+    return hit.groupBy("ray_id").agg(F.min_by("id", F.struct("depth", "id")).alias("id"), F.min("depth").alias("depth"), F.sum("_copies").alias("hits"))

@@ -145,3 +145,24 @@ def test_admission_equals_a_loop(spark, capacity):
     df = spark.createDataFrame(rows, "lane long, order long, size long").repartition(5)
     assert {r.order: r.accepted for r in admission.admitted_batches(df, capacity).collect()} == wanted
     assert admission.admitted_batches(df.where("false"), capacity).count() == 0
+
+
+@pytest.mark.parametrize("cells,most", [(500_000, 64), (40, 64), (40, 1)])
+def test_rays_of_one_line_are_walked_once_and_not_shuffled(spark, monkeypatch, cells, most):
+    monkeypatch.setattr(picking, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(picking, "MOST_BLOCKS", most)
+    rng = random.Random(5)
+    nodes = [(i, *(rng.uniform(-1, 1) for _ in "xyz"), 0.2) for i in range(60)]
+    nodes += [(100 + i, *n[1:]) for i, n in enumerate(nodes[:20])]
+    rays = [(k, -2.0, 0.1 * (k % 7 - 3), 0.1 * (k % 5 - 2), 1.0, 0.0, 0.0) for k in range(350)]
+    expected = {}
+    for k, ox, oy, oz, *_ in rays:
+        hits = sorted((x - ox, i) for i, x, y, z, r in nodes if (y - oy) ** 2 + (z - oz) ** 2 <= r * r)
+        if hits:
+            expected[k] = hits[0][1], len(hits)
+    walked, plain = [], picking.tested_pairs
+    monkeypatch.setattr(picking, "tested_pairs", lambda n, r, *a: walked.append((n.count(), r.count())) or plain(n, r, *a))
+    nodes_df = spark.createDataFrame(nodes, "id long, x double, y double, z double, radius double")
+    rays_df = spark.createDataFrame(rays, "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    assert {r.ray_id: (r.id, r.hits) for r in picking.pick_along_rays(nodes_df, rays_df).collect()} == expected
+    assert walked == [(60, 35)]
