@@ -7,21 +7,13 @@ and not a recomputation of the lineage.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from meshwork.sources.shared import new_path
+from meshwork.sources.shared import map_batches, new_path
 
 __all__ = ["components", "crc_mod", "map_batches", "new_path", "read_table", "skewed_join", "unused", "written"]
 
-SLICE_ROWS = 1_000
-SLICE_BYTES = 4 << 20
-BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A key with more than one in so many rows is hot in a join; so many rows of the other side are broadcast at most.
 HOT_ROWS = 2_000
 #: Keys with fewer rows than this are never hot.
@@ -47,27 +39,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_batches(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
-) -> DataFrame:
-    """``mapInArrow`` over batches of bounded bytes, so that executor and worker hold few whole texts at once.
-
-    The session's own bound on batches is kept where it is lower.
-    """
-    conf = df.sparkSession.conf
-    number, unit = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", conf.get(BATCH_CONF).strip().lower()).groups()
-    if not 0 < int(number) << 10 * "bkmgt".index(unit or "b") <= SLICE_BYTES:
-        conf.set(BATCH_CONF, SLICE_BYTES)
-
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(batch.nbytes, 1)))
-            for at in range(0, batch.num_rows, rows):
-                yield batch.slice(at, rows)
-
-    return df.mapInArrow(lambda batches: function(sliced(batches)), schema)
-
-
 def crc_mod(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
 

@@ -68,6 +68,36 @@ def test_search_equals_scanning(spark):
     assert textsearch.find_texts(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([], "query_id string, query string")).count() == 0
 
 
+def test_search_of_few_queries_keeps_no_grams_of_texts(spark, monkeypatch):
+    rng = random.Random(10)
+    some = ["".join(rng.choice("abÉé新.") for _ in range(rng.choice([1, 2, 4, 6, 9]))) for _ in range(60)]
+    texts = [(k, " ".join(rng.choice(some) + rng.choice(["", "X", "\u00a0", "\x1c", "\n"]) for _ in range(30))) for k in range(200)] + [(900, "ab" * 400), (901, " \t"), (902, None)]
+    queries = [(k, q) for k, q in enumerate(some[:40] + [f"{a} {b}" for a, b in zip(some, some[1:])] + ["ab" * 200, "\x1c", "\u00a0 ", "é\u00a0", "zz"])]
+    kept, white = {}, "\t\n\x0b\x0c\r \x85\u00a0"
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+    wanted = sorted((q, k) for q, s in queries if s.strip(white) for k, t in texts if t is not None and lower(s.strip(white)) in lower(t))
+    stored = textsearch.stored
+    monkeypatch.setattr(textsearch, "stored", lambda df, label: kept.setdefault(label, stored(df, label)))
+    frames = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(queries, "query_id long, query string")
+    assert sorted(map(tuple, textsearch.find_texts(*frames).collect())) == wanted
+    assert sum(df.count() for df in kept.values()) <= len(queries)
+    kept.clear()
+    # queries too many to broadcast go through the index, with the same pairs
+    assert sorted(map(tuple, textsearch.find_texts(*frames, broadcast_rows=0).collect())) == wanted and "postings" in kept
+
+
+def test_words_are_looked_up_alike_when_memory_is_full(monkeypatch):
+    rng = random.Random(11)
+    some = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    queries = some[:50] + [b"a  bc", b"abcabc" * 20]
+    full, least = textsearch._Held(queries), textsearch._Held(queries)
+    plain = lambda w: {k for k, q in enumerate(queries) if max(q.split(), key=len) in w}
+    words = some + [b"abc" * 60, b"c" + b"abcabc" * 20]
+    assert [set(full[w]) for w in words] == [plain(w) for w in words]
+    monkeypatch.setattr(textsearch, "WORDS", 3)
+    assert [set(least[w]) for w in words * 2] == [plain(w) for w in words * 2] and len(least) <= 3 and len(least.heads) <= 3
+
+
 def test_delta_of_versions(spark):
     schema = "id long, label string, x double"
     before = spark.createDataFrame([(1, "a", 1.0), (2, "b", None), (3, None, 3.0), (4, "n", 4.0)], schema)
