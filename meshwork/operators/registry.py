@@ -9,6 +9,7 @@ from meshwork.functions.masks import bit_for
 from meshwork.functions.text import ascii_lower, byte_slice, contains_ascii_ci, is_boundary, occurrence_offsets, occurrences, quote_prefix, quote_suffix, stable_id, trim_white
 from meshwork.types import ENTITY_KINDS, FAMILIES, LIMITS
 
+from .dealing import stored
 from .intervals import overlap_neighbours, overlap_pairs
 from .validate import union, violations
 
@@ -147,6 +148,7 @@ def fold_tags(tags: DataFrame) -> DataFrame:
     as tags with lower sequences. Adds ``is_new``, ``first`` (the sequence of the tag
     that made the entity), ``entity_id``, ``active`` and ``evicted_by``.
     """
+    tags = stored(tags, "tags")  # read many times below
     near = overlap_neighbours(tags, "document", "sequence")
     before = tags.select("document", F.col("sequence").alias("previous"), F.col("start").alias("_start"), F.col("end").alias("_end"))
     same = (F.col("_start") == F.col("start")) & (F.col("_end") == F.col("end"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshwork.functions.masks import bit_for
 from meshwork.functions.text import occurrence_offsets
+from meshwork.operators.dealing import stored
 from meshwork.operators.slots import assign_slots
 from meshwork.types import ENTITY_KINDS
 
@@ -16,6 +17,8 @@ SUPPLIER_BASE, PART_BASE = 10_000_001, 20_000_001
 KEY_WORDS, KEY_CHARACTERS = 3, 3
 #: Keys of surfaces up to this number are broadcast; beyond, keys are shuffled.
 BROADCAST_ROWS = 100_000
+#: Where pairs of texts and surfaces that may meet are no more than this, only their texts are shuffled.
+BROADCAST_PAIRS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -155,18 +158,19 @@ def _candidates(docs: DataFrame, surfaces: DataFrame) -> DataFrame:
     text that holds it, whatever its ends are glued to: up to ``KEY_WORDS`` of
     them make a key. Surfaces of one or two words are met by their first characters.
     """
-    words = lambda c: F.transform(F.split(c, r"\s+"), lambda w: F.xxhash64(w))
+    words = lambda c: F.split(c, r"\s+")
     named = surfaces.where(F.length("surface") > 0).withColumn("w", words("surface"))
     inner = F.size("w") - 2
     named = named.withColumn("m", F.when(inner > 0, F.least(inner, F.lit(KEY_WORDS))).otherwise(-F.least(F.length("surface"), F.lit(KEY_CHARACTERS))))
-    window = lambda array, at, m: F.xxhash64(F.lit(m), *(F.element_at(array, at + k) for k in range(m)))
     tokens = docs.select("doc_id", words("content").alias("w"))
     found = []
     for m in sorted(r.m for r in named.select("m").distinct().collect()):  # at most KEY_WORDS + KEY_CHARACTERS numbers
         if m > 0:
-            keys = named.where(F.col("m") == m).select("item_id", window("w", F.lit(2), m).alias("key"))
-            at = F.sequence(F.lit(1), F.size("w") - (m - 1))
-            grams = tokens.where(F.size("w") >= m).select("doc_id", F.explode(F.array_distinct(F.transform(at, lambda i: window("w", i, m)))).alias("key"))
+            key = lambda parts: F.xxhash64(F.lit(m), *parts).alias("key")
+            keys = named.where(F.col("m") == m).select("item_id", key(F.element_at("w", 2 + k) for k in range(m)))
+            # shifted copies side by side: functions over each element would cost three times as much
+            runs = F.arrays_zip(*(F.slice("w", k + 1, F.greatest(F.size("w") - (m - 1), F.lit(0))).alias(f"_{k}") for k in range(m)))
+            grams = tokens.select("doc_id", F.explode(F.when(F.size("w") >= m, runs)).alias("run")).select("doc_id", key(F.col(f"run._{k}") for k in range(m)))
         else:
             keys = named.where(F.col("m") == m).select("item_id", F.left("surface", F.lit(-m)).alias("key"))
             at = F.sequence(F.lit(1), F.length("content") + (m + 1))
@@ -181,7 +185,10 @@ def _candidates(docs: DataFrame, surfaces: DataFrame) -> DataFrame:
 
 def spans_of(docs: DataFrame, surfaces: DataFrame) -> DataFrame:
     """Every place (from left to right, not overlapping) of each surface (item_id, surface) in each text (doc_id, content)."""
-    pairs = _candidates(docs, surfaces).join(surfaces, "item_id").join(docs, "doc_id").where(F.contains("content", "surface"))
+    candidates = stored(_candidates(docs, surfaces), "candidates")
+    held = candidates.select("doc_id").distinct()
+    held = docs.join(F.broadcast(held), "doc_id", "left_semi") if candidates.count() <= BROADCAST_PAIRS else docs
+    pairs = candidates.join(surfaces, "item_id").join(held, "doc_id").where(F.contains("content", "surface"))
     start = F.explode(occurrence_offsets(F.col("content"), F.col("surface")))
     placed = pairs.select("doc_id", "item_id", "surface", "content", start.alias("start"))
     return placed.select(

@@ -179,6 +179,41 @@ def test_tags_fold_as_one_after_the_other(spark):
     assert named == {got[e].entity_id: v for e, v in entities.items()}
 
 
+def counted(df):
+    """``df``, and how many of its rows were made so far."""
+    made = df.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema), made
+
+
+def test_tags_and_texts_are_read_a_few_times(spark, monkeypatch):
+    from meshwork.sources import tables
+
+    rows = [(k % 3, k, k % 17, k % 17 + k % 5 + 1) for k in range(90)]
+    tags, made = counted(spark.createDataFrame(rows, "document long, sequence long, start long, end long"))
+    assert registry.fold_tags(tags).count() == 90 and made.value == 90
+    rng = random.Random(12)
+    words = ["a", "b", "ab", "新", "é", "c."]
+    texts = [(k, rng.choice(["", "x"]) + rng.choice([" ", "\n", "  "]).join(rng.choice(words) for _ in range(rng.randrange(30)))) for k in range(200)] + [(900, None), (901, "")]
+    surfaces = [(k, " ".join(rng.choice(words) for _ in range(1 + k % 7))) for k in range(40)]
+    wanted = sorted((d, s) for d, text in texts if text for s, surface in surfaces if surface in text)
+    # texts that no surface may meet are not shuffled unless candidates are very many; the spans are the same
+    for most in (tables.BROADCAST_PAIRS, 3):
+        monkeypatch.setattr(tables, "BROADCAST_PAIRS", most)
+        docs, made = counted(spark.createDataFrame(texts, "doc_id long, content string"))
+        kinds = 6  # one reading for each kind of key, one to place the surfaces
+        found = tables.spans_of(docs, spark.createDataFrame(surfaces, "item_id long, surface string"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("LeftSemi" in plan) == (most > 3)
+        got = sorted({(r.document - 1, r.node_id - 1) for r in found.collect()})
+        assert got == wanted and len(wanted) > 100 and made.value <= len(texts) * (kinds + 1)
+
+
 def test_leases(spark):
     docs = spark.createDataFrame([], "entry_id long, revision long, content_hash string, content string")
     token = documents.lease(docs, 3).first()
