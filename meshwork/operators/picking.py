@@ -1,27 +1,43 @@
-"""Many rays against many nodes through a uniform grid.
+"""Many rays against many nodes.
 
-Nodes lie in the cells that their balls touch, two an axis at most; a ray is walked
+Nodes are stored in blocks of bounded size; rays are dealt to tasks, and a task walks the tree of each block
+with all its rays at once. So a ray is shuffled once, however many nodes it passes.
+
+More nodes than tasks should read one block after another meet rays through a uniform grid:
+nodes lie in the cells that their balls touch, two an axis at most; a ray is walked
 slab by slab along its steepest axis, where it touches few cells of each slab. Rays
-and nodes meet by cell: nodes are broadcast in blocks of cells, or else crowded cells
-are dealt to several tasks. A pair is tested in the one cell that holds the ray's nearest point to the node.
+and nodes meet by cell, and crowded cells are dealt to several tasks.
+A pair is tested in the one cell that holds the ray's nearest point to the node.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshwork.sources.shared import map_batches, new_path
+
+from .balltree import BallTree
 from .dealing import BOUND, dealt_join, stored
-from .validate import union
+from .validate import non_finite
 
 #: Cells an axis at most, and cells a node on average.
 MOST_CELLS = 1 << 20
 CELLS_PER_NODE = 1.0
-#: Rows of nodes by cell that are broadcast at once, and how many such blocks rays pass at most.
+#: Nodes of a block, which a task holds at once, and how many such blocks rays pass at most.
 BLOCK_CELLS = 500_000
 MOST_BLOCKS = 64
+#: Rays that walk a tree at once.
+WALK_RAYS = 300_000
+#: Rays that a task gets at most and at least, on average; between these, rays are dealt to so many tasks.
+MOST_RAYS, LEAST_RAYS, SPREAD = 200_000, 5_000, 24
 #: Rays a line from which on each line is walked once for all its rays.
 REPEATS = 4
 #: Share of a cell by which touching is widened against rounding.
@@ -101,24 +117,71 @@ def ray_cells(rays: DataFrame, grid: Grid) -> DataFrame:
 
 
 def tested_pairs(nodes: DataFrame, rays: DataFrame, grid: Grid, bound: int = BOUND) -> DataFrame:
-    """Rays and nodes that share a cell, with depth along the ray, squared distance from it and the cell of its nearest point.
+    """Rays and nodes that meet: ray_id, id, depth along the ray and hits.
 
-    Nodes are broadcast in blocks of cells, which rays pass where they are read: a ray is in far more
-    cells than can be shuffled. Beyond ``MOST_BLOCKS`` blocks, both sides are shuffled by cell.
+    The nodes of one block that a ray meets are one row, with the nearest of them and how many these are. Beyond
+    ``MOST_BLOCKS`` blocks, both sides are shuffled by cell, and each pair is a row.
     """
-    held = stored(node_cells(nodes, grid), "node-cells")
-    blocks = -(-held.count() // BLOCK_CELLS)
-    if blocks > MOST_BLOCKS:
-        met = dealt_join(held, ray_cells(rays, grid), ["_cell"], bound)
-    else:
-        block = lambda k: held if blocks <= 1 else held.where(F.pmod(F.xxhash64("_cell"), F.lit(blocks)) == k)
-        met = union([ray_cells(rays, grid).join(F.broadcast(block(k)), "_cell") for k in range(max(blocks, 1))])
+    nodes = nodes.select(F.col("id").cast("bigint").alias("id"), *(F.col(c).cast("double").alias(c) for c in (*AXES, "radius")), F.col("_copies") if "_copies" in nodes.columns else F.lit(1).cast("bigint").alias("_copies"))
+    blocks = -(-nodes.count() // BLOCK_CELLS)
+    if blocks <= MOST_BLOCKS:
+        return _walked(nodes, rays, max(blocks, 1))
+    met = dealt_join(stored(node_cells(nodes, grid), "node-cells"), ray_cells(rays, grid), ["_cell"], bound)
     offset = [F.col(a) - F.col(f"o{a}") for a in AXES]
     dot = lambda xs, ys: xs[0] * ys[0] + xs[1] * ys[1] + xs[2] * ys[2]
     met = met.withColumn("depth", dot(offset, [F.col(f"d{a}") for a in AXES]))
     met = met.withColumn("away", dot(offset, offset) - F.col("depth") * F.col("depth"))
-    nearest = [grid.cell(k, F.col(f"o{a}") + F.col("depth") * F.col(f"d{a}")) for k, a in enumerate(AXES)]
-    return met.withColumn("_nearest", grid.number(nearest))
+    nearest = grid.number([grid.cell(k, F.col(f"o{a}") + F.col("depth") * F.col(f"d{a}")) for k, a in enumerate(AXES)])
+    hit = met.where((F.col("_cell") == nearest) & (F.col("depth") > 0) & (F.col("away") <= F.col("radius") * F.col("radius")))
+    return hit.select("ray_id", "id", "depth", F.col("_copies").alias("hits"))
+
+
+def _walked(nodes: DataFrame, rays: DataFrame, blocks: int) -> DataFrame:
+    """Each block is stored once and read by every task, which holds one block and about ``WALK_RAYS`` rays at a time."""
+    folder = new_path(nodes.sparkSession, "node-blocks")
+    block = F.pmod(F.xxhash64(*AXES, "radius"), F.lit(blocks))
+    nodes.withColumn("_block", block).repartition(blocks, "_block").write.partitionBy("_block").parquet(folder)
+    tasks = max(-(-(n := rays.count()) // MOST_RAYS), min(SPREAD, -(-n // LEAST_RAYS)), 1)
+
+    def tree(k: int) -> BallTree | None:
+        system, root = fs.FileSystem.from_uri(folder)
+        path = f"{root}/_block={k}"
+        # a hash may leave a block without nodes
+        if system.get_file_info(path).type == fs.FileType.NotFound:
+            return None
+        held = pq.read_table(path, filesystem=system, partitioning=None)
+        column = lambda name: held[name].to_numpy()
+        return BallTree(column("id"), np.stack([column(a) for a in AXES], axis=1), column("radius"), column("_copies"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, BallTree | None] = -1, None
+        for some in _gathered(batches):
+            lines = np.stack([some[c].to_numpy() for c in some.column_names[1:]], axis=1)
+            there = np.flatnonzero(np.isfinite(lines).all(1))  # nulls are no numbers here
+            ids, origin, towards = some["ray_id"].take(pa.array(there)), lines[there, :3], lines[there, 3:]
+            for k in range(blocks):
+                last = last if last[0] == k else (k, tree(k))
+                if last[1] is None or not len(there):
+                    continue
+                with np.errstate(all="ignore"):
+                    found = dict(zip(("id", "depth", "hits"), last[1].pick(origin, towards)))
+                met = np.flatnonzero(found["hits"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(met)).combine_chunks(), *(pa.array(c[met]) for c in found.values())], names=["ray_id", *found])
+
+    dealt = rays.select("ray_id", *(F.col(f"{kind}{a}").cast("double") for kind in "od" for a in AXES)).repartition(tasks, "ray_id")
+    kind = rays.schema["ray_id"].dataType.simpleString()
+    return map_batches(dealt, walk, f"ray_id {kind}, id bigint, depth double, hits bigint")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= WALK_RAYS:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def pick_along_rays(nodes: DataFrame, rays: DataFrame, bound: int = BOUND) -> DataFrame:
@@ -127,6 +190,8 @@ def pick_along_rays(nodes: DataFrame, rays: DataFrame, bound: int = BOUND) -> Da
     A node counts when it lies ahead of the origin and the ray passes within its radius. Of equally near
     nodes the one with the smallest id is picked.
     """
+    # what is nowhere is met by no ray
+    nodes = nodes.where(~non_finite(*(F.col(a) for a in AXES)) & F.col("radius").isNotNull())
     grid = Grid.over(nodes)
     if grid is None:
         return rays.where("false").select("ray_id", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("double").alias("depth"), F.lit(0).cast("bigint").alias("hits"))
@@ -146,5 +211,4 @@ def _picked(nodes: DataFrame, rays: DataFrame, grid: Grid, bound: int) -> DataFr
     # balls that are equal are met once
     balls = nodes.groupBy(*AXES, "radius").agg(F.min("id").alias("id"), F.count("*").alias("_copies"))
     met = tested_pairs(balls, rays, grid, bound)
-    hit = met.where((F.col("_cell") == F.col("_nearest")) & (F.col("depth") > 0) & (F.col("away") <= F.col("radius") * F.col("radius")))
-    return hit.groupBy("ray_id").agg(F.min_by("id", F.struct("depth", "id")).alias("id"), F.min("depth").alias("depth"), F.sum("_copies").alias("hits"))
+    return met.groupBy("ray_id").agg(F.min_by("id", F.struct("depth", "id")).alias("id"), F.min("depth").alias("depth"), F.sum("hits").alias("hits"))

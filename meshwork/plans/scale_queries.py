@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshwork.functions import geometry
 from meshwork.operators import admission, delta, merkle, picking, quantiles, textsearch
+from meshwork.operators.dealing import stored
 from meshwork.operators.validate import union
 from meshwork.sources.tables import positions, table
 
@@ -62,7 +63,7 @@ WITH n AS ({_SPHERES_SQL}), {_PIXELS_SQL},
 SELECT ray_id, arg_min(id, depth) AS id, count(*) AS hits FROM p WHERE depth > 0 AND square - depth * depth <= radius * radius GROUP BY ray_id""")
 def picks_through_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each user's pixels show: a camera that fits all nodes is turned by user, and each event's pixel sends a ray."""
-    nodes = _spheres(spark, sf_dir)
+    nodes = stored(_spheres(spark, sf_dir), "spheres")  # read for the box and for the rays' size as well
     box = F.broadcast(geometry.bounds(nodes).select(F.struct("*").alias("box")))  # one row
     k, lens = F.col("event_id"), geometry.Lens()
     pose = geometry.fitted_pose("box", lens).turned(F.col("user_id") * 10.0, (k % 60 - 30) * 2.0)

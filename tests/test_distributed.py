@@ -4,10 +4,11 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshwork.operators import admission, delta, logs, merkle, picking, quantiles, textsearch
+from meshwork.operators import admission, balltree, delta, logs, merkle, picking, quantiles, textsearch
 
 
 def some_nodes(rng, n):
@@ -196,3 +197,52 @@ def test_rays_of_one_line_are_walked_once_and_not_shuffled(spark, monkeypatch, c
     rays_df = spark.createDataFrame(rays, "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
     assert {r.ray_id: (r.id, r.hits) for r in picking.pick_along_rays(nodes_df, rays_df).collect()} == expected
     assert walked == [(60, 35)]
+
+
+def plain_picks(nodes, rays):
+    """(nearest id, depth, hits) of each ray that meets a node, with the formula of the queries."""
+    found = {}
+    for k, *r in rays:
+        for i, x, y, z, radius, copies in nodes:
+            offset = x - r[0], y - r[1], z - r[2]
+            depth = offset[0] * r[3] + offset[1] * r[4] + offset[2] * r[5]
+            away = offset[0] * offset[0] + offset[1] * offset[1] + offset[2] * offset[2] - depth * depth
+            if depth > 0 and away <= radius * radius:
+                least, hits = found.get(k, ((math.inf, 0), 0))
+                found[k] = min(least, (depth, i)), hits + copies
+    return {k: (i, depth, hits) for k, ((depth, i), hits) in found.items()}
+
+
+@pytest.mark.parametrize("leaf,at_once", [(2, 3), (128, 2_048)])
+def test_trees_pick_as_the_plain_formula(monkeypatch, leaf, at_once):
+    monkeypatch.setattr(balltree, "LEAF", leaf)
+    monkeypatch.setattr(balltree, "AT_ONCE", at_once)
+    rng = random.Random(leaf)
+    nodes = [(*n, rng.choice([1, 1, 3])) for n in some_nodes(rng, 260)]
+    # equal places and depths, a tube of radius 0 that is met exactly, far and very far nodes
+    nodes += [(500, 0.5, 0.0, 0.0, 0.1, 1), (400, 0.5, 0.0, 0.0, 0.2, 2), (600, 0.25, 0.0, 0.0, 0.0, 1), (700, 0.0, 3e8, 0.0, 0.5, 1), (800, 1e200, 0.0, 0.0, 1.0, 1)]
+    rays = some_rays(rng, 150) + [(900, -1.0, 0.0, 0.0, 1.0, 0.0, 0.0), (901, -1e9, 0.0, 0.0, 1.0, 0.0, 0.0), (902, 0.5, 0.0, 0.0, 1.0, 0.0, 0.0), (903, 1e200, 0.0, 0.0, -1.0, 0.0, 0.0)]
+    for some in (nodes, nodes[:-1], nodes[:-2]):
+        ids, copies = (np.array([n[k] for n in some]) for k in (0, 5))
+        at, lines = np.array([n[1:4] for n in some]), np.array([r[1:] for r in rays])
+        with np.errstate(all="ignore"):
+            nearest, depth, hits = balltree.BallTree(ids, at, np.array([n[4] for n in some]), copies).pick(lines[:, :3], lines[:, 3:])
+        assert {r[0]: got for r, got in zip(rays, zip(nearest.tolist(), depth.tolist(), hits.tolist())) if got[2]} == plain_picks(some, rays)
+
+
+@pytest.mark.parametrize("nodes_at_once,rays_at_once", [(500_000, 300_000), (50, 40)])
+def test_a_ray_gives_a_row_for_a_block_of_nodes(spark, monkeypatch, nodes_at_once, rays_at_once):
+    monkeypatch.setattr(picking, "BLOCK_CELLS", nodes_at_once)
+    monkeypatch.setattr(picking, "WALK_RAYS", rays_at_once)
+    rng = random.Random(12)
+    nodes = [(k, *(rng.gauss(0, 0.1) for _ in "xyz"), 0.05) for k in range(400)]
+    rays = [(k, -1.0, rng.gauss(0, 0.1), rng.gauss(0, 0.1), 1.0, 0.0, 0.0) for k in range(300)]
+    wanted = plain_picks([(*n, 1) for n in nodes], rays)
+    odd = [(990, math.nan, 0.0, 0.0, 1.0), (991, None, 0.0, 0.0, 1.0), (992, math.inf, 0.0, 0.0, 1.0), (993, 0.0, 0.0, 0.0, None)]
+    nodes_df = spark.createDataFrame(nodes + odd, NODES)
+    rays_df = spark.createDataFrame(rays + [(990, None, 0.0, 0.0, 1.0, 0.0, 0.0), (991, math.nan, 0.0, 0.0, 1.0, 0.0, 0.0), (992, 0.0, 0.0, 0.0, None, None, None)], RAYS)
+    fine = nodes_df.where("id < 990")
+    blocks = -(-len(nodes) // nodes_at_once)
+    rows = picking.tested_pairs(fine, rays_df, picking.Grid.over(fine)).count()
+    assert len(wanted) <= rows <= blocks * len(wanted) and sum(hits for *_, hits in wanted.values()) > 10 * len(rays)
+    assert {r.ray_id: (r.id, r.depth, r.hits) for r in picking.pick_along_rays(nodes_df, rays_df).collect()} == wanted
